@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessera.plans import catalog_queries, quality_queries  # noqa: F401
+    from tessera.plans import catalog_queries, graph_queries, quality_queries  # noqa: F401
 
 
 _load()
