@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def binary_number(raw: Column) -> Column:
 
 def ebcdic_text(raw: Column, charset: str = "cp037") -> Column:
     """EBCDIC bytes to text. Spark's ``decode`` has no such charset: an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else bytes(b).decode(charset))

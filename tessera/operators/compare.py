@@ -133,6 +133,6 @@ def leaves(df: DataFrame, key: str, json: str, depth: int = 3) -> DataFrame:
     for _ in range(depth):
         nested = level.where(F.coalesce(F.col("value").startswith("{"), F.lit(False)))
         out.append(level.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False))))
-        level = nested.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")).select(key, F.concat_ws(".", "path", "k").alias("path"), "value")
+        level = nested.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("_leaf", "value")).select(key, F.concat_ws(".", "path", "_leaf").alias("path"), "value")
     out.append(level)
     return union_all(out)

@@ -131,7 +131,7 @@ def parse_dbd(text: str) -> list[dict]:
     """E5: segments with parent, bytes and fields; the root's sequence field is its key, children point to the parent."""
     segments: list[dict] = []
     for line in text.splitlines():
-        args = dict(re.findall(r"(\w+)=\(?([\w,]+)\)?", line))
+        args = {k: v.strip("()") for k, v in re.findall(r"(\w+)=(\([^)]*\)|[^,\s]+)", line)}
         if re.search(r"\bSEGM\b", line):
             parent = args.get("PARENT", "0").split(",")[0]
             segments.append({"name": args["NAME"].split(",")[0], "parent": None if parent == "0" else parent, "bytes": int(args.get("BYTES", "0").split(",")[0]), "fields": []})
