@@ -7,7 +7,7 @@ a node that a shorter way reaches. Top lists end their order with the id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -437,3 +437,58 @@ def factor_score(probability: Column, impact_: Column, weight: Column) -> Column
 def effort_days(loc: Column, per_hour: float, *factors: Column) -> Column:
     """Lines at a base rate, in days of eight hours, times every factor."""
     return F.aggregate(F.array(*factors), loc * per_hour / 8, lambda a, f: a * f)
+
+
+# --- dispatch, layouts, bundle ------------------------------------------------------------
+
+
+def run_query(nodes: DataFrame, edges: DataFrame, request: dict) -> dict[str, DataFrame]:
+    """``type`` nodes, edges, path, subgraph or impact, with filters, source, target, depth and limit.
+
+    Nodes are counted before the limit, which trims nodes alone and follows the id.
+    """
+    kind, start = request["type"], None
+    if "source" in request:
+        s = request["source"]
+        start = nodes.sparkSession.createDataFrame([(s, s)], "origin string, id string")
+    if kind == "edges":
+        return {"edges": filter_edges(edges, request["types"]) if request.get("types") else edges}
+    if kind == "path":
+        return {"paths": simple_paths(edges, request["source"], request["target"], request.get("depth", 5))}
+    if kind == "nodes":
+        found = filter_nodes(nodes, request.get("types", ()), request.get("tags", ()), request.get("name"))
+    else:
+        reached = subgraph(edges, nodes, start, request.get("depth", 2)) if kind == "subgraph" else impact(edges, start, request.get("depth", 3))
+        found = nodes.join(reached.select("id"), "id", "left_semi")
+    out = {"nodes": found.orderBy("id").limit(request["limit"]) if request.get("limit") else found, "found": found.agg(F.count("*").alias("found"))}
+    return out | ({} if kind == "nodes" else {"edges": induced_edges(edges, found)})
+
+
+def layout(nodes: DataFrame, kind: str, step: float = 100.0, columns: int = 10, levels: DataFrame | None = None) -> DataFrame:
+    """X and y: grid and circle by order within the type, hierarchical by level. The force layout is left out."""
+    placed = nodes.select("id", "type", F.expr("row_number() OVER (PARTITION BY type ORDER BY id) - 1").alias("k"), F.expr("count(*) OVER (PARTITION BY type)").alias("n"))
+    if kind == "grid":
+        return placed.select("id", (F.col("k") % columns * step).alias("x"), (F.floor(F.col("k") / columns) * step).cast("double").alias("y"))
+    if kind == "circular":
+        angle = F.lit(6.283185307179586) * F.col("k") / F.col("n")
+        return placed.select("id", (F.cos(angle) * step).alias("x"), (F.sin(angle) * step).alias("y"))
+    ranked = nodes.join(levels, "id").select("id", "level", F.expr("row_number() OVER (PARTITION BY level ORDER BY id) - 1").alias("k"))
+    return ranked.select("id", (F.col("k") * step).alias("x"), (F.col("level") * step).alias("y"))
+
+
+def analysis(edges: DataFrame, nodes: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The measures of A2 to A19 by name; a measure is computed when it is called."""
+    return {
+        "density": lambda: density(edges, nodes),
+        "degrees": lambda: degrees(edges, nodes),
+        "components": lambda: components(edges, nodes),
+        "path_lengths": lambda: path_lengths(edges, nodes),
+        "clustering": lambda: clustering(edges),
+        "communities": lambda: label_propagation(edges, nodes),
+        "betweenness": lambda: betweenness(edges, nodes),
+        "dependents": lambda: transitive_dependents(edges, nodes),
+        "bottlenecks": lambda: bottlenecks(edges, nodes),
+        "high_risk": lambda: high_risk(degrees(edges, nodes), nodes),
+        "orphans": lambda: degrees(edges, nodes).where("degree = 0").select("id"),
+        "cycles": lambda: simple_cycles(edges),
+    }
