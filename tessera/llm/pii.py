@@ -13,7 +13,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"
 IPV4 = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
-PHONE = r"(?<![\w+.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w|-\d)"
+PHONE = r"(?<![\w+.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4})(?!\w|-\d)"
 WORLD_PHONE = r"(?<![\w+])\+(?!1)\d(?:[ .()-]{0,2}\d){7,13}(?!\w)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "world_phone": WORLD_PHONE, "card": CARD}
@@ -162,11 +162,13 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """Ten digits whose area and exchange codes begin with 2 to 9, after an optional 1."""
+    """Ten digits after an optional 1. Area and exchange codes from 200 stay so, and lower ones stay lower."""
     digits = F.right(_digits(m), F.lit(10))
     area, exchange, line = (F.substr(digits, F.lit(s), F.lit(n)).cast("bigint") for s, n in ((1, 3), (4, 3), (7, 4)))
-    out = feistel_number((area - 200) * 800 + exchange - 200, line, F.lit(640_000), F.lit(10_000), key)
-    new = F.concat(_padded((out["l"] / 800).cast("bigint") + 200, 3), _padded(out["l"] % 800 + 200, 3), _padded(out["r"], 4))
+    low, size = (lambda x: F.when(x >= 200, 200).otherwise(0)), (lambda x: F.when(x >= 200, 800).otherwise(200))
+    codes = size(exchange)
+    out = feistel_number((area - low(area)) * codes + exchange - low(exchange), line, size(area) * codes, F.lit(10_000), key)
+    new = F.concat(_padded((out["l"] / codes).cast("bigint") + low(area), 3), _padded(out["l"] % codes + low(exchange), 3), _padded(out["r"], 4))
     prefix = F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
     return _refill(m, F.concat(prefix, new))
 
