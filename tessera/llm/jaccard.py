@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, materialize, small_batches
-from tessera.llm.shingles import overlap_needed, prefix_length, shingle_set
+from tessera.llm.shingles import overlap_needed, prefix_length, shingle_sets
 from tessera.operators.components import connected_components
 
 #: Buckets of the frequency sketch (4 bytes each), and the pieces it is summed in.
@@ -35,12 +35,13 @@ def bitmap(shingles: np.ndarray) -> bytes:
     Two sets' bitmaps differ in at most as many bits as the sets differ in
     elements, so the differing bits bound the overlap from above.
     """
-    cells = (shingles >> np.uint64(54)).astype(np.int64)
+    cells = (shingles & np.uint64(BITS - 1)).astype(np.int64)
     return np.packbits((np.bincount(cells, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _sketch_cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(SKETCH - 1)).astype(np.int64)
+    """Cells by the upper bits: in order for a sorted set, which the memory caches like."""
+    return (shingles >> np.uint64(64 - 22)).astype(np.int64)
 
 
 def rare_prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def rare_prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> np.nd
     are taken, so any two sets that reach the similarity share one.
     """
     length = prefix_length(len(shingles), percent)
-    order = (np.minimum(sketch[_sketch_cells(shingles)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (shingles >> np.uint64(24))
+    order = (np.minimum(sketch[_sketch_cells(shingles)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (shingles & np.uint64((1 << 40) - 1))
     return shingles[order <= np.partition(order, length - 1)[length - 1]]
 
 
@@ -64,8 +65,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         total, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
             ids, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sid = set_id(s)
                 ids.append(sid)
                 sizes.append(len(s))
@@ -109,8 +109,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
         counts, seen = np.frombuffer(zlib.decompress(shared.value), np.uint32), set()
         for batch in batches:
             keys, sids, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
@@ -248,11 +247,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, keep = {}, []
-            for x, y, tx, ty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, t in ((x, tx), (y, ty)):
-                    if k not in known:
-                        known[k] = shingle_set(t, width)
+            xs, ys, tx, ty = (c.to_pylist() for c in batch.columns)
+            texts, keep = dict(zip(xs, tx, strict=True)) | dict(zip(ys, ty, strict=True)), []
+            known = dict(zip(texts, shingle_sets(texts.values(), width), strict=True))
+            for x, y in zip(xs, ys, strict=True):
                 p, q = known[x], known[y]
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 keep.append(bool((q[at] == p).sum() >= overlap_needed(len(p), len(q), percent)))
@@ -280,7 +278,7 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """Components of the exact similarity join of documents' shingle sets.
 
     Returns a row per input row: id, ``n_shingles`` and ``component_id`` (the
@@ -317,16 +315,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = "sid long, n int, sig binary, text string"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            rows = []
-            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, width)
-                if set_id(s) == sid:  # ids may repeat with other texts
+            rows, texts = [], batch.column(1).to_pylist()
+            for sid, text, s in zip(batch.column(0).to_pylist(), texts, shingle_sets(texts, width), strict=True):
+                if sid not in seen and set_id(s) == sid:  # ids may repeat, with other texts too; a task has all rows of an id
+                    seen.add(sid)
                     rows.append({"sid": sid, "n": len(s), "sig": bitmap(s), "text": text})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("text", pa.string())]))
 
     texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "text")
-    sets = materialize(texts.mapInArrow(sign, schema).dropDuplicates(["sid"]), "sets")
+    sets = materialize(texts.mapInArrow(sign, schema), "sets")
 
     first = runs.where("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
     tried = first
@@ -336,8 +335,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labelled = runs.select("key", "n", "sid").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         rows = labelled.join(mixed, "key").join(sets.select("sid", "sig"), "sid")
-        pairs = _tile_pairs(rows, percent, nearest=k < rounds)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(_tile_pairs(rows, percent, nearest=k < rounds), "pairs")
+        # Components only grow, so a row without an allowed partner now has none later.
+        runs = runs.join(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid", "left_semi")
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, sets, width, percent), "links")
         tried, links = tried.union(pairs), links.union(more)
     labels = materialize(connected_components(links, cut=lambda df: materialize(df, "stars")), "labels").select(F.col("node").alias("sid"), "component")
