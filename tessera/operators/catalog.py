@@ -194,3 +194,25 @@ def compliance(files: DataFrame, rules: Sequence[dict], key: str, text: str) ->
         checks.append(F.struct(F.lit(r["framework"]).alias("framework"), F.lit(r["rule"]).alias("rule"), ok.alias("passed")))
     long = files.select(key, F.explode(F.array(*checks)).alias("x")).select(key, "x.*")
     return long.groupBy("framework").agg(F.count_if("passed").alias("passed"), F.count("*").alias("checked"), (F.count_if("passed") / F.count("*") * 100).alias("score"))
+
+
+def containing(docs: DataFrame, passages: DataFrame, text: str, passage: str, most_broadcast: int = 2000) -> DataFrame:
+    """Documents joined with the passages that they contain.
+
+    Up to ``most_broadcast`` passages are broadcast and searched for in one
+    pass. More are joined on a word: a passage's longest word between its first
+    and last must stand whole in a document that contains it. Passages of fewer
+    than three words have no such word and are broadcast within the same bound.
+    """
+    inside = F.col(text).contains(F.col(passage))
+    if passages.limit(most_broadcast + 1).count() <= most_broadcast:
+        return docs.join(F.broadcast(passages), inside)
+    words = F.split(passage, r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    anchored = passages.withColumn("_anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    short = anchored.where("_anchor IS NULL").drop("_anchor")
+    if short.limit(most_broadcast + 1).count() > most_broadcast:
+        raise ValueError(f"more than {most_broadcast} passages of fewer than three words")
+    spread = docs.withColumn("_anchor", F.explode(F.array_distinct(F.split(text, r"\s+"))))
+    found = spread.join(anchored.where("_anchor IS NOT NULL"), "_anchor").where(inside).drop("_anchor")
+    return found.unionByName(docs.join(F.broadcast(short), inside))

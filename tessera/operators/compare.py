@@ -94,9 +94,14 @@ def report(total: Column, passed: Column, critical: Column) -> list[Column]:
     return [rate.alias("rate"), confidence.alias("confidence"), status.alias("status"), risk.alias("risk")]
 
 
-def latency_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, extremes and nearest-rank percentiles."""
-    p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
+def latency_summary(df: DataFrame, value: str, group: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Count, mean, extremes and nearest-rank percentiles.
+
+    Exact percentiles hold every distinct value of a group in one task; with
+    ``accuracy`` a sketch of fixed size takes their place.
+    """
+    exact = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
+    p = [(exact(q) if accuracy is None else F.percentile_approx(value, q, accuracy)).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
     return df.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *p)
 
 

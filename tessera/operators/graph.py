@@ -399,12 +399,12 @@ def single_points(dependents: DataFrame, degree: DataFrame, share: float = 0.1,
     return hits.select("id", "dependents").orderBy(F.desc("dependents"), "id").limit(limit)
 
 
-def type_clusters(nodes: DataFrame, columns: int = 100, margin: int = 20) -> DataFrame:
-    """A grid layout in order of id, and the bounding box of each type with two nodes or more."""
-    placed = nodes.select("type", F.expr("row_number() OVER (PARTITION BY type ORDER BY id) - 1").alias("k"))
-    box = placed.select("type", (F.col("k") % columns * 50).alias("x"), F.floor(F.col("k") / columns).alias("row"))
-    agg = box.groupBy("type").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), (F.max("row") * 50).alias("y1")).where("n >= 2")
-    return agg.select("type", "n", (F.col("x0") - margin).cast("long").alias("left"), (F.col("x1") + margin).cast("long").alias("right"), (F.col("y1") + margin).cast("long").alias("bottom"))
+def type_clusters(nodes: DataFrame, columns: int = 100, step: int = 50, margin: int = 20) -> DataFrame:
+    """Bounding box of each type with two nodes or more in the grid layout; its corners follow from the count."""
+    n = F.col("n")
+    boxes = nodes.groupBy("type").agg(F.count("*").alias("n")).where("n >= 2")
+    right, bottom = (F.least(n, F.lit(columns)) - 1) * step + margin, F.floor((n - 1) / columns) * step + margin
+    return boxes.select("type", "n", F.lit(-margin).cast("long").alias("left"), right.cast("long").alias("right"), bottom.cast("long").alias("bottom"))
 
 
 # --- dependencies, risk and effort (D) ----------------------------------------------------

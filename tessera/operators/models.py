@@ -37,9 +37,9 @@ def histogram(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
 
 def categories(df: DataFrame, column: str, most: int = 20) -> DataFrame:
     """M3: the most frequent values and their share."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.expr("sum(n) OVER ()")
-    return counts.withColumn("share", share).orderBy(F.desc("n"), "value").limit(most)
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))
+    return counts.join(total).select("value", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,9 +65,9 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def conditional_constants(df: DataFrame, given: str, output: str, least: int = 5) -> DataFrame:
     """M7: values of a category under which the output is constant."""
-    total = F.expr("sum(n) OVER ()")
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))
     grouped = df.groupBy(F.col(given).alias("given")).agg(F.count("*").alias("n"), F.count_distinct(output).alias("outputs"), F.min(output).alias("output"))
-    return grouped.withColumn("confidence", F.least(2 * F.col("n") / total, F.lit(0.95))).where((F.col("outputs") == 1) & (F.col("n") >= least)).select("given", "output", "n", "confidence")
+    return grouped.join(total).withColumn("confidence", F.least(2 * F.col("n") / F.col("_total"), F.lit(0.95))).where((F.col("outputs") == 1) & (F.col("n") >= least)).select("given", "output", "n", "confidence")
 
 
 def outliers(df: DataFrame, column: str, sigmas: float = 2.0) -> DataFrame:

@@ -85,7 +85,8 @@ def field_signature(events: DataFrame, field: str, by: Sequence[str] = (), most:
     """Count, nulls, distinct values, range; the ``most`` least values as examples."""
     value = F.col(field)
     base = events.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(value.isNull()).alias("nulls"), F.count_distinct(field).alias("cardinality"), F.min(field).alias("low"), F.max(field).alias("high"))
-    ranked = events.where(value.isNotNull()).select(*by, field).distinct().withColumn("_r", F.expr(f"row_number() OVER ({'PARTITION BY ' + ', '.join(by) if by else ''} ORDER BY {field})")).where(F.col("_r") <= most)
+    values = events.where(value.isNotNull()).select(*by, field).distinct()
+    ranked = values.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {field})")).where(F.col("_r") <= most) if by else values.orderBy(field).limit(most)
     examples = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(field)).alias("examples"))
     return base.join(examples, list(by), "left") if by else base.join(examples)
 

@@ -98,7 +98,7 @@ def related(spark, sf):
 @query("R10_by_regulation", "SELECT b.item_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY b.item_id")
 def by_regulation(spark, sf):
     passages = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, sf, "documents").select("text").join(F.broadcast(passages), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return c.containing(table(spark, sf, "documents").select("text"), passages, "text", "passage").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("R10_domain_category", RULES + " SELECT domain, category, count(*) AS n FROM rules GROUP BY domain, category")
@@ -264,8 +264,9 @@ def decisions(spark, sf):
 SELECT event_type, sum(n)::BIGINT AS n, round(100.0 * sum(n) / (SELECT sum(n) FROM p), 6)::DOUBLE AS percent FROM p GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5""")
 def progress(spark, sf):
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    share = F.round(F.lit(100.0) * F.col("n") / F.expr("sum(n) OVER ()"), 6)
-    return counts.select("event_type", "n", share.alias("percent")).orderBy(F.desc("n"), "event_type").limit(5)
+    total = F.broadcast(table(spark, sf, "events").agg(F.count("*").alias("total")))
+    share = F.round(F.lit(100.0) * F.col("n") / F.col("total"), 6)
+    return counts.join(total).select("event_type", "n", share.alias("percent")).orderBy(F.desc("n"), "event_type").limit(5)
 
 
 @query("U1_audit_query", "SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'purchase') AND ts >= TIMESTAMP '2024-01-10' AND value > 1 ORDER BY ts DESC, event_id LIMIT 100 OFFSET 10")
@@ -287,10 +288,9 @@ def assessment(spark, sf):
     return rate.select(F.round("rate", 8).alias("review_rate"), F.when(F.col("rate") >= 0.9, "compliant").when(F.col("rate") >= 0.5, "partial").otherwise("non-compliant").alias("status"))
 
 
-@query("U4_traceability", "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS history FROM events GROUP BY user_id")
+@query("U4_traceability", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
 def traceability(spark, sf):
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ">").alias("history"))
+    return table(spark, sf, "events").select("user_id", "event_id", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)").alias("place"))
 
 
 COMPLIANCE = [
@@ -311,7 +311,7 @@ def compliance(spark, sf):
 SELECT family, round(avg(least(n * 0.25, 1.0)), 8)::DOUBLE AS score, count(*) FILTER (n = 0) AS gaps FROM e GROUP BY family""")
 def evidence(spark, sf):
     passages = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    found = table(spark, sf, "documents").select("text").join(F.broadcast(passages), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    found = c.containing(table(spark, sf, "documents").select("text"), passages, "text", "passage").groupBy("item_id").agg(F.count("*").alias("n"))
     scored = passages.join(found, "item_id", "left").select((F.col("item_id") % 4).alias("family"), F.coalesce("n", F.lit(0)).alias("n"))
     return scored.groupBy("family").agg(F.round(F.avg(F.least(F.col("n") * 0.25, F.lit(1.0))), 8).alias("score"), F.count_if(F.col("n") == 0).alias("gaps"))
 

@@ -198,3 +198,10 @@ def test_boundary_and_random_cases_repeat(spark):
     s = spark.createDataFrame([("x", 1.0, 3.0, 2.0, 0.5)], "name string, low double, high double, mean double, stddev double")
     a, b = (sorted(map(tuple, models.random_cases(df, 50, 9).collect())) for df in (s, s.repartition(3)))
     assert a == b and all(1.0 <= v <= 3.0 for _, _, v in a)
+
+
+def test_passages_by_word_equal_broadcast(spark):
+    docs = spark.createDataFrame([(1, "xx the quick brown fox jumps"), (2, "quick brown"), (3, None), (4, "a b"), (5, "the quick\nbrown fox jumps")], "k int, t string")
+    passages = spark.createDataFrame([(1, "he quick brown fo"), (2, "a b"), (3, "no such passage here")], "p int, passage string")
+    got = [sorted((r["k"], r["p"]) for r in catalog.containing(docs, passages, "t", "passage", most).collect()) for most in (2000, 1)]
+    assert got[0] == got[1] == [(1, 1), (4, 2)]
