@@ -21,6 +21,11 @@ INTENTS = {
     "data-flow": ([r"what\s+(uses|reads|writes|modifies|updates|accesses)", r"how\s+is\s+(\w+)\s+(used|modified|processed)", r"where\s+does\s+(\w+)\s+(come\s+from|go)", r"trace\s+(the\s+)?data", r"data\s+flow", r"who\s+(produces|consumes)"], ["uses", "reads", "writes", "modifies", "data flow", "trace", "produces", "consumes"]),
     "business-rule": ([r"what\s+(rule|logic|calculation)\s+(handles|governs|controls)", r"how\s+is\s+(\w+)\s+calculated", r"business\s+rule", r"what\s+are\s+the\s+(rules|validations)", r"how\s+does\s+the\s+system\s+(validate|calculate|determine)"], ["rule", "logic", "calculation", "validate", "business rule", "formula"]),
     "dependency": ([r"what\s+(depends\s+on|relies\s+on)", r"dependencies\s+of", r"what\s+does\s+(\w+)\s+(call|use|depend)", r"show\s+(me\s+)?(the\s+)?dependencies", r"what\s+are\s+the\s+(prerequisites|requirements)"], ["depends", "dependency", "dependencies", "relies", "calls", "uses"]),
+    "impact": ([r"what\s+(would|will)\s+(be\s+)?affected", r"impact\s+(of|analysis)", r"if\s+(i|we)\s+(change|modify|update)", r"what\s+breaks\s+if", r"ripple\s+effect", r"downstream\s+(effects|impact)"], ["impact", "affected", "change", "breaks", "downstream", "ripple"]),
+    "explanation": ([r"explain\s+(how|what|why)", r"what\s+does\s+(\w+)\s+do", r"how\s+does\s+(\w+)\s+work", r"describe\s+", r"tell\s+me\s+about", r"what\s+is\s+the\s+purpose"], ["explain", "how does", "what does", "describe", "purpose", "work"]),
+    "comparison": ([r"compare\s+(\w+)\s+(and|with|to)", r"difference\s+between", r"how\s+(is|are)\s+(\w+)\s+different", r"versus|vs\.?", r"similar\s+to"], ["compare", "difference", "versus", "vs", "similar", "different"]),
+    "search": ([r"find\s+all", r"list\s+(all\s+)?(the\s+)?", r"show\s+(me\s+)?(all\s+)?", r"search\s+for", r"get\s+(all|every)", r"what\s+are\s+all\s+the"], ["find all", "list", "show all", "search", "every", "all the"]),
+    "summary": ([r"summarize", r"give\s+(me\s+)?(a\s+)?summary", r"overview\s+of", r"brief(ly)?\s+(describe|explain)", r"high[\s-]level", r"in\s+brief"], ["summarize", "summary", "overview", "brief", "high-level"]),
 }
 
 
@@ -84,7 +89,7 @@ def readiness(equivalence: Column, coverage: Column, critical: Column) -> Column
 
 
 def classify(questions: DataFrame, key: str, text: str, intents: dict = INTENTS) -> DataFrame:
-    """10 for each pattern, 5 for each keyword; the highest intent (ties by name), or unknown."""
+    """10 for each pattern, 5 for each keyword; the highest intent (ties to the first listed), or unknown."""
     low = F.lower(text)
 
     def score(patterns, keywords) -> Column:
@@ -95,7 +100,7 @@ def classify(questions: DataFrame, key: str, text: str, intents: dict = INTENTS)
             total = total + 5 * low.contains(k).cast("int")
         return total
 
-    rows = F.array(*[F.struct((-score(*v)).alias("neg"), F.lit(name).alias("intent")) for name, v in intents.items()])
+    rows = F.array(*[F.struct((-score(*v)).alias("neg"), F.lit(k).alias("place"), F.lit(name).alias("intent")) for k, (name, v) in enumerate(intents.items())])
     scored = questions.select(key, F.array_sort(rows).alias("r"), F.aggregate(rows, F.lit(0), lambda a, x: a - x["neg"]).alias("total"))
     top = -F.col("r")[0]["neg"]
     bonus = F.when(top > 15, 0.2).otherwise(0.0)

@@ -299,10 +299,10 @@ def training_jsonl(spark, sf):
 
 # --- questions (N) ---
 
-QUESTIONS = [(1, "Where is the interest calculation?"), (2, "What uses the customer file and reads data flow?"), (3, "Show me the dependencies of LOANPROC"), (4, "hello"), (5, "How is premium calculated by the business rule?")]
+QUESTIONS = [(1, "Where is the interest calculation?"), (2, "What uses the customer file and reads data flow?"), (3, "Show me the dependencies of LOANPROC"), (4, "hello"), (6, "What breaks if I change the record layout?"), (7, "Compare OLD with NEW"), (8, "Give me a summary of the system"), (5, "How is premium calculated by the business rule?")]
 
 
-@query("N1_intents", "SELECT * FROM (VALUES (1, 'code-location'), (2, 'data-flow'), (3, 'dependency'), (4, 'unknown'), (5, 'business-rule')) t(id, intent)")
+@query("N1_intents", "SELECT * FROM (VALUES (1, 'code-location'), (2, 'data-flow'), (3, 'dependency'), (4, 'unknown'), (5, 'business-rule'), (6, 'impact'), (7, 'comparison'), (8, 'summary')) t(id, intent)")
 def intents(spark, sf):
     return mining.classify(spark.createDataFrame(QUESTIONS, "id int, text string"), "id", "text").select("id", "intent")
 
