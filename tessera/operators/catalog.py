@@ -26,10 +26,10 @@ def tokens(text: Column, longer_than: int = 2, stop: Sequence[str] = STOP_WORDS)
 
 
 def current_versions(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest version of each record; the input keeps the history."""
-    rest = [c for c in versions.columns if c != key]
-    latest = versions.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("x"))
-    return latest.select(key, *[F.col(f"x.{c}") for c in rest])
+    """The latest version of each record, of equal versions that of the larger values; the input keeps the history."""
+    rest = [c for c in versions.columns if c not in (key, version)]
+    latest = versions.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("x"))
+    return latest.select(key, *[F.col(f"x.{c}") for c in (version, *rest)])
 
 
 def filter_rules(

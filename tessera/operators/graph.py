@@ -20,10 +20,10 @@ from tessera.operators.quality import union_all
 
 
 def upsert(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The last version of each key."""
-    rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("x"))
-    return last.select(*keys, *[F.col(f"x.{c}") for c in rest])
+    """The last version of each key; of equal versions the one of the larger values."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("x"))
+    return last.select(*keys, *[F.col(f"x.{c}") for c in (version, *rest)])
 
 
 def rules_graph(rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ def upsert_nodes(spark, sf):
     return g.upsert(rows, ["id"], "ver")
 
 
-@query("G2_upsert_edges", "SELECT l_partkey AS source, l_suppkey AS target, max(l_orderkey * 10 + l_linenumber) AS ver, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS weight FROM lineitem GROUP BY 1, 2")
+@query("G2_upsert_edges", "SELECT source, target, x.v AS ver, x.w AS weight FROM (SELECT l_partkey AS source, l_suppkey AS target, max({'v': l_orderkey * 10 + l_linenumber, 'w': l_quantity}) AS x FROM lineitem GROUP BY 1, 2)")
 def upsert_edges(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ver"), F.col("l_quantity").alias("weight"))
     return g.upsert(rows, ["source", "target"], "ver")
