@@ -8,16 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tessera.llm.common import documents, small_batches
 
 #: White space as the vocabulary's normaliser knows it (Unicode White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MANY_SPACES = regex.compile(f"[{_SPACE}]+")
-_LONE_SIGMA = str.maketrans({"Σ": "σ"})
+_SPACES = regex.compile(f"[{_SPACE}]+")
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_STRIP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _byte_chars() -> list[str]:
@@ -39,7 +42,7 @@ class WordBpe:
     equal one-at-a-time merging for any vocabulary.
     """
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -49,6 +52,7 @@ class WordBpe:
         for token, k in [*vocab.items(), *self.special.items()]:
             self.tokens[k] = token
         self.base = len(self.tokens)
+        self.token_array = pa.array(self.tokens, pa.string())
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.last = np.array([vocab[c + suffix] for c in chars], np.int64)
@@ -73,9 +77,14 @@ class WordBpe:
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def normalize(self, text: str) -> str:
-        """NFC, runs of white space to one space, each character lower-cased alone."""
-        text = _MANY_SPACES.sub(" ", unicodedata.normalize("NFC", text))
-        return text.translate(_LONE_SIGMA).lower()
+        """NFC, each character lower-cased alone. White space parts words whatever its length, so it stays."""
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()
+
+    def pieces(self, text: str) -> list[str]:
+        """The stretches between white space; str.split knows four separators more than the vocabulary."""
+        return text.split() if _SEPARATORS.search(text) is None else _SPACES.split(text.strip(_STRIP))
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words, flat, and the number of each word's tokens."""
@@ -122,38 +131,50 @@ class WordBpe:
         return ids[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
     def _learn(self, new: list[str]) -> None:
-        ids, sizes = self.merge(new)
-        start = self.flat.size + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, ids])
-        self.starts = np.concatenate([self.starts, start])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        """Add pieces to the look-up: their words are merged once each and put together again."""
+        lists = [self.words(p) for p in new]
+        place = {}
+        for words in lists:
+            for w in words:
+                place.setdefault(w, len(place))
+        ids, sizes = self.merge(list(place))
+        starts = np.cumsum(sizes) - sizes
+        order = np.fromiter((place[w] for words in lists for w in words), np.int64)
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        taken = sizes[order]
+        ends = np.cumsum(taken)
+        flat = ids[np.arange(int(taken.sum())) + np.repeat(starts[order] - (ends - taken), taken)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(lengths))]
+        self.starts = np.concatenate([self.starts, self.flat.size + bounds[:-1]])
+        self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and the offsets of each text's ids.
 
-        Words already met by this worker are looked up; the look-up is emptied
-        at ``cache_words`` words.
+        Pieces already met by this worker are looked up; the look-up is emptied
+        at ``cache_words`` pieces.
         """
         if len(self.cache) > self.cache_words:
             self.cache, self.flat, self.starts, self.sizes = {}, self.flat[:0], self.starts[:0], self.sizes[:0]
-        if not self.cache and self.special:
+        if not self.cache:
             for token, k in self.special.items():
-                self.cache[token] = len(self.cache)
+                self.cache[f" {token}"] = len(self.cache)  # no piece begins with a space
                 self.flat = np.append(self.flat, np.int32(k))
                 self.starts, self.sizes = np.append(self.starts, self.flat.size - 1), np.append(self.sizes, 1)
         cache, new, counts, places = self.cache, [], [], []
         for text in texts:
             if self.cut is not None and any(s in text for s in self.special):
-                words = []
+                found = []
                 for k, part in enumerate(self.cut(text)):
-                    words += [part] if k % 2 else self.words(self.normalize(part))
+                    found += [f" {part}"] if k % 2 else self.pieces(self.normalize(part))
             else:
-                words = self.words(self.normalize(text))
-            counts.append(len(words))
-            for w in set(words).difference(cache):
+                found = self.pieces(self.normalize(text))
+            counts.append(len(found))
+            for w in set(found).difference(cache):
                 cache[w] = len(cache)
                 new.append(w)
-            places.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
+            places.append(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)))
         if new:
             self._learn(new)
         place = np.concatenate(places) if places else np.empty(0, np.int64)
@@ -161,13 +182,19 @@ class WordBpe:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if ends.size else 0
         ids = self.flat[np.arange(total) + np.repeat(self.starts[place] - (ends - sizes), sizes)]
-        bounds = np.append(0, np.cumsum(counts))
-        return ids, np.append(0, ends)[bounds]
+        return ids, np.append(0, ends)[np.append(0, np.cumsum(counts))]
 
-    def decode(self, ids) -> str:
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
         """As the file's missing decoder has it: tokens joined by one space; unknown ids are left out."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids])
+        flat, offsets = lists.flatten(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        known = np.asarray(pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.tokens))), False))
+        if not known.all():
+            offsets, flat = np.append(0, np.cumsum(known))[offsets], flat.filter(pa.array(known))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.token_array.take(flat)), " ")
+
+    def decode(self, ids) -> str:
+        """:meth:`decode_lists` of one list."""
+        return self.decode_lists(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
 
 
 _models: dict[str, WordBpe] = {}
@@ -186,26 +213,26 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Adds ``ids`` (array of int) to every row; null text is empty and has no ids.
 
-    All input columns are kept, but one named ``ids_col`` is replaced. The
-    vocabulary file must be readable at ``path`` on every executor.
+    With ``decoded_col`` the ids are decoded again in the same pass. All input
+    columns are kept, but those of the new names are replaced. The vocabulary
+    file must be readable at ``path`` on every executor.
     """
     path = path or default_path()
-    docs = docs.drop(ids_col)
-    at, names = docs.columns.index(text_col), [*docs.columns, ids_col]
+    docs = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
+    at, names = docs.columns.index(text_col), [*docs.columns, ids_col, *([decoded_col] if decoded_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             ids, offsets = bpe.encode_batch([t or "" for t in batch.column(at).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([bpe.decode_lists(lists)] if decoded_col else [])], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    fields = [*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType())), *([StructField(decoded_col, StringType())] if decoded_col else [])]
+    return docs.mapInArrow(run, StructType(fields))
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -217,10 +244,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            out = [bpe.decode(x or ()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=names)
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_lists(batch.column(at))], names=names)
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(text_col, StringType())]))
 
@@ -228,7 +252,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids"
 def op7_bpe(spark, sf_dir):
     """Digests of the ids and of the decoded texts of all documents."""
     small_batches(spark)
-    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    decoded = bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), decoded_col="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -56,6 +56,8 @@ def test_frame_keeps_columns_and_nulls(spark, theirs):
     clash = bpe_encode(df.withColumnRenamed("n_tokens", "ids"))
     assert clash.columns == ["doc_id", "text", "ids"] and dict(clash.dtypes)["ids"] == "array<int>"
     assert bpe_encode(df.limit(0)).collect() == []
+    both = bpe_encode(df, decoded_col="back").drop("text").collect()
+    assert sorted(map(str, both)) == sorted(map(str, bpe_decode(bpe_encode(df), text_col="back").drop("text").collect()))
 
 
 def test_query_over_documents(spark, theirs):
