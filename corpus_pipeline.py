@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.bpe import bpe_encode
 from tessera.llm.common import documents, materialize, small_batches
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_dedup
@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text; the last stage's rows carry ids and the digest of the decoded text."""
     small_batches(spark)
-    out = bpe_decode(bpe_encode(docs.select("doc_id", "source", "text")).drop("text"))
+    out = bpe_encode(docs.select("doc_id", "source", "text"), decoded_col="decoded")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
