@@ -355,3 +355,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op9_ngram_jaccard(spark, sf_dir):
     """Components of all documents at a Jaccard index of 0.8 over five-word shingles."""
     return jaccard_components(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(c.r) AS component_id FROM n JOIN c ON n.doc_id = c.doc_id GROUP BY n.doc_id
+"""

@@ -10,7 +10,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op10_warc_bundles"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op9_ngram_jaccard", "op10_warc_bundles"])
 def test_equals_duckdb(spark, name):
     from tessera.llm.registry import ORACLES, QUERIES
 
