@@ -168,9 +168,21 @@ def revenue_summary(transactions: DataFrame) -> DataFrame:
     ).select("gross", "refunds", (F.col("gross") - F.col("refunds")).alias("net"), F.try_divide("gross", "n").alias("average"))
 
 
-def coverage_overlap(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range-overlap join on a file: hunks whose lines meet a rule's; equi-join first, then the bounds."""
-    return hunks.alias("h").join(ranges.alias("r"), (F.col("h.file") == F.col("r.file")) & (F.col("h.first") <= F.col("r.last")) & (F.col("h.last") >= F.col("r.first")))
+def coverage_overlap(hunks: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+    """Hunks ``h`` whose lines meet a rule's range ``r``, both with file, first and last.
+
+    Lines are cut into bins of ``width``; both sides are listed in the bins they
+    touch and meet by equal (file, bin), so a large file is spread over many
+    keys. A pair counts in the first bin that both touch alone.
+    """
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        low, high = (F.floor(F.col(c) / width) for c in ("first", "last"))
+        return df.where("first <= last").withColumn("low", low).withColumn("bin", F.explode(F.sequence(low, high))).alias(name)
+
+    h, r = binned(hunks, "h"), binned(ranges, "r")
+    meet = (F.col("h.first") <= F.col("r.last")) & (F.col("h.last") >= F.col("r.first"))
+    once = F.col("h.bin") == F.greatest("h.low", "r.low")
+    return h.join(r, (F.col("h.file") == F.col("r.file")) & (F.col("h.bin") == F.col("r.bin")) & meet & once)
 
 
 def content_key(content: Column) -> Column:

@@ -227,8 +227,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 20, damping:
     """Rank over out-degree, without redistribution from sinks; the lineage is cut every five rounds."""
     n = nodes.count()
     out = edges.groupBy("source").agg(F.count("*").alias("out"))
-    links = cut(edges.join(out, "source").select("source", "target", "out"))
-    ids = nodes.select("id")
+    # Both stay partitioned by their key through all rounds: a round shuffles ranks alone.
+    links = cut(edges.join(out, "source").select("source", "target", "out").repartition("source"))
+    ids = cut(nodes.select("id").repartition("id"))
     ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(iterations):
         given = links.join(ranks, F.col("source") == F.col("id")).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))

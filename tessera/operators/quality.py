@@ -33,17 +33,22 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()])
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, empty_is_null: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, empty_is_null: bool = False, error: float | None = None) -> DataFrame:
     """Q2, Q4: total, nulls and distinct values of every column, in one aggregate.
 
     ``empty_is_null`` also counts empty strings as null and a null as one value.
+    Exact distinct counts expand every row by the number of columns; with
+    ``error``, a relative deviation, sketches of fixed size take their place.
     """
     columns = columns or df.columns
 
     def null(c: str) -> Column:
         return F.col(c).isNull() | (F.col(c).cast("string") == "") if empty_is_null else F.col(c).isNull()
 
-    distinct = (lambda c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("null")))) if empty_is_null else F.count_distinct
+    def distinct(c: str) -> Column:
+        value = F.coalesce(F.col(c).cast("string"), F.lit("null")) if empty_is_null else F.col(c)
+        return F.count_distinct(value) if error is None else F.approx_count_distinct(value, error)
+
     wide = df.agg(F.count("*").alias("total"), *[x for k, c in enumerate(columns) for x in (F.count_if(null(c)).alias(f"n{k}"), distinct(c).alias(f"d{k}"))])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").alias("null_count"), F.col(f"d{k}").alias("distinct_count")) for k, c in enumerate(columns)]))
     return wide.select("total", rows.alias("x")).select("x.column_name", "total", "x.null_count", "x.distinct_count")

@@ -91,9 +91,12 @@ def field_signature(events: DataFrame, field: str, by: Sequence[str] = (), most:
     return base.join(examples, list(by), "left") if by else base.join(examples)
 
 
-def rule_hits(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Events whose line is inside a rule's range; equi-join on the file, then the bounds."""
-    return events.alias("e").join(ranges.alias("r"), (F.col("e.file") == F.col("r.file")) & F.col("e.line").between(F.col("r.first"), F.col("r.last")))
+def rule_hits(events: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+    """Events ``e`` whose line is inside a rule's range ``r``; an equi-join on file and bin of lines, then the bounds."""
+    e = events.withColumn("bin", F.floor(F.col("line") / width)).alias("e")
+    touched = F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))
+    r = ranges.where("first <= last").withColumn("bin", F.explode(touched)).alias("r")
+    return e.join(r, (F.col("e.file") == F.col("r.file")) & (F.col("e.bin") == F.col("r.bin")) & F.col("e.line").between(F.col("r.first"), F.col("r.last")))
 
 
 def functional_mappings(observations: DataFrame, key: str, given: str, result: str, inputs: int = 2, least: int = 3) -> DataFrame:
