@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, ship
 
 #: Columns of one block, rows of one scanned piece of a list.
 BLOCK, PIECE = 16, 2048
@@ -123,6 +123,7 @@ def nearest_neighbours(
     but never for a query of that id. Other columns are left out.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = usable(vectors, id_col, vector_col)
     ranked = rows.withColumn("place", F.expr("dense_rank() OVER (PARTITION BY v ORDER BY vec_id)")).where(F.col("place") <= k + 1)
     entries = ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))

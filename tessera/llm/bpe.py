@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tessera.llm.common import documents, small_batches
+from tessera.llm.common import documents, ship, small_batches
 
 #: White space as the vocabulary's normaliser knows it (Unicode White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -220,6 +220,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text",
     columns are kept, but those of the new names are replaced. The vocabulary
     file must be readable at ``path`` on every executor.
     """
+    ship(docs.sparkSession)
     path = path or default_path()
     docs = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
     at, names = docs.columns.index(text_col), [*docs.columns, ids_col, *([decoded_col] if decoded_col else [])]
@@ -237,6 +238,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text",
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the decoded text of ``ids_col``, in place of a column of that name; null ids decode to an empty text."""
+    ship(encoded.sparkSession)
     path = path or default_path()
     encoded = encoded.drop(text_col)
     at, names = encoded.columns.index(ids_col), [*encoded.columns, text_col]

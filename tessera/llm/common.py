@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,25 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application.
+
+    Functions that run there refer to the package's modules; executors may have
+    neither the driver's folders nor its path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent).as_posix())
+    context.addPyFile(str(path))
 
 
 def shared_dir(spark: SparkSession) -> str:

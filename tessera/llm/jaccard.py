@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, materialize, small_batches
+from tessera.llm.common import documents, materialize, ship, small_batches
 from tessera.llm.shingles import overlap_needed, prefix_length, shingle_sets
 from tessera.operators.components import connected_components
 
@@ -301,6 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its ids are null. Other columns are left out. Sets and shingles are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    ship(spark)
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scanned = materialize(_scan(docs, width), "shingles")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import documents, materialize, small_batches
+from tessera.llm.common import documents, materialize, ship, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
 BLOCK = 576
@@ -140,6 +140,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media.append(encode_png(np.frombuffer(pad(payload), np.uint8).reshape(-1, WIDTH)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
@@ -159,6 +160,7 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
+    ship(stored.sparkSession)
     kind = stored.schema[id_col].dataType.simpleString()
     return stored.select(id_col, "n_bytes", "media").mapInArrow(
         run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, documents, materialize
+from tessera.llm.common import WORD, documents, materialize, ship
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -101,7 +101,7 @@ def mix(
     source is taken whole. Rows of equal id, source and size are
     interchangeable. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     base = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, id_remainder, materialize, small_batches
+from tessera.llm.common import documents, id_remainder, materialize, ship, small_batches
 
 STATISTICS = (
     "log_chars", "log_words", "log_lines", "upper", "lower", "digit", "space", "high_bytes", "exclaim", "pipe", "marks", "stops", "other_marks", "control",
@@ -44,6 +44,7 @@ def document_statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) of every row, one pass over the texts."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +104,7 @@ def fit_quality(examples: DataFrame, features: int = 320, bandwidth: float = 4.0
     histogram of raw predictions of the same examples. Null labels are left
     out; examples may repeat.
     """
+    ship(examples.sparkSession)
     examples = examples.where("label IS NOT NULL AND stats IS NOT NULL")
     total = examples.count()
     rng = np.random.default_rng(seed)
@@ -162,6 +164,7 @@ def fit_quality(examples: DataFrame, features: int = 320, bandwidth: float = 4.0
 
 def score_statistics(stats: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) of rows of :func:`with_statistics`."""
+    ship(stats.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +175,7 @@ def score_statistics(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 def score_documents(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """All columns and ``score`` (replacing one of that name), in one pass over the texts."""
+    ship(docs.sparkSession)
     docs = docs.drop("score")
     at, names = docs.columns.index(text_col), [*docs.columns, "score"]
 

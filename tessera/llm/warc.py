@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import materialize, ship, small_batches
 
 # Fixed values of the seekable format: a skippable frame at the end of the file
 # holds an entry for each frame, the number of frames, a descriptor and a magic number.
@@ -155,6 +155,7 @@ def write_bundles(records: DataFrame, frame_bytes: int = 1 << 18, bundle_bytes:
         if writer.index:
             yield done(writer)
 
+    ship(records.sparkSession)
     return records.mapInArrow(pack, BUNDLES)
 
 
@@ -189,6 +190,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    ship(bundles.sparkSession)
     return bundles.mapInArrow(unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
