@@ -11,17 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, id_remainder, small_batches
+from tessera.llm.common import documents, id_remainder, ship, small_batches
 
 #: Hashed cells of the byte trigrams, a power of two.
 CELLS = 4096
 
 
+#: Bytes of letters (and of all characters beyond ASCII) stand for themselves, others for a space.
+_LETTERS = np.array([k if k >= 128 or chr(k).isalpha() else 32 for k in range(256)], np.uint32)
+
+
 def trigram_counts(texts: list[str | None]) -> np.ndarray:
-    """A row of hashed byte-trigram counts for each lower-cased text."""
+    """A row of hashed byte-trigram counts for each lower-cased text; what parts words counts as one space."""
     out = np.zeros((len(texts), CELLS), np.float32)
     for k, text in enumerate(texts):
-        b = np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8).astype(np.uint32)
+        b = _LETTERS[np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8)]
+        b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))]
         if b.size > 2:
             code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
             out[k] = np.bincount(code >> np.uint32(20), minlength=CELLS)
@@ -76,6 +81,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     text; a language with fewer gives all. Without rows the model knows no
     language and answers ``und``.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -120,6 +126,7 @@ def detect_language(docs: DataFrame, model: LanguageModel, text_col: str = "text
     farther from their centroid than its limit keep their nearest language and
     are marked ``rejected``. Input columns of the three names are replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     at, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score", "rejected"]
 
