@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.quality import union_all
 
-# Words that keyword search leaves out, and levels in rising order.
+# Words that keyword search leaves out, levels in rising order, what separates words.
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was")
 LEVELS = ("low", "medium", "high", "critical")
+SEPARATORS = r"[\s\-_.,;:!?()\[\]{}'\"]+"
 
 
 def ordinal(column: Column | str, levels: Sequence[str] = LEVELS) -> Column:
@@ -21,7 +22,7 @@ def ordinal(column: Column | str, levels: Sequence[str] = LEVELS) -> Column:
 
 def tokens(text: Column, longer_than: int = 2, stop: Sequence[str] = STOP_WORDS) -> Column:
     """Distinct lower-case words of a text."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) > longer_than) & ~w.isin(*stop))
+    words = F.filter(F.split(F.lower(text), SEPARATORS), lambda w: (F.length(w) > longer_than) & ~w.isin(*stop))
     return F.array_distinct(words)
 
 

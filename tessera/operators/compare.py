@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.quality import union_all
 
 # Texts that count as null.
-NULL_TEXTS = ("", "null", "undefined", "n/a")
+NULL_TEXTS = ("", "null", "NULL", "None", "undefined", "N/A")
 
 
 def normal_text(c: Column) -> Column:
@@ -19,7 +19,7 @@ def normal_text(c: Column) -> Column:
 
 
 def null_like(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(c)).isin(*NULL_TEXTS)
+    return c.isNull() | c.isin(*NULL_TEXTS)
 
 
 def numeric_severity(a: Column, b: Column, tolerance: float = 1e-4, critical: float = 1.0) -> Column:

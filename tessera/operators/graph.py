@@ -280,7 +280,7 @@ def clustering(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10, cut=checkpointed) -> DataFrame:
     """Synchronous label propagation; the most frequent label of the neighbours, ties to the smaller.
 
-    The reference order is random and asynchronous; this variant is deterministic.
+    Deterministic: no random order, and all nodes move at once.
     """
     pairs = cut(undirected(edges))
     labels = nodes.select("id", F.col("id").alias("label"))

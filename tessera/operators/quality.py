@@ -12,15 +12,15 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 # The value patterns that profiling recognises, by name.
 PATTERNS = {
-    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
-    "phone": r"^\+?[0-9() .-]{7,}$",
-    "date-iso": r"^\d{4}-\d{2}-\d{2}$",
-    "date-us": r"^\d{2}/\d{2}/\d{4}$",
-    "ssn": r"^\d{3}-\d{2}-\d{4}$",
-    "zip": r"^\d{5}(-\d{4})?$",
-    "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "currency": r"^\$?\d+(,\d{3})*\.\d{2}$",
-    "numeric": r"^-?\d+(\.\d+)?$",
+    "Email": r"^[\w.-]+@[\w.-]+\.\w+$",
+    "Phone": r"^[\d\s\-()]+$",
+    "Date (YYYYMMDD)": r"^\d{8}$",
+    "Date (YYYY-MM-DD)": r"^\d{4}-\d{2}-\d{2}$",
+    "SSN": r"^\d{3}-?\d{2}-?\d{4}$",
+    "ZIP Code": r"^\d{5}(-\d{4})?$",
+    "Numeric": r"^-?\d+\.?\d*$",
+    "Alpha": r"^[A-Za-z]+$",
+    "Alphanumeric": r"^[A-Za-z0-9]+$",
 }
 
 

@@ -11,7 +11,7 @@ from tessera.session import table
 
 RULES = with_roles("rules")
 TAGGED = RULES + ", tagged AS (SELECT *, [category, domain, criticality, review_status] AS tags FROM rules)"
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was')))"
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\\s\\-_.,;:!?()\\[\\]{{}}''\"]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was')))"
 
 
 def tagged(spark, sf):

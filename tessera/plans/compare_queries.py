@@ -11,7 +11,7 @@ from tessera.session import table
 
 PAIRS = with_roles("pairs")
 NUM = "CASE WHEN {a} IS NULL AND {b} IS NULL THEN NULL WHEN {a} IS NULL OR {b} IS NULL THEN 'critical' WHEN abs({a} - {b}) <= {t} THEN NULL WHEN abs({a} - {b}) > 1 THEN 'critical' ELSE 'warning' END"
-TEXT = """CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN NULL WHEN coalesce(lower(trim({a})), '') IN ('', 'null', 'undefined', 'n/a') OR coalesce(lower(trim({b})), '') IN ('', 'null', 'undefined', 'n/a') THEN 'warning'
+TEXT = """CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN NULL WHEN coalesce({a}, '') IN ('', 'null', 'NULL', 'None', 'undefined', 'N/A') OR coalesce({b}, '') IN ('', 'null', 'NULL', 'None', 'undefined', 'N/A') THEN 'warning'
 WHEN lower(regexp_replace(trim({a}), '\\s+', ' ', 'g')) = lower(regexp_replace(trim({b}), '\\s+', ' ', 'g')) THEN 'info' ELSE 'warning' END"""
 JOINED = PAIRS + """, j AS (SELECT coalesce(a.k1, b.k1) AS k1, coalesce(a.k2, b.k2) AS k2, a.k1 IS NOT NULL AS in_a, b.k1 IS NOT NULL AS in_b, a.price AS ap, b.price AS bp, a.quantity AS aq, b.quantity AS bq, a.flag AS af, b.flag AS bf
 FROM legacy a FULL JOIN modern b ON a.k1 = b.k1 AND a.k2 = b.k2)"""

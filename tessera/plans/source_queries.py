@@ -312,7 +312,7 @@ def question_entities(spark, sf):
     return mining.entities(spark.createDataFrame(QUESTIONS, "id int, text string"), "id", "text", [r"of ([A-Z]{4,})", r"\b([A-Z]{5,})\b"])
 
 
-@query("N3_keywords", "SELECT conv_id, turn, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was'))))::BIGINT AS n FROM conversations")
+@query("N3_keywords", "SELECT conv_id, turn, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\-_.,;:!?()\\[\\]{}''\"]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was'))))::BIGINT AS n FROM conversations")
 def keywords(spark, sf):
     from tessera.operators.catalog import tokens
 
