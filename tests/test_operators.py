@@ -205,3 +205,42 @@ def test_passages_by_word_equal_broadcast(spark):
     passages = spark.createDataFrame([(1, "he quick brown fo"), (2, "a b"), (3, "no such passage here")], "p int, passage string")
     got = [sorted((r["k"], r["p"]) for r in catalog.containing(docs, passages, "t", "passage", most).collect()) for most in (2000, 1)]
     assert got[0] == got[1] == [(1, 1), (4, 2)]
+
+
+def test_five_node_graph(spark):
+    nodes = spark.createDataFrame([("prog", "program"), ("main", "procedure"), ("calc", "procedure"), ("rule", "rule"), ("data", "data")], "id string, type string").withColumns({"name": F.upper("id"), "confidence": F.lit(1.0)})
+    edges = spark.createDataFrame([("prog", "main", "contains"), ("prog", "calc", "contains"), ("calc", "data", "uses"), ("calc", "rule", "implements")], "source string, target string, type string")
+    start = lambda i: spark.createDataFrame([(i, i)], "origin string, id string")
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(graph.impact(edges, start("calc"))) == {"calc", "data", "rule"}
+    assert ids(graph.impact(edges, start("data"))) == {"data", "calc", "rule"}
+    assert ids(graph.subgraph(edges, nodes, start("main"), 1)) == {"main", "prog"}
+    assert ids(graph.subgraph(edges, nodes, start("main"), 2)) == {"main", "prog", "calc"}
+    assert ids(graph.subgraph(edges, nodes, start("main"), 3, node_types=("procedure",))) == {"main", "prog"}
+    assert [r["path"] for r in graph.simple_paths(edges, "prog", "data").collect()] == [["prog", "calc", "data"]]
+    assert graph.density(edges, nodes).first()["density"] == 4 / 20
+    assert {r["id"]: r["degree"] for r in graph.degrees(edges, nodes).collect()} == {"prog": 2, "main": 1, "calc": 3, "rule": 1, "data": 1}
+    assert graph.components(edges, nodes).select("component").distinct().count() == 1
+    out = graph.run_query(nodes, edges, {"type": "nodes", "types": ("procedure",), "limit": 1})
+    assert ids(out["nodes"]) == {"calc"} and out["found"].first()["found"] == 2
+    assert graph.simple_cycles(edges).count() == 0 and graph.clustering(edges).first()["clustering"] == 0.0
+
+
+def test_parsers_of_each_language(spark):
+    from tessera.sources import parsers
+
+    samples = {
+        "cobol": [("       PROGRAM-ID. LOANPROC.", "program", "LOANPROC"), ("           PERFORM CALC-INT", "perform", "CALC-INT"), ("           COPY CUSTREC.", "copy", "CUSTREC"), ("           COMPUTE X = 1", None, None)],
+        "fortran": [("      SUBROUTINE INTRST(P, R)", "subroutine", "INTRST"), ("      CALL ROUND2(X)", "call", "ROUND2"), ("      REAL RATE", "data", "RATE")],
+        "vb6": [("Public Function Total(x As Double)", "function", "Total"), ("Private Sub Form_Load()", "sub", "Form_Load"), ("Dim tax As Currency", "data", "tax")],
+        "java": [("public class Invoice {", "class", "Invoice"), ("  public double total(int n) {", "method", "total"), ("import java.util.List;", "import", "java.util.List")],
+        "rpg": [("     FCUSTFILE  IF   E", "file", "CUSTFILE"), ("       dcl-proc calcTax;", "procedure", "calcTax"), ("       dcl-s total packed(9:2);", "data", "total")],
+        "pli": [("PAYROLL: PROC OPTIONS(MAIN);", "procedure", "PAYROLL"), ("  CALL PRINTIT;", "call", "PRINTIT"), ("  DCL RATE FIXED DEC(5,2);", "data", "RATE")],
+        "natural": [("DEFINE SUBROUTINE CALC-TAX", "subroutine", "CALC-TAX"), ("CALLNAT 'SUBPROG' #A", "call", "SUBPROG"), ("1 #AMOUNT (N9.2)", "data", "AMOUNT")],
+        "hlasm": [("MAINPGM  CSECT", "section", "MAINPGM"), ("         CALL SUBR", "call", "SUBR"), ("WORK     DS    F", "data", "WORK")],
+        "cics": [("EXEC CICS LINK PROGRAM('SUB1') END-EXEC", "command", "LINK"), ("    FILE('CUSTF')", "file", "CUSTF")],
+    }
+    for language, rows in samples.items():
+        df = spark.createDataFrame([(k, line) for k, (line, _, _) in enumerate(rows)], "line_no int, line string")
+        got = [(r["kind"], r["name"]) for r in parsers.parse_units(df, language).orderBy("line_no").collect()]
+        assert got == [(k, n) for _, k, n in rows if k], language
