@@ -34,17 +34,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each near-duplicate component.
 
-    Documents emptied by the stage before have no shingles and stay.
+    Documents emptied by the stage before have no shingles and stay. Of rows
+    that repeat an id one stays. Rows of null id cannot be told apart and stay.
     """
     keep = jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    place = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY xxhash64(text))")
+    kept = docs.join(keep, "doc_id", "left_semi").withColumn("near_place", place).where("near_place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL").select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources reach their target weights."""
-    chosen = mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("mix_copies"))
-    out = docs.join(chosen, "doc_id").withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.select(*docs.columns)
+    """Repeat or leave out documents so that sources reach their target weights.
+
+    Rows of equal id, source and text share the copies that the mix gives them.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "text")]
+    keyed = docs.withColumn("mix_key", F.md5(F.concat_ws("\x01", *parts).cast("binary")))
+    chosen = mix(keyed, id_col="mix_key").groupBy("mix_key").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    placed = keyed.join(chosen, "mix_key").withColumn("mix_place", F.expr("row_number() OVER (PARTITION BY mix_key ORDER BY mix_key)"))
+    own = F.expr("mix_copies DIV mix_rows + CASE WHEN mix_place <= mix_copies % mix_rows THEN 1 ELSE 0 END")
+    return placed.withColumn("mix_own", own).where("mix_own > 0").withColumn("mix_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_own")))).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
