@@ -168,76 +168,114 @@ def _shared_rows(batch: pa.RecordBatch, last) -> tuple[np.ndarray, np.ndarray, n
     return key, n, sid
 
 
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Deal the rows of every key into tiles: (key, t, u, side) with the row's other columns.
+
+    A run of up to ``TILE`` rows is one tile. A longer one is cut in order of
+    size, and its tiles meet in pairs, but for those too far apart in size; so
+    no task ever holds more than two tiles of a run.
+    """
+    columns = ["key", "n", "sid", "label", "sig"]
+    zero = F.lit(0).cast("long")
+    short = rows.where(F.col("m") <= TILE).select(*columns, zero.alias("t"), zero.alias("u"), F.lit(0).alias("side"))
+    place = F.expr("row_number() OVER (PARTITION BY key ORDER BY n, sid)")
+    long = materialize(rows.where(F.col("m") > TILE).select(*columns, F.floor((place - 1) / TILE).alias("tile")), "long-runs")
+    spans = long.groupBy("key", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a, b = (spans.select("key", F.col("tile").alias(t), F.col("low").alias(f"low_{t}"), F.col("high").alias(f"high_{t}")) for t in ("t", "u"))
+    meet = a.join(b, "key").where((F.col("t") <= F.col("u")) & (percent * F.col("low_u") <= 100 * F.col("high_t"))).select("key", "t", "u")
+    left = long.withColumnRenamed("tile", "t").join(meet, ["key", "t"]).withColumn("side", F.lit(0))
+    right = long.withColumnRenamed("tile", "u").join(meet.where("t < u"), ["key", "u"]).withColumn("side", F.lit(1))
+    out = [*columns, "t", "u", "side"]
+    return short.select(*out).unionByName(left.select(*out)).unionByName(right.select(*out))
+
+
 def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of sets under one key and in different components that their signatures allow.
 
-    ``rows`` has key, n, sid, label and sig. A run is cut into tiles in order of
-    size; tiles whose sizes cannot reach the similarity are not compared.
-    ``nearest``: only each set's partner of the fewest differing bits.
+    ``rows`` has key, n, sid, label, sig and m, the rows of its key. Groups of
+    up to eight rows are compared for a whole batch at once, by distance in the
+    batch. ``nearest``: in larger tiles only each set's partner of the fewest
+    differing bits.
     """
-
-    def compare(n, sid, label, sig):
-        order = np.lexsort((sid, n))
-        n, sid, label, sig = n[order], sid[order], label[order], sig[order]
-        best, partner = np.full(len(n), BITS + 1), np.full(len(n), -1)
-        found = []
-        for i in range(0, len(n), TILE):
-            a = slice(i, min(i + TILE, len(n)))
-            for j in range(i, len(n), TILE):
-                b = slice(j, min(j + TILE, len(n)))
-                if percent * int(n[j]) > 100 * int(n[a.stop - 1]):
-                    break
-                ok = label[a, None] != label[None, b]
-                if i == j:
-                    ok &= np.triu(np.ones(ok.shape, bool), 1)
-                if not ok.any():
-                    continue
-                total = n[a, None] + n[None, b]
-                differ = np.bitwise_count(sig[a, None, :] ^ sig[None, b, :]).sum(axis=2, dtype=np.int64)
-                ok &= (total - differ) // 2 >= overlap_needed(total, 0, percent)
-                ok &= 100 * n[a, None] >= percent * n[None, b]
-                x, y = np.nonzero(ok)
-                if not nearest:
-                    found.append((x + i, y + j))
-                    continue
-                far = np.where(ok, differ, BITS + 1)
-                for side, low, at in ((a, far.min(axis=1), far.argmin(axis=1) + j), (b, far.min(axis=0), far.argmin(axis=0) + i)):
-                    better = low < best[side]
-                    best[side] = np.where(better, low, best[side])
-                    partner[side] = np.where(better, at, partner[side])
+    few = 8
+
+    def allowed(n, label, sig, x, y):
+        """Of the pairs of places (x, y) those that labels, sizes and signatures allow."""
+        ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        total = n[x] + n[y]
+        differ = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
+        ok = (total - differ) // 2 >= overlap_needed(total, 0, percent)
+        return x[ok], y[ok]
+
+    def tile(n, label, sig, a, b):
+        """Pairs of places between the tiles a and b (arrays of places), or within a."""
+        within = b is None
+        b = a if within else b
+        ok = label[a][:, None] != label[b][None, :]
+        if within:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        if not ok.any():
+            return a[:0], a[:0]
+        small, large = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
+        total = small + large
+        differ = np.bitwise_count(sig[a][:, None, :] ^ sig[b][None, :, :]).sum(axis=2, dtype=np.int64)
+        ok &= ((total - differ) // 2 >= overlap_needed(total, 0, percent)) & (100 * small >= percent * large)
         if nearest:
-            x = np.flatnonzero(partner >= 0)
-            found = [(x, partner[x])]
-        x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
-        return np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+            far = np.where(ok, differ, BITS + 1)
+            best = np.zeros_like(ok)
+            best[np.arange(len(a)), far.argmin(axis=1)] = True
+            best[far.argmin(axis=0), np.arange(len(b))] = True
+            if within:  # a set's partner may stand on either side of it
+                both = np.minimum(far, far.T)
+                partner = both.argmin(axis=1)
+                low, high = np.minimum(np.arange(len(a)), partner), np.maximum(np.arange(len(a)), partner)
+                best[low, high] = True
+            ok &= best
+        x, y = np.nonzero(ok)
+        return a[x], b[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
         def emit(parts):
-            key = np.concatenate([p[0] for p in parts])
-            n, sid, label = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-            sig = np.concatenate([p[4] for p in parts])
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            pairs = [compare(n[s:e], sid[s:e], label[s:e], sig[s:e]) for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True) if e - s > 1]
-            if pairs:
-                both = np.unique(np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)], axis=1), axis=0)
+            key, t, u, side, n, sid, label, sig = (np.concatenate([p[k] for p in parts]) for k in range(8))
+            change = np.append(True, (key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
+            starts = np.flatnonzero(change)
+            sizes = np.diff(np.append(starts, len(key)))
+            group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat((sizes <= few) & (t[starts] == u[starts]), sizes)
+            found = []
+            for d in range(1, few):
+                x = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+                found.append(allowed(n, label, sig, x, x + d))
+            for k in np.flatnonzero(~((sizes <= few) & (t[starts] == u[starts]))):
+                places = np.arange(starts[k], starts[k] + sizes[k])
+                other = side[places] == 1
+                if t[places[0]] == u[places[0]]:
+                    found.append(tile(n, label, sig, places, None))
+                elif other.any() and not other.all():
+                    found.append(tile(n, label, sig, places[~other], places[other]))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(x):
+                both = np.unique(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            part = (batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.int64), batch.column("sid").to_numpy(), batch.column("label").to_numpy(), sig)
-            last = int(np.searchsorted(part[0], part[0][-1]))  # keys are sorted; the last run may go on
-            if last:
+            key, t, u, side, n, sid, label = (batch.column(c).to_numpy() for c in ("key", "t", "u", "side", "n", "sid", "label"))
+            part = (key, t, u, side, n.astype(np.int64), sid, label, sig)
+            last = int(np.flatnonzero((key != key[-1]) | (t != t[-1]) | (u != u[-1]))[-1] + 1) if ((key != key[-1]) | (t != t[-1]) | (u != u[-1])).any() else 0
+            if last:  # the last group may go on in the next batch
                 yield from emit([*held, tuple(c[:last] for c in part)])
                 held = []
             held.append(tuple(c[last:] for c in part))
         if held:
             yield from emit(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "n", "sid", "label", "sig").mapInArrow(run, "a long, b long").distinct()
+    dealt = _tiles(rows, percent).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "side")
+    return dealt.select("key", "t", "u", "side", "n", "sid", "label", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -334,7 +372,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for k in range(rounds + 1):
         labels = materialize(connected_components(links, cut=lambda df: materialize(df, "stars")), "labels")
         labelled = runs.select("key", "n", "sid").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
         rows = labelled.join(mixed, "key").join(sets.select("sid", "sig"), "sid")
         pairs = materialize(_tile_pairs(rows, percent, nearest=k < rounds), "pairs")
         # Components only grow, so a row without an allowed partner now has none later.

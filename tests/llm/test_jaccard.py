@@ -55,6 +55,16 @@ def test_equals_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_long_runs_are_cut_into_tiles(spark, monkeypatch):
+    """Tiles of four rows: nearly every run is long, and its tiles meet in pairs."""
+    from tessera.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows = near_copies(3)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([(3, "a b c d e f", "k"), (3, "a b c d e f", None), (None, "a b c d e f", "z")], "doc_id long, text string, sid string")
     assert sorted(jaccard_components(df).collect(), key=str) == sorted([(3, 2, 3), (3, 2, 3), (None, 2, 3)], key=str)
