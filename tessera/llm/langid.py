@@ -73,13 +73,37 @@ def _clusters(rows: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarr
     return centres
 
 
+#: So many drawn texts at most are broadcast to find their rows.
+MOST_BROADCAST = 200_000
+
+
+def training_texts(rows: DataFrame, counts: dict[str, int], sample_rows: int, seed: int) -> DataFrame:
+    """About ``sample_rows`` rows of each language as its distinct texts with ``weight``.
+
+    ``counts`` has the rows of each language. A text with c copies among n rows
+    gets weight c * sample_rows / n, rounded up or down by a seeded hash of the
+    text, so that weights sum to about ``sample_rows``; texts of weight 0 are
+    left out. A language of at most ``sample_rows`` rows gives all. Copies are
+    counted by hash and meet as one row.
+    """
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "mark"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
+    copies = marked.groupBy("lang", "mark").agg(F.count("*").alias("copies"))
+    drawn = copies.select("lang", "mark", F.floor(F.col("copies") * F.element_at(share, F.col("lang")) + draw).cast("int").alias("weight")).where("weight > 0")
+    if sum(min(n, sample_rows) for n in counts.values()) <= MOST_BROADCAST:
+        drawn = F.broadcast(drawn)
+    return marked.join(drawn, ["lang", "mark"]).groupBy("lang", "text").agg(F.first("weight").alias("weight"))
+
+
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = 6, sample_rows: int = 1500, seed: int = 11) -> LanguageModel:
     """Learn from all rows with a language and a letter in the text.
 
     Document frequencies cover every such row. The centroids are fitted on
     about ``sample_rows`` rows of each language, drawn by a seeded hash of the
-    text; a language with fewer gives all. Without rows the model knows no
-    language and answers ``und``.
+    text with copies in proportion (see ``training_texts``); a language with
+    fewer gives all. Without rows the model knows no language and answers
+    ``und``.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
@@ -101,13 +125,11 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         df[r["cell"]] = r["n"]
     idf = (np.log((1 + total) / (1 + df)) + 0.05).astype(np.float32)
 
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
-    sample = rows.where(draw < F.element_at(share, F.col("lang")))
+    sample = training_texts(rows, counts, sample_rows, seed)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(group["text"])[: 4 * sample_rows]  # many equal texts draw alike
-        vectors = weighted(trigram_counts(texts), idf)
+        group = group.sort_values("text")
+        vectors = np.repeat(weighted(trigram_counts(group["text"].tolist()), idf), group["weight"], axis=0)
         centres = _clusters(vectors, clusters, seed)
         cosine = vectors @ centres.T
         own = cosine.argmax(axis=1)
