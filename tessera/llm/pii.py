@@ -9,15 +9,23 @@ from tessera.llm.common import documents
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"
 IPV4 = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 PHONE = r"(?<![\w+.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4})(?!\w|-\d)"
 WORLD_PHONE = r"(?<![\w+])\+(?!1)\d(?:[ .()-]{0,2}\d){7,13}(?!\w)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
-KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "world_phone": WORLD_PHONE, "card": CARD}
+PLAIN = {"email": EMAIL, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "world_phone": WORLD_PHONE}
+#: Groups of digits and capitals, parted by one space or hyphen, up to where another kind begins: cards and IBANs are looked for within.
+_GROUP = r"[A-Z0-9]++(?![A-Za-z0-9])"
+RUN = rf"(?:(?<!\w)(?<!\d\.)(?=(?:\d[ -]?){{12}}\d)|(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})){_GROUP}(?:[ -](?!{'|'.join(PLAIN.values())}){_GROUP})*+"
+KINDS = PLAIN | {"run": RUN}
 ANY = "|".join(KINDS.values())
+#: ISO 13616: the countries of each IBAN length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+COUNTRY_IBAN = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 ROUNDS = 8
 
 
@@ -86,12 +94,12 @@ def _power(width: Column) -> Column:
     return F.rpad(F.lit("1"), width + 1, "0").cast("bigint")
 
 
-def _refill(pattern: Column, digits: Column) -> Column:
-    """``pattern`` with its digits replaced by ``digits``, one after the other."""
+def _refill(pattern: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """``pattern`` with its digits (or characters of ``kind``) replaced by ``digits``, one after the other."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(state: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
+        digit = c.rlike(f"^{kind}$")
         return F.struct(
             F.concat(state["out"], F.when(digit, F.substr(digits, state["at"], F.lit(1))).otherwise(c)).alias("out"),
             (state["at"] + digit.cast("int")).alias("at"),
@@ -133,18 +141,74 @@ def _card(m: Column, key: Column) -> Column:
     digits = _digits(m)
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _permuted_digits(F.substr(digits, F.lit(2), F.length(digits) - 2), key))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
+    return _refill(m, F.concat(body, check.cast("string")))
 
 
 def _iban(m: Column, key: Column) -> Column:
-    compact = F.replace(m, F.lit(" "), F.lit(""))
+    compact = F.regexp_replace(m, "[ -]", "")
     country, account = F.substr(compact, F.lit(1), F.lit(2)), F.substr(compact, F.lit(5), F.length(compact))
     new = feistel_text(account, F.concat(key, country))
     check = _padded(98 - iban_remainder(F.concat(country, F.lit("00"), new)), 2)
-    whole = F.concat(country, check, new)
-    spaced = F.when(m.contains(" "), F.trim(F.regexp_replace(whole, "(.{4})", "$1 "))).otherwise(whole)
-    regular = F.when(m.contains(" "), F.trim(F.regexp_replace(compact, "(.{4})", "$1 "))).otherwise(compact) == m
-    return F.when((iban_remainder(compact) == 1) & regular, spaced).otherwise(m)
+    return _refill(m, F.concat(country, check, new), "[A-Z0-9]")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+_HEAD = "^[A-Z]{2}[0-9]{2}"
+_REGULAR = "^[A-Z]{2}[0-9]{2}(?:(?:[A-Z0-9]{4}){2,7}[A-Z0-9]{0,3}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)[ -]?$"
+
+
+def _rank(span: Column) -> Column:
+    """2 of an IBAN of its country's length, 1 of another IBAN in regular groups or of a card, else 0."""
+
+    def of(compact: Column) -> Column:
+        iban = F.when(iban_remainder(compact) != 1, 0).when(compact.rlike(f"^(?:{COUNTRY_IBAN})$"), 2).when(span.rlike(_REGULAR), 1).otherwise(0)
+        card = F.when(luhn_sum(compact) % 10 == 0, 1).otherwise(0)
+        return F.when(compact.rlike("^[0-9]{13,19}$"), card).when(compact.rlike(f"{_HEAD}[A-Z0-9]{{8,31}}$"), iban).otherwise(0)
+
+    return _let(F.regexp_replace(span, "[ -]", ""), of)
+
+
+def _run(m: Column, key: str) -> Column:
+    """A run with its cards and IBANs replaced: struct(out, n).
+
+    From each group on, the spans of whole groups are tried, and of those that
+    validate the longest is taken, but first one of its country's length; the
+    next begins after it.
+    """
+
+    def of(parts: Column) -> Column:
+        n = F.size(parts)
+        joined = lambda at, count: F.array_join(F.slice(parts, at, count), "")
+
+        def best(i: Column) -> Column:
+            first = F.element_at(parts, i)
+            most = F.when(first.rlike(_HEAD), 32).when(first.rlike("^[0-9]+[ -]?$"), 19).otherwise(0)
+            sizes = F.when(most > 0, F.sequence(F.lit(1), F.least(most, n - i + 1)))
+            return F.struct(i.alias("at"), F.array_max(F.transform(sizes, lambda k: F.struct(_rank(joined(i, k)).alias("rank"), k.alias("k")))).alias("hit"))
+
+        hits = F.filter(F.transform(F.sequence(F.lit(1), n), best), lambda h: h["hit"]["rank"] > 0)
+
+        def replaced(span: Column) -> Column:
+            return F.when(span.rlike(_HEAD), _iban(span, F.lit(f"{key}:iban"))).otherwise(_card(span, F.lit(f"{key}:card")))
+
+        def step(state: Column, h: Column) -> Column:
+            def put(span: Column) -> Column:
+                def with_new(new: Column) -> Column:
+                    before = joined(state["at"], h["at"] - state["at"])
+                    return F.struct((h["at"] + h["hit"]["k"]).alias("at"), F.concat(state["out"], before, new).alias("out"), (state["n"] + (new != span).cast("int")).alias("n"))
+
+                return _let(replaced(span), with_new)
+
+            return F.when(h["at"] >= state["at"], _let(joined(h["at"], h["hit"]["k"]), put)).otherwise(state)
+
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
+        return F.aggregate(hits, start, step, lambda z: F.struct(F.concat(z["out"], joined(z["at"], n)).alias("out"), z["n"].alias("n")))
+
+    return _let(F.regexp_extract_all(m, F.lit("[A-Z0-9]+[ -]?"), 0), of)
 
 
 def _ipv4(m: Column, key: Column) -> Column:
@@ -215,11 +279,12 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match; a match that fails validation stays as it is."""
-    makers = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "world_phone": _world_phone, "card": _card}
-    out = m
-    for kind in reversed(KINDS):
-        out = F.when(m.rlike(f"^(?:{KINDS[kind]})$"), makers[kind](m, F.lit(f"{key}:{kind}"))).otherwise(out)
+    """The pseudonym of one match and how many values changed, struct(out, n); what fails validation stays as it is."""
+    makers = {"email": _email, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "world_phone": _world_phone}
+    out = _run(m, key)
+    for kind in reversed(PLAIN):
+        whole = _let(makers[kind](m, F.lit(f"{key}:{kind}")), lambda new: F.struct(new.alias("out"), (new != m).cast("int").alias("n")))
+        out = F.when(m.rlike(f"^(?:{PLAIN[kind]})$"), whole).otherwise(out)
     return out
 
 
@@ -232,7 +297,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     stay equal in all documents, and different ones stay different. Of e-mail
     addresses the local part is permuted among strings of its pattern.
 
-    All columns are kept; ``n_replaced`` (long, the matches that changed) is
+    Cards and IBANs are looked for in runs of groups of digits and capitals, at
+    every group, so neighbours (a date of expiry, a currency) do not hide them.
+    Groups that have the form of another kind are read as that kind, and digits
+    after a digit and a dot as decimals.
+
+    All columns are kept; ``n_replaced`` (long, the values that changed) is
     added or replaced. Null texts stay null with 0; empty ones stay empty. No
     shuffle and no state: every row stands alone, and tables may be empty.
     """
@@ -240,9 +310,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
     fakes = F.transform(found, lambda m: pseudonym(m, key))
     between = F.split(text, ANY, -1)
-    rewritten = F.array_join(F.flatten(F.zip_with(between, fakes, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rewritten = F.array_join(F.flatten(F.zip_with(between, fakes, lambda a, b: F.array(a, F.coalesce(b["out"], F.lit(""))))), "")
     touched = text.rlike("[0-9@]")
-    changed = F.size(F.filter(F.arrays_zip(found.alias("x"), fakes.alias("y")), lambda z: z["x"] != z["y"])).cast("long")
+    changed = F.aggregate(fakes, F.lit(0), lambda n, z: n + z["n"]).cast("long")
     return docs.select(
         *[F.when(touched, rewritten).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_replaced"],
         F.when(touched, changed).otherwise(F.lit(0)).cast("long").alias("n_replaced"),

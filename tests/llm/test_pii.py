@@ -58,3 +58,35 @@ def test_columns(spark):
     out = pii.pseudonymize(df, "k")
     assert out.columns == ["doc_id", "text", "found", "n_replaced"] and out.first()["n_replaced"] == 1
     assert pii.pseudonymize(df.limit(0), "k").collect() == []
+
+
+def test_neighbours_do_not_hide_cards_and_ibans(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    values = {
+        card: ["card {} 12/26", "{} 2020/02/31", "{}-", "{} 5500 0000 0000 0004", "12 {} 345 6789 EUR", "{} {}"],
+        card.replace(" ", ""): ["{} 123", "order 5 {}", "No.{}", "{} EUR", "5500000000000004 {}"],
+        iban: ["IBAN {} BIC", "AD12 {}", "{} 1234", "{} 5500000000000004"],
+        iban.replace(" ", ""): ["IBAN {} EUR", "PAY {}", "{} 2020"],
+    }
+    cases = [(v, t) for v, texts in values.items() for t in texts]
+    got = run(spark, [t.replace("{}", v) for v, t in cases])
+    fake = {v: run(spark, [v])[0][0] for v in values}
+    for (v, t), (text, n) in zip(cases, got, strict=True):
+        both = "5500" in t
+        want = t.replace("{}", fake[v])
+        if both:
+            assert "5500" + t.split("5500")[1][:4] not in text and fake[v] in text and n == 2, (t, text)
+        else:
+            assert (text, n) == (want, t.count("{}")), (t, text)
+    assert fake[card].replace(" ", "") == fake[card.replace(" ", "")] and fake[iban].replace(" ", "") == fake[iban.replace(" ", "")]
+
+
+def test_kinds_after_a_card_are_still_found(spark):
+    others = ["10.20.30.40", "2020-02-29", "2020/02/29", "212-555-0123", "123-45-6789", "5a@b.cc", "+49 30 1234567"]
+    for other, (text, n) in zip(others, run(spark, [f"4111 1111 1111 1111 {x} 7" for x in others]), strict=True):
+        assert n == 2 and other not in text and "4111 1111 1111 1111" not in text, (other, text)
+
+
+def test_numbers_that_are_no_cards_stay(spark):
+    clean = ["3.1415926535897931", "4111111111111112 12", "1" * 20000, "ES9121000418450200051333 EUR", "A1 " * 5000, "UTF8 AND 20 MORE WORDS"]
+    assert run(spark, clean) == [(t, 0) for t in clean]
