@@ -242,17 +242,50 @@ def _world_phone(m: Column, key: Column) -> Column:
     return _refill(m, F.concat(F.substr(digits, F.lit(1), F.lit(2)), _permuted_digits(F.substr(digits, F.lit(3), F.length(digits)), key)))
 
 
+def _first_year(year: Column) -> Column:
+    """Dates move among whole leap cycles: 1904 to 2099 (49 of 4 years), else 400 years from 1504 or 2100; null outside."""
+    return F.when(year.between(1904, 2099), 1904).when(year.between(1504, 1903), 1504).when(year.between(2100, 2499), 2100)
+
+
 def _permuted_day(day: Column, key: Column) -> Column:
-    """Dates among whole leap cycles: 1904 to 2099 (49 of 4 years), else 400 years from 1504 or 2100."""
-    recent = (day >= F.lit("1904-01-01").cast("date")) & (day < F.lit("2100-01-01").cast("date"))
-    old = day < F.lit("1904-01-01").cast("date")
-    first = F.when(recent, F.lit("1904-01-01")).when(old, F.lit("1504-01-01")).otherwise(F.lit("2100-01-01")).cast("date")
+    year = _first_year(F.year(day))
+    first, recent = F.make_date(year, F.lit(1), F.lit(1)), year == 1904
     at = F.date_diff(day, first).cast("bigint")
     a, b = F.when(recent, F.lit(147)).otherwise(F.lit(189)), F.when(recent, F.lit(487)).otherwise(F.lit(773))
     out = feistel_number((at / b).cast("bigint"), at % b, a, b, key)
-    inside = (day >= F.lit("1583-01-01").cast("date")) & (day < F.lit("2500-01-01").cast("date"))
-    # The years 1504 to 1582 come from the old block by permutation, as proleptic dates.
-    return F.when(inside, F.date_add(first, (out["l"] * b + out["r"]).cast("int")))
+    return F.when(year.isNotNull(), F.date_add(first, (out["l"] * b + out["r"]).cast("int")))
+
+
+#: Days over 12 before each month of a common year.
+_LATE_DAYS = [0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202]
+
+
+def _permuted_late_day(day: Column, month: Column, year: Column, key: Column) -> Column:
+    """DD/MM/YYYY of a valid date with a day over 12, permuted among all such dates of its leap cycles."""
+    first = _first_year(year)
+    recent = first == 1904
+    leap = lambda y: ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
+    leaps = lambda y: F.floor((y - 1) / 4) - F.floor((y - 1) / 100) + F.floor((y - 1) / 400)
+    before_year = lambda y: ((y - first) * 221 + leaps(y) - leaps(first)).cast("bigint")
+    before_month = lambda m, y: F.element_at(F.array(*map(F.lit, _LATE_DAYS)), m) + F.when(m > 2, leap(y)).otherwise(0)
+    at = before_year(year) + before_month(month, year) + day - 13
+    # 49 cycles have 43,365 such dates, 400 years have 88,497.
+    a, b = F.when(recent, F.lit(147)).otherwise(F.lit(9)), F.when(recent, F.lit(295)).otherwise(F.lit(9833))
+
+    def written(new: Column) -> Column:
+        def in_year(y: Column) -> Column:
+            rest = new - before_year(y)
+
+            def in_month(m: Column) -> Column:
+                return F.concat_ws("/", _padded(rest - before_month(m, y) + 13, 2), _padded(m, 2), _padded(y, 4))
+
+            return _let(F.array_max(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: before_month(m, y) <= rest)), in_month)
+
+        guess = first + F.floor(new / 221.2425).cast("int")
+        return _let(F.array_max(F.filter(F.sequence(guess - 1, guess + 1), lambda y: before_year(y) <= new)), in_year)
+
+    out = _let(feistel_number((at / b).cast("bigint"), at % b, a, b, key), lambda x: _let(x["l"] * b + x["r"], written))
+    return F.when(first.isNotNull(), out)
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -261,13 +294,10 @@ def _date(m: Column, key: Column) -> Column:
         new = F.date_format(_permuted_day(day, key), layout)
         return F.when(m.rlike(pattern) & day.isNotNull(), F.coalesce(new, m)).otherwise(otherwise)
 
-    # Month first between slashes; with a day over 12 in front only the year moves.
+    # Month first between slashes, but day first with a day over 12 in front.
     day, month, year = (F.substr(m, F.lit(s), F.lit(n)).cast("int") for s, n in ((1, 2), (4, 2), (7, 4)))
-    draw = _number(F.sha2(F.concat_ws(":", key, day.cast("string"), month.cast("string")).cast("binary"), 256))
-    leap = (day == 29) & (month == 2)
-    moved = F.when(leap, 1904 + 4 * F.pmod(((year - 1904) / 4).cast("bigint") + draw, F.lit(49))).otherwise(1904 + F.pmod(year - 1904 + draw, F.lit(196)))
-    valid = F.try_to_date(m, "dd/MM/yyyy").isNotNull() & year.between(1904, 2099)
-    out = F.when(m.rlike(r"^\d{2}/\d{2}/\d{4}$") & valid, F.concat(F.substr(m, F.lit(1), F.lit(6)), moved.cast("string"))).otherwise(m)
+    late = m.rlike(r"^(?:1[3-9]|[23]\d)/\d{2}/\d{4}$") & F.try_to_date(m, "dd/MM/yyyy").isNotNull()
+    out = F.when(late, F.coalesce(_permuted_late_day(day, month, year, key), m)).otherwise(m)
     for pattern, layout in ((r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{2}-", "dd-MM-yyyy"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{4}-", "yyyy-MM-dd")):
         out = by(pattern, layout, out)
     return out
@@ -294,7 +324,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Cards (Luhn), IBANs (mod 97), social security numbers, phones, IPv4
     addresses and dates are validated and permuted by a Feistel network within
     the valid values of their format, so pseudonyms validate too, equal values
-    stay equal in all documents, and different ones stay different. Of e-mail
+    stay equal in all documents, and different ones stay different. Dates are
+    those of the years 1504 to 2499 (others stay as they are) and move within
+    1504 to 1903, 1904 to 2099 or 2100 to 2499; between slashes the month comes
+    first unless the first number is over 12, and such day-first dates are
+    permuted in day, month and year among themselves. Of e-mail
     addresses the local part is permuted among strings of its pattern.
 
     Cards and IBANs are looked for in runs of groups of digits and capitals, at

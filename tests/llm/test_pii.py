@@ -90,3 +90,27 @@ def test_kinds_after_a_card_are_still_found(spark):
 def test_numbers_that_are_no_cards_stay(spark):
     clean = ["3.1415926535897931", "4111111111111112 12", "1" * 20000, "ES9121000418450200051333 EUR", "A1 " * 5000, "UTF8 AND 20 MORE WORDS"]
     assert run(spark, clean) == [(t, 0) for t in clean]
+
+
+def test_day_first_dates_move_as_a_whole(spark):
+    def late(first, last):
+        d = datetime.date(first, 1, 1)
+        while d.year <= last:
+            if d.day > 12:
+                yield d.strftime("%d/%m/") + f"{d.year:04d}"
+            d += datetime.timedelta(1)
+
+    for first, last in ((1904, 2099), (1504, 1903)):
+        values = list(late(first, last))
+        rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(rows, "k").collect()}
+        assert set(got.values()) == set(values)  # onto the same dates
+        kept = sum(got[k][:5] == v[:5] for k, v in enumerate(values))
+        assert kept < len(values) / 100
+
+
+def test_old_dates_of_all_layouts_move(spark):
+    values = ["25/12/1899", "31/01/2101", "29/02/1600", "1899-12-25", "02/03/1899", "25.12.1550"]
+    assert all(n == 1 and t != v and re.fullmatch(pii.DATE, t) for v, (t, n) in zip(values, run(spark, values), strict=True))
+    outside = ["25/12/1499", "25/12/2500", "1499-12-25", "31/02/2020", "12/31/2500"]
+    assert run(spark, outside) == [(t, 0) for t in outside]
