@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
-from tessera.llm.common import documents, materialize, small_batches
+from tessera.llm.common import WORD, documents, materialize, small_batches
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
@@ -34,13 +34,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each near-duplicate component.
 
-    Documents emptied by the stage before have no shingles and stay. Of rows
-    that repeat an id one stays. Rows of null id cannot be told apart and stay.
+    Rows that share an id are decided each by its own text; equal rows are one.
+    Documents emptied by the stage before have no shingles and stay. Rows of
+    null id are never chosen for a component: they stay, but for exact copies
+    of the text of another row.
     """
-    keep = jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    place = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY xxhash64(text))")
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("near_place", place).where("near_place = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL").select(*docs.columns))
+    keyed = docs.withColumn("near_row", F.xxhash64("doc_id", "text"))
+    known, nameless = F.col("doc_id").isNotNull(), F.col("doc_id").isNull()
+    blank = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    sets = jaccard_components(keyed, id_col="near_row").select("near_row", F.col("component_id").alias("near_set")).distinct()
+    first = keyed.where(known).select("near_row", "doc_id").distinct().join(sets, "near_row").groupBy("near_set").agg(F.min(F.struct("doc_id", "near_row")).alias("near_first"))
+    held = keyed.where(known).select(F.xxhash64("text").alias("near_text")).distinct()
+    others = keyed.where(nameless & ~blank).select("near_row", F.xxhash64("text").alias("near_text")).distinct().join(held, "near_text", "left_anti")
+    keep = first.select("near_first.near_row").union(others.select("near_row")).distinct()
+    place = F.expr("row_number() OVER (PARTITION BY near_row ORDER BY near_row)")
+    kept = keyed.join(keep, "near_row", "left_semi").withColumn("near_place", place).where("near_place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(nameless & blank).select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
