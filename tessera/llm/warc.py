@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -21,21 +22,45 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 BUNDLES = "bundle string, body binary, records array<struct<id:long,frame:int,at:int,length:int>>"
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record. A revisit has no block; its payload is that of the record it names."""
+#: When a record was made, where the caller does not say: fixed, so that reruns agree.
+WRITTEN = "2000-01-01T00:00:00Z"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f]")
+
+
+def header_value(text: str) -> str:
+    """A URI in one header line: white space and control characters are percent-encoded."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
+
+
+def record_id(page_id: int | None, place: tuple[int, int] | None = None) -> str:
+    """A page's URN; ``place`` tells apart the records of repeated page ids."""
+    return f"<urn:page:{':'.join(str(x) for x in (page_id, *(place or ())))}>"
+
+
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, place: tuple[int, int] | None = None, date: str = WRITTEN, exact: bool = True) -> bytes:
+    """One WARC 1.1 record. A revisit has no block; its payload is that of the record it names.
+
+    Where page ids repeat, ``place`` makes the record's id unique. A revisit
+    names the page it refers to and, if ``exact``, that page's only record.
+    """
     revisit = refers_to is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Record-ID: {record_id(page_id, place)}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {header_value(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html",
         f"Content-Length: {0 if revisit else len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page: {page_id}")
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if exact:
+            head.append(f"WARC-Refers-To: {record_id(refers_to)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + (b"" if revisit else payload) + b"\r\n\r\n"
 
 
@@ -111,44 +136,54 @@ def read_record(body: bytes, frame: int, at: int, length: int) -> tuple[dict[str
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Adds ``digest``, ``refers_to`` (null for responses) and the payload to (page_id, url).
+    """(page_id, url, payload, digest, refers_to, repeated, exact): ``refers_to`` is null for responses.
 
     Of equal payloads of ``min_bytes`` or more the smallest page_id is the
     response and the rest revisit it; smaller ones are all responses. Rows that
     share the smallest page_id are all responses, as are rows of null page_id.
-    Null html is an empty payload.
+    ``repeated``: other rows have this page_id, too; ``exact``: one row alone has
+    the page_id referred to. Null html is an empty payload, null url an empty one. Payloads are grouped by page and
+    digest, never by digest alone, so a payload that many pages share stays in
+    many tasks.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"),
-        F.encode(html, "UTF-8").alias("payload"), F.sha2(html.cast("binary"), 256).alias("digest"),
-    )
-    large = F.octet_length("payload") >= min_bytes
-    digests = pages.where(F.octet_length("html") >= min_bytes).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(large & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
-    )
-
-
-def write_bundles(records: DataFrame, frame_bytes: int = 1 << 18, bundle_bytes: int = 8 << 20) -> DataFrame:
+    digest = F.sha2(html.cast("binary"), 256).alias("digest")
+    page = F.col("page_id").cast("long").alias("page_id")
+    rows = pages.select(page, F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(html, "UTF-8").alias("payload"), digest)
+    keys = pages.select(page, digest, (F.octet_length(html) >= min_bytes).alias("large")).where("page_id IS NOT NULL").groupBy("page_id", "digest", "large").agg(F.count("*").alias("n"))
+    twice = keys.groupBy("page_id").agg(F.sum("n").alias("rows")).where("rows > 1").select("page_id", F.lit(True).alias("repeated"))
+    firsts = keys.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1")
+    firsts = firsts.join(twice.withColumnRenamed("page_id", "first"), "first", "left").select("digest", "first", F.coalesce(~F.col("repeated"), F.lit(True)).alias("exact"))
+    refers = F.when(F.col("large") & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
+    marks = keys.join(firsts, "digest", "left").join(twice, "page_id", "left").select("page_id", "digest", refers, "repeated", "exact").where("refers_to IS NOT NULL OR repeated")
+    repeated = F.coalesce("repeated", F.col("page_id").isNull())
+    return rows.join(marks, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to", repeated.alias("repeated"), F.coalesce("exact", F.lit(True)).alias("exact"))
+
+
+def write_bundles(records: DataFrame, frame_bytes: int = 1 << 18, bundle_bytes: int = 8 << 20, date: str = WRITTEN) -> DataFrame:
     """Pack planned records into bundles: one row for each, with its index.
 
     Every partition writes bundles of about ``bundle_bytes`` compressed bytes;
-    nothing is shuffled and no task holds more than one open bundle.
+    nothing is shuffled and no task holds more than one open bundle. All
+    records carry ``date``. Record ids are unique: those of repeated page ids
+    name their place among the task's records.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         schema = pa.schema([("bundle", pa.string()), ("body", pa.binary()), ("records", pa.list_(pa.struct([("id", pa.int64()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32())])))])
 
         def done(writer: BundleWriter) -> pa.RecordBatch:
             body = writer.close()
             return pa.RecordBatch.from_pylist([{"bundle": hashlib.sha256(body).hexdigest(), "body": body, "records": writer.index}], schema=schema)
 
-        writer = BundleWriter(frame_bytes)
+        names = ("page_id", "url", "payload", "digest", "refers_to", "repeated", "exact")
+        writer, task, count = BundleWriter(frame_bytes), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                writer.add(page_id, record_bytes(page_id, url, payload, digest, refers_to))
+            for page_id, url, payload, digest, refers_to, repeated, exact in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                writer.add(page_id, record_bytes(page_id, url, payload, digest, refers_to, (task, count) if repeated else None, date, exact))
+                count += 1
                 if writer.size >= bundle_bytes:
                     yield done(writer)
                     writer = BundleWriter(frame_bytes)
@@ -163,11 +198,16 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     """Read every record of the bundles by their indexes, frame after frame.
 
     The payload's length and digest are computed from the bytes read where the
-    record has a block; a revisit's are those its headers state.
+    record has a block; a revisit's are those its headers state, to be held
+    against the response that it names (see :func:`check_revisits`). The record
+    that an index entry points at must name the entry's page.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([
+            ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+            ("url", pa.string()), ("record_id", pa.string()), ("payload", pa.binary()),
+        ])
         for batch in batches:
             for k in range(batch.num_rows):
                 body, records = batch.column("body")[k].as_py(), batch.column("records")[k].as_py()
@@ -178,11 +218,14 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     headers, block = parse_record(data[r["at"] : r["at"] + r["length"]])
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
                     revisit = kind == "revisit"
+                    if headers.get("x-page") != (None if r["id"] is None else str(r["id"])):
+                        raise ValueError(f"record {r['id']}: the index points at another page's record")
                     if not revisit and hashlib.sha256(block).hexdigest() != digest:
                         raise ValueError(f"record {r['id']}: the payload is not that of its digest")
                     rows.append({
                         "page_id": r["id"], "payload_bytes": int(headers["x-payload-length"]) if revisit else len(block), "payload_digest": digest, "record_type": kind,
-                        "refers_to": int(headers["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")) if revisit else None, "payload": None if revisit else block,
+                        "refers_to": int(headers["x-refers-to-page"]) if revisit else None, "url": headers["warc-target-uri"], "record_id": headers["warc-record-id"],
+                        "payload": None if revisit else block,
                     })
                     held += len(block)
                     if held >= 4 << 20:
@@ -191,15 +234,27 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ship(bundles.sparkSession)
-    return bundles.mapInArrow(unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return bundles.mapInArrow(unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
+
+
+def check_revisits(records: DataFrame) -> DataFrame:
+    """``records`` as read; raises an error unless each revisit's length and digest are those of the response it names."""
+    named = ["refers_to", "payload_bytes", "payload_digest"]
+    asked = records.where("record_type = 'revisit'").select(*named).distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *named[1:])
+    lost = asked.join(held, named, "left_anti").first()
+    if lost is not None:
+        raise ValueError(f"revisits of page {lost['refers_to']} do not match its response")
+    return records
 
 
 def op10_warc_bundles(spark, sf_dir):
-    """All pages written as bundles to the shared folder and read back."""
+    """All pages written as bundles to the shared folder, read back and compared."""
     small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     bundles = materialize(write_bundles(plan_records(pages)), "warc", compression="uncompressed")
-    return read_bundles(bundles).drop("payload")
+    found = materialize(read_bundles(bundles).drop("payload", "url", "record_id"), "records")
+    return check_revisits(found)
 
 
 SQL = """
