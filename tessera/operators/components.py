@@ -7,23 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names (a temporary one if unset)."""
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names (see :func:`tessera.session.shared_dir`)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """``(node, component)`` for every end of ``edges(a, b)``; a component is named by its least node.
 
     Each round hangs every neighbour on the least of its surroundings and then
-    flattens the trees; a few rounds suffice for any diameter (logarithmic).
+    flattens the trees, until nothing changes; a few rounds suffice for any
+    diameter (logarithmic).
     The sides are aggregated before each join, no neighbourhood is collected,
     and every round is cut with ``cut``. Edges with a null end and loops
     contribute their non-null ends as nodes.
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = state(tree)
-    for _ in range(rounds):
+    while True:
         both = tree.union(tree.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()

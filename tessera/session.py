@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -29,3 +31,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table by name; only Spark's reader opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``. Only where the executors
+    run inside the driver (tests, one machine) and it is unset, a temporary
+    folder is made and set; elsewhere that is an error.
+    """
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import shared_dir
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -81,8 +82,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -
     table with each micro-batch. Tables and checkpoints live in the shared
     folder that ``spark.checkpoint.dir`` names.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
-    path = f"{base}/streams/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{path}/table").outputMode("append").start()
