@@ -76,6 +76,52 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, seed: str, wi
     return taken
 
 
+def ranked_sources(totals: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """``totals(source, words)`` with ``weight``: sources in code-point order, null last, take the weights in turn.
+
+    A global sort numbers the rows of its partitions; the driver gets the
+    number of rows of each partition alone.
+    """
+    placed = totals.orderBy(F.col("source").isNull(), "source").withColumn("place", F.monotonically_increasing_id())
+    placed = materialize(placed, "sources")
+    part = F.shiftright("place", 33)
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets += [F.lit(k), F.lit(before)]
+        before += n
+    start = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    rank = start + F.col("place").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))).drop("place")
+
+
+def water_level(ranked: DataFrame, share: Fraction, most: int) -> Fraction | None:
+    """Words per unit of weight for the sources that do not stop at ``most`` times their words; null if all do.
+
+    Exact: each round sums words and weights of the sources that the level
+    so far fills, which only grow in number, until it fills no more.
+    """
+    words, weight, count = F.sum(F.col("words").cast("decimal(38,0)")), F.sum(F.col("weight").cast("decimal(38,0)")), F.count("*")
+    total = ranked.agg(words.alias("words"), weight.alias("weight"), count.alias("n")).first()
+    if not total["n"]:
+        return None
+    budget, filled, seen = Fraction(int(total["words"])) * share, (0, 0), 0
+    while True:
+        if filled[1] == int(total["weight"]):
+            return None
+        unit = (budget - most * filled[0]) / (int(total["weight"]) - filled[1])
+        full = ranked.where(is_full(unit, most)).agg(words.alias("words"), weight.alias("weight"), count.alias("n")).first()
+        if full["n"] == seen:
+            return unit
+        seen, filled = full["n"], (int(full["words"]), int(full["weight"]))
+
+
+def is_full(unit: Fraction, most: int):
+    """Whether a source's part of the level exceeds ``most`` times its words, in whole numbers."""
+    big = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    return F.col("weight") * big(unit.numerator) > F.col("words").cast("decimal(19,0)") * big(most * unit.denominator).cast("decimal(19,0)")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -85,21 +131,23 @@ def mix(
     share: Fraction = Fraction(3, 2),
     most: int = 2,
     seed: int = 7,
-    max_sources: int = 100_000,
 ) -> DataFrame:
     """Choose how often each document enters a mix of sources.
 
     Returns id, source, ``size`` (words), ``source_size``, ``target`` and
     ``copies`` (0 to ``most``). Only ids, sources and sizes are kept from the
-    texts. A histogram by exact size is fitted per source; within one size the
-    documents are picked by seeded hash. Groups of one source and size are
-    ranked in buckets of about 256 rows, so that no task holds a large group.
-
-    Sources' totals come to the driver: more than ``max_sources`` raise an
-    error. Null texts have size 0, null sources are a source of their own, the
-    last. Documents of size 0 add no words and are taken as often as their
-    source is taken whole. Rows of equal id, source and size are
-    interchangeable. An empty table gives an empty result.
+    texts. Sources share ``share`` of all words by their weights; a target
+    stops at ``most`` times its source's words and the excess goes to the
+    others by weight (see :func:`water_level`). A histogram by exact size is
+    fitted per source; within one size the documents are picked by seeded hash.
+    Groups of one source and size are ranked in buckets of about 256 rows, so
+    that no task holds a large group.
+
+    Sources may be as many as rows: their totals stay in a table. Null texts
+    have size 0, null sources are a source of their own, the last. Documents of
+    size 0 add no words and are taken as often as their source is taken whole.
+    Rows of equal id, source and size are interchangeable. An empty table gives
+    an empty result.
     """
     ship(docs.sparkSession)
     base = docs.select(
@@ -109,21 +157,21 @@ def mix(
     ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     base = materialize(base, "sizes")
     histogram = base.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("source").alias("source"))
-    totals = histogram.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("words")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    wanted = targets({r["source"]: r["words"] for r in totals}, weights, share, most)
-    goal = {r["skey"]: (r["words"], wanted[r["source"]]) for r in totals}
+    totals = histogram.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("words"))
+    ranked = ranked_sources(totals, weights)
+    unit = water_level(ranked, share, most)
+    full = F.lit(True) if unit is None else is_full(unit, most)
+    goals = ranked.select("skey", "words", "weight", full.alias("full"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
-        skey = group["skey"].iloc[0]
-        words, target = goal[skey]
+        skey, words = group["skey"].iloc[0], int(group["words"].iloc[0])
+        target = Fraction(most * words) if group["full"].iloc[0] else unit * int(group["weight"].iloc[0])
         whole = min(most, int(target // words)) if words else 0
         extra = fit_counts(group["size"].tolist(), group["n"].tolist(), round(target - whole * words), f"{seed}:{skey}") if words and whole < most else [0] * len(group)
         return pd.DataFrame({"skey": skey, "size": group["size"], "n": group["n"], "whole": whole, "extra": extra, "source_size": words, "target": float(target)})
 
-    plan = histogram.select("skey", "size", "n").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, whole int, extra long, source_size long, target double")
+    plan = histogram.select("skey", "size", "n").join(goals, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, whole int, extra long, source_size long, target double")
     plan = materialize(plan, "mix-plan")
 
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
