@@ -242,18 +242,35 @@ def _world_phone(m: Column, key: Column) -> Column:
     return _refill(m, F.concat(F.substr(digits, F.lit(1), F.lit(2)), _permuted_digits(F.substr(digits, F.lit(3), F.length(digits)), key)))
 
 
-def _first_year(year: Column) -> Column:
-    """Dates move among whole leap cycles: 1904 to 2099 (49 of 4 years), else 400 years from 1504 or 2100; null outside."""
-    return F.when(year.between(1904, 2099), 1904).when(year.between(1504, 1903), 1504).when(year.between(2100, 2499), 2100)
+#: Dates move within these spans of years, whole leap cycles but for the outermost: (first year, last year, factors of
+#: the number of days, factors of the number of days over 12 of a month). Together they hold every year of four digits but 0000.
+_SPANS = (
+    (1, 303, (111, 997), (615, 109)),
+    (304, 1503, (567, 773), (27, 9833)),
+    (1504, 1903, (189, 773), (9, 9833)),
+    (1904, 2099, (147, 487), (147, 295)),
+    (2100, 2499, (189, 773), (9, 9833)),
+    (2500, 9699, (3402, 773), (162, 9833)),
+    (9700, 9999, (276, 397), (12, 5531)),
+)
+
+
+def _span(year: Column) -> Column:
+    """The span that holds the year: struct(first, a, b, c, d); null for a null year."""
+    spans = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("first", "a", "b", "c", "d"), (s[0], *s[2], *s[3]), strict=True)]) for s in _SPANS])
+    return F.get(spans, F.size(F.filter(F.array(*[F.lit(s[0]) for s in _SPANS]), lambda first: first <= year)) - 1)
 
 
 def _permuted_day(day: Column, key: Column) -> Column:
-    year = _first_year(F.year(day))
-    first, recent = F.make_date(year, F.lit(1), F.lit(1)), year == 1904
-    at = F.date_diff(day, first).cast("bigint")
-    a, b = F.when(recent, F.lit(147)).otherwise(F.lit(189)), F.when(recent, F.lit(487)).otherwise(F.lit(773))
-    out = feistel_number((at / b).cast("bigint"), at % b, a, b, key)
-    return F.when(year.isNotNull(), F.date_add(first, (out["l"] * b + out["r"]).cast("int")))
+    def in_span(span: Column) -> Column:
+        first = F.make_date(span["first"], F.lit(1), F.lit(1))
+
+        def moved(at: Column) -> Column:
+            return _let(feistel_number((at / span["b"]).cast("bigint"), at % span["b"], span["a"], span["b"], key), lambda x: F.date_add(first, (x["l"] * span["b"] + x["r"]).cast("int")))
+
+        return _let(F.date_diff(day, first).cast("bigint"), moved)
+
+    return _let(_span(F.year(day)), in_span)
 
 
 #: Days over 12 before each month of a common year.
@@ -261,46 +278,50 @@ _LATE_DAYS = [0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202]
 
 
 def _permuted_late_day(day: Column, month: Column, year: Column, key: Column) -> Column:
-    """DD/MM/YYYY of a valid date with a day over 12, permuted among all such dates of its leap cycles."""
-    first = _first_year(year)
-    recent = first == 1904
+    """DD/MM/YYYY of a valid date with a day over 12, permuted among all such dates of its span of years."""
     leap = lambda y: ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
     leaps = lambda y: F.floor((y - 1) / 4) - F.floor((y - 1) / 100) + F.floor((y - 1) / 400)
-    before_year = lambda y: ((y - first) * 221 + leaps(y) - leaps(first)).cast("bigint")
     before_month = lambda m, y: F.element_at(F.array(*map(F.lit, _LATE_DAYS)), m) + F.when(m > 2, leap(y)).otherwise(0)
-    at = before_year(year) + before_month(month, year) + day - 13
-    # 49 cycles have 43,365 such dates, 400 years have 88,497.
-    a, b = F.when(recent, F.lit(147)).otherwise(F.lit(9)), F.when(recent, F.lit(295)).otherwise(F.lit(9833))
 
-    def written(new: Column) -> Column:
-        def in_year(y: Column) -> Column:
-            rest = new - before_year(y)
+    def in_span(span: Column) -> Column:
+        before_year = lambda y: ((y - span["first"]) * 221 + leaps(y) - leaps(span["first"])).cast("bigint")
 
-            def in_month(m: Column) -> Column:
-                return F.concat_ws("/", _padded(rest - before_month(m, y) + 13, 2), _padded(m, 2), _padded(y, 4))
+        def written(new: Column) -> Column:
+            def in_year(y: Column) -> Column:
+                def in_month(rest: Column) -> Column:
+                    last = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: before_month(m, y) <= rest))
+                    return _let(last, lambda m: F.concat_ws("/", _padded(rest - before_month(m, y) + 13, 2), _padded(m, 2), _padded(y, 4)))
 
-            return _let(F.array_max(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: before_month(m, y) <= rest)), in_month)
+                return _let(new - before_year(y), in_month)
 
-        guess = first + F.floor(new / 221.2425).cast("int")
-        return _let(F.array_max(F.filter(F.sequence(guess - 1, guess + 1), lambda y: before_year(y) <= new)), in_year)
+            guess = span["first"] + F.floor(new / 221.2425).cast("int")
+            return _let(F.array_max(F.filter(F.sequence(guess - 1, guess + 1), lambda y: before_year(y) <= new)), in_year)
 
-    out = _let(feistel_number((at / b).cast("bigint"), at % b, a, b, key), lambda x: _let(x["l"] * b + x["r"], written))
-    return F.when(first.isNotNull(), out)
+        def moved(at: Column) -> Column:
+            return _let(feistel_number((at / span["d"]).cast("bigint"), at % span["d"], span["c"], span["d"], key), lambda x: _let(x["l"] * span["d"] + x["r"], written))
+
+        return _let(before_year(year) + before_month(month, year) + day - 13, moved)
+
+    return _let(_span(year), in_span)
+
+
+#: Layouts of dates; between slashes the month comes first.
+_LAYOUTS = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}-", "dd-MM-yyyy"), (r"^\d{2}/", "MM/dd/yyyy"))
 
 
 def _date(m: Column, key: Column) -> Column:
-    def by(pattern: str, layout: str, otherwise: Column) -> Column:
-        day = F.try_to_date(m, layout)
-        new = F.date_format(_permuted_day(day, key), layout)
-        return F.when(m.rlike(pattern) & day.isNotNull(), F.coalesce(new, m)).otherwise(otherwise)
+    def by_layout(value) -> Column:
+        out = F.lit(None)
+        for pattern, layout in reversed(_LAYOUTS):
+            out = F.when(m.rlike(pattern), value(layout)).otherwise(out)
+        return out
 
     # Month first between slashes, but day first with a day over 12 in front.
     day, month, year = (F.substr(m, F.lit(s), F.lit(n)).cast("int") for s, n in ((1, 2), (4, 2), (7, 4)))
-    late = m.rlike(r"^(?:1[3-9]|[23]\d)/\d{2}/\d{4}$") & F.try_to_date(m, "dd/MM/yyyy").isNotNull()
-    out = F.when(late, F.coalesce(_permuted_late_day(day, month, year, key), m)).otherwise(m)
-    for pattern, layout in ((r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{2}-", "dd-MM-yyyy"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{4}-", "yyyy-MM-dd")):
-        out = by(pattern, layout, out)
-    return out
+    late = m.rlike(r"^(?:1[3-9]|[23]\d)/\d{2}/\d{4}$")
+    valid = F.try_to_date(m, "dd/MM/yyyy").isNotNull()
+    new = _let(_permuted_day(by_layout(lambda layout: F.try_to_date(m, layout)), key), lambda moved: by_layout(lambda layout: F.date_format(moved, layout)))
+    return F.coalesce(F.when(late, F.when(valid, _permuted_late_day(day, month, year, key))).otherwise(new), m)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -324,12 +345,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Cards (Luhn), IBANs (mod 97), social security numbers, phones, IPv4
     addresses and dates are validated and permuted by a Feistel network within
     the valid values of their format, so pseudonyms validate too, equal values
-    stay equal in all documents, and different ones stay different. Dates are
-    those of the years 1504 to 2499 (others stay as they are) and move within
-    1504 to 1903, 1904 to 2099 or 2100 to 2499; between slashes the month comes
-    first unless the first number is over 12, and such day-first dates are
-    permuted in day, month and year among themselves. Of e-mail
-    addresses the local part is permuted among strings of its pattern.
+    stay equal in all documents, and different ones stay different. Dates of
+    the years 0001 to 9999 move within their span of years (``_SPANS``: 1904 to
+    2099 is one); between slashes the month comes first unless the first number
+    is over 12, and such day-first dates are permuted in day, month and year
+    among themselves. Of e-mail addresses the local part is permuted among strings of its pattern.
 
     Cards and IBANs are looked for in runs of groups of digits and capitals, at
     every group, so neighbours (a date of expiry, a currency) do not hide them.

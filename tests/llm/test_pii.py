@@ -112,5 +112,7 @@ def test_day_first_dates_move_as_a_whole(spark):
 def test_old_dates_of_all_layouts_move(spark):
     values = ["25/12/1899", "31/01/2101", "29/02/1600", "1899-12-25", "02/03/1899", "25.12.1550"]
     assert all(n == 1 and t != v and re.fullmatch(pii.DATE, t) for v, (t, n) in zip(values, run(spark, values), strict=True))
-    outside = ["25/12/1499", "25/12/2500", "1499-12-25", "31/02/2020", "12/31/2500"]
-    assert run(spark, outside) == [(t, 0) for t in outside]
+    values = ["25/12/1499", "25/12/2500", "1499-12-25", "12/31/2500", "0001-01-01", "9999/12/31", "13/01/0001", "31/12/9999"]
+    assert all(n == 1 and t != v and re.fullmatch(pii.DATE, t) for v, (t, n) in zip(values, run(spark, values), strict=True))
+    invalid = ["31/02/2020", "2021-02-29", "29.02.1900", "13/13/2020", "0000-00-00"]
+    assert run(spark, invalid) == [(t, 0) for t in invalid]
