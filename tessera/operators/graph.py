@@ -65,12 +65,22 @@ def filter_edges(edges: DataFrame, types: Sequence[str]) -> DataFrame:
     return edges.where(F.col("type").isin(*types))
 
 
-def view_filter(nodes: DataFrame, types: Sequence[str] = (), text: str | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Types, substring of name or type, confidence within bounds (missing counts as 1)."""
+def contains_text(text: str, columns: Sequence[str]) -> Column:
+    """Whether any of the columns contains the text, in lower case; nulls contain nothing."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return out
+
+
+def view_filter(nodes: DataFrame, types: Sequence[str] = (), text: str | None = None, low: float = 0.0, high: float = 1.0, tags: Sequence[str] = (), columns: Sequence[str] = ("name", "type")) -> DataFrame:
+    """Types, any tag, substring of one of ``columns``, confidence within bounds (missing counts as 1)."""
     if types:
         nodes = nodes.where(F.col("type").isin(*types))
+    if tags:
+        nodes = nodes.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     if text:
-        nodes = nodes.where(F.lower("name").contains(text.lower()) | F.lower("type").contains(text.lower()))
+        nodes = nodes.where(contains_text(text, columns))
     return nodes.where(F.coalesce("confidence", F.lit(1.0)).between(low, high))
 
 
@@ -82,12 +92,22 @@ def induced_edges(edges: DataFrame, nodes: DataFrame, types: Sequence[str] = ())
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
 
 
-def search(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Nodes whose name, else type, contains the text, with what matched."""
+def search(nodes: DataFrame, text: str, limit: int = 50, types: Sequence[str] = ()) -> DataFrame:
+    """Nodes of the types whose name, else description, else a tag contains the text, with what matched.
+
+    ``description`` and ``tags`` may be missing.
+    """
     low = text.lower()
-    kind = F.when(F.lower("name").contains(low), "name").when(F.lower("type").contains(low), "type")
+    if types:
+        nodes = nodes.where(F.col("type").isin(*types))
+    kind = F.when(F.lower("name").contains(low), "name")
+    if "description" in nodes.columns:
+        kind = kind.when(F.lower("description").contains(low), "description")
+    if "tags" in nodes.columns:
+        kind = kind.when(F.exists("tags", lambda t: F.lower(t).contains(low)), "tag")
+    place = F.array_position(F.array(*map(F.lit, ("name", "description", "tag"))), F.col("match_type"))
     hits = nodes.withColumn("match_type", kind).where("match_type IS NOT NULL")
-    return hits.orderBy("match_type", "id").limit(limit).select("id", "match_type")
+    return hits.orderBy(place, "id").limit(limit).select("id", "match_type")
 
 
 def neighbours(edges: DataFrame, node: Column | str) -> DataFrame:
@@ -187,23 +207,45 @@ def simple_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return union_all(found)
 
 
-def longest_levels(edges: DataFrame, nodes: DataFrame, cut=checkpointed, most: int = 1000) -> DataFrame:
+def longest_levels(edges: DataFrame, nodes: DataFrame, cut=checkpointed) -> DataFrame:
     """Level of each node = longest chain of dependencies below it (edge: source needs target).
 
-    Nodes on or behind a cycle keep a null level.
+    Runs until no node is ready, however long the chains are. Nodes on or
+    behind a cycle keep a null level.
     """
-    needs = edges.select("source", "target").distinct()
-    done, rest, k = None, nodes.select("id"), 0
-    while k < most:
-        open_ = needs if done is None else needs.join(done.select(F.col("id").alias("target")), "target", "left_anti")
+    open_ = cut(edges.select("source", "target").distinct())
+    done, rest, k = [], cut(nodes.select("id")), 0
+    while True:
         ready = cut(rest.join(open_.select(F.col("source").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(k).cast("long").alias("level")))
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
+        done.append(ready)
+        if len(done) == 16:
+            done = [cut(union_all(done))]
         rest = cut(rest.join(ready, "id", "left_anti"))
+        open_ = cut(open_.join(ready.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
         k += 1
-    left = rest.select("id", F.lit(None).cast("long").alias("level"))
-    return left if done is None else done.unionByName(left)
+    return union_all([*done, rest.select("id", F.lit(None).cast("long").alias("level"))])
+
+
+def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], cut=checkpointed) -> DataFrame:
+    """``df`` with ``place``, 0 and on in ``order`` within each group ``by``; groups of any size stay spread.
+
+    A global sort numbers the rows of its partitions; the driver gets the
+    number of rows of each partition, and groups their first number.
+    """
+    rows = cut(df.orderBy(*by, *order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    counts, before, offsets = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), 0, []
+    for r in sorted(counts):
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["n"]
+    start = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    rows = rows.withColumn("place", start + F.col("place").bitwiseAND((1 << 33) - 1))
+    firsts = rows.groupBy(*by).agg(F.min("place").alias("first_place"))
+    if not by:
+        return rows
+    return rows.join(firsts, list(by)).withColumn("place", F.col("place") - F.col("first_place")).drop("first_place")
 
 
 # --- metrics ------------------------------------------------------------------------------
@@ -373,6 +415,26 @@ def transitive_dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(got, "id", "left").select("id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
+def reachable_estimates(edges: DataFrame, nodes: DataFrame, precision: int = 12, cut=checkpointed) -> DataFrame:
+    """A14, D2 on large graphs: about how many other nodes each node reaches, by sketches (error about 1.04 / 2**(precision / 2)).
+
+    Every node holds a sketch of fixed size of what it reaches and takes in
+    those of its targets until no estimate grows, so a round costs one join on
+    the edges whatever is reachable. For dependents turn the edges round.
+    """
+    steps = cut(edges.select("source", "target").distinct())
+    state = cut(nodes.groupBy("id").agg(F.hll_sketch_agg("id", precision).alias("sketch")))
+    before = None
+    while True:
+        size = state.agg(F.sum(F.hll_sketch_estimate("sketch"))).first()[0]
+        if size == before:
+            break
+        before = size
+        got = steps.join(state, F.col("target") == F.col("id")).select(F.col("source").alias("id"), "sketch")
+        state = cut(state.unionByName(got).groupBy("id").agg(F.hll_union_agg("sketch", F.lit(False)).alias("sketch")))
+    return nodes.select("id").distinct().join(state, "id").select("id", (F.hll_sketch_estimate("sketch") - 1).alias("reachable"))
+
+
 def bottlenecks(edges: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """In > 3 and in > 1.5 out; the fewer other providers of its targets, the heavier."""
     d = degrees(edges, nodes).where((F.col("in_degree") > 3) & (F.col("in_degree") > 1.5 * F.col("out_degree")))
@@ -413,16 +475,24 @@ def type_clusters(nodes: DataFrame, columns: int = 100, step: int = 50, margin:
 DEPENDS = ("calls", "uses", "depends-on", "reads", "imports")
 
 
-def coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Afferent and efferent neighbours, instability, and score (at most 10)."""
+def coupling(edges: DataFrame, nodes: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """Afferent and efferent neighbours, instability, number of cycles, and score (at most 10).
+
+    ``cycles(path)`` are those of :func:`simple_cycles`; each counts for all its nodes.
+    """
     pairs = filter_edges(edges, DEPENDS).select("source", "target").distinct()
     ca = pairs.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("ca"))
     ce = pairs.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("ce"))
     both = nodes.select("id").join(ca, "id", "left").join(ce, "id", "left").fillna(0, ["ca", "ce"])
+    if cycles is None:
+        both = both.withColumn("cycles", F.lit(0).cast("long"))
+    else:
+        on = cycles.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("cycles"))
+        both = both.join(on, "id", "left").fillna(0, ["cycles"])
     instability = F.coalesce(F.try_divide("ce", F.col("ca") + F.col("ce")), F.lit(0.0))
     both = both.withColumn("instability", instability)
     extreme = (F.col("instability") > 0.7) | (F.col("instability") < 0.3)
-    return both.withColumn("score", F.least(F.lit(10.0), (F.col("ca") + F.col("ce")) / 2 * F.when(extreme, 1.5).otherwise(1.0)))
+    return both.withColumn("score", F.least(F.lit(10.0), ((F.col("ca") + F.col("ce")) / 2 + 2 * F.col("cycles")) * F.when(extreme, 1.5).otherwise(1.0)))
 
 
 def risk_level(score: Column) -> Column:
@@ -466,19 +536,47 @@ def run_query(nodes: DataFrame, edges: DataFrame, request: dict) -> dict[str, Da
 
 
 def layout(nodes: DataFrame, kind: str, step: float = 100.0, columns: int = 10, levels: DataFrame | None = None) -> DataFrame:
-    """X and y: grid and circle by order within the type, hierarchical by level. The force layout is left out."""
-    placed = nodes.select("id", "type", F.expr("row_number() OVER (PARTITION BY type ORDER BY id) - 1").alias("k"), F.expr("count(*) OVER (PARTITION BY type)").alias("n"))
-    if kind == "grid":
-        return placed.select("id", (F.col("k") % columns * step).alias("x"), (F.floor(F.col("k") / columns) * step).cast("double").alias("y"))
-    if kind == "circular":
-        angle = F.lit(6.283185307179586) * F.col("k") / F.col("n")
-        return placed.select("id", (F.cos(angle) * step).alias("x"), (F.sin(angle) * step).alias("y"))
-    ranked = nodes.join(levels, "id").select("id", "level", F.expr("row_number() OVER (PARTITION BY level ORDER BY id) - 1").alias("k"))
-    return ranked.select("id", (F.col("k") * step).alias("x"), (F.col("level") * step).alias("y"))
+    """X and y by place in order of the id: grid and circular within the type, hierarchical and radial within the level.
 
-
-def analysis(edges: DataFrame, nodes: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """The measures of A2 to A19 by name; a measure is computed when it is called."""
+    ``levels(id, level)`` come from :func:`longest_levels` or, for a radial
+    layout, from the distances of :func:`reach`; nodes without one are left
+    out. A ring's radius grows with its level. The force layout is left out.
+    """
+    if kind in ("grid", "circular"):
+        rows, by = nodes.select("id", "type"), ["type"]
+    else:
+        rows, by = nodes.select("id").join(levels.where("level IS NOT NULL").select("id", "level"), "id"), ["level"]
+    rows = placed(rows, by, ["id"])
+    k = F.col("place")
+    if kind == "grid":
+        return rows.select("id", (k % columns * step).alias("x"), (F.floor(k / columns) * step).cast("double").alias("y"))
+    if kind == "hierarchical":
+        return rows.select("id", (k * step).alias("x"), (F.col("level") * step).alias("y"))
+    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("n")), by)
+    angle, radius = F.lit(6.283185307179586) * k / F.col("n"), F.lit(step) if kind == "circular" else F.col("level") * step
+    return rows.select("id", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
+
+
+def recommendations(nodes: DataFrame, degree: DataFrame, cycles: DataFrame, rule_type: str = "business-rule") -> DataFrame:
+    """(advice, severity, n, first_nodes) of each rule that holds; ``first_nodes`` are up to five affected ids."""
+    d = nodes.select("id", "type", "confidence").join(degree, "id")
+    rule = F.col("type") == rule_type
+    rows = (
+        ("high-coupling", "high", d.where("degree > 15"), 0), ("orphans", "medium", d.where("degree = 0"), 0), ("low-confidence-rules", "high", d.where(rule & (F.col("confidence") < 0.5)), 0),
+        ("test-coverage", "medium", d.where(rule), 10),
+    )
+    out = []
+    for advice, severity, found, least in rows:
+        first = found.orderBy("id").limit(5).select("id")
+        one = found.agg(F.count("*").alias("n")).join(first.agg(F.array_sort(F.collect_list("id")).alias("first_nodes"))).where(F.col("n") > least)
+        out.append(one.select(F.lit(advice).alias("advice"), F.lit(severity).alias("severity"), "n", "first_nodes"))
+    on = cycles.select(F.explode("path").alias("id")).distinct().orderBy("id").limit(5).agg(F.array_sort(F.collect_list("id")).alias("first_nodes"))
+    out.append(cycles.agg(F.count("*").alias("n")).join(on).where("n > 0").select(F.lit("circular-dependencies").alias("advice"), F.lit("high").alias("severity"), "n", "first_nodes"))
+    return union_all(out)
+
+
+def analysis(edges: DataFrame, nodes: DataFrame, rule_type: str = "business-rule") -> dict[str, Callable[[], DataFrame]]:
+    """The measures of A2 to A20 by name; a measure is computed when it is called."""
     return {
         "density": lambda: density(edges, nodes),
         "degrees": lambda: degrees(edges, nodes),
@@ -489,7 +587,30 @@ def analysis(edges: DataFrame, nodes: DataFrame) -> dict[str, Callable[[], DataF
         "betweenness": lambda: betweenness(edges, nodes),
         "dependents": lambda: transitive_dependents(edges, nodes),
         "bottlenecks": lambda: bottlenecks(edges, nodes),
-        "high_risk": lambda: high_risk(degrees(edges, nodes), nodes),
-        "orphans": lambda: degrees(edges, nodes).where("degree = 0").select("id"),
+        "high_risk": lambda: high_risk(degrees(edges, nodes), nodes, rule_type),
+        "orphans": lambda: orphans(edges, nodes),
         "cycles": lambda: simple_cycles(edges),
+        "recommendations": lambda: recommendations(nodes, degrees(edges, nodes), simple_cycles(edges), rule_type),
     }
+
+
+def structure(edges: DataFrame, nodes: DataFrame, rule_type: str = "business-rule") -> DataFrame:
+    """The structural measures as rows (measure, value)."""
+    long = lambda df, **names: df.select(F.explode(F.create_map(*[x for n, c in names.items() for x in (F.lit(n), F.col(c).cast("double"))])).alias("measure", "value"))
+    found = analysis(edges, nodes, rule_type)
+    return union_all([
+        long(found["density"](), nodes="n", edges="m", density="density"),
+        long(found["degrees"]().agg(F.avg("degree").alias("a"), F.max("degree").alias("b")), mean_degree="a", max_degree="b"),
+        long(found["components"]().agg(F.count_distinct("component").alias("a")), components="a"),
+        long(found["path_lengths"](), diameter="diameter", mean_length="mean_length"),
+        long(found["clustering"](), clustering="clustering"),
+        long(found["high_risk"]().agg(F.count("*").alias("a")), high_risk="a"),
+        long(found["bottlenecks"]().agg(F.count("*").alias("a")), bottlenecks="a"),
+        long(found["orphans"]().agg(F.count("*").alias("a")), orphans="a"),
+        long(found["cycles"]().agg(F.count("*").alias("a")), cycles="a"),
+    ])
+
+
+def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes at neither end of any edge."""
+    return nodes.select("id").join(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "id", "left_anti")

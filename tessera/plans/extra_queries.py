@@ -11,18 +11,19 @@ from tessera.operators import quality as q
 from tessera.operators import telemetry as o
 from tessera.operators import traces as t
 from tessera.plans.registry import query
-from tessera.plans.roles import nodes, runs, tree_edges, with_roles
+from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, UNDIRECTED, at, levels
+from tessera.plans.roles import edges, nodes, runs, tree_edges, with_roles
 from tessera.plans.source_queries import STEPS, catalog
 from tessera.session import table
 from tessera.sources import parsers, schema
 
 GRAPH, TREE = with_roles("nodes", "edges"), with_roles("nodes", "tree")
-TREE_R = with_roles("nodes", "tree", recursive=True)
+GRAPH_R, TREE_R = with_roles("nodes", "edges", recursive=True), with_roles("nodes", "tree", recursive=True)
 
 
-@query("G6_dispatcher", TREE_R + ", st AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), w AS (SELECT 'n:3' AS id, 0 AS d UNION SELECT st.target, d + 1 FROM w JOIN st ON st.source = w.id WHERE d < 2) SELECT id, type FROM nodes WHERE id IN (SELECT id FROM w) ORDER BY id LIMIT 25")
+@query("G6_dispatcher", GRAPH_R + ", st AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), w AS (SELECT 'n:3' AS id, 0 AS d UNION SELECT st.target, d + 1 FROM w JOIN st ON st.source = w.id WHERE d < 2) SELECT id, type FROM nodes WHERE id IN (SELECT id FROM w) ORDER BY id LIMIT 25")
 def dispatcher(spark, sf):
-    out = g.run_query(nodes(spark, sf), tree_edges(spark, sf), {"type": "subgraph", "source": "n:3", "depth": 2, "limit": 25})
+    out = g.run_query(nodes(spark, sf), edges(spark, sf), {"type": "subgraph", "source": "n:3", "depth": 2, "limit": 25})
     return out["nodes"].select("id", "type")
 
 
@@ -36,11 +37,31 @@ def circle(spark, sf):
     return g.layout(nodes(spark, sf), "circular").select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
-@query("A21_full_analysis", TREE + """, d AS (SELECT n.id, (SELECT count(*) FROM edges e WHERE e.source = n.id) + (SELECT count(*) FROM edges e WHERE e.target = n.id) AS k FROM nodes n)
-SELECT 'density' AS measure, 1::BIGINT AS rows UNION ALL SELECT 'degrees', count(*) FROM nodes UNION ALL SELECT 'orphans', count(*) FROM d WHERE k = 0""")
+RANKED = "k AS (SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY level) AS n FROM {lev})"
+
+
+@query("G22_hierarchical_layout", GRAPH_R + LEVELS + ", " + RANKED.format(lev="lev") + " SELECT id, (k * 100)::DOUBLE AS x, (level * 100)::DOUBLE AS y FROM k")
+def hierarchy(spark, sf):
+    return g.layout(nodes(spark, sf), "hierarchical", levels=levels(spark, sf))
+
+
+@query("G22_radial_layout", GRAPH_R + UNDIRECTED + ", w AS (SELECT 'r:0' AS id, 0 AS d UNION SELECT u.target, d + 1 FROM w JOIN u ON u.source = w.id WHERE d < 5), m AS (SELECT id, min(d) AS level FROM w GROUP BY 1), " + RANKED.format(lev="m") + " SELECT id, round(cos(2 * pi() * k / n) * 100 * level, 4) + 0.0 AS x, round(sin(2 * pi() * k / n) * 100 * level, 4) + 0.0 AS y FROM k")
+def radial(spark, sf):
+    rings = g.reach(g.undirected(edges(spark, sf)), at(spark, "r:0")).select("id", F.col("distance").alias("level"))
+    return g.layout(nodes(spark, sf), "radial", levels=rings).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query("A21_full_analysis", GRAPH_R + FAR + DEGREES + """, lab AS (SELECT id, id AS label FROM nodes UNION SELECT u.target, lab.label FROM lab JOIN u ON u.source = lab.id WHERE lab.label < u.target), comp AS (SELECT id, min(label) AS c FROM lab GROUP BY id),
+k AS (SELECT source, count(*) AS k FROM u GROUP BY 1 HAVING count(*) >= 2), t AS (SELECT a.source, count(*) AS t FROM u a JOIN u b ON a.source = b.source AND a.target < b.target JOIN u c ON c.source = a.target AND c.target = b.target GROUP BY 1),
+risk AS (SELECT id FROM nodes JOIN deg USING (id) WHERE (degree > 10)::INT * 3 + (confidence < 0.5)::INT * 3 + (type = 'supplier' AND in_degree > 5)::INT * 2 + (out_degree = 0 AND in_degree > 3)::INT * 2 > 3 LIMIT 20),
+b AS (SELECT * FROM deg WHERE in_degree > 3 AND in_degree > 1.5 * out_degree), p AS (SELECT DISTINCT source, target FROM edges), alt AS (SELECT a.source AS id, count(DISTINCT c.source) AS n FROM p a JOIN p c ON a.target = c.target AND a.source <> c.source WHERE a.source IN (SELECT id FROM b) GROUP BY 1),
+neck AS (SELECT id FROM b LEFT JOIN alt USING (id) WHERE 1.0 / (coalesce(n, 0) + 1) > 0.3 LIMIT 10), v AS (
+SELECT 'nodes' AS measure, (SELECT count(*) FROM nodes)::DOUBLE AS value UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'density', (SELECT count(*) FROM edges) / (SELECT count(*) * (count(*) - 1) FROM nodes)::DOUBLE
+UNION ALL SELECT 'mean_degree', avg(degree) FROM deg UNION ALL SELECT 'max_degree', max(degree) FROM deg UNION ALL SELECT 'components', count(DISTINCT c) FROM comp UNION ALL SELECT 'diameter', max(d) FROM m WHERE d > 0 UNION ALL SELECT 'mean_length', avg(d) FROM m WHERE d > 0
+UNION ALL SELECT 'clustering', avg(coalesce(t.t, 0) * 2.0::DOUBLE / (k.k * (k.k - 1))) FROM k LEFT JOIN t USING (source) UNION ALL SELECT 'high_risk', count(*) FROM risk UNION ALL SELECT 'bottlenecks', count(*) FROM neck
+UNION ALL SELECT 'orphans', count(*) FROM deg WHERE degree = 0 UNION ALL SELECT 'cycles', 0) SELECT measure, round(value, 8) AS value FROM v""")
 def bundle(spark, sf):
-    parts = g.analysis(tree_edges(spark, sf), nodes(spark, sf))
-    return q.union_all([parts[k]().agg(F.count("*").alias("rows")).select(F.lit(k).alias("measure"), "rows") for k in ("density", "degrees", "orphans")])
+    return g.structure(edges(spark, sf), nodes(spark, sf), "supplier").withColumn("value", F.round("value", 8))
 
 
 DBD = "DBD NAME=BANK\n SEGM NAME=CUSTOMER,PARENT=0,BYTES=100\n FIELD NAME=(CUSTNO,SEQ,U),BYTES=8,START=1,TYPE=C\n SEGM NAME=ACCOUNT,PARENT=CUSTOMER,BYTES=60\n FIELD NAME=BALANCE,BYTES=5,START=9,TYPE=P"

@@ -91,14 +91,14 @@ def reach_sql(prefix, steps, start, depth):
 SELECT id, min(distance)::BIGINT AS distance FROM w GROUP BY id"""
 
 
-@query("G11_subgraph", reach_sql(TREE_R, "SELECT source, target FROM edges UNION SELECT target, source FROM edges", "'n:3'", 2))
+@query("G11_subgraph", reach_sql(GRAPH_R, "SELECT source, target FROM edges UNION SELECT target, source FROM edges", "'n:3'", 2))
 def subgraph(spark, sf):
-    return g.subgraph(tree_edges(spark, sf), nodes(spark, sf), at(spark, "n:3")).select("id", "distance")
+    return g.subgraph(edges(spark, sf), nodes(spark, sf), at(spark, "n:3")).select("id", "distance")
 
 
-@query("G12_impact", reach_sql(TREE_R, "SELECT source, target FROM edges UNION SELECT target, source FROM edges WHERE type IN ('uses', 'depends-on', 'reads')", "'s:1'", 3))
+@query("G12_impact", reach_sql(GRAPH_R, "SELECT source, target FROM edges UNION SELECT target, source FROM edges WHERE type IN ('uses', 'depends-on', 'reads')", "'s:1'", 3))
 def impact(spark, sf):
-    return g.impact(tree_edges(spark, sf), at(spark, "s:1")).select("id", "distance")
+    return g.impact(edges(spark, sf), at(spark, "s:1")).select("id", "distance")
 
 
 @query("G13_by_regulation", GRAPH + " SELECT type, count(*) AS n FROM nodes WHERE id IN (SELECT 'c:' || user_id FROM events) GROUP BY type")
@@ -143,20 +143,39 @@ def type_clusters(spark, sf):
     return g.type_clusters(nodes(spark, sf))
 
 
-@query("G21_substring_search", GRAPH + " SELECT id FROM nodes WHERE contains(lower(name), 'a') AND type <> 'customer' OR contains(lower(type), 'gio')")
+DESCRIBED = GRAPH + """, dn AS (SELECT id, type, name, confidence, type || ' no ' || split_part(id, ':', 2) AS description, [type, 't' || (split_part(id, ':', 2)::BIGINT % 7)] AS tags FROM nodes)"""
+
+
+def described(spark, sf):
+    """Nodes with a description and tags."""
+    key = F.split("id", ":")[1]
+    return nodes(spark, sf).withColumn("description", F.concat("type", F.lit(" no "), key)).withColumn("tags", F.array(F.col("type"), F.concat(F.lit("t"), (key.cast("long") % 7).cast("string"))))
+
+
+@query("G21_substring_search", DESCRIBED + " SELECT id FROM dn WHERE contains(lower(name), 'no 1') OR contains(lower(description), 'no 1') OR contains(lower(type), 'no 1')")
 def substring(spark, sf):
-    df = nodes(spark, sf)
-    return df.where((F.lower("name").contains("a") & (F.col("type") != "customer")) | F.lower("type").contains("gio")).select("id")
+    return g.view_filter(described(spark, sf), text="No 1", columns=("name", "description", "type")).select("id")
 
 
-@query("G23_api_impact", TREE_R + UNDIRECTED + ", w AS (SELECT 'n:3' AS id, 0 AS d UNION SELECT u.target, d + 1 FROM w JOIN u ON u.source = w.id WHERE d < 3), m AS (SELECT id, min(d) AS d FROM w GROUP BY 1) SELECT d AS distance, count(*) AS n FROM m GROUP BY d")
+@query("G21_tags", DESCRIBED + " SELECT id FROM dn WHERE list_has_any(tags, ['t3', 'region']) AND contains(lower(name), '1')")
+def tagged(spark, sf):
+    return g.view_filter(described(spark, sf), text="1", tags=("t3", "region"), columns=("name",)).select("id")
+
+
+@query("G23_api_impact", GRAPH_R + UNDIRECTED + ", w AS (SELECT 'n:3' AS id, 0 AS d UNION SELECT u.target, d + 1 FROM w JOIN u ON u.source = w.id WHERE d < 3), m AS (SELECT id, min(d) AS d FROM w GROUP BY 1) SELECT d AS distance, count(*) AS n FROM m GROUP BY d")
 def api_impact(spark, sf):
-    return g.reach(g.undirected(tree_edges(spark, sf)), at(spark, "n:3"), 3).groupBy("distance").agg(F.count("*").alias("n"))
+    return g.reach(g.undirected(edges(spark, sf)), at(spark, "n:3"), 3).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query("G24_api_search", GRAPH + " SELECT id, CASE WHEN contains(lower(name), 'customer#00000012') THEN 'name' ELSE 'type' END AS match_type FROM nodes WHERE contains(lower(name), 'customer#00000012') OR contains(lower(type), 'customer#00000012') ORDER BY match_type, id LIMIT 50")
+@query("G24_api_search", DESCRIBED + """, m AS (SELECT id, CASE WHEN contains(lower(name), '12') THEN 1 WHEN contains(lower(description), '12') THEN 2 WHEN len(list_filter(tags, lambda t: contains(lower(t), '12'))) > 0 THEN 3 END AS k FROM dn WHERE type IN ('nation', 'region', 'supplier'))
+SELECT id, ['name', 'description', 'tag'][k] AS match_type FROM m WHERE k IS NOT NULL ORDER BY k, id LIMIT 50""")
 def api_search(spark, sf):
-    return g.search(nodes(spark, sf), "customer#00000012")
+    return g.search(described(spark, sf), "12", types=("nation", "region", "supplier"))
+
+
+@query("G24_tag_search", DESCRIBED + " SELECT id, 'tag' AS match_type FROM dn WHERE list_contains(tags, 't5') ORDER BY id LIMIT 50")
+def tag_search(spark, sf):
+    return g.search(described(spark, sf), "T5")
 
 
 @query("G25_node_detail", GRAPH + " SELECT 'out' AS direction, type, target AS other FROM edges WHERE source = 's:1' UNION ALL SELECT 'in', type, source FROM edges WHERE target = 's:1'")
@@ -179,9 +198,9 @@ def degree_summary(spark, sf):
     return degrees(spark, sf).agg(F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"))
 
 
-@query("A4_components", TREE_R + UNDIRECTED + ", w AS (SELECT id, id AS label FROM nodes UNION SELECT u.target, w.label FROM w JOIN u ON u.source = w.id WHERE w.label < u.target) SELECT id, min(label) AS component FROM w GROUP BY id")
+@query("A4_components", GRAPH_R + UNDIRECTED + ", w AS (SELECT id, id AS label FROM nodes UNION SELECT u.target, w.label FROM w JOIN u ON u.source = w.id WHERE w.label < u.target) SELECT id, min(label) AS component FROM w GROUP BY id")
 def components(spark, sf):
-    return g.components(tree_edges(spark, sf), nodes(spark, sf))
+    return g.components(edges(spark, sf), nodes(spark, sf))
 
 
 FAR = UNDIRECTED + ", f AS (SELECT id FROM nodes ORDER BY id LIMIT 100), w AS (SELECT id AS origin, id, 0 AS d FROM f UNION SELECT origin, u.target, d + 1 FROM w JOIN u ON u.source = w.id WHERE d < 4), m AS (SELECT origin, id, min(d) AS d FROM w GROUP BY 1, 2)"
@@ -205,34 +224,34 @@ def clustering(spark, sf):
 
 
 LPA = UNDIRECTED + ", l0 AS MATERIALIZED (SELECT id, id AS label FROM nodes)" + "".join(
-    f", l{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT source, label FROM (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, label) AS r FROM u JOIN l{k} x ON u.target = x.id GROUP BY source, label) WHERE r = 1) b ON b.source = l.id)" for k in range(5))
+    f", l{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT source, label FROM (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, label) AS r FROM u JOIN l{k} x ON u.target = x.id GROUP BY source, label) WHERE r = 1) b ON b.source = l.id)" for k in range(10))
 
 
-@query("A8_communities", TREE + LPA + " SELECT id, label FROM l5")
+@query("A8_communities", GRAPH + LPA + " SELECT id, label FROM l10")
 def communities(spark, sf):
-    return g.label_propagation(tree_edges(spark, sf), nodes(spark, sf), rounds=5)
+    return g.label_propagation(edges(spark, sf), nodes(spark, sf))
 
 
-MEASURES = ", e2 AS (SELECT a.label AS la, b.label AS lb, e.source, e.target FROM edges e JOIN l5 a ON e.source = a.id JOIN l5 b ON e.target = b.id)"
+MEASURES = ", e2 AS (SELECT a.label AS la, b.label AS lb, e.source, e.target FROM edges e JOIN l10 a ON e.source = a.id JOIN l10 b ON e.target = b.id)"
 
 
-@query("A9_modularity", TREE + LPA + MEASURES + """, k AS (SELECT id, count(*) AS k FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), m AS (SELECT count(*) * 2.0::DOUBLE AS m2 FROM edges)
+@query("A9_modularity", GRAPH + LPA + MEASURES + """, k AS (SELECT id, count(*) AS k FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), m AS (SELECT count(*) * 2.0::DOUBLE AS m2 FROM edges)
 SELECT round((sum(CASE WHEN la = lb THEN 1.0::DOUBLE ELSE 0 END) - sum((a.k * b.k)::DOUBLE) / max(m2)) / max(m2), 8) AS modularity FROM e2 JOIN k a ON e2.source = a.id JOIN k b ON e2.target = b.id CROSS JOIN m""")
 def modularity(spark, sf):
-    return g.edge_modularity(tree_edges(spark, sf), communities(spark, sf)).withColumn("modularity", F.round("modularity", 8))
+    return g.edge_modularity(edges(spark, sf), communities(spark, sf)).withColumn("modularity", F.round("modularity", 8))
 
 
-@query("A10_dominant_type", TREE + LPA + " SELECT label, type FROM (SELECT label, type, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, type) AS r FROM nodes JOIN l5 USING (id) GROUP BY label, type) WHERE r = 1")
+@query("A10_dominant_type", GRAPH + LPA + " SELECT label, type FROM (SELECT label, type, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, type) AS r FROM nodes JOIN l10 USING (id) GROUP BY label, type) WHERE r = 1")
 def dominant(spark, sf):
     return g.dominant_type(nodes(spark, sf), communities(spark, sf))
 
 
-@query("A11_cohesion", TREE + LPA + MEASURES + """, s AS (SELECT label, count(*) AS size FROM l5 GROUP BY 1), x AS (SELECT la AS label, (la = lb)::INT AS inner_ FROM e2 UNION ALL SELECT lb, 0 FROM e2 WHERE la <> lb),
+@query("A11_cohesion", GRAPH + LPA + MEASURES + """, s AS (SELECT label, count(*) AS size FROM l10 GROUP BY 1), x AS (SELECT la AS label, (la = lb)::INT AS inner_ FROM e2 UNION ALL SELECT lb, 0 FROM e2 WHERE la <> lb),
 c AS (SELECT label, sum(inner_)::BIGINT AS internal, sum(1 - inner_)::BIGINT AS external FROM x GROUP BY 1)
 SELECT label, size, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, round(CASE WHEN size > 1 THEN coalesce(internal, 0) * 2.0::DOUBLE / (size * (size - 1)) ELSE 0 END, 8) AS cohesion,
 round(coalesce(external / (internal + external)::DOUBLE, 0), 8) AS coupling FROM s LEFT JOIN c USING (label)""")
 def cohesion(spark, sf):
-    out = g.cluster_measures(tree_edges(spark, sf), communities(spark, sf))
+    out = g.cluster_measures(edges(spark, sf), communities(spark, sf))
     return out.withColumn("cohesion", F.round("cohesion", 8)).withColumn("coupling", F.round("coupling", 8))
 
 
@@ -272,9 +291,9 @@ def single_points(spark, sf):
     return g.single_points(dependents(spark, sf), g.degrees(tree_edges(spark, sf), nodes(spark, sf)))
 
 
-@query("A18_orphans", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("A18_orphans", GRAPH + " SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE type = 'calls' UNION SELECT target FROM edges WHERE type = 'calls')")
 def orphans(spark, sf):
-    return table(spark, sf, "part").join(table(spark, sf, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return g.orphans(g.filter_edges(edges(spark, sf), ("calls",)), nodes(spark, sf))
 
 
 CYCLES = f"""WITH RECURSIVE {STEPS}, e AS (SELECT source, target FROM trans WHERE source <> target), p AS (SELECT [source, target] AS path FROM e WHERE target > source
@@ -287,12 +306,17 @@ def cycles(spark, sf):
     return g.simple_cycles(transitions(spark, sf)).select(F.array_join("path", ">").alias("cycle"))
 
 
-@query("A20_recommendations", GRAPH + DEGREES + """ SELECT 'split-hubs' AS advice, count(*) AS n FROM deg WHERE degree > 100 UNION ALL SELECT 'remove-orphans', count(*) FROM deg WHERE degree = 0
-UNION ALL SELECT 'review-low-confidence', count(*) FROM nodes WHERE confidence < 0.5""")
+def first_ids(test):
+    return f"(SELECT list(id ORDER BY id) FROM (SELECT id FROM x WHERE {test} ORDER BY id LIMIT 5))"
+
+
+@query("A20_recommendations", GRAPH + DEGREES + ", x AS (SELECT n.id, n.type, n.confidence, d.degree FROM nodes n JOIN deg d USING (id)), r AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS advice, '{s}' AS severity, (SELECT count(*) FROM x WHERE {t}) AS n, {first_ids(t)} AS f, {least} AS least" for a, s, t, least in (
+        ("high-coupling", "high", "degree > 15", 0), ("orphans", "medium", "degree = 0", 0), ("low-confidence-rules", "high", "type = 'supplier' AND confidence < 0.5", 0), ("test-coverage", "medium", "type = 'supplier'", 10))
+) + ") SELECT advice, severity, n, array_to_string(f, ' ') AS first_nodes FROM r WHERE n > least")
 def recommendations(spark, sf):
-    deg = degrees(spark, sf)
-    rows = ((deg.where("degree > 100"), "split-hubs"), (deg.where("degree = 0"), "remove-orphans"), (nodes(spark, sf).where("confidence < 0.5"), "review-low-confidence"))
-    return g.union_all([df.agg(F.count("*").alias("n")).select(F.lit(a).alias("advice"), "n") for df, a in rows])
+    found = g.recommendations(nodes(spark, sf), degrees(spark, sf), g.simple_cycles(tree_edges(spark, sf)), "supplier")
+    return found.withColumn("first_nodes", F.array_join("first_nodes", " "))
 
 
 @query("D1_direct_dependencies", GRAPH + " SELECT source AS id, count(DISTINCT target) AS dependencies FROM edges WHERE type IN ('calls', 'uses', 'depends-on', 'reads', 'imports') GROUP BY 1")
@@ -306,13 +330,18 @@ def transitive(spark, sf):
     return g.reach(tree_edges(spark, sf), start).where("origin <> id").groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("dependencies"))
 
 
+@query("A20_cycle_advice", CYCLES + " SELECT 'circular-dependencies' AS advice, 'high' AS severity, count(*) AS n FROM c HAVING count(*) > 0")
+def cycle_advice(spark, sf):
+    return g.recommendations(nodes(spark, sf).limit(0), degrees(spark, sf).limit(0), g.simple_cycles(transitions(spark, sf))).select("advice", "severity", "n")
+
+
 @query("D3_cycle_lengths", CYCLES + " SELECT len(path) AS length, count(*) AS n FROM c GROUP BY 1")
 def cycle_lengths(spark, sf):
     return g.simple_cycles(transitions(spark, sf)).groupBy(F.size("path").cast("long").alias("length")).agg(F.count("*").alias("n"))
 
 
 COUPLING = GRAPH + """, p AS (SELECT DISTINCT source, target FROM edges), a AS (SELECT n.id, (SELECT count(*) FROM p WHERE p.target = n.id) AS ca, (SELECT count(*) FROM p WHERE p.source = n.id) AS ce FROM nodes n),
-b AS (SELECT *, coalesce(ce / nullif(ca + ce, 0)::DOUBLE, 0) AS instability FROM a), cp AS (SELECT id, ca, ce, round(instability, 8) AS instability, round(least(10.0, (ca + ce) / 2.0 * CASE WHEN instability > 0.7 OR instability < 0.3 THEN 1.5 ELSE 1 END), 6)::DOUBLE AS score FROM b)"""
+b AS (SELECT *, coalesce(ce / nullif(ca + ce, 0)::DOUBLE, 0) AS instability FROM a), cp AS (SELECT id, ca, ce, 0::BIGINT AS cycles, round(instability, 8) AS instability, round(least(10.0, (ca + ce) / 2.0 * CASE WHEN instability > 0.7 OR instability < 0.3 THEN 1.5 ELSE 1 END), 6)::DOUBLE AS score FROM b)"""
 
 
 def coupled(spark, sf):
@@ -332,23 +361,12 @@ def leaves(spark, sf):
     return coupled(spark, sf).where("ca = 0 OR ce = 0").groupBy(F.when(F.col("ca") == 0, "leaf").otherwise("root").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("D6_module_score", COUPLING + " SELECT id, round(0.4 * (1 - least(ca, 20) / 20.0) + 0.6 * (1 - score / 10.0), 6)::DOUBLE AS module_score FROM cp")
-def module_score(spark, sf):
-    value = 0.4 * (1 - F.least(F.col("ca"), F.lit(20)) / 20) + 0.6 * (1 - F.col("score") / 10)
-    return coupled(spark, sf).select("id", F.round(value, 6).alias("module_score"))
-
-
 LEVELS = ", lv AS (SELECT id, 0 AS level FROM nodes UNION SELECT e.source, lv.level + 1 FROM lv JOIN edges e ON e.target = lv.id WHERE lv.level < 10), lev AS (SELECT id, max(level)::BIGINT AS level FROM lv GROUP BY 1)"
 
 
-@query("D7_topological_levels", TREE_R + LEVELS + " SELECT * FROM lev")
+@query("D7_topological_levels", GRAPH_R + LEVELS + " SELECT * FROM lev")
 def levels(spark, sf):
-    return g.longest_levels(tree_edges(spark, sf), nodes(spark, sf))
-
-
-@query("D8_critical_path", TREE_R + LEVELS + ", m AS (SELECT max(level) AS top FROM lev) SELECT max(top) + 1 AS length, round((SELECT count(*) FROM nodes) / (max(top) + 1.0), 6)::DOUBLE AS parallelization FROM m")
-def critical_path(spark, sf):
-    return levels(spark, sf).agg((F.max("level") + 1).alias("length"), F.round(F.count("*") / (F.max("level") + 1), 6).alias("parallelization"))
+    return g.longest_levels(edges(spark, sf), nodes(spark, sf))
 
 
 @query("D9_coupling_bottleneck", GRAPH + DEGREES + " SELECT id, round((in_degree + out_degree) / 10.0, 4)::DOUBLE AS impact FROM deg WHERE in_degree > 3 AND out_degree > 3")
@@ -356,57 +374,24 @@ def coupling_bottleneck(spark, sf):
     return degrees(spark, sf).where("in_degree > 3 AND out_degree > 3").select("id", F.round(F.col("degree") / 10, 4).alias("impact"))
 
 
-@query("D10_waves", TREE_R + LEVELS + ", r AS (SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY id) AS k FROM lev) SELECT level, CAST(ceil(k / 50.0) AS BIGINT) AS wave, count(*) AS n FROM r GROUP BY 1, 2")
+@query("D10_waves", GRAPH_R + LEVELS + ", r AS (SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY id) AS k FROM lev) SELECT level, CAST(ceil(k / 50.0) AS BIGINT) AS wave, count(*) AS n FROM r GROUP BY 1, 2")
 def waves(spark, sf):
-    ranked = levels(spark, sf).withColumn("k", F.expr("row_number() OVER (PARTITION BY level ORDER BY id)"))
-    return ranked.groupBy("level", F.ceil(F.col("k") / 50).alias("wave")).agg(F.count("*").alias("n"))
+    ranked = g.placed(levels(spark, sf), ["level"], ["id"])
+    return ranked.groupBy("level", (F.floor(F.col("place") / 50) + 1).alias("wave")).agg(F.count("*").alias("n"))
 
 
-@query("D11_sequence_score", TREE_R + LEVELS + ", pos AS (SELECT id, row_number() OVER (ORDER BY level, id) AS p FROM lev) SELECT greatest(0, 100 - 5 * count(*) FILTER (a.p < b.p))::BIGINT AS score FROM edges e JOIN pos a ON e.source = a.id JOIN pos b ON e.target = b.id")
+@query("D11_sequence_score", GRAPH_R + LEVELS + ", pos AS (SELECT id, row_number() OVER (ORDER BY level, id) AS p FROM lev) SELECT greatest(0, 100 - 5 * count(*) FILTER (a.p < b.p))::BIGINT AS score FROM edges e JOIN pos a ON e.source = a.id JOIN pos b ON e.target = b.id")
 def sequence_score(spark, sf):
     pos = levels(spark, sf).select("id", F.struct("level", "id").alias("p"))
-    joined = tree_edges(spark, sf).join(pos.select(F.col("id").alias("source"), F.col("p").alias("a")), "source").join(pos.select(F.col("id").alias("target"), F.col("p").alias("b")), "target")
+    joined = edges(spark, sf).join(pos.select(F.col("id").alias("source"), F.col("p").alias("a")), "source").join(pos.select(F.col("id").alias("target"), F.col("p").alias("b")), "target")
     return joined.agg(F.greatest(F.lit(0), 100 - 5 * F.count_if(F.col("a") < F.col("b"))).alias("score"))
 
 
-@query("D12_parallel_branches", TREE_R + LEVELS + " SELECT level, count(*) AS independent FROM lev GROUP BY level")
-def branches(spark, sf):
+@query("D12_level_widths", GRAPH_R + LEVELS + " SELECT level, count(*) AS independent FROM lev GROUP BY level")
+def widths(spark, sf):
     return levels(spark, sf).groupBy("level").agg(F.count("*").alias("independent"))
 
 
-RISK = """factors AS (SELECT p_partkey, unnest([CASE WHEN p_size > 40 THEN {'factor': 'size', 'p': 0.8, 'i': 0.9, 'w': 3} END, CASE WHEN p_retailprice > 1000 THEN {'factor': 'price', 'p': 0.5, 'i': 0.7, 'w': 4} END,
-CASE WHEN p_type = 'ECONOMY' THEN {'factor': 'type', 'p': 0.6, 'i': 0.5, 'w': 2} END, CASE WHEN contains(p_name, 'red') THEN {'factor': 'name', 'p': 0.3, 'i': 0.3, 'w': 1} END]) AS f FROM part),
-fs AS (SELECT p_partkey, f.factor AS factor, round(least(10.0, f.p * f.i * f.w * 2.5)::DOUBLE, 6) AS score FROM factors WHERE f IS NOT NULL)"""
-
-
-def risk_factors(spark, sf):
-    make = lambda test, name, p, i, w: F.when(test, F.struct(F.lit(name).alias("factor"), F.lit(p).alias("p"), F.lit(i).alias("i"), F.lit(w).alias("w")))
-    rows = F.array(make(F.col("p_size") > 40, "size", 0.8, 0.9, 3), make(F.col("p_retailprice") > 1000, "price", 0.5, 0.7, 4), make(F.col("p_type") == "ECONOMY", "type", 0.6, 0.5, 2), make(F.col("p_name").contains("red"), "name", 0.3, 0.3, 1))
-    long = table(spark, sf, "part").select("p_partkey", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f"))
-    return long.select("p_partkey", "f.factor", F.round(g.factor_score(F.col("f.p"), F.col("f.i"), F.col("f.w")), 6).alias("score"))
-
-
-query("D13_risk_factors", f"WITH {RISK} SELECT * FROM fs")(risk_factors)
-
-
-@query("D14_factor_score", f"WITH {RISK} SELECT factor, count(*) AS n, max(score) AS top FROM fs GROUP BY factor")
-def factor_scores(spark, sf):
-    return risk_factors(spark, sf).groupBy("factor").agg(F.count("*").alias("n"), F.max("score").alias("top"))
-
-
-@query("D15_module_risk", f"WITH {RISK}, m AS (SELECT p_partkey, avg(score) AS score FROM fs GROUP BY 1) SELECT p_partkey, round(score, 5) AS score, CASE WHEN score >= 7 THEN 'critical' WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM m")
-def module_risk(spark, sf):
-    mean = risk_factors(spark, sf).groupBy("p_partkey").agg(F.avg("score").alias("m"))
-    return mean.select("p_partkey", F.round("m", 5).alias("score"), g.risk_level(F.col("m")).alias("level"))
-
-
-@query("D16_effort", "SELECT doc_id, ceil(n * 0.05 / 8 * CASE WHEN n > 200 THEN 1.5 ELSE 1.0 END * CASE WHEN lang = 'en' THEN 1.0 ELSE 1.25 END)::BIGINT AS days FROM (SELECT doc_id, lang, len(string_split(text, chr(10))) AS n FROM documents)")
-def effort(spark, sf):
-    n = F.size(F.split("text", "\n"))
-    days = g.effort_days(n.cast("double"), 0.05, F.when(n > 200, 1.5).otherwise(1.0), F.when(F.col("lang") == "en", 1.0).otherwise(1.25))
-    return table(spark, sf, "documents").select("doc_id", F.ceil(days).alias("days"))
-
-
 @query("D17_cost", "SELECT o_custkey, ceil(sum(l_quantity * 8 * 0.5 * CASE l_returnflag WHEN 'A' THEN 150 WHEN 'R' THEN 120 ELSE 100 END) * 1.02 * 1.15)::BIGINT AS cost FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def cost(spark, sf):
     rate = F.when(F.col("l_returnflag") == "A", 150).when(F.col("l_returnflag") == "R", 120).otherwise(100)
@@ -421,16 +406,7 @@ def code_metrics(spark, sf):
         F.sum(F.size(F.filter(F.split("text", " "), lambda w: w.isin("the", "des", "los", "und")))).alias("keywords"), F.max(F.size(F.split("text", "\n"))).cast("long").alias("most_lines"), F.round(F.sum(F.log10(1 + F.length("text"))), 4).alias("volume"))
 
 
-@query("D19_phase_costs", """WITH c AS (SELECT p_type, sum(0.3 * p_size + 0.2 * length(p_name) + 0.25 * (p_partkey % 10) + 0.25 * (p_partkey % 7)) AS x FROM part GROUP BY 1)
-SELECT p_type, phase, round(x * share, 4)::DOUBLE AS cost FROM c, (VALUES ('analysis', 0.15), ('design', 0.15), ('build', 0.4), ('test', 0.2), ('deploy', 0.1)) t(phase, share)""")
-def phase_costs(spark, sf):
-    x = F.sum(0.3 * F.col("p_size") + 0.2 * F.length("p_name") + 0.25 * (F.col("p_partkey") % 10) + 0.25 * (F.col("p_partkey") % 7))
-    shares = {"analysis": 0.15, "design": 0.15, "build": 0.4, "test": 0.2, "deploy": 0.1}
-    phases = F.explode(F.create_map(*[F.lit(v) for p in shares.items() for v in p])).alias("phase", "share")
-    return table(spark, sf, "part").groupBy("p_type").agg(x.alias("x")).select("p_type", "x", phases).select("p_type", "phase", F.round(F.col("x") * F.col("share"), 4).alias("cost"))
-
-
-@query("D20_pipeline_order", TREE_R + LEVELS + " SELECT level, min(id) AS first_id, max(id) AS last_id FROM lev GROUP BY level")
+@query("D20_pipeline_order", GRAPH_R + LEVELS + " SELECT level, min(id) AS first_id, max(id) AS last_id FROM lev GROUP BY level")
 def pipeline_order(spark, sf):
     return levels(spark, sf).groupBy("level").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
@@ -440,9 +416,9 @@ def nl_dependencies(spark, sf):
     return g.reach(g.filter_edges(edges(spark, sf), ("calls", "uses", "depends-on", "reads")), at(spark, "c:1"), 3).select("id", "distance")
 
 
-@query("N8_impact_paths", TREE_R + ", w AS (SELECT 'r:0' AS id, ['r:0'] AS path UNION ALL SELECT e.source, list_append(w.path, e.source) FROM w JOIN edges e ON e.target = w.id WHERE len(path) <= 4) SELECT id, array_to_string(path, '<') AS path FROM w WHERE len(path) > 1")
+@query("N8_impact_paths", GRAPH_R + ", w AS (SELECT 'r:0' AS id, ['r:0'] AS path UNION ALL SELECT e.source, list_append(w.path, e.source) FROM w JOIN edges e ON e.target = w.id WHERE len(path) <= 4) SELECT id, array_to_string(path, '<') AS path FROM w WHERE len(path) > 1")
 def impact_paths(spark, sf):
-    back = tree_edges(spark, sf).select("source", "target")
+    back = edges(spark, sf).select("source", "target")
     level = spark.createDataFrame([("r:0", ["r:0"])], "id string, path array<string>")
     found = []
     for _ in range(4):
@@ -456,9 +432,9 @@ def nl_flow(spark, sf):
     return g.data_flow(edges(spark, sf), "s:1", (), ())
 
 
-@query("N10_code_path", TREE + " SELECT other, type FROM (SELECT target AS other, type FROM edges WHERE source = 'n:3' UNION ALL SELECT source, type FROM edges WHERE target = 'n:3')")
+@query("N10_code_path", GRAPH + " SELECT other, type FROM (SELECT target AS other, type FROM edges WHERE source = 'n:3' UNION ALL SELECT source, type FROM edges WHERE target = 'n:3')")
 def code_path(spark, sf):
-    return g.neighbours(tree_edges(spark, sf), "n:3").select("other", "type")
+    return g.neighbours(edges(spark, sf), "n:3").select("other", "type")
 
 
 @query("N11_summary_nodes", GRAPH + " SELECT type, min(id) AS id FROM nodes GROUP BY type")

@@ -25,6 +25,12 @@ SQL = {
   SELECT 'n:' || n_nationkey AS source, 'r:' || n_regionkey AS target, 'depends-on' AS type FROM nation
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'uses' FROM customer
   UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'reads' FROM supplier)""",
+    "modules": """modules AS (
+  SELECT id, k * 37 % 12000 AS loc, k * 7 % 130 AS cyclomatic, CASE WHEN k % 11 <> 0 THEN k * 3 % 100 END AS test_coverage, k * 5 % 100 AS doc_coverage, k * 13 % 250 AS debt_hours,
+         k % 120 AS business_rules, k % 25 AS external_calls, ['low', 'medium', 'high', 'critical'][k % 4 + 1] AS criticality, ['cobol', 'fortran', 'vb6', 'java', 'mixed', 'rpg'][k % 6 + 1] AS language,
+         k % 3 AS owners, coalesce(o.n, 0) AS dependencies, coalesce(i.n, 0) AS dependents
+  FROM (SELECT id, split_part(id, ':', 2)::BIGINT AS k FROM nodes)
+  LEFT JOIN (SELECT source AS id, count(DISTINCT target) AS n FROM edges GROUP BY 1) o USING (id) LEFT JOIN (SELECT target AS id, count(DISTINCT source) AS n FROM edges GROUP BY 1) i USING (id))""",
     "rules": """rules AS (
   SELECT d.doc_id, coalesce(d.text, '') AS text, d.lang AS category, d.source AS domain, coalesce(d.n_chars, 0) AS n_chars,
          CASE WHEN d.n_chars >= 5000 THEN 'critical' WHEN d.n_chars >= 2000 THEN 'high' WHEN d.n_chars >= 800 THEN 'medium' ELSE 'low' END AS criticality,
@@ -92,6 +98,19 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return tree_edges(spark, sf).unionByName(bought.select(ident("c", "o_custkey").alias("source"), ident("s", "l_suppkey").alias("target"), F.lit("calls").alias("type")))
 
 
+def modules(spark: SparkSession, sf: str) -> DataFrame:
+    """Graph nodes as modules: metrics that follow from the number in the id, neighbours from the graph."""
+    k, links = F.split("id", ":")[1].cast("long"), edges(spark, sf)
+    pick = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (k % m + 1).cast("int"))
+    base = nodes(spark, sf).select(
+        "id", (k * 37 % 12000).alias("loc"), (k * 7 % 130).alias("cyclomatic"), F.when(k % 11 != 0, k * 3 % 100).alias("test_coverage"), (k * 5 % 100).alias("doc_coverage"), (k * 13 % 250).alias("debt_hours"),
+        (k % 120).alias("business_rules"), (k % 25).alias("external_calls"), pick(("low", "medium", "high", "critical"), 4).alias("criticality"), pick(("cobol", "fortran", "vb6", "java", "mixed", "rpg"), 6).alias("language"), (k % 3).alias("owners"),
+    )
+    out = links.groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("dependencies"))
+    into = links.groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("dependents"))
+    return base.join(out, "id", "left").join(into, "id", "left").fillna(0, ["dependencies", "dependents"])
+
+
 def rules(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as rules, labels as their reviews."""
     n = F.col("n_chars")
