@@ -79,6 +79,36 @@ def match_effects(legacy: DataFrame, modern: DataFrame, keys: Sequence[str], val
     return a.join(b, [*keys, "nth"], "full_outer").select(*keys, "nth", status.alias("status"))
 
 
+def effect_severity(kind: Column, status: Column) -> Column:
+    """How grave an effect's status is: lost or changed database and network effects are critical; null if matched."""
+    vital = kind.isin("database", "network")
+    return (
+        F.when(status == "matched", None).when(vital & status.isin("missing", "modified"), "critical").when(status.isin("added", "modified"), "warning")
+        .when(kind == "log", "info").otherwise("warning")
+    )
+
+
+def branch_diff(legacy: DataFrame, modern: DataFrame, place: Sequence[str]) -> DataFrame:
+    """``place`` (file, line, condition) with the outcomes that each side took where they differ; null: never reached."""
+    sides = [df.groupBy(*place).agg(F.array_sort(F.collect_set("outcome")).alias(name)) for df, name in ((legacy, "legacy"), (modern, "modern"))]
+    joined = sides[0].join(sides[1], list(place), "full_outer")
+    return joined.where(~F.col("legacy").eqNullSafe(F.col("modern")))
+
+
+def call_diff(legacy: DataFrame, modern: DataFrame, session: str = "session_id", call: str = "type", seq: str = "seq") -> DataFrame:
+    """Calls of each session by their place; (session, place, status): missing, added or different."""
+    numbered = lambda df, name: df.select(session, F.col(call).alias(name), F.expr(f"row_number() OVER (PARTITION BY {session} ORDER BY {seq})").alias("place"))
+    joined = numbered(legacy, "a").join(numbered(modern, "b"), [session, "place"], "full_outer")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "different")
+    return joined.select(session, "place", status.alias("status")).where("status IS NOT NULL")
+
+
+def memory_diff(legacy: DataFrame, modern: DataFrame, keys: Sequence[str], value: str = "value", seq: str = "seq") -> DataFrame:
+    """Variables whose last value differs, with both."""
+    last = lambda df, name: df.groupBy(*keys).agg(F.max_by(value, seq).alias(name))
+    return last(legacy, "legacy").join(last(modern, "modern"), list(keys), "full_outer").where(~F.col("legacy").eqNullSafe(F.col("modern")))
+
+
 def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one side alone, with the side."""
     return a.distinct().subtract(b.distinct()).withColumn("side", F.lit("legacy")).unionByName(b.distinct().subtract(a.distinct()).withColumn("side", F.lit("modern")))
@@ -106,12 +136,18 @@ def latency_summary(df: DataFrame, value: str, group: Sequence[str] = (), accura
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, example: str | None = None, examples: int = 3) -> DataFrame:
-    """The most frequent values of ``by``, with the smallest few examples."""
-    aggregates = [F.count("*").alias("n")]
-    if example:
-        df = df.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {example})"))
-        aggregates.append(F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col(example)))).cast("array<string>"), ",").alias("examples"))
-    return df.groupBy(*by).agg(*aggregates).orderBy(F.desc("n"), *by).limit(k)
+    """The most frequent values of ``by``, with the smallest few examples; ties to the smaller value.
+
+    Examples are sought for those ``k`` values alone, and each task hands on
+    its smallest few of each.
+    """
+    top = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(k)
+    if not example:
+        return top
+    hits = df.join(F.broadcast(top.select(*by)), list(by), "left_semi")
+    hits = hits.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {example})")).where(F.col("_r") <= examples)
+    texts = hits.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(example)).cast("array<string>"), ",").alias("examples"))
+    return top.join(texts, list(by), "left").orderBy(F.desc("n"), *by)
 
 
 def relative_severity(a: Column, b: Column, tolerance: float = 0.01) -> Column:
@@ -126,6 +162,31 @@ def decimal_kind(a: Column, b: Column) -> Column:
     )
 
 
+def text_kind(a: Column, b: Column) -> Column:
+    """What a difference of texts looks like: padding lost, or other characters."""
+    return F.when(a.eqNullSafe(b), "equal").when(a.isNull() | b.isNull(), "output-mismatch").when(F.trim(a) == F.trim(b), "truncation").otherwise("character-encoding")
+
+
+def output_severity(a: Column, b: Column) -> Column:
+    """Cosmetic, minor or major of two numbers."""
+    delta = F.abs(a - b)
+    return F.when(a == b, None).when(delta < 0.01, "cosmetic").when(delta < 1, "minor").otherwise("major")
+
+
+def json_kind(value: Column) -> Column:
+    """The kind of a JSON text: null, boolean, number (whole or not), string, array or object; null counts as missing."""
+    v = F.trim(value)
+    return (
+        F.when(v.isNull() | v.isin("null", "undefined"), "null").when(v.isin("true", "false"), "boolean").when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), "number")
+        .when(v.startswith("{"), "object").when(v.startswith("["), "array").otherwise("string")
+    )
+
+
+def type_severity(a: Column, b: Column) -> Column:
+    """Critical where two JSON values are of different kinds, else null."""
+    return F.when(json_kind(a) != json_kind(b), "critical")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared words over the longer list."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
@@ -141,3 +202,55 @@ def leaves(df: DataFrame, key: str, json: str, depth: int = 3) -> DataFrame:
         level = nested.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("_leaf", "value")).select(key, F.concat_ws(".", "path", "_leaf").alias("path"), "value")
     out.append(level)
     return union_all(out)
+
+
+def deep_compare(legacy: DataFrame, modern: DataFrame, key: str, json: str, tolerance: float = 0.001, ignore: Sequence[str] = (), fold: bool = True, depth: int = 3) -> DataFrame:
+    """(key, path, status) of every leaf of either side: equal, different, missing or added.
+
+    Numbers are equal within ``tolerance``, texts after trimming and, with
+    ``fold``, in any case. Paths in ``ignore`` are left out.
+    """
+    both = [leaves(df, key, json, depth).where(~F.col("path").isin(*ignore)).withColumnRenamed("value", name).withColumn(f"in_{name}", F.lit(True)) for df, name in ((legacy, "a"), (modern, "b"))]
+    a, b = F.col("a"), F.col("b")
+    x, y = a.try_cast("double"), b.try_cast("double")
+    text = (lambda c: F.lower(F.trim(c))) if fold else F.trim
+    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(text(a).eqNullSafe(text(b)))
+    status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "added").when(same, "equal").otherwise("different")
+    return both[0].join(both[1], [key, "path"], "full_outer").select(key, "path", status.alias("status"))
+
+
+def last_divergent(results: DataFrame, order: str, count: int = 10) -> DataFrame:
+    """The newest results that are not equivalent."""
+    return results.where("NOT equivalent").orderBy(F.desc(order)).limit(count)
+
+
+def replay_rates(results: DataFrame) -> DataFrame:
+    """``results(status, legacy_ms, modern_ms)``: percent of each status, mean latencies, mean speedup, improvement in percent."""
+    share = lambda s: F.coalesce(F.try_divide(F.count_if(F.col("status") == s) * 100.0, F.count("*")), F.lit(0.0)).alias(f"{s}_percent")
+    old, new = F.avg("legacy_ms"), F.avg("modern_ms")
+    return results.agg(
+        F.count("*").alias("n"), share("success"), share("mismatch"), share("error"), F.min("modern_ms").alias("low"), F.max("modern_ms").alias("high"), new.alias("mean"),
+        F.avg(F.try_divide("legacy_ms", "modern_ms")).alias("speedup"), F.try_divide((old - new) * 100, old).alias("improvement"), F.try_divide(new, old).alias("ratio"),
+    )
+
+
+def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, direct: float = 0.7) -> DataFrame:
+    """``scores(by, a, b, score)``: in order of ``a`` each takes its best ``b`` over ``least`` not yet taken, of equal ones the first.
+
+    Returns by, a, b, score and kind: direct over ``direct``, else refactored.
+    The scored pairs of one ``by`` (a file) meet in one task.
+    """
+    import pandas as pd
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        used, rows = set(), []
+        for _, some in group.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=True):
+            free = some[~some["b"].isin(used)]
+            if len(free):
+                used.add(free["b"].iloc[0])
+                rows.append(free.iloc[:1])
+        return pd.concat(rows) if rows else group[:0]
+
+    columns = [*by, "a", "b", "score"]
+    kept = scores.where(F.col("score") > least).select(*columns)
+    return kept.groupBy(*by).applyInPandas(match, kept.schema).withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import compare as x
 from tessera.plans.registry import query
-from tessera.plans.roles import legacy_modern, with_roles
+from tessera.plans.roles import legacy_modern, trace, with_roles
 from tessera.session import table
 
 PAIRS = with_roles("pairs")
@@ -43,6 +43,19 @@ def diff_kinds(spark, sf):
     return diffs(spark, sf).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
+JSONS = """js AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN '4.50' WHEN 3 THEN '{"a":1}' WHEN 4 THEN '[1]' ELSE event_type END AS a, CASE WHEN event_id % 12 = 2 THEN '4' WHEN event_id % 5 = 0 THEN '7' ELSE event_type END AS b FROM events)"""
+
+
+@query("X2_type_check", f"""WITH {JSONS}, k AS (SELECT CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'object' WHEN 4 THEN 'array' ELSE 'string' END AS x, CASE WHEN event_id % 12 = 2 OR event_id % 5 = 0 THEN 'number' ELSE 'string' END AS y FROM js)
+SELECT x AS kind, count(*) AS n, count(*) FILTER (x <> y) AS critical FROM k GROUP BY x""")
+def type_check(spark, sf):
+    k, name = F.col("event_id"), F.col("event_type")
+    a = F.when(k % 6 == 0, "null").when(k % 6 == 1, "true").when(k % 6 == 2, "4.50").when(k % 6 == 3, '{"a":1}').when(k % 6 == 4, "[1]").otherwise(name)
+    b = F.when(k % 12 == 2, "4").when(k % 5 == 0, "7").otherwise(name)
+    df = table(spark, sf, "events").select(a.alias("a"), b.alias("b"))
+    return df.groupBy(x.json_kind(F.col("a")).alias("kind")).agg(F.count("*").alias("n"), F.count(x.type_severity(F.col("a"), F.col("b"))).alias("critical"))
+
+
 @query("X3_numeric", INNER + f" SELECT severity, count(*) AS n FROM (SELECT {NUM.format(a='ap', b='bp', t=1e-4)} AS severity FROM i) GROUP BY severity")
 def numeric(spark, sf):
     return joined(spark, sf).groupBy(x.numeric_severity(F.col("ap"), F.col("bp")).alias("severity")).agg(F.count("*").alias("n"))
@@ -81,12 +94,54 @@ def effects(spark, sf):
     return x.match_effects(*legacy_modern(spark, sf), ["k1", "flag"], "quantity", ["k2", "price", "quantity NULLS FIRST"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
+KINDS = "CASE coalesce(a.flag, b.flag) WHEN 'A' THEN 'database' WHEN 'R' THEN 'network' WHEN 'N' THEN 'log' ELSE 'file' END"
+
+
+@query("X7_effect_severity", PAIRS + """, a AS (SELECT k1, flag, quantity, row_number() OVER (PARTITION BY k1, flag ORDER BY k2, price, quantity NULLS FIRST) AS nth FROM legacy), b AS (SELECT k1, flag, quantity, row_number() OVER (PARTITION BY k1, flag ORDER BY k2, price, quantity NULLS FIRST) AS nth FROM modern),
+m AS (SELECT """ + KINDS + """ AS kind, CASE WHEN b.k1 IS NULL THEN 'missing' WHEN a.k1 IS NULL THEN 'added' WHEN a.quantity IS NOT DISTINCT FROM b.quantity THEN 'matched' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.k1 = b.k1 AND a.flag = b.flag AND a.nth = b.nth)
+SELECT kind, CASE WHEN status = 'matched' THEN NULL WHEN kind IN ('database', 'network') AND status <> 'added' THEN 'critical' WHEN status = 'missing' AND kind = 'log' THEN 'info' ELSE 'warning' END AS severity, count(*) AS n FROM m GROUP BY 1, 2""")
+def effect_severities(spark, sf):
+    matched = x.match_effects(*legacy_modern(spark, sf), ["k1", "flag"], "quantity", ["k2", "price", "quantity NULLS FIRST"])
+    kind = F.when(F.col("flag") == "A", "database").when(F.col("flag") == "R", "network").when(F.col("flag") == "N", "log").otherwise("file")
+    return matched.groupBy(kind.alias("kind"), x.effect_severity(kind, F.col("status")).alias("severity")).agg(F.count("*").alias("n"))
+
+
 @query("X8_set_differences", PAIRS + " SELECT 'legacy' AS side, count(*) AS n FROM (SELECT k1, flag FROM legacy EXCEPT SELECT k1, flag FROM modern) UNION ALL SELECT 'modern', count(*) FROM (SELECT k1, flag FROM modern EXCEPT SELECT k1, flag FROM legacy)")
 def set_differences(spark, sf):
     a, b = (df.select("k1", "flag") for df in legacy_modern(spark, sf))
     return x.set_differences(a, b).groupBy("side").agg(F.count("*").alias("n"))
 
 
+TRACES = with_roles("trace") + ", modern AS (SELECT session_id, seq, CASE WHEN event_id % 13 = 0 THEN 'click' ELSE type END AS type, CASE WHEN event_id % 17 = 0 THEN value + 100 ELSE value END AS value FROM trace WHERE event_id % 29 <> 0)"
+
+
+def traces(spark, sf):
+    old = trace(spark, sf).select("event_id", "session_id", "seq", "type", "value")
+    k = F.col("event_id")
+    new = old.where(k % 29 != 0).select("session_id", "seq", F.when(k % 13 == 0, "click").otherwise(F.col("type")).alias("type"), F.when(k % 17 == 0, F.col("value") + 100).otherwise(F.col("value")).alias("value"))
+    return old, new
+
+
+@query("X8_branches", TRACES + """, a AS (SELECT session_id, type, list_sort(list(DISTINCT value > 60)) AS o FROM trace GROUP BY 1, 2), b AS (SELECT session_id, type, list_sort(list(DISTINCT value > 60)) AS o FROM modern GROUP BY 1, 2)
+SELECT session_id, type, array_to_string(list_transform(a.o, lambda v: CASE WHEN v THEN 'true' ELSE 'false' END), ' ') AS legacy, array_to_string(list_transform(b.o, lambda v: CASE WHEN v THEN 'true' ELSE 'false' END), ' ') AS modern FROM a FULL JOIN b USING (session_id, type) WHERE a.o IS DISTINCT FROM b.o""")
+def branches(spark, sf):
+    old, new = (df.withColumn("outcome", F.col("value") > 60) for df in traces(spark, sf))
+    found = x.branch_diff(old, new, ["session_id", "type"])
+    return found.select("session_id", "type", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("legacy", "modern")])
+
+
+@query("X8_calls", TRACES + """, a AS (SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS p FROM trace), b AS (SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS p FROM modern)
+SELECT CASE WHEN b.type IS NULL THEN 'missing' WHEN a.type IS NULL THEN 'added' ELSE 'different' END AS status, count(*) AS n FROM a FULL JOIN b USING (session_id, p) WHERE a.type IS DISTINCT FROM b.type GROUP BY 1""")
+def calls(spark, sf):
+    return x.call_diff(*traces(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("X8_memory", TRACES + """, a AS (SELECT session_id, type, arg_max(value, seq) AS v FROM trace GROUP BY 1, 2), b AS (SELECT session_id, type, arg_max(value, seq) AS v FROM modern GROUP BY 1, 2)
+SELECT session_id, type, a.v AS legacy, b.v AS modern FROM a FULL JOIN b USING (session_id, type) WHERE a.v IS DISTINCT FROM b.v""")
+def memory(spark, sf):
+    return x.memory_diff(*traces(spark, sf), ["session_id", "type"])
+
+
 @query("X9_branch_coverage", "WITH b AS (SELECT event_type, count(DISTINCT value > 50) AS sides FROM events GROUP BY 1) SELECT round(100.0 * sum(sides) / (2 * count(*)), 6)::DOUBLE AS coverage, count(*) AS locations FROM b")
 def branch_coverage(spark, sf):
     sides = table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct(F.col("value") > 50).alias("sides"))
@@ -117,6 +172,19 @@ def confidence(spark, sf):
     return out.select(F.round("confidence", 6).alias("confidence"), "risk")
 
 
+RATES = INNER + ", r AS (SELECT CASE WHEN bq IS NULL THEN 'error' WHEN abs(ap - bp) > 0.01 THEN 'mismatch' ELSE 'success' END AS status, ap AS a, bp AS b FROM i)"
+
+
+def replayed(spark, sf):
+    status = F.when(F.col("bq").isNull(), "error").when(F.abs(F.col("ap") - F.col("bp")) > 0.01, "mismatch").otherwise("success")
+    return joined(spark, sf).select("k1", "k2", status.alias("status"), F.col("ap").alias("legacy_ms"), F.col("bp").alias("modern_ms"))
+
+
+@query("X10_performance", RATES + " SELECT round(avg(b) / avg(a), 8) AS ratio FROM r")
+def performance(spark, sf):
+    return x.replay_rates(replayed(spark, sf)).select(F.round("ratio", 8).alias("ratio"))
+
+
 LEAF = "SELECT event_id, '$.k' AS path, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events"
 
 
@@ -125,6 +193,31 @@ def deep(spark, sf):
     return x.leaves(table(spark, sf, "events"), "event_id", "props")
 
 
+def documents_of(spark, sf, kind, day, run, more):
+    """Events as JSON objects."""
+    text = lambda c: c.cast("string")
+    parts = [F.lit('{"user":'), text(F.col("user_id")), F.lit(',"kind":"'), kind, F.lit('","at":{"day":'), text(day), F.lit(',"run":'), text(run), F.lit("}"), more, F.lit("}")]
+    return table(spark, sf, "events").select("event_id", F.concat(*parts).alias("doc"))
+
+
+def versions(spark, sf):
+    """Two versions of every event: case, padding, small and large changes, lost and added leaves."""
+    k, day, name = F.col("event_id"), F.dayofmonth("ts"), F.col("event_type")
+    old = documents_of(spark, sf, name, day, k, F.when(k % 5 == 0, ',"old":1').otherwise(""))
+    kind = F.when(k % 3 == 0, F.concat(F.upper(name), F.lit(" "))).when(k % 7 == 0, "other").otherwise(name)
+    new = documents_of(spark, sf, kind, F.when(k % 11 == 0, day + F.lit(1)).when(k % 4 == 0, (day + F.lit(0.0005)).cast("decimal(10,4)")).otherwise(day.cast("decimal(10,4)")), k + 1, F.when(k % 6 == 0, ',"new":2').otherwise(""))
+    return old, new
+
+
+LEAVES = """lf AS (SELECT event_id, unnest([{'p': '$.user', 's': 'equal'}, {'p': '$.kind', 's': CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN 'different' ELSE 'equal' END}, {'p': '$.at.day', 's': CASE WHEN event_id % 11 = 0 THEN 'different' ELSE 'equal' END},
+{'p': '$.old', 's': CASE WHEN event_id % 5 = 0 THEN 'missing' END}, {'p': '$.new', 's': CASE WHEN event_id % 6 = 0 THEN 'added' END}]) AS x FROM events)"""
+
+
+@query("X12_deep_compare", f"WITH {LEAVES} SELECT x.p AS path, x.s AS status, count(*) AS n FROM lf WHERE x.s IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT '$.at.run', 'different', count(*) FROM events")
+def deep_compare(spark, sf):
+    return x.deep_compare(*versions(spark, sf), "event_id", "doc").groupBy("path", "status").agg(F.count("*").alias("n"))
+
+
 @query("X13_equivalence_report", SUMMARY + f", t AS (SELECT *, {REPORT} FROM s) SELECT round(r, 8) AS rate, CASE WHEN r >= 0.99 THEN 'equivalent' WHEN r >= 0.95 THEN 'mostly-equivalent' ELSE 'different' END AS status FROM t")
 def equivalence(spark, sf):
     out = summary(spark, sf).select(*x.report(F.col("total"), F.col("passed"), F.col("critical")))
@@ -136,6 +229,12 @@ def latency(spark, sf):
     return x.latency_summary(table(spark, sf, "events"), "value", ["event_type"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("X14_last_divergent", INNER + " SELECT k1, k2 FROM i WHERE NOT abs(ap - bp) <= 0.01 ORDER BY k1 * 10 + k2 DESC LIMIT 10")
+def last_divergent(spark, sf):
+    results = joined(spark, sf).select("k1", "k2", (F.col("k1") * 10 + F.col("k2")).alias("at"), (F.abs(F.col("ap") - F.col("bp")) <= 0.01).alias("equivalent"))
+    return x.last_divergent(results, "at").select("k1", "k2")
+
+
 @query("X15_positional_alignment", PAIRS + """, a AS (SELECT k1, price, row_number() OVER (PARTITION BY k1 ORDER BY k2, price) AS p FROM legacy), b AS (SELECT k1, price, row_number() OVER (PARTITION BY k1 ORDER BY k2, price) AS p FROM modern)
 SELECT count(*) FILTER (a.k1 IS NULL OR b.k1 IS NULL) AS unmatched, count(*) FILTER (abs(a.price - b.price) > 0.001) AS different, count(*) AS positions FROM a FULL JOIN b ON a.k1 = b.k1 AND a.p = b.p""")
 def positional(spark, sf):
@@ -151,6 +250,12 @@ def shadow(spark, sf):
     return joined(spark, sf).groupBy("k1").agg(n.alias("differences")).where("differences > 0")
 
 
+@query("X16_ignored_leaves", f"WITH {LEAVES} SELECT event_id, count(*) FILTER (x.s = 'equal') AS equal, count(*) FILTER (x.s <> 'equal') AS differences FROM lf WHERE x.s IS NOT NULL AND x.p <> '$.kind' GROUP BY 1")
+def ignored_leaves(spark, sf):
+    found = x.deep_compare(*versions(spark, sf), "event_id", "doc", ignore=("$.at.run", "$.kind"))
+    return found.groupBy("event_id").agg(F.count_if(F.col("status") == "equal").alias("equal"), F.count_if(F.col("status") != "equal").alias("differences"))
+
+
 @query("X17_shadow_statistics", INNER + " SELECT count(*) AS n, count(*) FILTER (abs(ap - bp) <= 0.01) AS equivalent, round(avg(abs(ap - bp)), 6) AS mean_delta FROM i")
 def shadow_statistics(spark, sf):
     delta = F.abs(F.col("ap") - F.col("bp"))
@@ -175,6 +280,18 @@ def replay_summary(spark, sf):
     return x.top_k(diffs(spark, sf).withColumn("id", F.col("k1") * 10 + F.col("k2")), ["field"], 5, "id")
 
 
+@query("X20_replay_rates", RATES + " SELECT count(*) AS n, round(100.0 * count(*) FILTER (status = 'success') / count(*), 6)::DOUBLE AS success_percent, round(100.0 * count(*) FILTER (status = 'mismatch') / count(*), 6)::DOUBLE AS mismatch_percent, round(100.0 * count(*) FILTER (status = 'error') / count(*), 6)::DOUBLE AS error_percent, min(b) AS low, max(b) AS high, round(avg(b), 6) AS mean, round(avg(a / b), 8) AS speedup FROM r")
+def rates(spark, sf):
+    out = x.replay_rates(replayed(spark, sf))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("success_percent", "mismatch_percent", "error_percent")], "low", "high", F.round("mean", 6).alias("mean"), F.round("speedup", 8).alias("speedup"))
+
+
+@query("X20_replay_errors", RATES.replace("ap AS a, bp AS b", "af, k1 * 10 + k2 AS id, ap AS a, bp AS b") + ", e AS (SELECT af AS flag, id, row_number() OVER (PARTITION BY af ORDER BY id) AS k FROM r WHERE status = 'error') SELECT flag, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (k <= 3) AS examples FROM e GROUP BY flag ORDER BY n DESC, flag LIMIT 5")
+def replay_errors(spark, sf):
+    failed = joined(spark, sf).where("bq IS NULL").select(F.col("af").alias("flag"), (F.col("k1") * 10 + F.col("k2")).alias("id"))
+    return x.top_k(failed, ["flag"], 5, "id")
+
+
 @query("X21_input_mapping", "SELECT o_orderkey AS order_id, o_custkey AS customer, upper(o_orderpriority) AS priority FROM orders")
 def mapping(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").withColumnsRenamed({"o_orderkey": "order_id", "o_custkey": "customer", "o_orderpriority": "priority"}).withColumn("priority", F.upper("priority"))
@@ -185,6 +302,11 @@ def traffic(spark, sf):
     return joined(spark, sf).agg(F.round(F.avg((F.col("ap") == F.col("bp")).cast("int")), 8).alias("consistency"), F.round((F.avg("ap") - F.avg("bp")) * 100 / F.avg("ap"), 6).alias("improvement"))
 
 
+@query("X22_differing_paths", f"WITH {LEAVES}, d AS (SELECT x.p AS path FROM lf WHERE x.s <> 'equal' UNION ALL SELECT '$.at.run' FROM events) SELECT path, count(*) AS n FROM d GROUP BY path ORDER BY n DESC, path LIMIT 10")
+def differing_paths(spark, sf):
+    return x.top_k(x.deep_compare(*versions(spark, sf), "event_id", "doc").where("status <> 'equal'"), ["path"], 10)
+
+
 @query("X23_run_vs_run", INNER + " SELECT severity, count(*) AS n FROM (SELECT CASE WHEN ap IS NOT DISTINCT FROM bp THEN NULL WHEN abs(ap - bp) > abs(ap) * 0.01 THEN 'major' ELSE 'minor' END AS severity FROM i) GROUP BY 1")
 def run_vs_run(spark, sf):
     return joined(spark, sf).groupBy(x.relative_severity(F.col("ap"), F.col("bp")).alias("severity")).agg(F.count("*").alias("n"))
@@ -197,6 +319,18 @@ def difference_kind(spark, sf):
     return table(spark, sf, "part").groupBy(x.decimal_kind(p, q).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("X24_text_kinds", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'equal' WHEN 1 THEN 'truncation' ELSE 'character-encoding' END AS kind, count(*) AS n FROM part GROUP BY 1")
+def text_kinds(spark, sf):
+    k, a = F.col("p_partkey") % 3, F.col("p_name")
+    b = F.when(k == 0, a).when(k == 1, F.concat(a, F.lit("  "))).otherwise(F.concat(a, F.lit("\ufffd")))
+    return table(spark, sf, "part").groupBy(x.text_kind(a, b).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("X24_output_severity", INNER + " SELECT CASE WHEN ap = bp THEN NULL WHEN abs(ap - bp) < 0.01 THEN 'cosmetic' WHEN abs(ap - bp) < 1 THEN 'minor' ELSE 'major' END AS severity, count(*) AS n FROM i GROUP BY 1")
+def output_severity(spark, sf):
+    return joined(spark, sf).groupBy(x.output_severity(F.col("ap"), F.col("bp")).alias("severity")).agg(F.count("*").alias("n"))
+
+
 @query("X25_strangler_leaves", "SELECT event_type, count(*) AS n FROM events WHERE abs(CAST(json_extract_string(props, '$.k') AS DOUBLE) - value) > 0.0001 GROUP BY 1")
 def strangler(spark, sf):
     leaf = x.leaves(table(spark, sf, "events"), "event_id", "props")
@@ -220,3 +354,13 @@ def fragments(spark, sf):
     pairs = a.join(b, (F.col("pa") < F.col("pb")) & (a["w"] == b["w"])).select("pa", "ta", "pb", "tb").distinct()
     scored = pairs.withColumn("s", x.token_overlap(F.col("ta"), F.col("tb"))).where("s > 0.3")
     return scored.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
+
+
+@query("X27_greedy_matches")
+def greedy(spark, sf):
+    words = table(spark, sf, "part").select("p_brand", "p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("t"))
+    # The two halves of a brand's parts stand for the fragments of a file and of its successor.
+    a = words.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("a"), F.col("t").alias("ta"), F.explode("t").alias("w"))
+    b = words.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("b"), F.col("t").alias("tb"), F.explode("t").alias("w"))
+    pairs = a.join(b, ["p_brand", "w"]).select("p_brand", "a", "ta", "b", "tb").distinct()
+    return x.greedy_matches(pairs.select("p_brand", "a", "b", x.token_overlap(F.col("ta"), F.col("tb")).alias("score")), ["p_brand"])
