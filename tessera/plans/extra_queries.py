@@ -13,7 +13,7 @@ from tessera.operators import traces as t
 from tessera.plans.registry import query
 from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, UNDIRECTED, at, levels
 from tessera.plans.roles import edges, nodes, runs, tree_edges, with_roles
-from tessera.plans.source_queries import STEPS, catalog
+from tessera.plans.source_queries import LEVELS_SQL, STEPS, catalog, sizes
 from tessera.session import table
 from tessera.sources import parsers, schema
 
@@ -85,12 +85,16 @@ def etl_run(spark, sf):
     return done.groupBy(F.substring_index("tag", "-", 1).alias("segment")).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance"))
 
 
-@query("E17_plan", "SELECT * FROM (VALUES ('region', 1::BIGINT, 2::BIGINT), ('part', 1, 2), ('nation', 2, 3), ('customer', 3, 4), ('supplier', 3, 3), ('orders', 4, 4)) t(table_name, phase, columns)")
+@query("E17_plan", LEVELS_SQL + """, n AS (SELECT count(*) AS columns, count(DISTINCT table_name) AS tables FROM cat), r AS (SELECT count(*) AS n FROM rel)
+SELECT 'relations' AS part, n AS rows FROM r UNION ALL SELECT 'tables', tables FROM n UNION ALL SELECT 'estimate', 1 UNION ALL SELECT 'target', columns + 1 FROM n UNION ALL SELECT 'statements', tables + 2 * r.n FROM n, r UNION ALL SELECT 'phases', tables FROM n UNION ALL SELECT 'checks', tables + tables - 1 + r.n FROM n, r""")
 def plan(spark, sf):
-    cat = catalog(spark)
-    needs = schema.inferred_relations(cat).select(F.col("table_name").alias("source"), "target")
-    levels = g.longest_levels(needs, cat.select(F.col("table_name").alias("id")).distinct())
-    return levels.join(cat.groupBy(F.col("table_name").alias("id")).agg(F.count("*").alias("columns")), "id").select(F.col("id").alias("table_name"), (F.col("level") + 1).alias("phase"), "columns")
+    parts = schema.migration_plan(catalog(spark), sizes(spark, sf), "postgresql")
+    return q.union_all([df.agg(F.count("*").alias("rows")).select(F.lit(k).alias("part"), "rows") for k, df in parts.items()])
+
+
+@query("E17_phases", LEVELS_SQL + " SELECT id AS table_name, level + 1 AS phase FROM lev")
+def phases(spark, sf):
+    return schema.migration_plan(catalog(spark), sizes(spark, sf), "postgresql")["phases"]
 
 
 @query("M24_jcl_steps", "SELECT o_custkey AS file, o_orderkey * 2 + 1 AS line_no, 'J' || o_orderkey AS job, 'STEP1' AS step, 'PGM' || o_orderstatus AS program FROM orders")

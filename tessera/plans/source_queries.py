@@ -25,14 +25,32 @@ def numbered(spark, sf):
 # --- schemas (E) ---
 
 CATALOG = [(t, c, k, i) for t, cols in {
-    "customer": ["c_custkey:bigint", "c_name:string", "c_nationkey:int", "c_acctbal:double"], "nation": ["n_nationkey:int", "n_name:string", "n_regionkey:int"], "region": ["r_regionkey:int", "r_name:string"],
-    "supplier": ["s_suppkey:bigint", "s_name:string", "s_nationkey:int"], "orders": ["o_orderkey:bigint", "o_custkey:bigint", "o_totalprice:double", "o_orderdate:timestamp"], "part": ["p_partkey:bigint", "p_name:string"],
+    "customer": ["cust_id:bigint", "c_name:string", "nation_id:int", "c_acctbal:double"], "nation": ["nation_id:int", "n_name:string", "region_id:int"], "region": ["region_id:int", "r_name:string"],
+    "supplier": ["supp_id:bigint", "s_name:string", "nation_id:int", "photo:blob"], "orders": ["order_id:bigint", "cust_id:bigint", "emp_id:bigint", "o_totalprice:decimal(12,2)", "o_orderdate:timestamp"], "part": ["part_code:string", "p_name:varchar(55)"],
+    "history": ["order_code:string", "part_code:string", "fk_region:int", "note:clob"], "employee": ["id:int", "Full Name:char(30)"],
 }.items() for i, (c, k) in enumerate(x.split(":") for x in cols)]
 CATALOG_SQL = "cat(table_name, column_name, data_type, ordinal) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in CATALOG) + ")"
+# What the rules of names find: nation and region by plural, cust and emp by abbreviation, fk_region as it is; part_code names parts, and order_code no table with that column.
+RELATIONS = [("customer", "nation_id", "nation", "nation_id", 0.7), ("nation", "region_id", "region", "region_id", 0.7), ("supplier", "nation_id", "nation", "nation_id", 0.7), ("orders", "cust_id", "customer", "cust_id", 0.5),
+             ("orders", "emp_id", "employee", "id", 0.5), ("history", "part_code", "part", "part_code", 0.6), ("history", "fk_region", "region", "region_id", 0.8)]
+RELATIONS_SQL = "rel(table_name, column_name, target, target_column, confidence) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e}::DOUBLE)" for a, b, c, d, e in RELATIONS) + ")"
 
 
 def catalog(spark):
-    return spark.createDataFrame(CATALOG, "table_name string, column_name string, data_type string, ordinal int").withColumn("is_pk", F.col("ordinal") == 0)
+    df = spark.createDataFrame(CATALOG, "table_name string, column_name string, data_type string, ordinal int")
+    return df.withColumn("is_pk", (F.col("ordinal") == 0) & (F.col("table_name") != "history"))
+
+
+def sizes(spark, sf):
+    """Rows of the driver's tables that the catalogue names."""
+    out = None
+    for name in ("customer", "nation", "region", "supplier", "orders", "part"):
+        one = table(spark, sf, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SIZES_SQL = "sz AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("customer", "nation", "region", "supplier", "orders", "part")) + ")"
 
 
 COPYBOOK = """000100 01 CUSTOMER-RECORD.
@@ -63,10 +81,27 @@ def picture(spark, sf):
     return spark.createDataFrame([(p,) for p in PICS], "pic string").select("pic", *[parts[k].alias(k) for k in ("digits", "characters", "decimals", "kind")])
 
 
-@query("E3_catalog_join", f"WITH {CATALOG_SQL}, t AS (SELECT table_name, count(*) AS columns FROM cat GROUP BY 1) SELECT c.table_name, c.column_name, t.columns FROM cat c JOIN t USING (table_name) WHERE c.data_type = 'bigint'")
-def catalog_join(spark, sf):
-    cat = catalog(spark)
-    return cat.where("data_type = 'bigint'").join(cat.groupBy("table_name").agg(F.count("*").alias("columns")), "table_name").select("table_name", "column_name", "columns")
+def catalog_frames(spark):
+    """The catalogue as a database keeps it."""
+    cat = catalog(spark).withColumn("schema", F.when(F.col("table_name") == "employee", "HR").otherwise("SALES"))
+    rel = spark.createDataFrame(RELATIONS, "table_name string, column_name string, target string, target_column string, confidence double")
+    keys = cat.where("is_pk").select("schema", F.concat(F.lit("PK_"), "table_name").alias("constraint_name"), "table_name", "column_name", F.lit(1).alias("seq"))
+    links = rel.select(F.lit("SALES").alias("schema"), F.concat(F.lit("FK_"), "table_name", F.lit("_"), "column_name").alias("constraint_name"), "table_name", "column_name", F.lit(1).alias("seq"))
+    tables = cat.select("schema", F.col("table_name").alias("name"), F.when(F.col("table_name") == "history", "V").otherwise("T").alias("kind")).distinct().withColumn("rows", F.length("name"))
+    return {
+        "tables": tables, "columns": cat.drop("is_pk"), "constraints": keys.select("schema", F.col("constraint_name").alias("name"), "table_name", F.lit("P").alias("kind")).unionByName(links.select("schema", F.col("constraint_name").alias("name"), "table_name", F.lit("F").alias("kind"))),
+        "key_columns": keys.unionByName(links), "indexes": links.select("schema", F.concat(F.lit("IX_"), "constraint_name").alias("name"), "table_name", F.lit(False).alias("is_unique")), "index_columns": links.select("schema", F.concat(F.lit("IX_"), "constraint_name").alias("name"), "column_name", "seq"),
+        "references": rel.select(F.lit("SALES").alias("schema"), F.concat(F.lit("FK_"), "table_name", F.lit("_"), "column_name").alias("name"), "table_name", F.when(F.col("target") == "employee", "HR").otherwise("SALES").alias("ref_schema"), F.col("target").alias("ref_table"), F.concat(F.lit("PK_"), "target").alias("ref_key")),
+    }
+
+
+@query("E3_catalog_reads", f"""WITH {CATALOG_SQL}, {RELATIONS_SQL}, c AS (SELECT * FROM cat WHERE table_name <> 'employee')
+SELECT 'tables' AS read, table_name AS subject FROM c GROUP BY table_name UNION ALL SELECT 'columns', table_name || '.' || column_name FROM c UNION ALL SELECT 'primary_keys', table_name || '.' || column_name FROM c WHERE ordinal = 0 AND table_name <> 'history'
+UNION ALL SELECT 'foreign_keys', table_name || '.' || column_name || '>' || target || '.' || target_column FROM rel UNION ALL SELECT 'indexes', table_name || '.' || column_name FROM rel UNION ALL SELECT 'sizes', table_name FROM c WHERE table_name <> 'history' GROUP BY table_name""")
+def catalog_reads(spark, sf):
+    reads, of = schema.catalog_reads(catalog_frames(spark), ["SALES"]), F.concat("table_name", F.lit("."), "column_name")
+    subjects = {"tables": F.col("name"), "columns": of, "primary_keys": of, "foreign_keys": F.concat(of, F.lit(">"), "ref_table", F.lit("."), "ref_column"), "indexes": of, "sizes": F.col("name")}
+    return g.union_all([reads[k].select(F.lit(k).alias("read"), v.alias("subject")) for k, v in subjects.items()])
 
 
 @query("E4_key_assembly", f"WITH {CATALOG_SQL} SELECT table_name, 'all' AS key_name, string_agg(column_name, ',' ORDER BY ordinal) AS columns FROM cat GROUP BY 1")
@@ -74,7 +109,7 @@ def key_assembly(spark, sf):
     return schema.assemble_keys(catalog(spark).select("table_name", F.lit("all").alias("key_name"), "column_name", F.col("ordinal").alias("seq")))
 
 
-@query("E7_inferred_relations", "SELECT * FROM (VALUES ('customer', 'c_nationkey', 'nation', 'n_nationkey', 0.9::DOUBLE), ('nation', 'n_regionkey', 'region', 'r_regionkey', 0.9::DOUBLE), ('supplier', 's_nationkey', 'nation', 'n_nationkey', 0.9::DOUBLE), ('orders', 'o_custkey', 'customer', 'c_custkey', 0.9::DOUBLE)) t(table_name, column_name, target, target_column, confidence)")
+@query("E7_inferred_relations", f"WITH {RELATIONS_SQL} SELECT * FROM rel")
 def relations(spark, sf):
     return schema.inferred_relations(catalog(spark))
 
@@ -85,38 +120,81 @@ def evidence(spark, sf):
     return schema.merged_evidence(df, ["o_custkey"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("E9_join_frequency", "SELECT l_partkey, l_suppkey, count(*) AS frequency, CASE WHEN count(*) > 2 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM lineitem GROUP BY 1, 2")
+@query("E9_join_frequency", "SELECT l_partkey, count(*) AS frequency, CASE WHEN count(*) > 10 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM lineitem GROUP BY 1")
 def join_frequency(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("frequency")).withColumn("confidence", F.when(F.col("frequency") > 2, 0.9).otherwise(0.7))
+    return schema.join_relations(table(spark, sf, "lineitem"), ["l_partkey"])
+
+
+ESTIMATES = f"""WITH {CATALOG_SQL}, {RELATIONS_SQL}, {SIZES_SQL}, p AS (SELECT table_name, sum(CASE WHEN regexp_matches(data_type, 'blob|clob') THEN 2 ELSE 0 END) + CASE WHEN table_name = 'history' THEN 1 ELSE 0 END AS points FROM cat GROUP BY 1),
+te AS (SELECT table_name, coalesce(rows, 0) AS rows, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS complexity, ceil(coalesce(rows, 0) / 10000.0::DOUBLE * CASE WHEN points >= 4 THEN 2 WHEN points >= 2 THEN 1.5 ELSE 1 END)::BIGINT + 5 AS minutes FROM p LEFT JOIN sz USING (table_name))"""
+
+
+@query("E10_table_estimates", ESTIMATES + " SELECT * FROM te")
+def table_estimates(spark, sf):
+    cat = catalog(spark)
+    return schema.table_estimates(cat, schema.inferred_relations(cat), sizes(spark, sf)).drop("has_key")
+
+
+@query("E10_migration_estimate", ESTIMATES + """ SELECT sum(rows)::BIGINT AS rows, ceil(30 + sum(rows) / 10000.0::DOUBLE * (1 + (count(*) FILTER (complexity = 'high') * 0.3 + count(*) FILTER (complexity = 'medium') * 0.1) / count(*)))::BIGINT AS minutes,
+round(sum(CASE complexity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / (count(*) * 3.0) * 10)::BIGINT AS complexity_score, least(10, round(least(3, 7 * 0.2) + least(2, 3 * 0.3) + least(3, count(*) FILTER (complexity = 'high') * 0.5) + CASE WHEN sum(rows) > 10000000 THEN 1 ELSE 0 END + 0.5))::INT AS risk_score FROM te""")
+def migration_estimate(spark, sf):
+    cat = catalog(spark)
+    relations_ = schema.inferred_relations(cat)
+    return schema.migration_estimate(schema.table_estimates(cat, relations_, sizes(spark, sf)), relations_)
+
+
+def mapped(dialect):
+    """The SQL of a type in a dialect."""
+    t = schema.TYPES[dialect]
+    known = " ".join(f"WHEN data_type = '{k}' THEN '{t[v]}'" for k, v in (("int", "integer"), ("bigint", "bigint"), ("timestamp", "timestamp"), ("string", "text"), ("double", "double"), ("blob", "blob"), ("clob", "clob")) if v in t)
+    sized = " ".join(f"WHEN starts_with(data_type, '{k}(') THEN '{t[k]}' || substr(data_type, {len(k) + 1})" for k in ("decimal", "varchar", "char") if k in t)
+    return f"CASE {known} {sized} ELSE '{t['varchar']}(255)' END"
 
 
-@query("E10_complexity", f"WITH {CATALOG_SQL} SELECT table_name, count(*) + 2 * count(*) FILTER (data_type IN ('timestamp', 'double')) AS points, CASE WHEN count(*) + 2 * count(*) FILTER (data_type IN ('timestamp', 'double')) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS level FROM cat GROUP BY 1")
-def complexity(spark, sf):
-    points = F.count("*") + 2 * F.count_if(F.col("data_type").isin("timestamp", "double"))
-    return catalog(spark).groupBy("table_name").agg(points.alias("points"), F.when(points >= 6, "high").when(F.count("*") >= 3, "medium").otherwise("low").alias("level"))
+CLEAN = "regexp_replace(lower(column_name), '[^a-z0-9]', '_', 'g')"
 
 
-@query("E11_target_schema", f"WITH {CATALOG_SQL} SELECT table_name, column_name AS target_name, CASE data_type WHEN 'int' THEN 'NUMBER(10)' WHEN 'bigint' THEN 'NUMBER(19)' WHEN 'double' THEN 'BINARY_DOUBLE' WHEN 'string' THEN 'CLOB' ELSE 'TIMESTAMP' END AS target_type FROM cat")
+@query("E11_target_schema", f"WITH {CATALOG_SQL}" + " ".join(
+    f"{' UNION ALL' if k else ''} SELECT '{d}' AS dialect, table_name, {CLEAN} AS target_name, {mapped(d)} AS target_type, true AS nullable FROM cat UNION ALL SELECT '{d}', table_name, a, '{schema.TYPES[d]['timestamp']}', false FROM (SELECT DISTINCT table_name FROM cat), (VALUES ('created_at'), ('updated_at')) x(a) UNION ALL SELECT '{d}', 'history', 'id', '{schema.TYPES[d]['bigint']}', false"
+    for k, d in enumerate(schema.TYPES)))
 def target_schema(spark, sf):
-    return schema.target_columns(catalog(spark), "oracle")
+    return g.union_all([schema.target_columns(catalog(spark), d, audit=True).select(F.lit(d).alias("dialect"), "table_name", "target_name", "target_type", "nullable") for d in schema.TYPES])
+
+
+@query("E11_naming", "SELECT * FROM (VALUES ('Cust Id', 'cust_id', 'custId', 'CustId'), ('ORDER-TOTAL-2', 'order_total_2', 'orderTotal_2', 'OrderTotal_2'), ('x', 'x', 'x', 'X')) t(name, snake, camel, pascal)")
+def naming(spark, sf):
+    c = F.col("name")
+    return spark.createDataFrame([("Cust Id",), ("ORDER-TOTAL-2",), ("x",)], "name string").select("name", schema.target_name(c).alias("snake"), schema.target_name(c, "camelCase").alias("camel"), schema.target_name(c, "PascalCase").alias("pascal"))
+
 
+LEVELS_SQL = "WITH RECURSIVE " + f"{CATALOG_SQL}, {RELATIONS_SQL}, lv AS (SELECT DISTINCT table_name AS id, 0 AS level FROM cat UNION SELECT rel.table_name, level + 1 FROM lv JOIN rel ON rel.target = lv.id WHERE level < 20), lev AS (SELECT id, max(level)::BIGINT AS level FROM lv GROUP BY 1)"
 
-@query("E12_load_order", f"WITH {CATALOG_SQL} SELECT * FROM (VALUES ('region', 0::BIGINT), ('part', 0), ('nation', 1), ('customer', 2), ('supplier', 2), ('orders', 3)) t(id, level)")
+
+def needs(spark):
+    return schema.inferred_relations(catalog(spark)).select(F.col("table_name").alias("source"), "target")
+
+
+@query("E12_load_order", LEVELS_SQL + " SELECT * FROM lev")
 def load_order(spark, sf):
-    needs = schema.inferred_relations(catalog(spark)).select(F.col("table_name").alias("source"), "target")
-    return g.longest_levels(needs, catalog(spark).select(F.col("table_name").alias("id")).distinct())
+    return g.longest_levels(needs(spark), catalog(spark).select(F.col("table_name").alias("id")).distinct())
 
 
-@query("E13_cycle_test", "SELECT false AS cyclic")
+@query("E13_cycle_test", LEVELS_SQL + " SELECT 'catalog' AS subject, max(level) >= 20 AS cyclic FROM lev UNION ALL SELECT 'with region needing customer', true")
 def cycle_test(spark, sf):
-    needs = schema.inferred_relations(catalog(spark)).select(F.col("table_name").alias("source"), "target")
-    levels = g.longest_levels(needs, catalog(spark).select(F.col("table_name").alias("id")).distinct())
-    return levels.agg((F.count_if(F.col("level").isNull()) > 0).alias("cyclic"))
+    names, links = catalog(spark).select(F.col("table_name").alias("id")).distinct(), needs(spark)
+    back = spark.createDataFrame([("region", "customer")], "source string, target string")
+    cyclic = lambda df, subject: g.longest_levels(df, names).agg((F.count_if(F.col("level").isNull()) > 0).alias("cyclic")).select(F.lit(subject).alias("subject"), "cyclic")
+    return cyclic(links, "catalog").unionByName(cyclic(links.unionByName(back), "with region needing customer"))
 
 
-@query("E14_ddl", f"WITH {CATALOG_SQL} SELECT table_name, 'CREATE TABLE ' || table_name || ' (' || string_agg(column_name || ' ' || CASE data_type WHEN 'int' THEN 'INTEGER' WHEN 'bigint' THEN 'BIGINT' WHEN 'double' THEN 'DOUBLE PRECISION' WHEN 'string' THEN 'TEXT' ELSE 'TIMESTAMP' END, ', ' ORDER BY ordinal) || ')' AS statement FROM cat GROUP BY 1")
+DEFS = f"""defs AS (SELECT table_name, ordinal AS p, {CLEAN} || ' ' || {mapped('postgresql')} AS d FROM cat UNION ALL SELECT table_name, 1000 + k, a || ' TIMESTAMP NOT NULL DEFAULT CURRENT_TIMESTAMP' FROM (SELECT DISTINCT table_name FROM cat), (VALUES ('created_at', 0), ('updated_at', 1)) x(a, k)
+UNION ALL SELECT 'history', -1, 'id BIGINT NOT NULL GENERATED ALWAYS AS IDENTITY' UNION ALL SELECT table_name, 2000, 'PRIMARY KEY (' || column_name || ')' FROM cat WHERE ordinal = 0 AND table_name <> 'history' UNION ALL SELECT 'history', 2000, 'PRIMARY KEY (id)')"""
+
+
+@query("E14_ddl", f"WITH {CATALOG_SQL}, {RELATIONS_SQL}, {DEFS} SELECT table_name, 'table' AS part, 'CREATE TABLE ' || table_name || ' (' || string_agg(d, ', ' ORDER BY p) || ')' AS statement FROM defs GROUP BY 1 UNION ALL SELECT table_name, 'foreign_key', 'ALTER TABLE ' || table_name || ' ADD CONSTRAINT fk_' || table_name || '_' || column_name || ' FOREIGN KEY (' || column_name || ') REFERENCES ' || target || ' (' || target_column || ')' FROM rel UNION ALL SELECT table_name, 'index', 'CREATE INDEX idx_' || table_name || '_' || column_name || ' ON ' || table_name || ' (' || column_name || ')' FROM rel")
 def ddl(spark, sf):
-    return schema.ddl(catalog(spark), "postgresql")
+    cat = catalog(spark)
+    return schema.ddl(cat, "postgresql", schema.inferred_relations(cat), audit=True)
 
 
 STEPS = [
