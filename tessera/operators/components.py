@@ -18,15 +18,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that a task of a round takes; rounds over fewer edges use fewer tasks than the session's shuffles have.
+EDGES_OF_TASK = 200_000
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """``(node, component)`` for every end of ``edges(a, b)``; a component is named by its least node.
 
     Each round hangs every neighbour on the least of its surroundings and then
     flattens the trees, until nothing changes; a few rounds suffice for any
-    diameter (logarithmic).
-    The sides are aggregated before each join, no neighbourhood is collected,
-    and every round is cut with ``cut``. Edges with a null end and loops
-    contribute their non-null ends as nodes.
+    diameter (logarithmic). The sides are aggregated before each join, no
+    neighbourhood is collected, and every round is cut with ``cut``. Edges with
+    a null end and loops contribute their non-null ends as nodes.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node IS NOT NULL").distinct()
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -35,13 +38,14 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = state(tree)
-    while True:
+    while seen[0]:
+        tasks = max(8, -(-2 * seen[0] // EDGES_OF_TASK))
         both = tree.union(tree.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        tree = cut(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        tree = cut(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         now = state(tree)
         if now == seen:
             break

@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 
 # Which lines are candidates of each rule category, by language.
 RULE_LINES = {
-    "calculation": {"cobol": r"(?i)COMPUTE|ADD|SUBTRACT|MULTIPLY|DIVIDE", "fortran": r"^\s*\w+\s*=\s*[^=]"},
-    "validation": {"cobol": r"(?i)IF\s+.*\s+(NOT\s+)?(NUMERIC|ALPHABETIC|POSITIVE|NEGATIVE|ZERO)", "fortran": r"(?i)IF\s*\(.*(\.LT\.|\.GT\.|\.EQ\.|\.NE\.|\.LE\.|\.GE\.)"},
-    "decision": {"cobol": r"(?i)IF\s+|EVALUATE\s+|WHEN\s+", "fortran": r"(?i)IF\s*\(|SELECT\s+CASE"},
-    "transformation": {"cobol": r"(?i)MOVE\s+|STRING\s+|UNSTRING\s+|INSPECT\s+", "fortran": r"(?i)READ\s*\(|WRITE\s*\("},
+    "calculation": {"cobol": r"(?i)COMPUTE|ADD|SUBTRACT|MULTIPLY|DIVIDE", "fortran": r"^\s*\w+\s*=\s*[^=]", "vb6": r"^\s*\w+\s*=\s*[^=]", "java": r"^\s*\w+\s*=\s*[^=]"},
+    "validation": {"cobol": r"(?i)IF\s+.*\s+(NOT\s+)?(NUMERIC|ALPHABETIC|POSITIVE|NEGATIVE|ZERO)", "fortran": r"(?i)IF\s*\(.*(\.LT\.|\.GT\.|\.EQ\.|\.NE\.|\.LE\.|\.GE\.)", "vb6": r"(?i)If\s+.*\s+(Is|Like|<>|=)", "java": r"if\s*\(.*[<>=!]"},
+    "decision": {"cobol": r"(?i)IF\s+|EVALUATE\s+|WHEN\s+", "fortran": r"(?i)IF\s*\(|SELECT\s+CASE", "vb6": r"(?i)If\s+|Select\s+Case", "java": r"if\s*\(|switch\s*\("},
+    "transformation": {"cobol": r"(?i)MOVE\s+|STRING\s+|UNSTRING\s+|INSPECT\s+", "fortran": r"(?i)READ\s*\(|WRITE\s*\(", "vb6": r"(?i)CStr|CInt|Format|Mid|Left|Right", "java": r"toString\(|parseInt\(|format\("},
+}
+
+# Patterns of entities in questions; the first group is the entity.
+ENTITIES = {
+    "procedure": (r"(?i)procedure\s+[\"']?(\w+)[\"']?", r"(?i)function\s+[\"']?(\w+)[\"']?", r"(?i)program\s+[\"']?(\w+)[\"']?", r"(?i)subroutine\s+[\"']?(\w+)[\"']?", r"(?i)method\s+[\"']?(\w+)[\"']?", r"(?i)[\"']?([A-Z][A-Z0-9_-]+)[\"']?\s+procedure"),
+    "data": (r"(?i)data\s+[\"']?(\w+)[\"']?", r"(?i)field\s+[\"']?(\w+)[\"']?", r"(?i)variable\s+[\"']?(\w+)[\"']?", r"(?i)[\"']?(\w+-?\w*)\s+(field|data|variable)", r"(?i)customer\s+(\w+)", r"(?i)[\"']?([A-Z][A-Z0-9_-]+)[\"']?\s+record"),
+    "rule": (r"(?i)rule\s+[\"']?(\w+)[\"']?", r"(?i)business\s+rule\s+[\"']?(\w+)[\"']?", r"(?i)validation\s+[\"']?(\w+)[\"']?", r"(?i)[\"']?(\w+)[\"']?\s+(rule|validation)"),
+    "file": (r"(?i)file\s+[\"']?(\w+\.\w+)[\"']?", r"(?i)[\"']?(\w+\.(cbl|cob|f|f90|bas|java))[\"']?", r"(?i)in\s+[\"']?(\w+\.\w+)[\"']?"),
+    "system": (r"(?i)system\s+[\"']?(\w+)[\"']?", r"(?i)database\s+[\"']?(\w+)[\"']?", r"(?i)service\s+[\"']?(\w+)[\"']?", r"(?i)api\s+[\"']?(\w+)[\"']?"),
+    "concept": (r"(?i)(interest)", r"(?i)(loan)", r"(?i)(payment)", r"(?i)(customer)", r"(?i)(account)", r"(?i)(balance)", r"(?i)(transaction)", r"(?i)(credit)", r"(?i)(eligibility)", r"(?i)(risk)"),
 }
 
 # Question intents with their patterns and keywords.
@@ -35,8 +45,8 @@ def lines(sources: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def rule_lines(numbered: DataFrame, language: str, patterns: dict = RULE_LINES) -> DataFrame:
-    """Lines by the category whose pattern they match; a line may have several."""
-    found = F.filter(F.array(*[F.when(F.col("line").rlike(p[language]), F.lit(c)) for c, p in patterns.items()]), lambda x: x.isNotNull())
+    """Lines by the category whose pattern they match; a line may have several. Languages without patterns are read as COBOL."""
+    found = F.filter(F.array(*[F.when(F.col("line").rlike(p.get(language, p["cobol"])), F.lit(c)) for c, p in patterns.items()]), lambda x: x.isNotNull())
     return numbered.withColumn("category", F.explode(found))
 
 
@@ -45,6 +55,66 @@ def captured(numbered: DataFrame, key: str, pattern: str) -> DataFrame:
     return numbered.select(key, F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("name")).distinct()
 
 
+def inputs_outputs(numbered: DataFrame, key: str) -> DataFrame:
+    """(key, direction, name), each once: what a program accepts and reads, displays and writes."""
+    rows = []
+    for direction, verb in (("input", "ACCEPT"), ("input", "READ"), ("output", "DISPLAY"), ("output", "WRITE")):
+        rows.append(F.transform(F.regexp_extract_all("line", F.lit(rf"(?i)\b{verb}\s+([\w-]+)"), 1), _directed(direction)))
+    return numbered.select(key, F.explode(F.flatten(F.array(*rows))).alias("x")).select(key, "x.*").distinct()
+
+
+def _directed(direction: str):
+    return lambda name: F.struct(F.lit(direction).alias("direction"), name.alias("name"))
+
+
+def file_operations(numbered: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, operation, file): the first OPEN with its mode, READ and WRITE of each line."""
+    mode, opened = F.regexp_extract("line", r"(?i)OPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+(\w+)", 1), F.regexp_extract("line", r"(?i)OPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+(\w+)", 2)
+    rows = [F.struct(mode.alias("operation"), opened.alias("file"))] + [F.struct(F.lit(v).alias("operation"), F.regexp_extract("line", rf"(?i){v}\s+(\w+)", 1).alias("file")) for v in ("READ", "WRITE")]
+    return numbered.select(key, "line_no", F.explode(F.filter(F.array(*rows), lambda x: x["file"] != "")).alias("x")).select(key, "line_no", "x.*")
+
+
+def database_calls(numbered: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, kind) of lines with EXEC SQL: the first verb in the line, else SQL."""
+    verb = F.upper(F.regexp_extract("line", r"(?i)(SELECT|INSERT|UPDATE|DELETE|CALL)", 1))
+    return numbered.where(F.col("line").rlike(r"(?i)EXEC\s+SQL")).select(key, "line_no", F.when(verb == "", "SQL").otherwise(verb).alias("kind"))
+
+
+def external_calls(numbered: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, name) of the first CALL of each line."""
+    name = F.regexp_extract("line", r"(?i)CALL\s+['\"]?(\w+)['\"]?", 1)
+    return numbered.select(key, "line_no", name.alias("name")).where("name <> ''")
+
+
+def compare_outputs(legacy: DataFrame, modern: DataFrame, keys: Sequence[str], value: str, tolerance: float = 0.01) -> DataFrame:
+    """Keys of the legacy side whose value is missing or differs by more than the tolerance; significant over ten times that."""
+    joined = legacy.select(*keys, F.col(value).alias("legacy")).join(modern.select(*keys, F.col(value).alias("modern")), list(keys), "left")
+    delta = F.abs(F.col("legacy") - F.col("modern"))
+    return joined.withColumn("significant", F.col("modern").isNull() | (delta > 10 * tolerance)).where(F.col("modern").isNull() | (delta > tolerance))
+
+
+def covered(rules: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """One row: rules, covered ones, their percentage, and the first ten that nothing covers."""
+    marked = rules.select(key).join(used.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    first = marked.where("hit IS NULL").orderBy(key).limit(10).agg(F.array_sort(F.collect_list(key)).alias("uncovered"))
+    of = marked.agg(F.count("*").alias("rules"), F.count("hit").alias("covered"), F.coalesce(F.try_divide(F.count("hit") * 100.0, F.count("*")), F.lit(100.0)).alias("percent"))
+    return of.join(first)
+
+
+def document_aggregates(rules: DataFrame, procedures: DataFrame) -> dict[str, DataFrame]:
+    """Rules by category, critical calculations, complex procedures with their risk tier, and review statuses.
+
+    ``rules``: id, category, criticality, review_status, confidence; ``procedures``: id, complexity.
+    """
+    tier = F.when(F.col("complexity") > 50, "high").when(F.col("complexity") > 30, "medium").otherwise("low")
+    return {
+        "categories": rules.groupBy("category").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence")),
+        "critical": rules.where("criticality = 'critical'").orderBy(F.desc("confidence"), "id").limit(10),
+        "complex": procedures.where("complexity > 20").orderBy(F.desc("complexity"), "id").limit(10).withColumn("risk", tier),
+        "reviews": rules.groupBy("review_status").agg(F.count("*").alias("n")),
+    }
+
+
 def moves(numbered: DataFrame, key: str) -> DataFrame:
     """Edges of ``MOVE a TO b``, the first of each line."""
     pattern = r"(?i)MOVE\s+([\w-]+)\s+TO\s+([\w-]+)"
@@ -108,20 +178,72 @@ def classify(questions: DataFrame, key: str, text: str, intents: dict = INTENTS)
     return scored.select(key, F.when(top > 0, F.col("r")[0]["intent"]).otherwise("unknown").alias("intent"), F.round(confidence, 6).alias("confidence"))
 
 
-def entities(questions: DataFrame, key: str, text: str, patterns: Sequence[str]) -> DataFrame:
-    """The first capture of each pattern, case-insensitively distinct, the first spelling kept."""
-    found = F.array(*[F.struct(F.lit(k).alias("place"), F.regexp_extract(text, p, 1).alias("entity")) for k, p in enumerate(patterns)])
-    long = questions.select(key, F.explode(found).alias("x")).select(key, "x.*").where("entity <> ''")
-    return long.groupBy(key, F.lower("entity").alias("_e")).agg(F.min_by("entity", "place").alias("entity")).select(key, "entity")
+def entities(questions: DataFrame, key: str, text: str, patterns: dict[str, Sequence[str]] = ENTITIES) -> DataFrame:
+    """(key, type, entity): the first capture of each pattern, case-insensitively distinct, the first spelling and type kept."""
+    found, place = [], 0
+    for kind, some in patterns.items():
+        for p in some:
+            found.append(F.struct(F.lit(place).alias("place"), F.lit(kind).alias("type"), F.regexp_extract(text, p, 1).alias("entity")))
+            place += 1
+    long = questions.select(key, F.explode(F.filter(F.array(*found), lambda x: x["entity"] != "")).alias("x")).select(key, "x.*")
+    best = long.groupBy(key, F.lower("entity").alias("_e")).agg(F.min_by(F.struct("type", "entity"), "place").alias("b"))
+    return best.select(key, "b.type", "b.entity")
+
+
+def ranked_nodes(nodes: DataFrame, entities_: Sequence[str], keywords: Sequence[str], limit: int = 20) -> DataFrame:
+    """An entity in the name counts 20, in the description 10; a keyword 5, 3 and 2 for a tag. ``description`` and ``tags`` may be missing."""
+    has = lambda c, w: F.coalesce(F.lower(c).contains(w.lower()), F.lit(False)).cast("int")
+    score = F.lit(0)
+    for words, in_name, in_text, in_tag in ((entities_, 20, 10, 0), (keywords, 5, 3, 2)):
+        for w in words:
+            score = score + in_name * has("name", w)
+            if "description" in nodes.columns:
+                score = score + in_text * has("description", w)
+            if "tags" in nodes.columns and in_tag:
+                score = score + in_tag * F.exists("tags", _holds(w)).cast("int")
+    return nodes.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def _holds(word: str):
+    return lambda t: F.lower(t).contains(word.lower())
 
 
-def ranked_nodes(nodes: DataFrame, entity: str, keywords: Sequence[str], limit: int = 20) -> DataFrame:
-    """20 for the entity and 5 for each keyword in the name; highest first."""
-    name = F.lower("name")
-    score = 20 * name.contains(entity.lower()).cast("int")
+def by_keywords(rows: DataFrame, columns: Sequence[str], keywords: Sequence[str], types: Sequence[str] = ()) -> DataFrame:
+    """Rows of the types with any keyword in any of the columns."""
+    any_ = F.lit(False)
     for k in keywords:
-        score = score + 5 * name.contains(k.lower()).cast("int") + 2 * (F.lower("type") == k.lower()).cast("int")
-    return nodes.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+        for c in columns:
+            any_ = any_ | F.coalesce(F.lower(c).contains(k.lower()), F.lit(False))
+    return (rows.where(F.col("type").isin(*types)) if types else rows).where(any_)
+
+
+# Follow-up questions by intent; {} is the first source's name.
+FOLLOW_UPS = {
+    "code-location": ("What does {} do?", "What depends on {}?", "Show the rules in {}"), "data-flow": ("What modifies {}?", "What is the impact of changing {}?"), "business-rule": ("Which programs implement {}?", "What data does {} use?"),
+    "dependency": ("What would break if {} changed?", "Show the data flow of {}"), "impact": ("Which tests cover {}?", "What are the dependencies of {}?"), "search": ("Explain {}", "What depends on {}?"),
+}
+
+
+def answers(found: DataFrame, key: str = "question_id", most: int = 5) -> DataFrame:
+    """``found(question_id, intent, id, name, score)`` to (question_id, answer, sources, follow_ups).
+
+    The answer counts what was found and names the ``most`` best, which are the
+    sources; up to four follow-up questions ask on about the first.
+    """
+    ranked = found.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY score DESC, id)"))
+    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct("_k", "id", "name")))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
+    of = ranked.groupBy(key, "intent").agg(F.count("id").alias("n"), top.alias("top"))
+    names, first = F.array_join(F.transform("top", lambda x: x["name"]), ", "), F.col("top")[0]["name"]
+    asks = F.array().cast("array<string>")
+    for intent, templates in FOLLOW_UPS.items():
+        asks = F.when(F.col("intent") == intent, F.array(*[F.concat(F.lit(t.split("{}")[0]), first, F.lit(t.split("{}")[1])) if "{}" in t else F.lit(t) for t in templates[:4]])).otherwise(asks)
+    text = F.when(F.col("n") == 0, "Nothing was found.").otherwise(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(": "), names, F.when(F.col("n") > most, ", ...").otherwise(""), F.lit(".")))
+    return of.select(key, text.alias("answer"), F.transform("top", lambda x: x["id"]).alias("sources"), F.when(F.col("n") > 0, asks).otherwise(F.array().cast("array<string>")).alias("follow_ups"))
+
+
+def answer_confidence(base: Column, found: Column) -> Column:
+    """0.3 of the intent's confidence if nothing was found, 1.1 of it over five nodes, within 0.1 to 0.95."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(0.95), base * F.when(found == 0, 0.3).when(found > 5, 1.1).otherwise(1.0)))
 
 
 def last_turns(turns: DataFrame, by: str, order: str, keep: int = 20) -> DataFrame:

@@ -62,6 +62,16 @@ def procedure_stats(depths: DataFrame, enter: Sequence[str], leave: Sequence[str
     return paired.groupBy("type", "depth").agg(F.count("*").alias("calls"), F.count("end_ts").alias("closed"), F.avg(F.when(millis >= 0, millis)).alias("mean_ms"))
 
 
+def callers(depths: DataFrame, enter: Sequence[str], name: str = "type") -> DataFrame:
+    """(caller, callee, calls): each entry with the last one before it that is one level up in its session; entries at depth 1 have no caller."""
+    entries = depths.where(F.col("type").isin(*enter)).select("session_id", "seq", "depth", F.col(name).alias("callee"))
+    # An entry's caller is the last entry of the depth above that came before it, so levels meet by (session, level) in order.
+    marks = entries.select("session_id", F.col("depth").alias("level"), "seq", F.col("callee").alias("opened"), F.lit(None).cast("string").alias("callee"))
+    asks = entries.where("depth > 1").select("session_id", (F.col("depth") - 1).alias("level"), "seq", F.lit(None).cast("string").alias("opened"), "callee")
+    found = marks.unionByName(asks).withColumn("caller", F.expr("last(opened, true) OVER (PARTITION BY session_id, level ORDER BY seq ROWS UNBOUNDED PRECEDING)"))
+    return found.where("callee IS NOT NULL AND caller IS NOT NULL").groupBy("caller", "callee").agg(F.count("*").alias("calls"))
+
+
 def snapshots(events: DataFrame, name: str, value: str, ts: str, millis: int = 100) -> DataFrame:
     """The last value of each variable in every tumbling window of ``millis``."""
     slot = F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / millis)
@@ -81,6 +91,34 @@ def frequent(events: DataFrame, by: Sequence[str], least: int = 2) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def learned_calculations(observations: DataFrame, place: str, result: str, least: int = 5) -> DataFrame:
+    """Places seen ``least`` times or more whose result never changes: (place, n, constant)."""
+    grouped = observations.groupBy(place).agg(F.count("*").alias("n"), F.min(result).alias("constant"), F.max(result).alias("_high"))
+    return grouped.where((F.col("n") >= least) & F.col("constant").eqNullSafe(F.col("_high"))).drop("_high")
+
+
+def learned_validations(observations: DataFrame, condition: str, holds: str, least: int = 5) -> DataFrame:
+    """(condition, n, frequency): how often each condition held, seen ``least`` times or more."""
+    return observations.groupBy(condition).agg(F.count("*").alias("n"), F.avg(F.col(holds).cast("double")).alias("frequency")).where(F.col("n") >= least)
+
+
+def learned_decisions(events: DataFrame, outcome: str = "type", path_types: Sequence[str] = (), least: int = 5, longest: int = 8) -> DataFrame:
+    """(path, outcome, n): the first ``longest`` branches of each session, in order, with the session's last event."""
+    branches = events.where(F.col("type").isin(*path_types)).withColumn("_k", F.expr(f"row_number() OVER ({BY_SEQ})")).where(F.col("_k") <= longest)
+    paths = branches.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "type"))), lambda x: x["type"]), ">").alias("path"))
+    last = events.groupBy("session_id").agg(F.max_by(outcome, "seq").alias("outcome"))
+    return paths.join(last, "session_id").groupBy("path", "outcome").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def learned_transforms(observations: DataFrame, place: str, given: str, result: str, least: int = 5) -> DataFrame:
+    """(place, transform, n): which of upper, lower, trim and identity explains all of a place's pairs; the first of these that does."""
+    a, b = F.col(given), F.col(result)
+    kinds = {"identity": b == a, "upper": b == F.upper(a), "lower": b == F.lower(a), "trim": b == F.trim(a)}
+    grouped = observations.groupBy(place).agg(F.count("*").alias("n"), *[F.bool_and(v).alias(k) for k, v in kinds.items()]).where(F.col("n") >= least)
+    first = F.coalesce(*[F.when(F.col(k), k) for k in kinds])
+    return grouped.select(place, first.alias("transform"), "n").where("transform IS NOT NULL")
+
+
 def field_signature(events: DataFrame, field: str, by: Sequence[str] = (), most: int = 10) -> DataFrame:
     """Count, nulls, distinct values, range; the ``most`` least values as examples."""
     value = F.col(field)
@@ -99,6 +137,74 @@ def rule_hits(events: DataFrame, ranges: DataFrame, width: int = 64) -> DataFram
     return e.join(r, (F.col("e.file") == F.col("r.file")) & (F.col("e.bin") == F.col("r.bin")) & F.col("e.line").between(F.col("r.first"), F.col("r.last")))
 
 
+def validated_rules(events: DataFrame, rules: DataFrame, share: float = 0.3, accepted: float = 0.7, examples: int = 5) -> DataFrame:
+    """(rule, events, matched, match_rate, valid, first_words) of rules(file, first, last, rule, terms) on events(file, line, text).
+
+    An event in a rule's lines matches if it has ``share`` of the rule's terms
+    or more; the rule is valid from a rate of ``accepted``. ``first_words`` are
+    the most frequent first words of its events.
+    """
+    words = F.array_distinct(F.split(F.lower("e.text"), "[^a-z0-9]+"))
+    overlap = F.size(F.array_intersect("r.terms", words)) >= share * F.size("r.terms")
+    hits = rule_hits(events, rules).select(F.col("r.rule").alias("rule"), overlap.alias("ok"), F.split(F.lower(F.trim("e.text")), r"\s+")[0].alias("word"))
+    rates = hits.groupBy("rule").agg(F.count("*").alias("events"), F.count_if("ok").alias("matched"))
+    counts = hits.groupBy("rule", "word").agg(F.count("*").alias("n")).withColumn("_k", F.expr("row_number() OVER (PARTITION BY rule ORDER BY n DESC, word)")).where(F.col("_k") <= examples)
+    first = counts.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "word"))), lambda x: x["word"]), " ").alias("first_words"))
+    rate = F.col("matched") / F.col("events")
+    return rates.join(first, "rule").select("rule", "events", "matched", rate.alias("match_rate"), (rate >= accepted).alias("valid"), "first_words")
+
+
+def branch_coverage(events: DataFrame, place: Sequence[str], taken: str) -> tuple[DataFrame, DataFrame]:
+    """One row (locations, observed, coverage in percent, 100 without locations), and the places with the side that was never taken."""
+    sides = events.groupBy(*place).agg(F.bool_or(taken).alias("taken"), F.bool_or(~F.col(taken)).alias("not_taken"))
+    seen = F.sum(F.col("taken").cast("int") + F.col("not_taken").cast("int"))
+    total = sides.agg(F.count("*").alias("locations"), F.coalesce(seen, F.lit(0)).alias("observed"), F.coalesce(F.try_divide(seen * 100.0, F.count("*") * 2), F.lit(100.0)).alias("coverage"))
+    return total, sides.where("NOT (taken AND not_taken)").select(*place, (~F.col("taken")).alias("missing"))
+
+
+def edge_case_coverage(cases: DataFrame, traces: DataFrame, share: float = 0.3) -> DataFrame:
+    """(case, covered, best) of cases(case, domain, keywords) on traces(trace, domain, text): the largest share of keywords that one trace of the domain has as words.
+
+    Cases and traces meet by domain and word, never by domain alone.
+    """
+    size = cases.select("case", F.size(F.array_distinct("keywords")).alias("_n"))
+    asked = cases.select("case", "domain", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("word"))
+    said = traces.select("trace", "domain", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}0-9]+"))).alias("word")).where("word <> ''")
+    hits = said.join(asked, ["domain", "word"]).groupBy("case", "trace").agg(F.count("*").alias("hits")).groupBy("case").agg(F.max("hits").alias("hits"))
+    best = F.coalesce(F.col("hits") / F.col("_n"), F.lit(0.0))
+    return size.join(hits, "case", "left").select("case", (best > share).alias("covered"), best.alias("best"))
+
+
+def observations(events: DataFrame, state: str = "value", write: str = "purchase", condition: str = "error") -> dict[str, DataFrame]:
+    """Three kinds of observations: state changes (before, after) of each variable, writes with what was last seen of others, and conditions with what follows."""
+    changes = events.withColumn("before", F.expr(f"lag({state}) OVER (PARTITION BY session_id, type ORDER BY seq)"))
+    other = F.expr(f"last(CASE WHEN type <> '{write}' THEN {state} END, true) OVER ({BY_SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    follow = F.expr(f"lead(type) OVER ({BY_SEQ})")
+    return {
+        "changes": changes.where("before IS NOT NULL").select("session_id", "seq", F.col("type").alias("key"), F.col("before").alias("given"), F.col(state).alias("result")),
+        "writes": events.withColumn("_o", other).where(F.col("type") == write).where("_o IS NOT NULL").select("session_id", "seq", F.lit(write).alias("key"), F.col("_o").alias("given"), F.col(state).alias("result")),
+        "conditions": events.withColumn("_f", follow).where(F.col("type") == condition).where("_f IS NOT NULL").select("session_id", "seq", F.lit(condition).alias("key"), F.col(state).alias("given"), F.col("_f").alias("result")),
+    }
+
+
+def merged_rules(rules: DataFrame) -> DataFrame:
+    """rules(id, category, inputs, outputs, confidence, support) of one category, inputs and outputs become one: the surest, with all support."""
+    same = ["category", F.array_sort("inputs").alias("inputs"), F.array_sort("outputs").alias("outputs")]
+    keyed = rules.select(*same, "id", "confidence", "support")
+    return keyed.groupBy("category", "inputs", "outputs").agg(F.min_by("id", F.struct(-F.col("confidence"), "id")).alias("id"), F.max("confidence").alias("confidence"), F.sum("support").alias("support"), F.count("*").alias("merged"))
+
+
+def suggested_tests(signatures: DataFrame) -> DataFrame:
+    """(field, reason, value) of numeric fields(field, low, high): minimum, maximum, middle and zero; of texts the empty one."""
+    text = lambda c: c.cast("string")
+    rows = F.array(
+        F.struct(F.lit("minimum").alias("reason"), text(F.col("low")).alias("value")), F.struct(F.lit("maximum").alias("reason"), text(F.col("high")).alias("value")),
+        F.struct(F.lit("middle").alias("reason"), text((F.col("low") + F.col("high")) / 2).alias("value")), F.struct(F.lit("zero").alias("reason"), F.lit("0.0").alias("value")),
+    )
+    empty = F.array(F.struct(F.lit("empty").alias("reason"), F.lit("").alias("value")))
+    return signatures.select("field", F.explode(F.when(F.col("low").isNotNull(), rows).otherwise(empty)).alias("x")).select("field", "x.*")
+
+
 def functional_mappings(observations: DataFrame, key: str, given: str, result: str, inputs: int = 2, least: int = 3) -> DataFrame:
     """Keys under which equal inputs always gave equal outputs, for enough inputs and observations."""
     per_input = observations.groupBy(key, given).agg(F.count("*").alias("n"), F.count_distinct(result).alias("outputs"))

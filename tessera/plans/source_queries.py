@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar
 from tessera.operators import graph as g
 from tessera.operators import mining
+from tessera.plans.graph_queries import DESCRIBED, described
 from tessera.plans.model_queries import HYSTERESIS
 from tessera.plans.registry import query
-from tessera.plans.roles import edges, nodes, rules, tree_edges, with_roles
+from tessera.plans.roles import edges, legacy_modern, nodes, rules, with_roles
 from tessera.session import table
 from tessera.sources import exports, schema
 from tessera.streaming import streams
@@ -232,9 +233,31 @@ def rule_lines(spark, sf):
     return mining.rule_lines(numbered(spark, sf), "cobol").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "category")
 
 
-@query("P3_inputs", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS name FROM pages")
+def language_lines(language):
+    return f"WITH {LINES}, src AS (SELECT doc_id, line_no, '  TOTAL' || doc_id || ' = A + ' || left(line, 12) AS line FROM l) " + " UNION ALL ".join(f"SELECT '{x}' AS language, category, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS category FROM src WHERE regexp_matches(line, '{p[x]}')" for c, p in mining.RULE_LINES.items()) + ") GROUP BY category" for x in language)
+
+
+@query("P2_languages", language_lines(("cobol", "fortran", "vb6", "java")))
+def rule_languages(spark, sf):
+    src = numbered(spark, sf).withColumn("line", F.concat(F.lit("  TOTAL"), F.col("doc_id").cast("string"), F.lit(" = A + "), F.left("line", F.lit(12))))
+    return g.union_all([mining.rule_lines(src, x).groupBy("category").agg(F.count("*").alias("n")).select(F.lit(x).alias("language"), "category", "n") for x in ("cobol", "fortran", "vb6", "java")])
+
+
+# Line items as COBOL: one of eight kinds of line each.
+COBOL = {0: ("READ FILE", "l_partkey", " AT END"), 1: ("WRITE OUT", "l_suppkey", "."), 2: ("OPEN INPUT F", "l_partkey", "."), 3: ("EXEC SQL SELECT ", "l_partkey", " END-EXEC"), 4: ("CALL 'SUB", "l_suppkey", "' USING A"), 5: ("ACCEPT KEY-", "l_suppkey", "."), 6: ("DISPLAY VAL-", "l_partkey", "."), 7: ("EXEC SQL OPEN CUR", "l_suppkey", " END-EXEC")}
+COBOL_SQL = "cob AS (SELECT l_orderkey AS program, l_linenumber AS line_no, (l_orderkey + l_linenumber) % 8 AS k, l_partkey, l_suppkey FROM lineitem)"
+
+
+def cobol(spark, sf):
+    k, line = (F.col("l_orderkey") + F.col("l_linenumber")) % 8, F.lit("")
+    for n, (head, column, tail) in COBOL.items():
+        line = F.when(k == n, F.concat(F.lit(head), F.col(column).cast("string"), F.lit(tail))).otherwise(line)
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("program"), F.col("l_linenumber").alias("line_no"), line.alias("line"))
+
+
+@query("P3_inputs_outputs", f"WITH {COBOL_SQL} SELECT DISTINCT program, CASE WHEN k IN (0, 5) THEN 'input' ELSE 'output' END AS direction, CASE k WHEN 0 THEN 'FILE' || l_partkey WHEN 1 THEN 'OUT' || l_suppkey WHEN 5 THEN 'KEY-' || l_suppkey ELSE 'VAL-' || l_partkey END AS name FROM cob WHERE k IN (0, 1, 5, 6)")
 def inputs(spark, sf):
-    return mining.captured(table(spark, sf, "pages").select("page_id", F.col("html").alias("line")), "page_id", 'href="/([^"]+)"')
+    return mining.inputs_outputs(cobol(spark, sf), "program")
 
 
 @query("P4_moves", "SELECT l_orderkey AS program, l_linenumber AS line_no, 'F' || l_partkey AS source, 'T-' || l_suppkey AS target FROM lineitem")
@@ -250,9 +273,19 @@ def variable_uses(spark, sf):
     return mining.variable_uses(table(spark, sf, "part").select("p_partkey", line.alias("line")), "TOTAL").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("P6_external_calls", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '([a-z]+)\\(', 1)) AS name FROM pages")
+@query("P6_file_operations", f"WITH {COBOL_SQL} SELECT program, line_no, CASE k WHEN 0 THEN 'READ' WHEN 1 THEN 'WRITE' ELSE 'INPUT' END AS operation, CASE k WHEN 0 THEN 'FILE' || l_partkey WHEN 1 THEN 'OUT' || l_suppkey ELSE 'F' || l_partkey END AS file FROM cob WHERE k IN (0, 1, 2)")
+def file_operations(spark, sf):
+    return mining.file_operations(cobol(spark, sf), "program")
+
+
+@query("P6_database_calls", f"WITH {COBOL_SQL} SELECT program, line_no, CASE k WHEN 3 THEN 'SELECT' ELSE 'SQL' END AS kind FROM cob WHERE k IN (3, 7)")
+def database_calls(spark, sf):
+    return mining.database_calls(cobol(spark, sf), "program")
+
+
+@query("P6_external_calls", f"WITH {COBOL_SQL} SELECT program, line_no, 'SUB' || l_suppkey AS name FROM cob WHERE k = 4")
 def calls(spark, sf):
-    return mining.captured(table(spark, sf, "pages").select("page_id", F.col("html").alias("line")), "page_id", r"([a-z]+)\(")
+    return mining.external_calls(cobol(spark, sf), "program")
 
 
 @query("P7_text_metrics", """WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, coalesce(text, '') AS t FROM documents) SELECT doc_id, len(list_filter(p, lambda l: trim(l) <> '' AND NOT starts_with(l, '#')))::BIGINT AS loc,
@@ -261,16 +294,16 @@ def text_metrics(spark, sf):
     return mining.text_metrics(table(spark, sf, "documents"), "doc_id", "text", "des|the", r"\(", r"\)", "^#").drop("nesting")
 
 
-@query("P8_output_compare", "SELECT count(*) AS n, count(*) FILTER (abs(l_extendedprice - l_extendedprice * (1 - l_discount)) > 0.01) AS different, count(*) FILTER (l_discount * l_extendedprice > 0.1) AS significant FROM lineitem")
+@query("P8_output_compare", with_roles("pairs") + " SELECT a.k1, a.k2, b.price IS NULL OR abs(a.price - b.price) > 0.1 AS significant FROM legacy a LEFT JOIN modern b USING (k1, k2) WHERE b.price IS NULL OR abs(a.price - b.price) > 0.01")
 def output_compare(spark, sf):
-    price, net = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, sf, "lineitem").agg(F.count("*").alias("n"), F.count_if(F.abs(price - net) > 0.01).alias("different"), F.count_if(F.col("l_discount") * price > 0.1).alias("significant"))
+    return mining.compare_outputs(*legacy_modern(spark, sf), ["k1", "k2"], "price").select("k1", "k2", "significant")
 
 
-@query("P9_rule_coverage", "SELECT round(100.0 * count(DISTINCT l_partkey) / (SELECT count(*) FROM part), 6)::DOUBLE AS percent FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)")
+@query("P9_rule_coverage", "WITH m AS (SELECT p_partkey AS id, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) AS hit FROM part) SELECT count(*) AS rules, count(*) FILTER (hit) AS covered, round(100.0 * count(*) FILTER (hit) / count(*), 6)::DOUBLE AS percent, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM m WHERE NOT hit ORDER BY id LIMIT 10)) AS uncovered FROM m")
 def rule_coverage(spark, sf):
-    used = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("hit", F.lit(1))
-    return table(spark, sf, "part").join(used, "p_partkey", "left").agg(F.round(F.count("hit") * 100 / F.count("*"), 6).alias("percent"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("id"))
+    found = mining.covered(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), used, "id")
+    return found.select("rules", "covered", F.round("percent", 6).alias("percent"), F.nullif(F.array_join(F.col("uncovered").cast("array<string>"), ","), F.lit("")).alias("uncovered"))
 
 
 @query("P10_readiness", "SELECT p_brand, round(greatest(0.0, least(100.0, 0.6 * avg(p_size) * 2 + 0.4 * 90 - 10 * count(*) FILTER (p_size = 50))), 6)::DOUBLE AS readiness FROM part GROUP BY 1")
@@ -294,9 +327,13 @@ def source_language(spark, sf):
     return mining.detect_source_language(padded, "doc_id", "text", patterns).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("P14_document_aggregates", RULES + " SELECT category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (criticality = 'critical') AS critical FROM rules GROUP BY category")
+@query("P14_document_aggregates", RULES + """, pr AS (SELECT p_partkey AS id, p_size AS complexity FROM part), crit AS (SELECT doc_id FROM rules WHERE criticality = 'critical' ORDER BY confidence DESC, doc_id LIMIT 10), cx AS (SELECT id, complexity FROM pr WHERE complexity > 20 ORDER BY complexity DESC, id LIMIT 10)
+SELECT 'categories' AS part, category AS subject, round(avg(confidence), 6) AS value FROM rules GROUP BY category UNION ALL SELECT 'critical', doc_id::VARCHAR, NULL FROM crit UNION ALL SELECT 'complex', id || ' ' || CASE WHEN complexity > 50 THEN 'high' WHEN complexity > 30 THEN 'medium' ELSE 'low' END, complexity FROM cx UNION ALL SELECT 'reviews', review_status, count(*) FROM rules GROUP BY review_status""")
 def document_aggregates(spark, sf):
-    return rules(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("criticality") == "critical").alias("critical"))
+    parts = mining.document_aggregates(rules(spark, sf).withColumnRenamed("doc_id", "id"), table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("complexity")))
+    none = F.lit(None).cast("double")
+    columns = {"categories": ("category", F.round("mean_confidence", 6)), "critical": (F.col("id").cast("string"), none), "complex": (F.concat_ws(" ", F.col("id").cast("string"), "risk"), F.col("complexity").cast("double")), "reviews": ("review_status", F.col("n").cast("double"))}
+    return g.union_all([parts[k].select(F.lit(k).alias("part"), (F.col(a) if isinstance(a, str) else a).alias("subject"), v.alias("value")) for k, (a, v) in columns.items()])
 
 
 @query("P15_lineage", "SELECT s_name AS source, p_type AS target, count(*) AS flows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
@@ -385,9 +422,12 @@ def intents(spark, sf):
     return mining.classify(spark.createDataFrame(QUESTIONS, "id int, text string"), "id", "text").select("id", "intent")
 
 
-@query("N2_entities", "SELECT * FROM (VALUES (3, 'LOANPROC')) t(id, entity)")
+ASKED = ["What does procedure PAY-CALC do in file ledger.cbl?", "Which rule checks the Balance field of customer Smith?", "How does the billing system use database DB2X and api v2?", "hello", "Explain validation V17 and Rule V17"]
+
+
+@query("N2_entities", """SELECT * FROM (VALUES (0, 'procedure', 'PAY'), (0, 'procedure', 'does'), (0, 'file', 'ledger.cbl'), (1, 'data', 'of'), (1, 'data', 'Balance'), (1, 'data', 'Smith'), (1, 'rule', 'checks'), (1, 'rule', 'Which'), (1, 'concept', 'customer'), (2, 'data', 'use'), (2, 'system', 'DB2X'), (2, 'system', 'v2'), (4, 'rule', 'V17'), (4, 'rule', 'Explain')) t(id, type, entity)""")
 def question_entities(spark, sf):
-    return mining.entities(spark.createDataFrame(QUESTIONS, "id int, text string"), "id", "text", [r"of ([A-Z]{4,})", r"\b([A-Z]{5,})\b"])
+    return mining.entities(spark.createDataFrame(list(enumerate(ASKED)), "id int, text string"), "id", "text")
 
 
 @query("N3_keywords", "SELECT conv_id, turn, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\-_.,;:!?()\\[\\]{}''\"]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was'))))::BIGINT AS n FROM conversations")
@@ -397,32 +437,32 @@ def keywords(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("N4_ranked_nodes", GRAPH + ", s AS (SELECT id, (20 * contains(lower(name), '00001')::INT + 5 * contains(lower(name), 'supplier')::INT + 2 * (type = 'supplier')::INT + 5 * contains(lower(name), '7')::INT + 2 * (type = '7')::INT) AS score FROM nodes) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+@query("N4_ranked_nodes", DESCRIBED + """, s AS (SELECT id, (20 * contains(lower(name), '00001')::INT + 10 * contains(lower(description), '00001')::INT + list_sum([5 * contains(lower(name), w)::INT + 3 * contains(lower(description), w)::INT + 2 * (len(list_filter(tags, lambda t: contains(lower(t), w))) > 0)::INT for w in ['supplier', '7', 't3']]))::INT AS score FROM dn)
+SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
 def ranked(spark, sf):
-    return mining.ranked_nodes(nodes(spark, sf), "00001", ["supplier", "7"])
+    return mining.ranked_nodes(described(spark, sf), ["00001"], ["supplier", "7", "T3"])
 
 
 @query("N5_by_type_keyword", GRAPH + " SELECT id FROM nodes WHERE type = 'nation' AND (contains(lower(name), 'a') OR contains(lower(name), '1'))")
 def by_type(spark, sf):
-    return nodes(spark, sf).where((F.col("type") == "nation") & (F.lower("name").contains("a") | F.lower("name").contains("1"))).select("id")
+    return mining.by_keywords(nodes(spark, sf), ["name"], ["A", "1"], ["nation"]).select("id")
 
 
-@query("N6_rule_match", RULES + " SELECT doc_id FROM rules WHERE contains(lower(text), 'license') OR contains(lower(text), 'keit') ORDER BY doc_id LIMIT 10")
+@query("N6_rule_match", RULES + " SELECT doc_id FROM rules WHERE contains(lower(text), 'license') OR contains(lower(text), 'keit') OR category = 'keit' ORDER BY doc_id LIMIT 10")
 def rule_match(spark, sf):
-    low = F.lower("text")
-    return rules(spark, sf).where(low.contains("license") | low.contains("keit")).select("doc_id").orderBy("doc_id").limit(10)
+    return mining.by_keywords(rules(spark, sf), ["text", "category"], ["license", "keit"]).select("doc_id").orderBy("doc_id").limit(10)
 
 
-@query("N12_answer_sources", with_roles("nodes", "tree") + " SELECT string_agg(id, ', ' ORDER BY id) AS sources FROM (SELECT source AS id FROM edges WHERE target = 'n:3' ORDER BY id LIMIT 5)")
-def answer_sources(spark, sf):
-    first = tree_edges(spark, sf).where("target = 'n:3'").select(F.col("source").alias("id")).orderBy("id").limit(5)
-    return first.agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("sources"))
+@query("N12_answers", GRAPH + """, f AS (SELECT 1 AS q, 'dependency' AS intent, n.id, n.name, e.type FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 's:1'), k AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM f), a AS (SELECT count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (k <= 5) AS names, string_agg(id, ' ' ORDER BY k) FILTER (k <= 5) AS sources, max(name) FILTER (k = 1) AS f FROM k)
+SELECT 1 AS question_id, 'Found ' || n || ': ' || names || CASE WHEN n > 5 THEN ', ...' ELSE '' END || '.' AS answer, sources, 'What would break if ' || f || ' changed?|Show the data flow of ' || f AS follow_ups FROM a WHERE n > 0""")
+def answers(spark, sf):
+    found = edges(spark, sf).where("target = 's:1'").select(F.col("source").alias("id")).join(nodes(spark, sf), "id").select(F.lit(1).alias("question_id"), F.lit("dependency").alias("intent"), "id", "name", F.lit(1).alias("score"))
+    return mining.answers(found).select("question_id", "answer", F.array_join("sources", " ").alias("sources"), F.array_join("follow_ups", "|").alias("follow_ups"))
 
 
 @query("N13_confidence", "SELECT user_id, round(greatest(0.1, least(0.95, 0.8 * CASE WHEN count(*) FILTER (value > 100) = 0 THEN 0.3 WHEN count(*) FILTER (value > 100) > 5 THEN 1.1 ELSE 1.0 END)), 6)::DOUBLE AS confidence FROM events GROUP BY 1")
 def answer_confidence(spark, sf):
-    found = F.count_if(F.col("value") > 100)
-    value = F.greatest(F.lit(0.1), F.least(F.lit(0.95), 0.8 * F.when(found == 0, 0.3).when(found > 5, 1.1).otherwise(1.0)))
+    value = mining.answer_confidence(F.lit(0.8), F.count_if(F.col("value") > 100))
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(value, 6).alias("confidence"))
 
 
