@@ -76,10 +76,46 @@ def outliers(df: DataFrame, column: str, sigmas: float = 2.0) -> DataFrame:
     return df.join(stats).where(F.abs(F.col(column) - F.col("_m")) > sigmas * F.col("_s")).drop("_m", "_s")
 
 
-def divergence_kind(expected: Column, actual: Column, tolerance: float) -> Column:
-    """Null within the tolerance, tolerance_issue within ten times it, edge_case for nulls, else code_bug."""
+def _column(condition: Column | str) -> Column:
+    """A condition as a Column; texts are SQL."""
+    return F.expr(condition) if isinstance(condition, str) else condition
+
+
+def rare_values(df: DataFrame, column: str, share: float = 0.01) -> DataFrame:
+    """M9: (value, n) of values that fewer than ``share`` of the rows have."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return counts.join(counts.agg(F.sum("n").alias("_all"))).where(F.col("n") < share * F.col("_all")).select("value", "n")
+
+
+def violations(df: DataFrame, invariants: dict[str, Column | str], most: float = 0.1) -> DataFrame:
+    """M9: (invariant, violations, rate) of invariants that some rows, but fewer than ``most``, violate."""
+    wide = df.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(_column(c), F.lit(False))).alias(f"v{k}") for k, c in enumerate(invariants.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("invariant"), F.col(f"v{k}").alias("violations"), F.try_divide(F.col(f"v{k}"), F.col("n")).alias("rate")) for k, name in enumerate(invariants)])
+    return wide.select(F.explode(rows).alias("x")).select("x.*").where((F.col("violations") > 0) & (F.col("rate") < most))
+
+
+def divergence_kind(expected: Column, actual: Column, tolerance: float, confidence: Column | None = None, edge: Column | None = None) -> Column:
+    """Null within the tolerance, edge_case for nulls and marked rows, tolerance_issue within ten times it, model_error where the model is unsure (under 0.7), else code_bug."""
     delta = F.abs(expected - actual)
-    return F.when(expected.isNull() & actual.isNull(), None).when(expected.isNull() | actual.isNull(), "edge_case").when(delta <= tolerance, None).when(delta <= 10 * tolerance, "tolerance_issue").otherwise("code_bug")
+    out = F.when(expected.isNull() & actual.isNull(), None).when(expected.isNull() | actual.isNull(), "edge_case").when(delta <= tolerance, None)
+    if edge is not None:
+        out = out.when(edge, "edge_case")
+    out = out.when(delta <= 10 * tolerance, "tolerance_issue")
+    if confidence is not None:
+        out = out.when(confidence < 0.7, "model_error")
+    return out.otherwise("code_bug")
+
+
+def validation_run(df: DataFrame, checks: dict[str, tuple[Column, str]], alerts: dict[str, float] | None = None) -> DataFrame:
+    """(check, severity, passed, failed, rate, alert): named conditions with their severity, and whether the failure rate exceeds the check's threshold."""
+    wide = df.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"p{k}") for k, (c, _) in enumerate(checks.values())])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col(f"p{k}").alias("passed"), (F.col("n") - F.col(f"p{k}")).alias("failed"), F.lit((alerts or {}).get(name)).cast("double").alias("limit"))
+        for k, (name, (_, severity)) in enumerate(checks.items())
+    ])
+    out = wide.select("n", F.explode(rows).alias("x")).select("n", "x.*")
+    rate = F.coalesce(F.try_divide("failed", "n"), F.lit(0.0))
+    return out.select("check", "severity", "passed", "failed", rate.alias("rate"), F.coalesce(rate > F.col("limit"), F.lit(False)).alias("alert"))
 
 
 def drift(baseline: DataFrame, recent: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,6 +131,25 @@ def drift(baseline: DataFrame, recent: DataFrame, columns: Sequence[str]) -> Dat
     return both.select("column_name", shift.alias("mean_shift"), cards.alias("cardinality_shift"), ((shift > 0.1) | (cards > 0.2)).alias("drifted"))
 
 
+def hold_rates(baseline: DataFrame, recent: DataFrame, invariants: dict[str, Column | str], drop: float = 0.1) -> DataFrame:
+    """(invariant, before, after, drifted): rates at which invariants hold; a fall by more than ``drop`` drifts."""
+    def rates(df: DataFrame, side: str) -> DataFrame:
+        wide = df.agg(*[F.avg(F.coalesce(_column(c), F.lit(False)).cast("double")).alias(f"r{k}") for k, c in enumerate(invariants.values())])
+        return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("invariant"), F.col(f"r{k}").alias(side)) for k, n in enumerate(invariants)])).alias("x")).select("x.*")
+
+    both = rates(baseline, "before").join(rates(recent, "after"), "invariant")
+    return both.withColumn("drifted", F.col("before") - F.col("after") > drop)
+
+
+def drift_score(columns: DataFrame, invariants: DataFrame) -> DataFrame:
+    """One row (score, findings, retrain): the largest of the mean shifts of drifting means, cardinalities and hold rates; retrain over 0.2 or from three findings."""
+    shifts = columns.agg(F.coalesce(F.avg(F.when(F.col("mean_shift") > 0.1, F.col("mean_shift"))), F.lit(0.0)).alias("a"), F.coalesce(F.avg(F.when(F.col("cardinality_shift") > 0.2, F.col("cardinality_shift"))), F.lit(0.0)).alias("b"),
+                         (F.count_if(F.col("mean_shift") > 0.1) + F.count_if(F.col("cardinality_shift") > 0.2)).alias("m"))
+    falls = invariants.agg(F.coalesce(F.avg(F.when(F.col("drifted"), F.col("before") - F.col("after"))), F.lit(0.0)).alias("c"), F.count_if("drifted").alias("k"))
+    score, found = F.greatest("a", "b", "c"), F.col("m") + F.col("k")
+    return shifts.join(falls).select(score.alias("score"), found.alias("findings"), ((score > 0.2) | (found >= 3)).alias("retrain"))
+
+
 def boundary_cases(signature: DataFrame) -> DataFrame:
     """For (name, low, high, mean, stddev): the values at and around the bounds."""
     c = F.col
@@ -113,6 +168,75 @@ def random_cases(signature: DataFrame, count: int, seed: int) -> DataFrame:
     return draws.select("name", "k", (F.col("low") + unit * (F.col("high") - F.col("low"))).alias("value"))
 
 
+def partition_cases(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
+    """(case, value): the middles of the four quarters of a column, and its mean."""
+    cuts = F.expr(f"array(min({column}), percentile_disc(0.25) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.5) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.75) WITHIN GROUP (ORDER BY {column}), max({column}))")
+    if accuracy is not None:
+        cuts = F.concat(F.array(F.min(column)), F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy), F.array(F.max(column)))
+    one = df.agg(cuts.alias("q"), F.avg(column).alias("mean"))
+    rows = [F.struct(F.lit(f"quarter-{k + 1}").alias("case"), ((F.col("q")[k] + F.col("q")[k + 1]) / 2).cast("double").alias("value")) for k in range(4)]
+    return one.select(F.explode(F.array(*rows, F.struct(F.lit("mean").alias("case"), F.col("mean").cast("double").alias("value")))).alias("x")).select("x.*")
+
+
+def text_cases(longest: int = 1000) -> list[tuple[str, str]]:
+    """Texts at the edges: empty, blank, very long."""
+    return [("empty", ""), ("blank", "   "), ("long", "X" * longest)]
+
+
+def edge_and_invariant_cases(cases: DataFrame, invariants: dict[str, Column | str], share: float = 0.1, seed: int = 3, key: str = "id") -> DataFrame:
+    """Rows of ``cases`` that violate an invariant, as edge cases, and a seeded tenth of the others for each invariant that they confirm."""
+    keep = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
+    rows = F.array(*[F.struct(F.lit(n).alias("invariant"), F.coalesce(_column(c), F.lit(False)).alias("holds")) for n, c in invariants.items()])
+    long = cases.withColumn("_x", F.explode(rows)).where(~F.col("_x.holds") | keep)
+    return long.select(key, F.col("_x.invariant").alias("invariant"), F.when(F.col("_x.holds"), "invariant").otherwise("edge").alias("strategy"))
+
+
+def budgets(total: int, weights: dict[str, float]) -> dict[str, int]:
+    """How many cases each strategy may make: its share of the total, rounded down."""
+    whole = sum(weights.values())
+    return {k: int(total * w / whole) for k, w in weights.items()}
+
+
+def synthesis_quality(cases: DataFrame, model: DataFrame, fields: Sequence[str], invariants: int, edges: int) -> DataFrame:
+    """One row of coverages and overall quality of generated cases against what the model has seen.
+
+    ``value_coverage`` is the mean share of the model's distinct values that
+    the cases have; ``cases`` also carry strategy, invariant and edge (null
+    where none). Overall: 0.4, 0.3 and 0.3 of value, invariant and edge-case
+    coverage. ``diversity``: strategies of six.
+    """
+    seen = model.agg(*[F.count_distinct(c).alias(f"m{k}") for k, c in enumerate(fields)])
+    hit = None
+    for k, c in enumerate(fields):
+        one = cases.select(c).distinct().join(model.select(c).distinct(), c).agg(F.count("*").alias(f"h{k}"))
+        hit = one if hit is None else hit.join(one)
+    shares = sum((F.coalesce(F.try_divide(F.col(f"h{k}"), F.col(f"m{k}")), F.lit(0.0)) for k in range(1, len(fields))), F.coalesce(F.try_divide("h0", "m0"), F.lit(0.0))) / len(fields)
+    of = cases.agg(F.count_distinct("invariant").alias("i"), F.count_distinct("edge").alias("e"), F.count_distinct("strategy").alias("s"), F.count("*").alias("cases"))
+    value, inv, edge = shares, F.least(F.lit(1.0), F.col("i") / max(invariants, 1)), F.least(F.lit(1.0), F.col("e") / max(edges, 1))
+    return of.join(seen).join(hit).select("cases", value.alias("value_coverage"), inv.alias("invariant_coverage"), edge.alias("edge_coverage"), (0.4 * value + 0.3 * inv + 0.3 * edge).alias("overall"), (F.col("s") / 6).alias("diversity"))
+
+
+def mutations(text: Column) -> Column:
+    """Array of struct(mutation, value) of a text: reversed, in capitals, emptied, repeated, cut, padded, with a character swapped and one doubled."""
+    half = (F.length(text) / 2).cast("int")
+    made = {
+        "reverse": F.reverse(text), "upper": F.upper(text), "empty": F.lit(""), "repeat": F.repeat(text, F.lit(3)), "cut": F.substr(text, F.lit(1), half), "pad": F.concat(F.lit(" "), text, F.lit(" ")),
+        "swap": F.concat(F.substr(text, F.lit(2), F.lit(1)), F.substr(text, F.lit(1), F.lit(1)), F.substr(text, F.lit(3), F.length(text))), "double": F.concat(F.left(text, F.lit(1)), text),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("mutation"), v.alias("value")) for k, v in made.items()])
+
+
+def suite_changes(changes: DataFrame, since: int, until: int) -> DataFrame:
+    """changes(suite, version, test, rule) of versions after ``since`` up to ``until``: (suite, changes, last_version)."""
+    return changes.where((F.col("version") > since) & (F.col("version") <= until)).groupBy("suite").agg(F.count("*").alias("changes"), F.max("version").alias("last_version"))
+
+
+def suite_coverage(changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(suite, covered, percent) of the rules that a suite's tests name."""
+    known = changes.select("suite", "rule").distinct().join(rules.select("rule").distinct(), "rule").groupBy("suite").agg(F.count("*").alias("covered"))
+    return known.join(rules.agg(F.count_distinct("rule").alias("_all"))).select("suite", "covered", (F.col("covered") * 100 / F.col("_all")).alias("percent"))
+
+
 def golden_dataset(cases: DataFrame, inputs: Sequence[str], priority: str, key: str) -> DataFrame:
     """One case for each distinct input, that of the highest priority."""
     hashed = cases.withColumn("input_hash", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in inputs]).cast("binary")))

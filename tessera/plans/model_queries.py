@@ -96,16 +96,32 @@ def predict(spark, sf):
 PAIRS = with_roles("pairs")
 
 
-@query("M12_divergences", PAIRS + ", j AS (SELECT a.price AS p, b.price AS q FROM legacy a JOIN modern b ON a.k1 = b.k1 AND a.k2 = b.k2) SELECT CASE WHEN abs(p - q) <= 0.1 THEN NULL WHEN abs(p - q) <= 1.0 THEN 'tolerance_issue' ELSE 'code_bug' END AS kind, count(*) AS n FROM j GROUP BY 1")
+@query("M9_rare_values", RUNS + " SELECT quantity AS value, count(*) AS n FROM runs GROUP BY 1 HAVING count(*) < 0.0205 * (SELECT count(*) FROM runs)")
+def rare(spark, sf):
+    return m.rare_values(runs(spark, sf), "quantity", 0.0205)
+
+
+INVARIANTS = {"net at most price": "net <= price", "tax under 0.08": "tax < 0.08", "discount under 0.1": "discount < 0.0999"}
+
+
+@query("M9_violations", RUNS + ", v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS invariant, count(*) FILTER (NOT ({c})) AS violations, count(*) AS n FROM runs" for k, c in INVARIANTS.items()) + ") SELECT invariant, violations, round(violations / n::DOUBLE, 8) AS rate FROM v WHERE violations > 0 AND violations / n::DOUBLE < 0.2")
+def invariant_violations(spark, sf):
+    return rounded(m.violations(runs(spark, sf), INVARIANTS, 0.2), 8, "rate")
+
+
+@query("M12_divergences", PAIRS + """, j AS (SELECT a.k1, a.price AS p, b.price AS q, b.quantity AS n FROM legacy a JOIN modern b ON a.k1 = b.k1 AND a.k2 = b.k2)
+SELECT CASE WHEN abs(p - q) <= 0.1 THEN NULL WHEN n IS NULL THEN 'edge_case' WHEN abs(p - q) <= 1.0 THEN 'tolerance_issue' WHEN k1 % 2 = 0 THEN 'model_error' ELSE 'code_bug' END AS kind, count(*) AS n FROM j GROUP BY 1""")
 def divergences(spark, sf):
     a, b = legacy_modern(spark, sf)
-    joined = a.select("k1", "k2", F.col("price").alias("p")).join(b.select("k1", "k2", F.col("price").alias("q")), ["k1", "k2"])
-    return joined.groupBy(m.divergence_kind(F.col("p"), F.col("q"), 0.1).alias("kind")).agg(F.count("*").alias("n"))
+    joined = a.select("k1", "k2", F.col("price").alias("p")).join(b.select("k1", "k2", F.col("price").alias("q"), "quantity"), ["k1", "k2"])
+    sure = F.when(F.col("k1") % 2 == 0, 0.5).otherwise(0.9)
+    return joined.groupBy(m.divergence_kind(F.col("p"), F.col("q"), 0.1, sure, F.col("quantity").isNull()).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("M13_validation_run", RUNS + " SELECT count(*) FILTER (net <= price) AS passed, count(*) FILTER (net > price) AS failed, count(*) FILTER (discount > 0.09) AS warnings FROM runs")
+@query("M13_validation_run", RUNS + " SELECT 'net' AS \"check\", 'error' AS severity, count(*) FILTER (net <= price) AS passed, count(*) FILTER (NOT net <= price) AS failed, false AS alert FROM runs UNION ALL SELECT 'discount', 'warning', count(*) FILTER (discount <= 0.05), count(*) FILTER (NOT discount <= 0.05), count(*) FILTER (NOT discount <= 0.05) > 0.3 * count(*) FROM runs")
 def validation_run(spark, sf):
-    return runs(spark, sf).agg(F.count_if(F.col("net") <= F.col("price")).alias("passed"), F.count_if(F.col("net") > F.col("price")).alias("failed"), F.count_if(F.col("discount") > 0.09).alias("warnings"))
+    checks = {"net": (F.col("net") <= F.col("price"), "error"), "discount": (F.col("discount") <= 0.05, "warning")}
+    return m.validation_run(runs(spark, sf), checks, {"net": 0.0, "discount": 0.3}).drop("rate")
 
 
 @query("M14_failure_groups", RUNS + " SELECT flag || ':' || status AS grp, count(*) AS n FROM runs WHERE discount > 0.05 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, grp LIMIT 10")
@@ -121,6 +137,30 @@ def drift(spark, sf):
     return rounded(out, 6, "mean_shift", "cardinality_shift")
 
 
+HALVES = RUNS + ", a AS (SELECT * FROM runs WHERE quantity < 25), b AS (SELECT * FROM runs WHERE quantity >= 25), h AS (SELECT 'cheap' AS invariant, (SELECT avg((price < 40000)::INT) FROM a) AS before, (SELECT avg((price < 40000)::INT) FROM b) AS after UNION ALL SELECT 'taxed', (SELECT avg((tax > 0.01)::INT) FROM a), (SELECT avg((tax > 0.01)::INT) FROM b))"
+
+
+def halves(spark, sf):
+    df = runs(spark, sf)
+    return df.where("quantity < 25"), df.where("quantity >= 25")
+
+
+HOLDS = {"cheap": "price < 40000", "taxed": "tax > 0.01"}
+
+
+@query("M15_hold_rates", HALVES + " SELECT invariant, round(before, 8) AS before, round(after, 8) AS after, before - after > 0.1 AS drifted FROM h")
+def hold_rates(spark, sf):
+    return rounded(m.hold_rates(*halves(spark, sf), HOLDS), 8, "before", "after")
+
+
+@query("M15_drift_score", HALVES + """, d AS (SELECT abs((SELECT avg(price) FROM b) - (SELECT avg(price) FROM a)) / (SELECT avg(price) FROM a) AS s, abs((SELECT count(DISTINCT price) FROM b) - (SELECT count(DISTINCT price) FROM a)) / (SELECT count(DISTINCT price) FROM a)::DOUBLE AS k),
+f AS (SELECT coalesce(avg(before - after) FILTER (before - after > 0.1), 0) AS c, count(*) FILTER (before - after > 0.1) AS n FROM h), r AS (SELECT greatest(CASE WHEN s > 0.1 THEN s ELSE 0 END, CASE WHEN k > 0.2 THEN k ELSE 0 END, c) AS score, (s > 0.1)::INT + (k > 0.2)::INT + n AS findings FROM d, f)
+SELECT round(score, 6) AS score, findings, score > 0.2 OR findings >= 3 AS retrain FROM r""")
+def drift_score(spark, sf):
+    a, b = halves(spark, sf)
+    return rounded(m.drift_score(m.drift(a, b, ["price"]), m.hold_rates(a, b, HOLDS)), 6, "score")
+
+
 @query("M16_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS k, ok / n::DOUBLE - lag(ok / n::DOUBLE) OVER (ORDER BY day) AS change FROM d) SELECT CAST(day AS VARCHAR) AS day, n, ok, round(change, 8) AS change FROM r WHERE k <= 10")
 def trend(spark, sf):
     days = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("ok"))
@@ -146,9 +186,23 @@ def random_cases(spark, sf):
     return m.random_cases(signature(spark, sf), 100, 7)
 
 
-@query("M18_synthesis_coverage", RUNS + " SELECT round(0.4 * count(DISTINCT quantity) / 50.0 + 0.3 * count(DISTINCT discount) / 11.0 + 0.3 * count(DISTINCT tax) / 9.0, 6)::DOUBLE AS overall FROM runs")
-def synthesis_coverage(spark, sf):
-    return runs(spark, sf).agg(F.round(0.4 * F.count_distinct("quantity") / 50 + 0.3 * F.count_distinct("discount") / 11 + 0.3 * F.count_distinct("tax") / 9, 6).alias("overall"))
+@query("M17_partition_cases", RUNS + ", q AS (SELECT min(price) AS a, quantile_disc(price, 0.25) AS b, quantile_disc(price, 0.5) AS c, quantile_disc(price, 0.75) AS d, max(price) AS e, avg(price) AS m FROM runs) SELECT 'quarter-1' AS \"case\", round((a + b) / 2, 4) AS value FROM q UNION ALL SELECT 'quarter-2', round((b + c) / 2, 4) FROM q UNION ALL SELECT 'quarter-3', round((c + d) / 2, 4) FROM q UNION ALL SELECT 'quarter-4', round((d + e) / 2, 4) FROM q UNION ALL SELECT 'mean', round(m, 4) FROM q")
+def partition_cases(spark, sf):
+    return rounded(m.partition_cases(runs(spark, sf), "price"), 4, "value")
+
+
+@query("M17_edge_cases", RUNS + " SELECT invariant, 'edge' AS strategy, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS invariant FROM runs WHERE NOT ({c})" for k, c in INVARIANTS.items()) + ") GROUP BY 1")
+def edge_strategy(spark, sf):
+    cases = runs(spark, sf).withColumn("id", F.col("run_id") * 10 + F.col("line"))
+    return m.edge_and_invariant_cases(cases, INVARIANTS).where("strategy = 'edge'").groupBy("invariant", "strategy").agg(F.count("*").alias("n"))
+
+
+@query("M18_synthesis_quality", RUNS + """, c AS (SELECT * FROM runs WHERE discount > 0.05), v AS (SELECT ((SELECT count(DISTINCT quantity) FROM c) / (SELECT count(DISTINCT quantity) FROM runs)::DOUBLE + (SELECT count(DISTINCT discount) FROM c) / (SELECT count(DISTINCT discount) FROM runs)::DOUBLE) / 2 AS value_coverage, (SELECT count(DISTINCT flag) FROM c) / 4.0 AS inv, least(1.0, (SELECT count(DISTINCT quantity) FROM c WHERE quantity > 45) / 10.0) AS edge, (SELECT count(DISTINCT status) FROM c) / 6.0::DOUBLE AS diversity)
+SELECT (SELECT count(*) FROM c) AS cases, round(value_coverage, 6) AS value_coverage, inv::DOUBLE AS invariant_coverage, edge::DOUBLE AS edge_coverage, round(0.4 * value_coverage + 0.3 * inv + 0.3 * edge, 6)::DOUBLE AS overall, round(diversity, 6) AS diversity FROM v""")
+def synthesis_quality(spark, sf):
+    df = runs(spark, sf)
+    cases = df.where("discount > 0.05").withColumns({"strategy": F.col("status"), "invariant": F.col("flag"), "edge": F.when(F.col("quantity") > 45, F.col("quantity"))})
+    return rounded(m.synthesis_quality(cases, df, ["quantity", "discount"], 4, 10), 6, "value_coverage", "overall", "diversity")
 
 
 @query("M19_golden_dataset", "WITH c AS (SELECT md5(CAST(l_linenumber AS VARCHAR) || '|' || l_returnflag || '|' || l_linestatus) AS input_hash, l_orderkey * 10 + l_linenumber AS id, l_quantity AS pr FROM lineitem), r AS (SELECT input_hash, id, count(*) OVER (PARTITION BY input_hash) AS replaced, row_number() OVER (PARTITION BY input_hash ORDER BY pr DESC, id) AS k FROM c) SELECT input_hash, id, replaced FROM r WHERE k = 1")
@@ -179,14 +233,30 @@ def dataset_stats(spark, sf):
     return table(spark, sf, "orders").cube(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("strategy")).agg(F.count("*").alias("n"))
 
 
-@query("M26_mutations", "SELECT c_custkey, reverse(c_name) AS reversed, upper(c_name) AS upper, '' AS empty, repeat(c_name, 3) AS repeated FROM customer")
-def mutations(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.reverse("c_name").alias("reversed"), F.upper("c_name").alias("upper"), F.lit("").alias("empty"), F.repeat("c_name", F.lit(3)).alias("repeated"))
+@query("M26_mutations", "WITH t AS (SELECT c_custkey, c_name AS t FROM customer) SELECT c_custkey, unnest(['reverse', 'upper', 'empty', 'repeat', 'cut', 'pad', 'swap', 'double']) AS mutation, unnest([reverse(t), upper(t), '', repeat(t, 3), left(t, length(t) // 2), ' ' || t || ' ', substr(t, 2, 1) || left(t, 1) || substr(t, 3), left(t, 1) || t]) AS value FROM t")
+def mutated(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.explode(m.mutations(F.col("c_name"))).alias("x")).select("c_custkey", "x.*")
+
+
+def suite_changes_(spark, sf):
+    """Orders as changes of their customer's suite, months as versions."""
+    version = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("suite"), version.alias("version"), F.col("o_orderkey").alias("test"), F.col("o_orderpriority").alias("rule"))
+
+
+SUITE = "ch AS (SELECT o_custkey AS suite, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS version, o_orderpriority AS rule FROM orders)"
 
 
-@query("M28_suite_versions", "SELECT o_custkey, count(*) AS changes, max(o_orderkey) AS last_change FROM orders WHERE o_orderkey BETWEEN 100 AND 10000 GROUP BY 1")
+@query("M28_suite_versions", f"WITH {SUITE} SELECT suite, count(*) AS changes, max(version)::INT AS last_version FROM ch WHERE version > 6 AND version <= 60 GROUP BY 1")
 def suite_versions(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey BETWEEN 100 AND 10000").groupBy("o_custkey").agg(F.count("*").alias("changes"), F.max("o_orderkey").alias("last_change"))
+    return m.suite_changes(suite_changes_(spark, sf), 6, 60)
+
+
+@query("M28_suite_coverage", f"WITH {SUITE}, r AS (SELECT DISTINCT rule FROM ch UNION SELECT 'never tested') SELECT suite, count(DISTINCT rule) AS covered, round(100.0 * count(DISTINCT rule) / (SELECT count(*) FROM r), 6)::DOUBLE AS percent FROM ch GROUP BY 1")
+def suite_coverage(spark, sf):
+    changes = suite_changes_(spark, sf)
+    rules = changes.select("rule").distinct().union(spark.createDataFrame([("never tested",)], "rule string"))
+    return rounded(m.suite_coverage(changes, rules), 6, "percent")
 
 
 # --- telemetry ---
@@ -203,17 +273,26 @@ def spans(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(F.col("value") * 1_000_000).cast("long").alias("nanos"), kind.alias("kind"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query("O4_record_types", "SELECT CASE WHEN event_type = 'error' THEN 30 WHEN event_type = 'purchase' THEN 101 WHEN event_type = 'click' THEN 110 ELSE 116 END AS record_type, count(*) AS n, count(*) FILTER (event_type = 'error' OR value > 200) AS errors FROM events GROUP BY 1")
-def record_types(spark, sf):
-    t = F.col("event_type")
-    kind = F.when(t == "error", 30).when(t == "purchase", 101).when(t == "click", 110).otherwise(116)
-    return table(spark, sf, "events").groupBy(kind.alias("record_type")).agg(F.count("*").alias("n"), F.count_if((t == "error") | (F.col("value") > 200)).alias("errors"))
+RECORDS = "rec AS (SELECT event_id, CASE event_type WHEN 'error' THEN 30 WHEN 'purchase' THEN 101 WHEN 'click' THEN 110 WHEN 'view' THEN 116 ELSE 99 END AS record_type, ts, 'P' || user_id AS name, floor(value * 10) AS elapsed_ms, CASE WHEN event_id % 7 = 0 THEN 'ASRA' END AS abend, event_id % 3 AS aborts, event_id % 9 AS return_code, value / 2 AS cpu_ms, event_id % 50 AS rows, event_id % 4 AS puts, CASE WHEN event_id % 5 <> 0 THEN event_id % 6 END AS gets FROM events)"
+
+
+def records(spark, sf):
+    k, kind = F.col("event_id"), F.col("event_type")
+    number = F.when(kind == "error", 30).when(kind == "purchase", 101).when(kind == "click", 110).when(kind == "view", 116).otherwise(99)
+    return table(spark, sf, "events").select(
+        "event_id", number.alias("record_type"), "ts", F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("name"), F.floor(F.col("value") * 10).alias("elapsed_ms"), F.when(k % 7 == 0, "ASRA").alias("abend"), (k % 3).alias("aborts"), (k % 9).alias("return_code"),
+        (F.col("value") / 2).alias("cpu_ms"), (k % 50).alias("rows"), (k % 4).alias("puts"), F.when(k % 5 != 0, k % 6).alias("gets"),
+    )
 
 
-@query("O5_records_to_metrics", "SELECT metric, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT unnest(['latency', 'count']) AS metric, unnest([value, 1.0]) AS v FROM events) GROUP BY metric")
+@query("O4_record_spans", f"WITH {RECORDS} SELECT CASE record_type WHEN 30 THEN 'batch' WHEN 101 THEN 'db2' WHEN 110 THEN 'cics' ELSE 'mq' END AS subsystem, CASE record_type WHEN 30 THEN 'BATCH:' WHEN 101 THEN 'DB2:' WHEN 110 THEN 'CICS:' ELSE 'MQ:' END || name AS operation, CASE WHEN record_type = 110 AND abend IS NOT NULL OR record_type = 101 AND aborts > 0 OR record_type = 30 AND return_code > 4 THEN 'ERROR' ELSE 'OK' END AS status, count(*) AS n, sum(CASE WHEN record_type <> 116 THEN elapsed_ms END)::BIGINT AS total FROM rec WHERE record_type <> 99 GROUP BY 1, 2, 3")
+def record_spans(spark, sf):
+    return o.smf_spans(records(spark, sf)).groupBy("subsystem", "operation", "status").agg(F.count("*").alias("n"), F.sum("duration").cast("long").alias("total"))
+
+
+@query("O5_records_to_metrics", f"WITH {RECORDS}, p AS (SELECT 'cics.response_time' AS metric, elapsed_ms::DOUBLE AS v FROM rec WHERE record_type = 110 UNION ALL SELECT 'cics.cpu_time', cpu_ms FROM rec WHERE record_type = 110 UNION ALL SELECT 'db2.elapsed_time', elapsed_ms FROM rec WHERE record_type = 101 UNION ALL SELECT 'db2.rows_fetched', rows FROM rec WHERE record_type = 101 UNION ALL SELECT 'mq.messages_put', puts FROM rec WHERE record_type = 116 UNION ALL SELECT 'mq.messages_got', gets FROM rec WHERE record_type = 116) SELECT metric, count(v) AS n, round(sum(v), 2) AS total FROM p GROUP BY metric")
 def records_to_metrics(spark, sf):
-    rows = F.array(F.struct(F.lit("latency").alias("metric"), F.col("value").alias("v")), F.struct(F.lit("count").alias("metric"), F.lit(1.0).alias("v")))
-    return table(spark, sf, "events").select(F.explode(rows).alias("x")).select("x.*").groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    return o.smf_metrics(records(spark, sf)).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("O6_metric_merge", "SELECT event_type || ':' || (user_id % 3) AS series, count(*) AS points, min(event_id) AS first_event FROM events GROUP BY 1")
@@ -224,7 +303,7 @@ def metric_merge(spark, sf):
 
 @query("O7_counter_export", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
 def counter(spark, sf):
-    return o.cumulative(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], "value").select("event_id", F.round("total", 4).alias("total"))
+    return o.cumulative(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], "value", F.to_date("ts")).select("event_id", F.round("total", 4).alias("total"))
 
 
 @query("O8_metric_query", "SELECT event_id FROM events WHERE event_type = 'purchase' AND value >= 50 AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25' ORDER BY ts, event_id LIMIT 100")
@@ -282,11 +361,11 @@ def health(spark, sf):
     return hysteresis(spark, sf).groupBy("session_id", "state").agg(F.count("*").alias("n"))
 
 
-@query("O16_window_health", """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS e, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1)
-SELECT start, n, round(e, 6)::DOUBLE AS error_rate, p99, CASE WHEN greatest(e / 0.2, p99 / 100.0) >= 2 THEN 'critical' WHEN greatest(e / 0.2, p99 / 100.0) > 1 THEN 'warning' ELSE 'healthy' END AS status FROM w""")
+@query("O16_window_health", """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS e, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1)
+SELECT start, n, round(e, 6) AS error_rate, p99, round(1 - e, 6) AS availability, CASE WHEN greatest(e / 0.5, p99 / 200.0) >= 2 OR 1 - e < 0.9 * 0.85 THEN 'critical' WHEN greatest(e / 0.5, p99 / 200.0) > 1 OR 1 - e < 0.85 THEN 'warning' ELSE 'healthy' END AS status FROM w""")
 def window_health(spark, sf):
-    out = o.window_health(table(spark, sf, "events"), [], "ts", "value", F.col("event_type") == "error", "1 hour", 100.0, 0.2)
-    return rounded(out, 6, "error_rate").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = o.window_health(table(spark, sf, "events"), [], "ts", "value", F.col("event_type") == "error", "1 hour", 200.0, 0.5, 0.85)
+    return rounded(out, 6, "error_rate", "availability").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("O17_violations", HYSTERESIS + ", t AS (SELECT session_id, seq, state, lag(state) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM h) SELECT CASE WHEN state = 'unhealthy' THEN 'alert' ELSE 'recovered' END AS event, count(*) AS n FROM t WHERE state <> before AND (state = 'unhealthy' OR before = 'unhealthy') GROUP BY 1")
@@ -311,21 +390,53 @@ def flag_variant(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", o.variant(F.col("c_name"), {"a": 50, "b": 30}).alias("variant"))
 
 
-@query("O20_sticky_routing", "SELECT user_id, arg_min(event_type, event_id) AS target, count(*) AS requests FROM events GROUP BY 1")
+FLAG = {
+    "default": "off", "variants": {"a": (3, "one"), "b": (2, "two"), "c": (0, "three")},
+    "rules": [
+        {"priority": 2, "variant": "c", "conditions": [{"attribute": "segment", "operator": "in", "value": ["BUILDING", "MACHINERY"]}, {"attribute": "balance", "operator": "gte", "value": 5000}]},
+        {"priority": 1, "variant": "b", "conditions": [{"attribute": "name", "operator": "matches", "value": "7$"}, {"attribute": "segment", "operator": "not-equals", "value": "HOUSEHOLD"}, {"operator": "percentage", "value": 60}]},
+        {"priority": 3, "variant": "missing", "conditions": []}, {"priority": 4, "variant": "a", "conditions": [{"attribute": "balance", "operator": "lt", "value": -500}, {"attribute": "segment", "operator": "not-in", "value": ["FURNITURE"]}, {"attribute": "name", "operator": "not-contains", "value": "3"}]},
+    ],
+}
+
+
+@query("O19_flag_rules", f"""WITH h AS (SELECT c_custkey, c_name AS k, c_mktsegment AS s, c_acctbal AS b, {SIGNED} AS h FROM (SELECT *, c_name AS k FROM customer))
+SELECT c_custkey, CASE WHEN k LIKE '%7' AND s <> 'HOUSEHOLD' AND abs(h) % 100 < 60 THEN 'two' WHEN s IN ('BUILDING', 'MACHINERY') AND b >= 5000 THEN 'three' WHEN b < -500 AND s NOT IN ('FURNITURE') AND NOT contains(k, '3') THEN 'one' WHEN abs(h) % 5 < 3 THEN 'one' ELSE 'two' END AS value FROM h""")
+def flag_rules(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    return df.select("c_custkey", o.evaluate_flag(FLAG, F.col("name")).alias("value"))
+
+
+ROUTES = [{"target": "new", "weight": 30, "conditions": [{"attribute": "event_type", "operator": "equals", "value": "signup"}]}, {"target": "old", "weight": 70}]
+
+
+@query("O20_sticky_routing", f"""WITH h AS (SELECT event_id, user_id, event_type, {SIGNED} AS h FROM (SELECT *, event_id::VARCHAR AS k FROM events)), p AS (SELECT *, CASE WHEN event_type = 'signup' OR abs(h) % 100 < 30 THEN 'new' ELSE 'old' END AS t, CASE WHEN event_type = 'signup' THEN 'condition-match' ELSE 'weight-based' END AS r FROM h),
+f AS (SELECT *, first_value(t) OVER (PARTITION BY user_id ORDER BY event_id) AS t0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM p), x AS (SELECT CASE WHEN n > 1 THEN t0 ELSE t END AS target, CASE WHEN n > 1 THEN 'sticky-session' ELSE r END AS reason FROM f)
+SELECT target, reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM x), 6)::DOUBLE AS percent FROM x GROUP BY 1, 2""")
 def sticky(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("target"), F.count("*").alias("requests"))
+    routed = o.routed(table(spark, sf, "events"), ROUTES, F.col("event_id").cast("string"), "user_id", "event_id")
+    return rounded(o.route_stats(routed), 6, "percent")
+
+
+GLOBS = [{"name": "all", "pattern": "/*", "percent": 20}, {"name": "docs", "pattern": "/docs/*", "percent": 100, "shadow": True}, {"name": "one", "pattern": "/*/?", "percent": 60}, {"name": "off", "pattern": "/docs/very/long/*", "percent": 0, "enabled": False}]
 
 
-@query("O21_strangler_routing", "SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'modern-fr' WHEN contains(url, 'example.com') THEN 'modern' ELSE 'legacy' END AS route FROM pages")
+@query("O21_strangler_routing", f"""WITH u AS (SELECT page_id, '/' || CASE page_id % 3 WHEN 0 THEN 'docs/' ELSE 'p/' END || page_id % 40 AS path, page_id::VARCHAR AS k, CASE page_id % 10 WHEN 4 THEN 'legacy' WHEN 5 THEN 'other' END AS o FROM pages), h AS (SELECT *, abs({SIGNED}) % 100 AS b FROM u),
+r AS (SELECT *, CASE WHEN starts_with(path, '/docs/') THEN 'docs' WHEN regexp_matches(path, '^/.*/.$') THEN 'one' ELSE 'all' END AS rule FROM h), t AS (SELECT *, CASE WHEN o = 'legacy' THEN 'legacy' WHEN b < CASE rule WHEN 'docs' THEN 100 WHEN 'one' THEN 60 ELSE 20 END THEN 'modern' ELSE 'legacy' END AS target FROM r)
+SELECT page_id, target, rule, CASE WHEN rule = 'docs' THEN CASE target WHEN 'legacy' THEN 'modern' ELSE 'legacy' END END AS shadow FROM t""")
 def strangler_routing(spark, sf):
-    url = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.when(url.contains("/fr/"), "modern-fr").when(url.contains("example.com"), "modern").otherwise("legacy").alias("route"))
+    k = F.col("page_id")
+    path = F.concat(F.lit("/"), F.when(k % 3 == 0, "docs/").otherwise("p/"), (k % 40).cast("string"))
+    override = F.when(k % 10 == 4, "legacy").when(k % 10 == 5, "other")
+    return table(spark, sf, "pages").select("page_id", o.strangler_route(path, k.cast("string"), GLOBS, override).alias("r")).select("page_id", "r.*")
 
 
-@query("O22_pipeline_metrics", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed, round(count(*) / 24.0, 6)::DOUBLE AS per_hour FROM events GROUP BY 1")
+@query("O22_pipeline_metrics", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sum(user_id % 4)::BIGINT AS retries, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS healing, round(count(*) FILTER (event_type = 'purchase') / 24.0, 6)::DOUBLE AS throughput FROM events GROUP BY 1")
 def pipeline_metrics(spark, sf):
     t = F.col("event_type")
-    return table(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_if(t == "purchase").alias("completed"), F.count_if(t == "error").alias("failed"), F.round(F.count("*") / 24, 6).alias("per_hour"))
+    status = F.when(t == "purchase", "completed").when(t == "error", "failed").when(t == "view", "healing").otherwise("waiting")
+    tasks = table(spark, sf, "events").select(F.to_date("ts").cast("string").alias("day"), status.alias("status"), (F.col("user_id") % 4).alias("retries"))
+    return rounded(o.pipeline_metrics(tasks, ["day"]), 6, "throughput")
 
 
 @query("O23_weight_aggregation", "SELECT l_linenumber AS layer, l_suppkey % 10 AS cell, round(sum(l_discount * l_quantity) / sum(l_quantity), 8) AS weight FROM lineitem GROUP BY 1, 2")
