@@ -11,12 +11,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 #: White space of the contracts: space, \t, \n, \v, \f and \r.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _written: list[tuple[SparkSession, str]] = []
+_registered: list = []
 _shipped: set[str] = set()
 
 
@@ -38,36 +41,26 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(path))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; where it is unset (tests,
-    one machine) a temporary folder is made and set.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it.
 
     Written tables survive the loss of any executor. They are removed when the
-    driver's Python ends.
+    driver's Python ends, or by :func:`remove_written` (a service calls it once
+    it has stored its results).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
+    if not _registered:
+        _registered.append(atexit.register(remove_written))
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def remove_written() -> None:
+    """Delete every table of :func:`materialize`; frames that read them are of no use afterwards."""
+    while _written:
+        spark, path = _written.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -75,6 +68,30 @@ def _remove_written() -> None:
             return
 
 
+#: A key with this share of all rows is hot; so many keys at most can be.
+HOT = 2000
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, spread: str, stats=None) -> DataFrame:
+    """``rows`` joined with ``keys``, a written table with one row for each ``on``, whatever share of ``rows`` one key has.
+
+    ``weight`` says how many rows a key has. Keys of a 2000th of all weight or
+    more are 2000 at most, so these are broadcast: their rows are dealt by
+    ``spread`` into pieces of about that size, and each piece meets its own
+    copy of the key. ``stats`` are the sum and the largest of the weights, if
+    known. ``weight`` is dropped.
+    """
+    total, most = stats or keys.agg(F.sum(weight), F.max(weight)).first()
+    if total is None or total < HOT or most * HOT < total:
+        return rows.join(keys.drop(weight), on)
+    pieces = F.ceil(F.col(weight) * HOT / total).cast("int")
+    hot = keys.where(F.col(weight) * HOT >= total).select(*on, pieces.alias("_pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_pieces")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_piece", piece).drop("_pieces")
+    copied = keys.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(weight)
+    return dealt.join(copied, [*on, "_piece"]).drop("_piece")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the memory of Arrow batches of whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

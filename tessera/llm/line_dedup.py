@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, ascii_lower, documents, materialize
+from tessera.llm.common import SPACES, ascii_lower, documents, join_by_key, materialize
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -18,7 +18,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns every input column, with the text replaced by what is left, plus
     ``n_lines`` and ``n_dropped``. Native throughout: lines are exploded with
     their positions, hashed (128 bits), counted by distinct document, and the
-    kept positions are reassembled in order. The text itself is shuffled once.
+    kept positions are reassembled in order. The text itself is shuffled once;
+    occurrences of a line that is a large share of all are dealt into pieces.
 
     Null and empty texts are one empty line. Rows of one id are one document
     when documents are counted; rows with equal id and text get equal results.
@@ -41,12 +42,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     occurrences = materialize(occurrences, "lines")
     repeated = (
         occurrences.groupBy("_ld_hash")
-        .agg(F.count_distinct("_ld_id").alias("_ld_docs"), F.max("_ld_id").alias("_ld_keeper"))
+        .agg(F.count_distinct("_ld_id").alias("_ld_docs"), F.max("_ld_id").alias("_ld_keeper"), F.count("*").alias("_ld_rows"))
         .where(F.col("_ld_docs") >= min_docs)
-        .select("_ld_hash", "_ld_keeper")
+        .select("_ld_hash", "_ld_keeper", "_ld_rows")
     )
     drops = (
-        occurrences.join(repeated, "_ld_hash")
+        join_by_key(occurrences, materialize(repeated, "repeated-lines"), ["_ld_hash"], "_ld_rows", "_ld_id")
         .where(F.col("_ld_id") < F.col("_ld_keeper"))
         .groupBy("_ld_id", "_ld_text")
         .agg(F.collect_set("_ld_pos").alias("_ld_drops"))
