@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, materialize, ship, small_batches
+from tessera.llm.common import documents, join_by_key, materialize, ship, small_batches
 from tessera.llm.shingles import overlap_needed, prefix_length, shingle_sets
 from tessera.operators.components import connected_components
 
@@ -56,8 +56,8 @@ def rare_prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> np.nd
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: a row of (id, set id, size) for each, and each task's pieces of the sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+    """One pass over the texts: a row of (id, row key, set id, size) for each, and each task's pieces of the sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,7 +65,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         total, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
             ids, sizes = [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), width):
+            for s in shingle_sets(batch.column("text").to_pylist(), width):
                 sid = set_id(s)
                 ids.append(sid)
                 sizes.append(len(s))
@@ -73,37 +73,54 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(sid)
                     np.add.at(total, _sketch_cells(s), 1)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         if seen:
             task = TaskContext.get().partitionId()
             for piece, part in enumerate(np.split(total, PIECES)):
                 yield pa.RecordBatch.from_pylist([{"piece": piece, "task": task, "counts": zlib.compress(part.tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n int, piece int, task int, counts binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, sid long, n int, piece int, task int, counts binary")
+
+
+#: Sketches that are summed in one group.
+FAN_IN = 64
 
 
 def _sum_sketch(parts: DataFrame) -> np.ndarray:
-    """Sum the tasks' pieces in two levels; the driver gets the 64 sums alone, 16 MB at any input size."""
+    """Sum the tasks' pieces in as many levels as their number asks for; the driver gets 64 sums alone, 16 MB at any input size."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH // PIECES, np.uint64)
         for x in group["counts"]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
         total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return pd.DataFrame({"piece": group["piece"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    some = parts.groupBy("piece", F.pmod("task", F.lit(64)).alias("part")).applyInPandas(add, "piece int, counts binary")
-    rows = some.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect()
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "task": group["task"].iloc[:1] // FAN_IN, "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        parts = parts.groupBy("piece", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, "piece int, task int, counts binary")
+        tasks = -(-tasks // FAN_IN)
+        if tasks == 1:
+            break
     sketch = np.zeros(SKETCH, np.uint32)
-    for r in rows:
+    for r in parts.collect():
         at = r["piece"] * (SKETCH // PIECES)
         sketch[at : at + SKETCH // PIECES] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return sketch
 
 
+#: A sketch cell with this share of all shingles is hot: the rows of its keys are dealt by set into runs of that size (``TILE`` at least).
+HOT_CELLS = 20_000
+
+
 def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, n, sid) for the rare prefix of every set; a task emits equal sets once."""
+    """(key, place, sid) for the rare prefix of every set; a task emits equal sets once.
+
+    ``place`` is the set's size and, in the upper half, its salt: 0, but for
+    keys of hot cells a number from 1 on that follows from the set.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
+    share = max(int(sketch.sum(dtype=np.uint64)) // HOT_CELLS, TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.frombuffer(zlib.decompress(shared.value), np.uint32), set()
@@ -117,85 +134,112 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) ->
                 sids.append(sid)
                 sizes.append(len(s))
             if keys:
-                lengths = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(sids, np.int64), lengths)),
-                ], names=["key", "n", "sid"])
+                lengths, key = [len(k) for k in keys], np.concatenate(keys)
+                sid = np.repeat(np.array(sids, np.int64), lengths)
+                runs = counts[_sketch_cells(key.view(np.uint64))] // np.uint32(min(share, 0xFFFFFFFF))
+                salt = np.where(runs > 0, 1 + sid.view(np.uint64) % np.maximum(runs, 1).astype(np.uint64), 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt << 32 | np.repeat(np.array(sizes, np.int64), lengths)), pa.array(sid)], names=["key", "place", "sid"])
 
-    return docs.select("text").mapInArrow(run, "key long, n int, sid long")
+    return docs.select("text").mapInArrow(run, "key long, place long, sid long")
 
 
 def _runs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows whose key other sets share, each with the centre of its run.
+    """(key, salt, n, sid, centre, top) of rows whose key other sets share, each with the centre of its run.
 
-    Rows come sorted by (key, n, sid). A run's centre is its least set, and
-    anew each set too large to be similar to the last centre. State is one row.
+    A run is the rows of a key and salt, and comes sorted by (place, sid). Its
+    centre is its least set, and anew each set too large to be similar to the
+    last centre; ``top`` marks rows that are their own centre. State is one
+    row. Salted rows are all kept: other runs may share their key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, n, sid, whether it was emitted
+        last = None  # key, salt, n, sid, whether it was emitted
         centre = None  # sid, n
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
             out = []
-            for row in zip(*(c.tolist() for c in _shared_rows(batch, last)), strict=True):
-                key, n, sid = row
-                if last is not None and last[0] == key:
-                    if last[2] == sid:
+            for row in zip(*(c.tolist() for c in _shared_rows(batch)), strict=True):
+                key, salt, n, sid = row
+                if last is not None and last[0] == key and last[1] == salt:
+                    if last[3] == sid:
                         continue
-                    if not last[3]:
-                        out.append((key, last[1], last[2], last[2]))
-                    if percent * n > 100 * centre[1]:
+                    if not last[4]:
+                        out.append((key, salt, last[2], last[3], last[3], True))
+                    new = percent * n > 100 * centre[1]
+                    if new:
                         centre = (sid, n)
-                    out.append((key, n, sid, centre[0]))
-                    last = (key, n, sid, True)
+                    out.append((key, salt, n, sid, centre[0], new))
+                    last = (key, salt, n, sid, True)
                 else:
-                    last, centre = (key, n, sid, False), (sid, n)
+                    last, centre = (key, salt, n, sid, salt > 0), (sid, n)
+                    if salt:
+                        out.append((key, salt, n, sid, sid, True))
             if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["key", "n", "sid", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "salt", "n", "sid", "centre", "top"])
+
+    return prefixes.repartition("key", F.shiftright("place", 32)).sortWithinPartitions("key", "place", "sid").mapInArrow(run, "key long, salt int, n int, sid long, centre long, top boolean")
+
 
-    return prefixes.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, "key long, n int, sid long, centre long")
+def _first_pairs(runs: DataFrame, percent: int) -> DataFrame:
+    """Each row with its centre, and the centres of a salted key's runs with centres of their own."""
+    pair = lambda df: df.where("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b"))
+    tops = runs.where("top AND salt > 0").select("key", F.col("n").cast("long").alias("place"), "sid")
+    return pair(runs).unionByName(pair(_runs(tops, percent))).distinct()
 
 
-def _shared_rows(batch: pa.RecordBatch, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The batch's rows, without those whose key surely stands alone."""
-    key, n, sid = (batch.column(c).to_numpy() for c in ("key", "n", "sid"))
+def _shared_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The batch's rows, without unsalted ones whose key surely stands alone."""
+    key, place, sid = (batch.column(c).to_numpy() for c in ("key", "place", "sid"))
+    salt, n = place >> 32, place & 0xFFFFFFFF
     if len(key) > 1:
         same = key[1:] == key[:-1]
-        keep = np.append(same, True) | np.append(True, same)
+        keep = np.append(same, True) | np.append(True, same) | (salt > 0)
         keep[0] = True  # it may continue the run of the batch before
-        key, n, sid = key[keep], n[keep], sid[keep]
-    return key, n, sid
+        key, salt, n, sid = key[keep], salt[keep], n[keep], sid[keep]
+    return key, salt, n, sid
 
 
-def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+def _tiles(rows: DataFrame, percent: int, some_long: bool) -> DataFrame:
     """Deal the rows of every key into tiles: (key, t, u, side) with the row's other columns.
 
-    A run of up to ``TILE`` rows is one tile. A longer one is cut in order of
-    size, and its tiles meet in pairs, but for those too far apart in size; so
-    no task ever holds more than two tiles of a run.
+    A key of up to ``TILE`` rows is one tile. The rows of others are cut in
+    order of size, those in the key's largest component (``major``) apart from
+    the rest; among equal sizes, by hash. Tiles meet in pairs, but for those too
+    far apart in size and those that the largest component fills alone. So no
+    task ever holds more than a few tiles of a key, and a key whose sets are
+    mostly linked costs no more than its other sets times its rows.
     """
     columns = ["key", "n", "sid", "label", "sig"]
     zero = F.lit(0).cast("long")
     short = rows.where(F.col("m") <= TILE).select(*columns, zero.alias("t"), zero.alias("u"), F.lit(0).alias("side"))
-    place = F.expr("row_number() OVER (PARTITION BY key ORDER BY n, sid)")
-    long = materialize(rows.where(F.col("m") > TILE).select(*columns, F.floor((place - 1) / TILE).alias("tile")), "long-runs")
+    if not some_long:
+        return short
+    long = materialize(rows.where(F.col("m") > TILE).select(*columns, (F.col("label") != F.col("major")).alias("minor")), "long-keys")
+    held = long.groupBy("key", "minor", "n").agg(F.count("*").alias("c"))
+    before = "coalesce(sum(c) OVER (PARTITION BY key, minor ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    # Minor tiles have even numbers, the others odd ones.
+    held = materialize(held.select("key", "minor", "n", F.floor(F.expr(before) / TILE).alias("base"), F.ceil(F.col("c") / TILE).alias("cuts"), "c"), "sizes-of-keys")
+    dealt = join_by_key(long, held, ["key", "minor", "n"], "c", "sid")
+    tile = (F.col("base") + F.pmod(F.xxhash64("sid"), F.col("cuts"))) * 2 + F.when(F.col("minor"), 0).otherwise(1)
+    long = materialize(dealt.select(*columns, tile.alias("tile")), "long-runs")
     spans = long.groupBy("key", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = (spans.select("key", F.col("tile").alias(t), F.col("low").alias(f"low_{t}"), F.col("high").alias(f"high_{t}")) for t in ("t", "u"))
-    meet = a.join(b, "key").where((F.col("t") <= F.col("u")) & (percent * F.col("low_u") <= 100 * F.col("high_t"))).select("key", "t", "u")
+    near = (percent * F.col("low_u") <= 100 * F.col("high_t")) & (percent * F.col("low_t") <= 100 * F.col("high_u"))
+    meet = a.join(b, "key").where((F.col("t") <= F.col("u")) & near & ((F.col("t") % 2 == 0) | (F.col("u") % 2 == 0))).select("key", "t", "u")
     left = long.withColumnRenamed("tile", "t").join(meet, ["key", "t"]).withColumn("side", F.lit(0))
     right = long.withColumnRenamed("tile", "u").join(meet.where("t < u"), ["key", "u"]).withColumn("side", F.lit(1))
     out = [*columns, "t", "u", "side"]
     return short.select(*out).unionByName(left.select(*out)).unionByName(right.select(*out))
 
 
-def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _tile_pairs(rows: DataFrame, percent: int, nearest: bool, some_long: bool = True) -> DataFrame:
     """Pairs of sets under one key and in different components that their signatures allow.
 
-    ``rows`` has key, n, sid, label, sig and m, the rows of its key. Groups of
+    ``rows`` has key, n, sid, label, sig, and of its key the number of rows m and
+    the largest component, ``major``. Groups of
     up to eight rows are compared for a whole batch at once, by distance in the
     batch. ``nearest``: in larger tiles only each set's partner of the fewest
-    differing bits.
+    differing bits. ``some_long``: some key has more than ``TILE`` rows.
     """
     few = 8
 
@@ -274,7 +318,7 @@ def _tile_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
         if held:
             yield from emit(held)
 
-    dealt = _tiles(rows, percent).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "side")
+    dealt = _tiles(rows, percent, some_long).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "side")
     return dealt.select("key", "t", "u", "side", "n", "sid", "label", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -316,6 +360,16 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
+def _grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after further ``links(a, b)``: components of components, so that only new links are walked."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    side = lambda end, name: known.select(F.col("node").alias(end), F.col("component").alias(name))
+    between = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = connected_components(between, cut=lambda df: materialize(df, "stars")).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return materialize(known.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """Components of the exact similarity join of documents' shingle sets.
 
@@ -334,23 +388,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        nothing and are never made, so groups of copies stay linear.
 
     Null or empty texts have empty sets and link with nothing: each is its own
-    component. Repeated rows are copies. Rows of null id belong to the class of
-    equal sets and link no further; no component is named by them unless all
-    its ids are null. Other columns are left out. Sets and shingles are told apart by 64-bit hashes.
+    component. Repeated rows are copies. Rows of null id link like others; no
+    component is named by them unless all its ids are null, and then its name
+    is null. Other columns are left out. Sets and shingles are told apart by
+    64-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`").alias("text")
+    doc = F.col(f"`{id_col}`").cast("long")
+    docs = docs.select(doc.alias("doc_id"), text, F.coalesce(doc, F.xxhash64(F.col(f"`{text_col}`"))).alias("row"))
     scanned = materialize(_scan(docs, width), "shingles")
-    named = scanned.where("piece IS NULL").select("doc_id", "sid", "n")
+    named = scanned.where("piece IS NULL").select("doc_id", "row", "sid", "n")
     sketch = _sum_sketch(scanned.where("piece IS NOT NULL").select("piece", "task", "counts"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     runs = materialize(_runs(_prefixes(docs, sketch, width, percent), percent), "runs")
     small_batches(spark)
 
-    owners = named.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    wanted = runs.select("sid").distinct().join(owners.where("rep IS NOT NULL"), "sid")
+    owners = named.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    wanted = runs.select("sid").distinct().join(owners, "sid")
     schema = "sid long, n int, sig binary, text string"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,29 +415,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows, texts = [], batch.column(1).to_pylist()
             for sid, text, s in zip(batch.column(0).to_pylist(), texts, shingle_sets(texts, width), strict=True):
-                if sid not in seen and set_id(s) == sid:  # ids may repeat, with other texts too; a task has all rows of an id
+                if sid not in seen and set_id(s) == sid:  # row keys may repeat, with other texts too; a task has all rows of a key
                     seen.add(sid)
                     rows.append({"sid": sid, "n": len(s), "sig": bitmap(s), "text": text})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("text", pa.string())]))
 
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "text")
+    texts = docs.join(wanted, "row").select("sid", "text")
     sets = materialize(texts.mapInArrow(sign, schema), "sets")
 
-    first = runs.where("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
-    tried = first
+    first = materialize(_first_pairs(runs, percent), "first-pairs")
+    tried, runs = first, runs.select("key", "n", "sid")
     links = materialize(_verified(_allowed(first, sets, percent), sets, width, percent), "links")
+    labels = materialize(connected_components(links, cut=lambda df: materialize(df, "stars")), "labels")
     for k in range(rounds + 1):
-        labels = materialize(connected_components(links, cut=lambda df: materialize(df, "stars")), "labels")
-        labelled = runs.select("key", "n", "sid").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
-        rows = labelled.join(mixed, "key").join(sets.select("sid", "sig"), "sid")
-        pairs = materialize(_tile_pairs(rows, percent, nearest=k < rounds), "pairs")
+        labelled = runs.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        # A key whose sets are all in one component has no more to give; of others the largest component is known by name.
+        shares = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+        mixed = shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1")
+        mixed = materialize(mixed.select("key", "m", "major", F.col("m").alias("weight")), "mixed-keys")
+        stats = mixed.agg(F.sum("m"), F.max("m")).first()
+        largest = stats[1]
+        if largest is None:
+            break
+        rows = join_by_key(labelled, mixed, ["key"], "weight", "sid", stats).join(sets.select("sid", "sig"), "sid")
+        pairs = materialize(_tile_pairs(rows, percent, nearest=k < rounds, some_long=largest > TILE), "pairs")
         # Components only grow, so a row without an allowed partner now has none later.
         runs = runs.join(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid", "left_semi")
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, sets, width, percent), "links")
-        tried, links = tried.union(pairs), links.union(more)
-    labels = materialize(connected_components(links, cut=lambda df: materialize(df, "stars")), "labels").select(F.col("node").alias("sid"), "component")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            labels = _grown(labels, more)
+    labels = labels.select(F.col("node").alias("sid"), "component")
 
     all_owners = named.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     owned = all_owners.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))

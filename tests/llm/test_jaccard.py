@@ -75,3 +75,40 @@ def test_query_over_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op9_ngram_jaccard(spark, sf).collect())) == brute(rows)
+
+
+def test_hot_keys_are_salted_and_their_runs_meet(spark, monkeypatch):
+    """Every cell is hot: all runs are cut by set, and their centres meet in a second level."""
+    from tessera.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT_CELLS", 10**9)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows = near_copies(4)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_rows_of_null_id_link_others(spark):
+    """Two texts that only a row without id joins are one component; rows of null id alone have no name."""
+    near = lambda x, y: 100 * len(shingles(x) & shingles(y)) >= 80 * len(shingles(x) | shingles(y))
+    a, between, far = (" ".join(f"w{i}" for i in range(k, k + 60)) for k in (0, 5, 10))
+    assert near(a, between) and near(between, far) and not near(a, far)
+    nobody = " ".join(f"n{i}" for i in range(40))
+    rows = [(5, a), (9, far), (None, between), (None, nobody), (None, nobody + " more")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (9, 5)]
+
+
+def test_sketch_is_summed_in_levels(spark, monkeypatch):
+    import zlib
+
+    import numpy as np
+
+    from tessera.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "FAN_IN", 3)
+    size = jaccard.SKETCH // jaccard.PIECES
+    part = lambda k: zlib.compress(np.full(size, k, np.uint32).tobytes(), 1)
+    rows = [(piece, task, part(task + piece)) for piece in (0, 1, jaccard.PIECES - 1) for task in range(20)]
+    got = jaccard._sum_sketch(spark.createDataFrame(rows, "piece int, task int, counts binary"))
+    assert [int(got[p * size]) for p in (0, 1, 2, jaccard.PIECES - 1)] == [190, 210, 0, 190 + 20 * (jaccard.PIECES - 1)]
