@@ -21,7 +21,7 @@ SKETCH, PIECES = 1 << 22, 64
 #: Bits of a signature.
 BITS = 1024
 #: Rows of a tile.
-TILE = 512
+TILE = 256
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -367,7 +367,9 @@ def _grown(labels: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda end, name: known.select(F.col("node").alias(end), F.col("component").alias(name))
     between = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = connected_components(between, cut=lambda df: materialize(df, "stars")).select(F.col("node").alias("component"), F.col("component").alias("new"))
-    return materialize(known.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+    names = known.groupBy("component").agg(F.count("*").alias("weight")).join(merged, "component", "left").withColumn("new", F.coalesce("new", "component"))
+    grown = join_by_key(known, materialize(names, "names"), ["component"], "weight", "node")
+    return materialize(grown.select("node", F.col("new").alias("component")), "labels")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
@@ -450,8 +452,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     all_owners = named.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     owned = all_owners.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = owned.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = owned.join(least, "component").select("sid", "component_id")
+    least = materialize(owned.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("weight")), "least")
+    classes = join_by_key(owned, least, ["component"], "weight", "sid").select("sid", "component_id")
     return named.join(classes, "sid", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
