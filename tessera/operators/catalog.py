@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,13 @@ def page_envelope(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return df.agg(F.count("*").alias("total_count")).select("total_count", F.lit(offset // limit + 1).cast("long").alias("page"), (F.col("total_count") > offset + limit).alias("has_more"))
 
 
+def inserted(existing: DataFrame, new: DataFrame, key: str, version: str = "version") -> DataFrame:
+    """The catalogue with new records appended as version 1; a key that is there already stays as it is, of equal new keys the largest values count."""
+    rest = [c for c in new.columns if c not in (key, version)]
+    first = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("x")).select(key, F.lit(1).alias(version), *[F.col(f"x.{c}") for c in rest])
+    return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
+
+
 def _equals(term: str):
     return lambda w: w == term
 
@@ -99,12 +107,25 @@ def _touches(term: str):
 
 
 def keyword_search(rules: DataFrame, question: str, text: str, key: str, least: float = 0.3, limit: int = 10) -> DataFrame:
-    """Share of the question's words that contain, or are contained in, some word of the text."""
+    """Share of the question's words that contain, or are contained in, some word of the text.
+
+    Words are not cut out of the texts: a word that contains the term is found
+    by the term itself, and one that it contains by a pattern of the term's own
+    parts between separators. Only terms that are part of a stop word need
+    whole words.
+    """
     asked = [w for w in dict.fromkeys(question.lower().split()) if len(w) > 2 and w not in STOP_WORDS]
-    words = rules.select(key, tokens(F.col(text)).alias("words"))
-    hits = [F.exists("words", _touches(a)).cast("int") for a in asked]
+    low, hits = F.lower(text), []
+    for a in asked:
+        parts = sorted({a[i:j] for i in range(len(a)) for j in range(i + 3, len(a) + 1)} - set(STOP_WORDS))
+        edge = SEPARATORS[:-1]
+        if re.search(SEPARATORS, a) or any(a in stop for stop in STOP_WORDS):
+            hits.append(F.exists(tokens(F.col(text)), _touches(a)))
+        else:
+            hits.append(low.contains(a) | low.rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, parts))})(?:{edge}|$)"))
+    hits = [F.coalesce(h, F.lit(False)).cast("int") for h in hits]
     score = sum(hits[1:], hits[0]) / F.lit(len(asked))
-    return words.select(key, score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
+    return rules.select(key, score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
 
 
 def related_rules(rules: DataFrame, one: DataFrame, key: str, limit: int = 10) -> DataFrame:
@@ -120,10 +141,14 @@ def related_rules(rules: DataFrame, one: DataFrame, key: str, limit: int = 10) -
 
 
 def best_pattern(rules: DataFrame, patterns: DataFrame, key: str, domain: str, least: float = 0.3) -> DataFrame:
-    """The pattern of most shared words, over the longer list's length, within the rule's domain."""
-    joined = rules.join(patterns.withColumnRenamed("words", "pattern_words"), domain)
-    overlap = F.size(F.array_intersect("words", "pattern_words")) / F.greatest(F.size("words"), F.size("pattern_words"))
-    scored = joined.select(key, "pattern", overlap.alias("score")).where(F.col("score") >= least)
+    """The pattern of most shared words, over the longer list's length, within the rule's domain.
+
+    Rules and patterns meet by domain and word, never by domain alone.
+    """
+    ours = rules.select(key, domain, F.size("words").alias("_a"), F.explode(F.array_distinct("words")).alias("_w"))
+    theirs = patterns.select("pattern", domain, F.size("words").alias("_b"), F.explode(F.array_distinct("words")).alias("_w"))
+    shared = ours.join(theirs, [domain, "_w"]).groupBy(key, "pattern").agg(F.count("*").alias("_n"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    scored = shared.select(key, "pattern", (F.col("_n") / F.greatest("_a", "_b")).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy(key).agg(F.min_by(F.struct("pattern", "score"), F.struct(-F.col("score"), "pattern")).alias("x"))
     return best.select(key, "x.pattern", "x.score")
 
@@ -210,22 +235,193 @@ def compliance(files: DataFrame, rules: Sequence[dict], key: str, text: str) ->
 
 
 def containing(docs: DataFrame, passages: DataFrame, text: str, passage: str, most_broadcast: int = 2000) -> DataFrame:
-    """Documents joined with the passages that they contain.
+    """Documents joined with the passages that they contain; empty passages are in none.
 
     Up to ``most_broadcast`` passages are broadcast and searched for in one
     pass. More are joined on a word: a passage's longest word between its first
-    and last must stand whole in a document that contains it. Passages of fewer
-    than three words have no such word and are broadcast within the same bound.
+    and last must stand whole in a document that contains it. More than
+    ``most_broadcast`` of fewer than three words, which have no such word, are
+    joined on their first eight characters (or all, if fewer).
     """
     inside = F.col(text).contains(F.col(passage))
+    passages = passages.where(F.length(passage) > 0)
     if passages.limit(most_broadcast + 1).count() <= most_broadcast:
         return docs.join(F.broadcast(passages), inside)
     words = F.split(passage, r"\s+")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
     anchored = passages.withColumn("_anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    short = anchored.where("_anchor IS NULL").drop("_anchor")
-    if short.limit(most_broadcast + 1).count() > most_broadcast:
-        raise ValueError(f"more than {most_broadcast} passages of fewer than three words")
     spread = docs.withColumn("_anchor", F.explode(F.array_distinct(F.split(text, r"\s+"))))
     found = spread.join(anchored.where("_anchor IS NOT NULL"), "_anchor").where(inside).drop("_anchor")
-    return found.unionByName(docs.join(F.broadcast(short), inside))
+    short = anchored.where("_anchor IS NULL").drop("_anchor")
+    if short.limit(most_broadcast + 1).count() <= most_broadcast:
+        return found.unionByName(docs.join(F.broadcast(short), inside))
+    size = F.least(F.length(passage), F.lit(8))
+    keyed = short.withColumns({"_size": size, "_gram": F.left(passage, size)})
+    for n in range(1, 9):
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
+        grams = docs.withColumn("_gram", F.explode(F.array_distinct(F.transform(starts, _cut(text, n)))))
+        found = found.unionByName(grams.join(keyed.where(F.col("_size") == n).drop("_size"), "_gram").where(inside).drop("_gram"))
+    return found
+
+
+def _cut(text: str, size: int):
+    return lambda at: F.substr(F.col(text), at, F.lit(size))
+
+
+# --- listings (S3, S4, S6-S8) -------------------------------------------------------------
+
+
+def highlights(df: DataFrame, key: str, text: str, terms: Sequence[str], around: int = 20) -> DataFrame:
+    """S3: (key, highlight): the text around the first hit of any term, the term between stars."""
+    pattern = "(?i)" + "|".join(re.escape(t) for t in terms)
+    at = F.regexp_instr(F.col(text), F.lit(pattern))
+    hit = F.regexp_substr(F.col(text), F.lit(pattern))
+    before = F.substr(F.col(text), F.greatest(F.lit(1), at - around), F.least(F.lit(around), at - 1))
+    after = F.substr(F.col(text), at + F.length(hit), F.lit(around))
+    return df.where(F.col(text).rlike(pattern)).select(key, F.concat(before, F.lit("**"), hit, F.lit("**"), after).alias("highlight"))
+
+
+def listed(df: DataFrame, *, text: str | None = None, text_columns: Sequence[str] = ("name",), equal: dict | None = None, any_of: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, flags: Sequence[str] = ()) -> DataFrame:
+    """Rows that meet all conditions: text in some column, values of columns, any value of array columns, bounds, and true flags."""
+    if text:
+        found = F.lit(False)
+        for c in text_columns:
+            found = found | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+        df = df.where(found)
+    for c, values in (equal or {}).items():
+        df = df.where(F.col(c).isin(*values))
+    for c, values in (any_of or {}).items():
+        df = df.where(F.arrays_overlap(c, F.array(*map(F.lit, values))))
+    for c, v in (at_least or {}).items():
+        df = df.where(F.col(c) >= v)
+    for c, v in (at_most or {}).items():
+        df = df.where(F.col(c) <= v)
+    for c in flags:
+        df = df.where(F.col(c))
+    return df
+
+
+def template_relevance(rating: str = "rating", downloads: str = "downloads") -> Column:
+    """Half the rating and half the logarithm of the downloads."""
+    return 0.5 * F.col(rating) + 0.5 * F.log1p(downloads)
+
+
+def listing_relevance(downloads: str = "downloads", rating: str = "rating", stars: str = "stars") -> Column:
+    """Downloads, rating and stars; listings always stand in falling order of it."""
+    return 0.3 * F.col(downloads) + 20 * F.col(rating) + 2 * F.col(stars)
+
+
+def search_templates(templates: DataFrame, key: str, offset: int = 0, limit: int = 20, **filters) -> dict[str, DataFrame]:
+    """Public and approved templates: ``page`` in order of relevance, ``total``, and ``facets`` of category, language and floored rating over all hits."""
+    hits = listed(templates.where("public AND approved"), **filters).withColumn("relevance", template_relevance())
+    rated = hits.withColumn("rating", F.floor("rating").cast("string"))
+    return {"page": hits.orderBy(F.desc("relevance"), key).offset(offset).limit(limit), "total": hits.agg(F.count("*").alias("total")), "facets": facets(rated, ["category", "language", "rating"])}
+
+
+def search_providers(providers: DataFrame, key: str, *, source: str | None = None, target: str | None = None, complexity: str | None = None, order: str = "rating", limit: int = 20, **filters) -> dict[str, DataFrame]:
+    """Active providers one of whose capabilities (source, target, complexity) fits, with the facets of their capabilities.
+
+    ``order``: rating or projects, highest first, or price, lowest first.
+    """
+    fits = F.lit(True)
+    if source or target or complexity:
+        fits = F.exists("capabilities", _capable(source, target, complexity))
+    hits = listed(providers.where("active"), **filters).where(fits)
+    sort = F.asc("price") if order == "price" else F.desc(order)
+    long = hits.select(F.explode("capabilities").alias("c")).select("c.*")
+    return {"page": hits.orderBy(sort, key).limit(limit), "facets": facets(long, ["source", "target", "complexity"])}
+
+
+def _capable(source, target, complexity):
+    wanted = {"source": source, "target": target, "complexity": complexity}
+
+    def fits(c: Column) -> Column:
+        ok = F.lit(True)
+        for name, value in wanted.items():
+            if value is not None:
+                ok = ok & (c[name] == value)
+        return ok
+
+    return fits
+
+
+def showcases(listings: DataFrame, key: str, count: int = 10) -> DataFrame:
+    """(list, key, place): featured by downloads, trending by twice the stars and downloads, recent by date."""
+    orders = {"featured": F.col("downloads"), "trending": 2 * F.col("stars") + F.col("downloads"), "recent": F.unix_micros(F.col("created").cast("timestamp"))}
+    out = []
+    for name, value in orders.items():
+        top = listings.orderBy(value.desc(), key).limit(count).agg(F.array_sort(F.collect_list(F.struct((-value).alias("o"), F.col(key).alias("k")))).alias("x"))
+        out.append(top.select(F.lit(name).alias("list"), F.posexplode("x").alias("p", "x")).select("list", F.col("x.k").alias(key), (F.col("p") + 1).alias("place")))
+    return union_all(out)
+
+
+# --- reviews and knowledge (C1, C5, C7, U3, U7) -------------------------------------------
+
+
+def review_lists(reviews: DataFrame, as_of: Column, assignee: str | None = None, project: str | None = None, hours: int = 24) -> dict[str, DataFrame]:
+    """reviews(id, assignee, project, status, due) by assignee, by project, overdue and due within ``hours`` of ``as_of``; the last two are open ones."""
+    open_ = reviews.where(F.col("status").isin("pending", "in_progress"))
+    limit = as_of + F.expr(f"INTERVAL {hours} HOURS")
+    return {
+        "assignee": reviews.where(F.col("assignee") == assignee), "project": reviews.where(F.col("project") == project),
+        "overdue": open_.where(F.col("due") < as_of), "due_soon": open_.where((F.col("due") >= as_of) & (F.col("due") <= limit)),
+    }
+
+
+# Words that make a piece of knowledge one of a type, in order.
+KNOWLEDGE_TYPES = (("business_rule", ("rule", "must", "shall")), ("procedure", ("step", "process", "procedure")), ("decision", ("decided", "decision", "chose")), ("issue", ("bug", "issue", "problem")))
+
+
+def knowledge_type(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = KNOWLEDGE_TYPES, otherwise: str = "general") -> Column:
+    """The first type one of whose words the text contains."""
+    out = F.lit(otherwise)
+    for name, words in reversed(rules):
+        out = F.when(F.lower(text).rlike("|".join(map(re.escape, words))), name).otherwise(out)
+    return out
+
+
+def progress(items: DataFrame, as_of: Column) -> DataFrame:
+    """One row (total, done, percent, per_day, days_left) of items(decided_at): the pace since the first decision tells the days left."""
+    done, total = F.count("decided_at"), F.count("*")
+    days = F.greatest(F.lit(1.0), (F.unix_micros(as_of) - F.unix_micros(F.min("decided_at"))) / 86_400_000_000)
+    pace = F.try_divide(done, days)
+    return items.agg(total.alias("total"), done.alias("done"), F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0)).alias("percent"), pace.alias("per_day"), F.try_divide(total - done, pace).alias("days_left"))
+
+
+def decision_confidence(items: DataFrame) -> DataFrame:
+    """(decision, n, mean_confidence)."""
+    return items.groupBy("decision").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+def path_summary(paths: DataFrame, by: str, count: int = 5) -> DataFrame:
+    """The most frequent paths with their share in percent."""
+    counts = paths.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.join(counts.agg(F.sum("n").alias("_all"))).select(by, "n", (F.lit(100.0) * F.col("n") / F.col("_all")).alias("percent")).orderBy(F.desc("n"), by).limit(count)
+
+
+def compliance_assessment(events: DataFrame, reviewed: Column, validation: Column, deployment: Column) -> DataFrame:
+    """(check, value, status): share of reviewed events (0.9 compliant, 0.5 partial), validations for every deployment, and that there are events at all."""
+    wide = events.agg(F.avg(F.when(reviewed, 1.0).otherwise(0.0)).alias("r"), F.count_if(validation).alias("v"), F.count_if(deployment).alias("d"), F.count("*").alias("n"))
+    rate = F.coalesce("r", F.lit(0.0))
+    rows = F.array(
+        F.struct(F.lit("review").alias("check"), rate.alias("value"), F.when(rate >= 0.9, "compliant").when(rate >= 0.5, "partial").otherwise("non-compliant").alias("status")),
+        F.struct(F.lit("validation").alias("check"), (F.col("v") - F.col("d")).cast("double").alias("value"), F.when(F.col("v") >= F.col("d"), "compliant").otherwise("non-compliant").alias("status")),
+        F.struct(F.lit("audit").alias("check"), F.col("n").cast("double").alias("value"), F.when(F.col("n") > 0, "compliant").otherwise("non-compliant").alias("status")),
+    )
+    return wide.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def hunk_matches(hunks: DataFrame, ranges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(hunk, rule, score, reason): 0.95 for a hunk within a rule's lines, 0.9 for an overlap, else 0.3 and 0.15 for each shared term, at most 0.8.
+
+    ``hunks`` have file, first, last, hunk and, for terms, words; ``terms``
+    has (rule, term). Hunks and terms meet by word; the best reason counts.
+    """
+    inside = (F.col("h.first") >= F.col("r.first")) & (F.col("h.last") <= F.col("r.last"))
+    near = coverage_overlap(hunks.select("hunk", "file", "first", "last"), ranges).select(F.col("h.hunk").alias("hunk"), F.col("r.rule").alias("rule"), F.when(inside, 0.95).otherwise(0.9).alias("score"), F.lit("lines").alias("reason"))
+    if terms is not None:
+        words = hunks.select("hunk", F.explode(F.array_distinct("words")).alias("term"))
+        shared = words.join(terms.select("rule", "term").distinct(), "term").groupBy("hunk", "rule").agg(F.count("*").alias("n"))
+        near = near.unionByName(shared.select("hunk", "rule", F.least(F.lit(0.8), 0.3 + 0.15 * F.col("n")).alias("score"), F.lit("keywords").alias("reason")))
+    best = near.groupBy("hunk", "rule").agg(F.max(F.struct("score", "reason")).alias("b"))
+    return best.select("hunk", "rule", "b.score", "b.reason")

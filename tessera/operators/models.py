@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.quality import union_all
+from tessera.operators.quality import hash_unit, union_all
 from tessera.operators.traces import guarded_corr
 
 
@@ -164,7 +164,7 @@ def boundary_cases(signature: DataFrame) -> DataFrame:
 def random_cases(signature: DataFrame, count: int, seed: int) -> DataFrame:
     """Seeded uniform values between the bounds; equal seeds give equal values in any partitioning."""
     draws = signature.select("*", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("k"))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "name", "k"), F.lit(1_000_003)) / 1_000_003
+    unit = hash_unit(seed, "name", "k")
     return draws.select("name", "k", (F.col("low") + unit * (F.col("high") - F.col("low"))).alias("value"))
 
 
@@ -185,7 +185,7 @@ def text_cases(longest: int = 1000) -> list[tuple[str, str]]:
 
 def edge_and_invariant_cases(cases: DataFrame, invariants: dict[str, Column | str], share: float = 0.1, seed: int = 3, key: str = "id") -> DataFrame:
     """Rows of ``cases`` that violate an invariant, as edge cases, and a seeded tenth of the others for each invariant that they confirm."""
-    keep = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
+    keep = hash_unit(seed, key) < share
     rows = F.array(*[F.struct(F.lit(n).alias("invariant"), F.coalesce(_column(c), F.lit(False)).alias("holds")) for n, c in invariants.items()])
     long = cases.withColumn("_x", F.explode(rows)).where(~F.col("_x.holds") | keep)
     return long.select(key, F.col("_x.invariant").alias("invariant"), F.when(F.col("_x.holds"), "invariant").otherwise("edge").alias("strategy"))
@@ -266,10 +266,34 @@ def case_drift(golden: DataFrame, current: DataFrame, inputs: Sequence[str], out
 
 def stratified(cases: DataFrame, by: Sequence[str], key: str, each: int, seed: int = 1) -> DataFrame:
     """A diverse selection: so many cases of every stratum, by seeded hash."""
-    order = f"xxhash64({seed}, {key}), {key}"
-    return cases.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {order})")).where(F.col("_r") <= each).drop("_r")
+    drawn = cases.withColumn("_u", hash_unit(seed, key))
+    return drawn.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY _u, {key})")).where(F.col("_r") <= each).drop("_r", "_u")
 
 
-def models(frames: Sequence[DataFrame]) -> DataFrame:
-    """The parts of a model as rows of one frame."""
-    return union_all(list(frames))
+def shrunk(value, fails, rounds: int = 1000):
+    """A smaller failing input than ``value``, by halving: numbers towards 0, texts and lists to a half, dicts field by field.
+
+    ``fails(value)`` tells whether the property fails. Single cases are small,
+    so this runs where it is called.
+    """
+    for _ in range(rounds):
+        smaller = next((c for c in _halves(value) if c != value and fails(c)), None)
+        if smaller is None:
+            return value
+        value = smaller
+    return value
+
+
+def _halves(value):
+    if isinstance(value, bool):
+        return [False]
+    if isinstance(value, int):
+        return [0, value // 2 if value > 0 else -(-value // 2), value - 1 if value > 0 else value + 1]
+    if isinstance(value, float):
+        return [0.0, float(int(value)), value / 2]
+    if isinstance(value, (str, list)):
+        half = len(value) // 2
+        return [value[:0], value[:half], value[half:], value[:-1], value[1:]]
+    if isinstance(value, dict):
+        return [{**value, k: c} for k, v in value.items() for c in _halves(v)]
+    return []

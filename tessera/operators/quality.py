@@ -70,13 +70,26 @@ def duplicate_keys(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
     return counts.select(F.lit(column).alias("column_name"), "key_value", "occurrences").orderBy(F.desc("occurrences"), "key_value").limit(limit)
 
 
-def detect_patterns(df: DataFrame, columns: list[str], patterns: dict[str, str] = PATTERNS, least: float = 0.5) -> DataFrame:
-    """Q5: value patterns that more than ``least`` of a column's non-empty values match."""
+def hash_unit(*parts: Column | str | int) -> Column:
+    """A number in [0, 1) that follows from the parts alone, in 32 bits of MD5, which any database has."""
+    texts = [F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) if isinstance(p, int) else p.cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def detect_patterns(df: DataFrame, columns: list[str], patterns: dict[str, str] = PATTERNS, least: float = 0.5, examples: int = 3) -> DataFrame:
+    """Q5: value patterns that more than ``least`` of a column's non-empty values match, highest first, with the smallest few values that match."""
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
     long = df.select(values.alias("x")).select("x.*").where("value IS NOT NULL AND value <> ''")
     wide = long.groupBy("column_name").agg(F.count("*").alias("n"), *[F.count_if(F.col("value").rlike(p)).alias(name) for name, p in patterns.items()])
     matched = wide.unpivot(["column_name", "n"], list(patterns), "pattern", "matches")
-    return matched.withColumn("match_rate", F.col("matches") / F.col("n")).where(F.col("match_rate") > least).select("column_name", "pattern", "match_rate")
+    found = matched.withColumn("match_rate", F.col("matches") / F.col("n")).where(F.col("match_rate") > least).select("column_name", "pattern", "match_rate")
+    test = F.lit(None).cast("boolean")
+    for name, p in patterns.items():
+        test = F.when(F.col("pattern") == name, F.col("value").rlike(p)).otherwise(test)
+    hits = long.distinct().join(F.broadcast(found.select("column_name", "pattern")), "column_name").where(test)  # a row for each column and pattern
+    first = hits.withColumn("_r", F.expr("row_number() OVER (PARTITION BY column_name, pattern ORDER BY value)")).where(F.col("_r") <= examples)
+    texts = first.groupBy("column_name", "pattern").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    return found.join(texts, ["column_name", "pattern"]).orderBy(F.desc("match_rate"), "column_name", "pattern")
 
 
 def quality_issues(rates: DataFrame) -> DataFrame:

@@ -238,3 +238,13 @@ def weighted_mean(weights: DataFrame, by: Sequence[str], value: str, samples: st
     """Layer weights over clients: by samples, or plain."""
     mean = F.avg(value) if samples is None else F.try_divide(F.sum(F.col(value) * F.col(samples)), F.sum(samples))
     return weights.groupBy(*by).agg(mean.alias("weight"))
+
+
+def retry_delay(attempt: Column, initial: float, factor: float, most: float) -> Column:
+    """milliseconds before an attempt (from 0): growing by ``factor``, at most ``most``; without jitter, so that reruns agree."""
+    return F.round(F.least(initial * F.pow(F.lit(float(factor)), attempt), F.lit(float(most)))).cast("long")
+
+
+def retryable(message: Column, patterns: Sequence[str] = ()) -> Column:
+    """whether an error's message matches any pattern, in any case; without patterns all errors are."""
+    return message.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(True)

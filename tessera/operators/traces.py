@@ -7,13 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quality import hash_unit
+
 #: A trace event: session_id, seq (from 1, unique in its session), type, value.
 BY_SEQ = "PARTITION BY session_id ORDER BY seq"
 
 
 def sampled(events: DataFrame, key: str, rate: float) -> DataFrame:
     """A deterministic share of keys by hash; a key is kept whole."""
-    return events.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return events.where(hash_unit(key) < rate)
+
+
+# What a tracer of each language calls an event, as one of the common types.
+EVENT_TYPES = {
+    "cobol": {"PROGRAM": "procedure_entry", "GOBACK": "procedure_exit", "PERFORM": "procedure_entry", "EXIT": "procedure_exit", "CALL": "external_call", "RETURN": "external_return", "IF": "branch_taken", "EVALUATE": "branch_taken", "MOVE": "variable_write", "COMPUTE": "variable_write", "PERFORM-UNTIL": "loop_iteration", "OPEN": "file_open", "READ": "file_read", "WRITE": "file_write", "CLOSE": "file_close", "EXEC-SQL": "db_query", "SQLCODE": "db_result", "ABEND": "error"},
+    "fortran": {"PROGRAM": "procedure_entry", "END": "procedure_exit", "SUBROUTINE": "procedure_entry", "FUNCTION": "procedure_entry", "RETURN": "procedure_exit", "CALL": "external_call", "CALL-RETURN": "external_return", "IF": "branch_taken", "ASSIGN": "variable_write", "DO": "loop_iteration", "OPEN": "file_open", "READ": "file_read", "WRITE": "file_write", "CLOSE": "file_close", "STOP": "error"},
+    "java": {"enter": "procedure_entry", "exit": "procedure_exit", "invoke": "external_call", "return": "external_return", "branch": "branch_taken", "assign": "variable_write", "loop": "loop_iteration", "query": "db_query", "result": "db_result", "throw": "error"},
+}
+
+
+def normalized(events: DataFrame, language: str, kind: str = "kind") -> DataFrame:
+    """T5: raw events of a language's tracer with ``type``, one of the common event types; kinds that the language does not know are left out."""
+    out = F.lit(None).cast("string")
+    for name, common in EVENT_TYPES[language].items():
+        out = F.when(F.upper(kind) == name.upper(), common).otherwise(out)
+    return events.withColumn("type", out).where("type IS NOT NULL")
 
 
 def first_of_session(events: DataFrame, most: int = 100_000) -> DataFrame:

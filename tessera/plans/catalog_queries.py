@@ -32,9 +32,11 @@ def versions(spark, sf):
     )
 
 
-@query("R1_insert", "SELECT count(*) AS n, count(*) FILTER (version = 1) AS first_versions FROM (SELECT 1 AS version FROM documents)")
+@query("R1_insert", "SELECT doc_id, 1 AS version, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS state FROM (SELECT DISTINCT doc_id FROM documents)")
 def insert(spark, sf):
-    return table(spark, sf, "documents").select(F.lit(1).alias("version")).agg(F.count("*").alias("n"), F.count_if(F.col("version") == 1).alias("first_versions"))
+    docs = table(spark, sf, "documents").select("doc_id")
+    there = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("version"), F.lit("old").alias("state"))
+    return c.inserted(there, docs.select("doc_id", F.lit("new").alias("state")), "doc_id")
 
 
 @query("R2_current_version", "WITH x AS (SELECT 1)" + VERSIONS + " SELECT doc_id, max(version) AS version, arg_max(state, version) AS state FROM versions GROUP BY doc_id")
@@ -106,7 +108,7 @@ def domain_category(spark, sf):
     return rules(spark, sf).groupBy("domain", "category").agg(F.count("*").alias("n"))
 
 
-@query("R11_export_json")
+@query("R11_export_json", RULES + """ SELECT doc_id, '{"doc_id":' || doc_id || coalesce(',"category":"' || category || '"', '') || ',"criticality":"' || criticality || '"' || coalesce(',"domain":"' || domain || '"', '') || ',"review_status":"' || review_status || '"}' AS json FROM rules""")
 def export_json(spark, sf):
     return rules(spark, sf).select("doc_id", F.to_json(F.struct("doc_id", "category", "criticality", "domain", "review_status")).alias("json"))
 
@@ -159,10 +161,34 @@ def suggest(spark, sf):
     return c.suggestions(table(spark, sf, "part"), "p_name", "re")
 
 
-@query("S4_template_search", "SELECT p_type, CAST(floor(p_size / 10) AS BIGINT) AS rating_facet, count(*) AS n FROM part WHERE p_retailprice >= 950 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#17') GROUP BY 1, 2")
+@query("S3_highlights", "SELECT p_partkey, left(p_name, p - 1)[greatest(1, p - 4):] || '**' || substr(p_name, p, 2) || '**' || substr(p_name, p + 2, 4) AS highlight FROM (SELECT p_partkey, p_name, instr(lower(p_name), 'in') AS p FROM part) WHERE p > 0")
+def highlights(spark, sf):
+    return c.highlights(table(spark, sf, "part"), "p_partkey", "p_name", ("IN",), 4)
+
+
+def templates(spark, sf):
+    """Parts as templates and listings."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("language"), (F.col("p_size") % 50 / 10).alias("rating"), (k % 997).alias("downloads"), (k % 13).alias("stars"), F.col("p_retailprice").alias("price"),
+        F.array(F.concat(F.lit("t"), (k % 5).cast("string")), F.concat(F.lit("t"), (k % 3).cast("string"))).alias("tags"), (k % 7 != 0).alias("public"), (k % 11 != 0).alias("approved"), (k % 2 == 0).alias("verified"), (k % 4).alias("tenant"),
+        F.expr("timestampadd(DAY, cast(p_partkey % 800 AS INT), TIMESTAMP '2020-01-01')").alias("created"),
+    )
+
+
+TEMPLATES = "tp AS (SELECT p_partkey, p_name AS name, p_type AS category, p_brand AS language, p_size % 50 / 10.0::DOUBLE AS rating, p_partkey % 997 AS downloads, p_partkey % 13 AS stars, p_retailprice AS price, ['t' || p_partkey % 5, 't' || p_partkey % 3] AS tags, p_partkey % 7 <> 0 AS public, p_partkey % 11 <> 0 AS approved, p_partkey % 2 = 0 AS verified, p_partkey % 4 AS tenant, p_partkey % 800 AS day FROM part)"
+HITS = TEMPLATES + ", hit AS (SELECT *, 0.5::DOUBLE * rating + 0.5::DOUBLE * ln(downloads + 1) AS relevance FROM tp WHERE public AND approved AND contains(lower(name), 'e') AND category IN ('ECONOMY', 'PROMO', 'SMALL') AND list_has_any(tags, ['t1', 't4']) AND rating >= 0.5 AND price <= 1500 AND verified)"
+WANTED = {"text": "E", "equal": {"category": ("ECONOMY", "PROMO", "SMALL")}, "any_of": {"tags": ("t1", "t4")}, "at_least": {"rating": 0.5}, "at_most": {"price": 1500}, "flags": ("verified",)}
+
+
+@query("S4_template_search", f"WITH {HITS} SELECT p_partkey, round(relevance, 6) AS relevance FROM hit ORDER BY hit.relevance DESC, p_partkey LIMIT 20 OFFSET 5")
 def template_search(spark, sf):
-    hits = table(spark, sf, "part").where((F.col("p_retailprice") >= 950) & F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#17"))
-    return hits.groupBy("p_type", F.floor(F.col("p_size") / 10).alias("rating_facet")).agg(F.count("*").alias("n"))
+    return c.search_templates(templates(spark, sf), "p_partkey", 5, 20, **WANTED)["page"].select("p_partkey", F.round("relevance", 6).alias("relevance"))
+
+
+@query("S4_template_facets", f"WITH {HITS} SELECT 'category' AS facet, category AS value, count(*) AS n FROM hit GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM hit GROUP BY 2 UNION ALL SELECT 'rating', CAST(floor(rating)::BIGINT AS VARCHAR), count(*) FROM hit GROUP BY 2")
+def template_facets(spark, sf):
+    return c.search_templates(templates(spark, sf), "p_partkey", **WANTED)["facets"]
 
 
 @query("S5_running_average", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9, 6) AS running FROM events")
@@ -170,9 +196,9 @@ def running(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id", F.round(F.expr("avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9"), 6).alias("running"))
 
 
-@query("S6_provider_search", """SELECT s_suppkey, count(*) AS projects, count(DISTINCT o_custkey) AS clients, round(avg(CASE WHEN l_shipdate <= o_orderdate + INTERVAL 60 DAY THEN 1.0 ELSE 0.0 END), 6) AS on_time_rate,
+@query("S6_provider_stats", """SELECT s_suppkey, count(*) AS projects, count(DISTINCT o_custkey) AS clients, round(avg(CASE WHEN l_shipdate <= o_orderdate + INTERVAL 60 DAY THEN 1.0 ELSE 0.0 END), 6) AS on_time_rate,
 round((count(*) - count(DISTINCT o_custkey)) / count(*)::DOUBLE, 6) AS repeat_rate FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE s_acctbal > 0 GROUP BY s_suppkey""")
-def provider_search(spark, sf):
+def provider_stats(spark, sf):
     joined = table(spark, sf, "supplier").where("s_acctbal > 0").join(table(spark, sf, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     on_time = F.expr("l_shipdate <= o_orderdate + INTERVAL 60 DAY")
     return joined.groupBy("s_suppkey").agg(
@@ -181,16 +207,41 @@ def provider_search(spark, sf):
     )
 
 
-@query("S7_listing_search", "SELECT p_partkey, round(0.3 * p_retailprice + 20 * (p_size % 6) + 2 * p_size, 4)::DOUBLE AS relevance FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') ORDER BY relevance DESC, p_partkey LIMIT 20")
+LANGS = ("cobol", "fortran", "pli", "rpg")
+
+
+def providers(spark, sf):
+    """Suppliers with two capabilities each."""
+    k = F.col("s_suppkey")
+    pick = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x % len(names) + 1).cast("int"))
+    able = lambda x: F.struct(pick(LANGS, x).alias("source"), pick(("java", "python", "go"), x).alias("target"), pick(("low", "high"), x).alias("complexity"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.array(able(k), able(k + 5)).alias("capabilities"), (k % 50 / 10).alias("rating"), (k % 31).alias("projects"), F.col("s_acctbal").alias("price"), (k % 9 != 0).alias("active"), (k % 2 == 0).alias("verified"), (k % 3 != 1).alias("enterprise"))
+
+
+ABLE = "{{'source': ['cobol', 'fortran', 'pli', 'rpg'][{k} % 4 + 1], 'target': ['java', 'python', 'go'][{k} % 3 + 1], 'complexity': ['low', 'high'][{k} % 2 + 1]}}"
+PROVIDERS = f"""WITH pv AS (SELECT s_suppkey, s_name, [{ABLE.format(k='s_suppkey')}, {ABLE.format(k='(s_suppkey + 5)')}] AS caps, s_suppkey % 50 / 10.0 AS rating, s_acctbal AS price FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 3 <> 1),
+hit AS (SELECT * FROM pv WHERE rating >= 0.2 AND contains(lower(s_name), 'supp') AND len(list_filter(caps, lambda x: x.source = 'cobol' AND x.complexity = 'low')) > 0)"""
+
+
+@query("S6_provider_search", PROVIDERS + " SELECT s_suppkey FROM hit ORDER BY rating DESC, s_suppkey LIMIT 20")
+def provider_search(spark, sf):
+    return c.search_providers(providers(spark, sf), "s_suppkey", source="cobol", complexity="low", text="SUPP", at_least={"rating": 0.2}, flags=("enterprise",))["page"].select("s_suppkey")
+
+
+@query("S6_provider_facets", PROVIDERS + ", l AS (SELECT unnest(caps) AS c FROM hit) SELECT 'source' AS facet, c.source AS value, count(*) AS n FROM l GROUP BY 2 UNION ALL SELECT 'target', c.target, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'complexity', c.complexity, count(*) FROM l GROUP BY 2")
+def provider_facets(spark, sf):
+    return c.search_providers(providers(spark, sf), "s_suppkey", source="cobol", complexity="low", order="price", text="SUPP", at_least={"rating": 0.2}, flags=("enterprise",))["facets"]
+
+
+@query("S7_listing_search", f"WITH {TEMPLATES} SELECT p_partkey, round(0.3 * downloads + 20 * rating + 2 * stars, 4)::DOUBLE AS relevance FROM tp WHERE tenant IN (1, 2) AND contains(lower(name), 'e') AND price BETWEEN 950 AND 1800 AND list_has_any(tags, ['t2']) AND stars >= 2 AND approved ORDER BY 0.3 * downloads + 20 * rating + 2 * stars DESC, p_partkey LIMIT 20")
 def listing(spark, sf):
-    relevance = F.round(0.3 * F.col("p_retailprice") + 20 * (F.col("p_size") % 6) + 2 * F.col("p_size"), 4)
-    return table(spark, sf, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD")).select("p_partkey", relevance.alias("relevance")).orderBy(F.desc("relevance"), "p_partkey").limit(20)
+    hits = c.listed(templates(spark, sf), text="e", equal={"tenant": (1, 2)}, any_of={"tags": ("t2",)}, at_least={"price": 950, "stars": 2}, at_most={"price": 1800}, flags=("approved",))
+    return hits.select("p_partkey", c.listing_relevance().alias("r")).orderBy(F.desc("r"), "p_partkey").limit(20).select("p_partkey", F.round("r", 4).alias("relevance"))
 
 
-@query("S8_trending", "SELECT l_partkey AS p_partkey, count(*) + 2 * count(DISTINCT l_suppkey) AS heat FROM lineitem GROUP BY 1 ORDER BY heat DESC, p_partkey LIMIT 10")
-def trending(spark, sf):
-    heat = F.count("*") + 2 * F.count_distinct("l_suppkey")
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(heat.alias("heat")).orderBy(F.desc("heat"), "p_partkey").limit(10)
+@query("S8_showcases", f"WITH {TEMPLATES} " + " UNION ALL ".join(f"SELECT '{n}' AS list, p_partkey, place FROM (SELECT p_partkey, row_number() OVER (ORDER BY {o} DESC, p_partkey) AS place FROM tp) WHERE place <= 10" for n, o in (("featured", "downloads"), ("trending", "2 * stars + downloads"), ("recent", "day"))))
+def showcases(spark, sf):
+    return c.showcases(templates(spark, sf), "p_partkey")
 
 
 @query("S9_mean_of_means", "SELECT p_brand, round(avg(m), 6) AS rating FROM (SELECT p_brand, p_partkey, avg(l_quantity) AS m FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY p_brand")
@@ -220,11 +271,17 @@ def fees(spark, sf):
 AS_OF = "1998-08-01"
 
 
-@query("C1_overdue_reviews", f"SELECT o_custkey, count(*) FILTER (o_orderdate < TIMESTAMP '{AS_OF}') AS overdue, count(*) FILTER (o_orderdate BETWEEN TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' + INTERVAL 48 HOUR) AS due_soon FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey")
-def overdue(spark, sf):
-    due, now = F.col("o_orderdate"), F.lit(AS_OF).cast("timestamp_ntz")
-    soon = (due >= now) & (due <= F.expr(f"TIMESTAMP_NTZ '{AS_OF}' + INTERVAL 48 HOUR"))
-    return table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count_if(due < now).alias("overdue"), F.count_if(soon).alias("due_soon"))
+def reviews(spark, sf):
+    """Orders as reviews of their customer's, due on their date."""
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "in_progress").otherwise("done")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("assignee"), F.col("o_orderpriority").alias("project"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("due"))
+
+
+@query("C1_review_lists", f"""WITH rv AS (SELECT o_orderkey AS id, 'c' || o_custkey AS assignee, o_orderpriority AS project, o_orderstatus IN ('P', 'O') AS open_, o_orderdate AS due FROM orders)
+SELECT 'assignee' AS list, count(*) AS n, min(id) AS first FROM rv WHERE assignee = 'c7' UNION ALL SELECT 'project', count(*), min(id) FROM rv WHERE project = '1-URGENT' UNION ALL SELECT 'overdue', count(*), min(id) FROM rv WHERE open_ AND due < TIMESTAMP '{AS_OF}' UNION ALL SELECT 'due_soon', count(*), min(id) FROM rv WHERE open_ AND due BETWEEN TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' + INTERVAL 48 HOUR""")
+def review_lists(spark, sf):
+    lists = c.review_lists(reviews(spark, sf), F.lit(AS_OF).cast("timestamp"), "c7", "1-URGENT", 48)
+    return c.union_all([df.agg(F.count("*").alias("n"), F.min("id").alias("first")).select(F.lit(k).alias("list"), "n", "first") for k, df in lists.items()])
 
 
 @query("C2_review_metrics", """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS approved, count(*) FILTER (o_orderstatus = 'O') AS rejected, round(count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE, 8) AS approval_rate,
@@ -254,19 +311,31 @@ def knowledge_stats(spark, sf):
     return rules(spark, sf).rollup("category").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("review_status") == "approved", 1.0).otherwise(0.0)), 8).alias("verified"))
 
 
+@query("C5_type_detection", "WITH t AS (SELECT lower(coalesce(text, '')) AS t FROM documents) SELECT CASE WHEN contains(t, 'rule') OR contains(t, 'must') OR contains(t, 'shall') THEN 'business_rule' WHEN contains(t, 'step') OR contains(t, 'process') OR contains(t, 'procedure') THEN 'procedure' WHEN contains(t, 'decided') OR contains(t, 'decision') OR contains(t, 'chose') THEN 'decision' WHEN contains(t, 'bug') OR contains(t, 'issue') OR contains(t, 'problem') THEN 'issue' ELSE 'general' END AS type, count(*) AS n FROM t GROUP BY 1")
+def type_detection(spark, sf):
+    return table(spark, sf, "documents").groupBy(c.knowledge_type(F.coalesce("text", F.lit(""))).alias("type")).agg(F.count("*").alias("n"))
+
+
 @query("C6_decision_stats", "SELECT conv_id, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def decisions(spark, sf):
     role = F.col("role")
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(role == "user").alias("asked"), F.count_if(role == "assistant").alias("answered"), F.max("turn").alias("last_turn"))
 
 
-@query("C7_progress", """WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, sum(n)::BIGINT AS n, round(100.0 * sum(n) / (SELECT sum(n) FROM p), 6)::DOUBLE AS percent FROM p GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5""")
+@query("C7_progress", f"WITH x AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, (epoch(TIMESTAMP '{AS_OF}') - epoch(min(o_orderdate) FILTER (o_orderstatus = 'F'))) / 86400.0::DOUBLE AS days FROM orders) SELECT total, done, round(100.0 * done / total, 6)::DOUBLE AS percent, round(done / days, 6) AS per_day, round((total - done) / (done / days), 6) AS days_left FROM x")
 def progress(spark, sf):
-    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    total = F.broadcast(table(spark, sf, "events").agg(F.count("*").alias("total")))
-    share = F.round(F.lit(100.0) * F.col("n") / F.col("total"), 6)
-    return counts.join(total).select("event_type", "n", share.alias("percent")).orderBy(F.desc("n"), "event_type").limit(5)
+    items = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("decided_at"))
+    return c.progress(items, F.lit(AS_OF).cast("timestamp")).select("total", "done", *[F.round(x, 6).alias(x) for x in ("percent", "per_day", "days_left")])
+
+
+@query("C7_decision_confidence", RULES + " SELECT review_status AS decision, count(*) AS n, round(avg(confidence), 8) AS mean_confidence FROM rules GROUP BY 1")
+def decision_confidence(spark, sf):
+    return c.decision_confidence(rules(spark, sf).withColumnRenamed("review_status", "decision")).withColumn("mean_confidence", F.round("mean_confidence", 8))
+
+
+@query("C7_paths", "SELECT event_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6)::DOUBLE AS percent FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 5")
+def top_paths(spark, sf):
+    return c.path_summary(table(spark, sf, "events"), "event_type").withColumn("percent", F.round("percent", 6))
 
 
 @query("U1_audit_query", "SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'purchase') AND ts >= TIMESTAMP '2024-01-10' AND value > 1 ORDER BY ts DESC, event_id LIMIT 100 OFFSET 10")
@@ -280,12 +349,11 @@ def audit_summary(spark, sf):
     return table(spark, sf, "events").rollup("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("actors"), F.count_if(F.col("value") > 100).alias("failures"))
 
 
-@query("U3_compliance_assessment", """WITH r AS (SELECT avg(CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT round(rate, 8) AS review_rate, CASE WHEN rate >= 0.9 THEN 'compliant' WHEN rate >= 0.5 THEN 'partial' ELSE 'non-compliant' END AS status FROM r""")
+@query("U3_compliance_assessment", """WITH x AS (SELECT avg((value > 10)::INT) AS r, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'purchase') AS d, count(*) AS n FROM events)
+SELECT 'review' AS "check", round(r, 8) AS value, CASE WHEN r >= 0.9 THEN 'compliant' WHEN r >= 0.5 THEN 'partial' ELSE 'non-compliant' END AS status FROM x UNION ALL SELECT 'validation', v - d, CASE WHEN v >= d THEN 'compliant' ELSE 'non-compliant' END FROM x UNION ALL SELECT 'audit', n, CASE WHEN n > 0 THEN 'compliant' ELSE 'non-compliant' END FROM x""")
 def assessment(spark, sf):
-    labels = table(spark, sf, "labels").select("doc_id", F.lit(1.0).alias("seen"))
-    rate = table(spark, sf, "documents").join(labels, "doc_id", "left").agg(F.avg(F.coalesce("seen", F.lit(0.0))).alias("rate"))
-    return rate.select(F.round("rate", 8).alias("review_rate"), F.when(F.col("rate") >= 0.9, "compliant").when(F.col("rate") >= 0.5, "partial").otherwise("non-compliant").alias("status"))
+    kind = F.col("event_type")
+    return c.compliance_assessment(table(spark, sf, "events"), F.col("value") > 10, kind == "view", kind == "purchase").withColumn("value", F.round("value", 8))
 
 
 @query("U4_traceability", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
@@ -335,6 +403,18 @@ def hunk_overlap(spark, sf):
     return c.coverage_overlap(hunks(spark, sf), ranges(spark, sf)).groupBy("r.rule").agg(F.count("*").alias("n"), F.min("h.hunk").alias("first_hunk"))
 
 
+@query("U7_hunk_matches", f"""WITH {RANGES}, tm AS (SELECT p_partkey AS rule, 'w' || p_partkey AS term FROM part UNION SELECT p_partkey, 'v' || p_partkey // 2 FROM part), hw AS (SELECT o_orderkey AS hunk, unnest(['w' || o_orderkey % 977, 'v' || o_orderkey % 977 // 2]) AS term FROM orders),
+near AS (SELECT h.hunk, r.rule, CASE WHEN h.first >= r.first AND h.last <= r.last THEN 0.95 ELSE 0.9 END::DOUBLE AS score, 'lines' AS reason FROM hunks h JOIN ranges r ON h.file = r.file AND h.first <= r.last AND h.last >= r.first UNION ALL SELECT hunk, rule, least(0.8, 0.3 + 0.15 * count(DISTINCT term)), 'keywords' FROM hw JOIN tm USING (term) GROUP BY 1, 2)
+SELECT hunk, rule, round(max(score), 6)::DOUBLE AS score, arg_max(reason, score) AS reason FROM near GROUP BY 1, 2""")
+def hunk_matches(spark, sf):
+    text = lambda a, x: F.concat(F.lit(a), x.cast("string"))
+    k, half = F.col("p_partkey"), lambda x: F.floor(x / 2)
+    terms = table(spark, sf, "part").select(k.alias("rule"), F.explode(F.array(text("w", k), text("v", half(k)))).alias("term"))
+    m = F.col("hunk") % 977
+    worded = hunks(spark, sf).withColumn("words", F.array(text("w", m), text("v", half(m))))
+    return c.hunk_matches(worded, ranges(spark, sf), terms).withColumn("score", F.round("score", 6))
+
+
 @query("U8_page_envelope", "SELECT count(*) AS total_count, CAST(3 AS BIGINT) AS page, count(*) > 150 AS has_more FROM documents")
 def envelope(spark, sf):
     return c.page_envelope(table(spark, sf, "documents"), 100, 50)

@@ -10,6 +10,7 @@ from tessera.operators import models as m
 from tessera.operators import quality as q
 from tessera.operators import telemetry as o
 from tessera.operators import traces as t
+from tessera.plans.model_queries import UNIT
 from tessera.plans.registry import query
 from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, UNDIRECTED, at, levels
 from tessera.plans.roles import edges, nodes, runs, tree_edges, with_roles
@@ -112,7 +113,7 @@ def rule_cases(spark, sf):
     return cases.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("O2_sampling")
+@query("O2_sampling", "SELECT user_id, count(*) AS n FROM events WHERE " + UNIT.format("user_id::VARCHAR") + " < 0.25 GROUP BY 1")
 def sampling(spark, sf):
     return t.sampled(table(spark, sf, "events"), "user_id", 0.25).groupBy("user_id").agg(F.count("*").alias("n"))
 
@@ -122,6 +123,30 @@ def sequential(spark, sf):
     return parsers.sequential_reads(table(spark, sf, "orders"), "o_custkey", "o_orderkey")
 
 
+FILE = [("IN", "OPEN", None), ("IN", "READ", None), ("IN", "READ", None), ("IN", "CLOSE", None), ("IN", "READ", None), ("OUT", "WRITE", "a"), ("OUT", "OPEN-OUTPUT", None), ("OUT", "WRITE", "b"), ("OUT", "WRITE", "c"), ("OUT", "CLOSE", None), ("OUT", "WRITE", "d"), ("OUT", "OPEN", None), ("OUT", "READ", None), ("OUT", "READ", None), ("OUT", "READ", None), ("NONE", "OPEN", None)]
+
+
+@query("P18_file_program", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{f}', '{o}', {s}, {v})" for k, ((f, o, _), s, v) in enumerate(zip(FILE, ("'00'", "'00'", "'10'", "'00'", "'42'", "'42'", "'00'", "'00'", "'00'", "'00'", "'42'", "'00'", "'00'", "'00'", "'10'", "'00'"), ("NULL", "'x'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'b'", "'c'", "NULL", "NULL"), strict=True))) + ") t(step, file, operation, status, data)")
+def file_program(spark, sf):
+    steps = spark.createDataFrame([(k, *row) for k, row in enumerate(FILE)], "step int, file string, operation string, data string")
+    held = spark.createDataFrame([("IN", 1, "x")], "file string, record_no int, data string")
+    return parsers.file_program(steps, held)
+
+
+@query("T5_normalized_events", "SELECT CASE event_type WHEN 'click' THEN 'external_call' WHEN 'view' THEN 'file_read' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'db_query' END AS type, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1")
+def normalized_events(spark, sf):
+    kinds = {"click": "call", "view": "READ", "error": "ABEND", "purchase": "exec-sql", "signup": "unheard-of"}
+    kind = F.lit(None).cast("string")
+    for name, raw in kinds.items():
+        kind = F.when(F.col("event_type") == name, raw).otherwise(kind)
+    return t.normalized(table(spark, sf, "events").withColumn("kind", kind), "cobol").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("F11_retry_delays", "SELECT event_id, round(least(100.0 * pow(2, event_id % 8), 5000.0))::BIGINT AS delay_ms, event_type IN ('error', 'view') AS retryable FROM events")
+def retry_delays(spark, sf):
+    return table(spark, sf, "events").select("event_id", o.retry_delay(F.col("event_id") % 8, 100, 2, 5000).alias("delay_ms"), o.retryable(F.col("event_type"), ["ERR", "^view$"]).alias("retryable"))
+
+
 @query("I5_projects", "SELECT source AS project, count(*) AS files, count(DISTINCT substr(sha256(coalesce(text, '')), 1, 16)) AS unique_files, sum(len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")
 def projects(spark, sf):
     text = F.coalesce("text", F.lit(""))
@@ -139,6 +164,23 @@ def cobol_units(spark, sf):
     return parsers.parse_units(table(spark, sf, "part").select("p_partkey", line.alias("line")), "cobol").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+SOURCES = {
+    "fortran": ("program", "      PROGRAM X{}", "call", "      CALL S{}"), "vb6": ("function", "Public Function F{}()", "data", "  Dim V{} As Integer"), "java": ("class", "public class C{} {{", "import", "import a.b{};"),
+    "rpg": ("procedure", "  dcl-proc P{};", "data", "  dcl-s V{} int(10);"), "pli": ("procedure", " P{}: PROC OPTIONS(MAIN);", "call", "   CALL S{}(A);"), "natural": ("subroutine", "DEFINE SUBROUTINE S-{}", "call", "CALLNAT 'N{}'"),
+    "hlasm": ("section", "S{} CSECT", "data", "D{} DS F"), "cics": ("command", "EXEC CICS LINK{} COMMAREA(A)", "file", "  FILE('F{}')"),
+}
+NAMES = {"fortran": ("X", "S"), "vb6": ("F", "V"), "java": ("C", "a.b"), "rpg": ("P", "V"), "pli": ("P", "S"), "natural": ("S-", "N"), "hlasm": ("S", "D"), "cics": ("LINK", "F")}
+
+
+@query("I6_units", " UNION ALL ".join(f"SELECT '{k}' AS language, CASE s_suppkey % 2 WHEN 0 THEN '{a}' ELSE '{b}' END AS kind, CASE s_suppkey % 2 WHEN 0 THEN '{NAMES[k][0]}' ELSE '{NAMES[k][1]}' END || s_suppkey AS name FROM supplier" for k, (a, _, b, _) in SOURCES.items()))
+def units(spark, sf):
+    out, key = [], F.col("s_suppkey")
+    for language, (_, a, _, b) in SOURCES.items():
+        line = F.when(key % 2 == 0, F.replace(F.lit(a.replace("{{", "{")), F.lit("{}"), key.cast("string"))).otherwise(F.replace(F.lit(b), F.lit("{}"), key.cast("string")))
+        out.append(parsers.parse_units(table(spark, sf, "supplier").select(line.alias("line")), language).select(F.lit(language).alias("language"), "kind", "name"))
+    return q.union_all(out)
+
+
 @query("I7_rule_document", "SELECT p_brand, '# ' || p_brand || chr(10) || string_agg('- ' || p_type || ': ' || n, chr(10) ORDER BY p_type) AS body FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY p_brand")
 def rule_document(spark, sf):
     counts = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import models as m
+from tessera.operators import quality as q
 from tessera.operators import telemetry as o
 from tessera.plans.registry import query
 from tessera.plans.roles import legacy_modern, runs, trace, with_roles
@@ -172,7 +173,7 @@ def trend(spark, sf):
 def signature(spark, sf):
     df = runs(spark, sf)
     parts = [df.agg(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("stddev")).select(F.lit(c).alias("name"), "*") for c in ("quantity", "price")]
-    return m.models(parts)
+    return q.union_all(parts)
 
 
 @query("M17_boundary_cases", RUNS + ", s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, avg({c}) AS mean, stddev_pop({c}) AS sd FROM runs" for c in ("quantity", "price")) + """)
@@ -181,9 +182,12 @@ def boundary(spark, sf):
     return rounded(m.boundary_cases(signature(spark, sf)), 3, "value")
 
 
-@query("M17_random_cases")
+UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("M17_random_cases", RUNS + ", s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM runs" for c in ("quantity", "price")) + "), d AS (SELECT *, unnest(range(1, 101)) AS k FROM s) SELECT name, k::INT AS k, round(low + " + UNIT.format("'7:' || name || ':' || k") + " * (high - low), 6) AS value FROM d")
 def random_cases(spark, sf):
-    return m.random_cases(signature(spark, sf), 100, 7)
+    return rounded(m.random_cases(signature(spark, sf), 100, 7), 6, "value")
 
 
 @query("M17_partition_cases", RUNS + ", q AS (SELECT min(price) AS a, quantile_disc(price, 0.25) AS b, quantile_disc(price, 0.5) AS c, quantile_disc(price, 0.75) AS d, max(price) AS e, avg(price) AS m FROM runs) SELECT 'quarter-1' AS \"case\", round((a + b) / 2, 4) AS value FROM q UNION ALL SELECT 'quarter-2', round((b + c) / 2, 4) FROM q UNION ALL SELECT 'quarter-3', round((c + d) / 2, 4) FROM q UNION ALL SELECT 'quarter-4', round((d + e) / 2, 4) FROM q UNION ALL SELECT 'mean', round(m, 4) FROM q")
@@ -211,7 +215,7 @@ def golden(spark, sf):
     return m.golden_dataset(df, ["l_linenumber", "l_returnflag", "l_linestatus"], "l_quantity", "id")
 
 
-@query("M20_stratified_selection")
+@query("M20_stratified_selection", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY " + UNIT.format("'1:' || o_orderkey") + ", o_orderkey) AS k FROM orders) WHERE k <= 20")
 def selection(spark, sf):
     return m.stratified(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey", 20).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 

@@ -48,10 +48,10 @@ PATTERN_COLUMNS = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstat
 
 @query("Q5_patterns", "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderkey", "o_orderpriority", "o_orderstatus")) + """),
 m AS (""" + " UNION ALL ".join(f"SELECT column_name, '{n}' AS pattern, avg(CASE WHEN regexp_matches(value, '{p}') THEN 1.0 ELSE 0.0 END) AS match_rate FROM v WHERE value <> '' GROUP BY 1" for n, p in q.PATTERNS.items()) + """)
-SELECT column_name, pattern, round(match_rate, 8) AS match_rate FROM m WHERE match_rate > 0.5""")
+SELECT column_name, pattern, round(match_rate, 8) AS match_rate, (SELECT string_agg(value, '|' ORDER BY value) FROM (SELECT DISTINCT value FROM v WHERE v.column_name = m.column_name AND CASE m.pattern """ + " ".join(f"WHEN '{n}' THEN regexp_matches(value, '{p}')" for n, p in q.PATTERNS.items()) + """ END ORDER BY value LIMIT 3)) AS examples FROM m WHERE match_rate > 0.5""")
 def patterns(spark, sf):
     out = q.detect_patterns(table(spark, sf, "orders"), ["o_orderkey", "o_orderpriority", "o_orderstatus"])
-    return out.withColumn("match_rate", F.round("match_rate", 8))
+    return out.withColumn("match_rate", F.round("match_rate", 8)).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("Q6_quality_issues", f"""WITH rates AS ({RATES}) SELECT column_name,

@@ -397,6 +397,22 @@ def dot(spark, sf):
     return exports.graph_lines(nodes(spark, sf), edges(spark, sf), "dot")
 
 
+SAFE = "regexp_replace({}, '[^A-Za-z0-9]', '_', 'g')"
+XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+FORMATS = {
+    "mermaid": ("graph TD", "'  ' || " + SAFE.format("id") + " || '[\"' || name || '\"]'", "'  ' || " + SAFE.format("source") + " || ' -->|' || type || '| ' || " + SAFE.format("target"), ""),
+    "graphml": ('<graphml><graph edgedefault="directed">', "'<node id=\"' || " + XML.format("id") + " || '\"><data key=\"type\">' || " + XML.format("type") + " || '</data></node>'", "'<edge source=\"' || source || '\" target=\"' || target || '\"><data key=\"type\">' || type || '</data></edge>'", "</graph></graphml>"),
+    "gexf": ('<gexf version="1.3"><graph defaultedgetype="directed">', "'<node id=\"' || id || '\" label=\"' || " + XML.format("name") + " || '\"/>'", "'<edge source=\"' || source || '\" target=\"' || target || '\" label=\"' || type || '\"/>'", "</graph></gexf>"),
+    "json": ('{"format":"graph"}', "'{\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"name\":\"' || name || '\"}'", "'{\"source\":\"' || source || '\",\"target\":\"' || target || '\",\"type\":\"' || type || '\"}'", '{"end":true}'),
+    "cytoscape": ('{"elements":[', "'{\"data\":{\"id\":\"' || id || '\",\"label\":\"' || name || '\",\"type\":\"' || type || '\"}}'", "'{\"data\":{\"id\":\"' || source || '>' || target || '\",\"source\":\"' || source || '\",\"target\":\"' || target || '\",\"type\":\"' || type || '\"}}'", "]}"),
+}
+
+
+@query("I1_graph_formats", GRAPH + " " + " UNION ALL ".join(f"SELECT '{k}' AS format, 0 AS part, '{a}' AS line UNION ALL SELECT '{k}', 1, {b} FROM nodes UNION ALL SELECT '{k}', 2, {c} FROM edges UNION ALL SELECT '{k}', 3, '{d}'" for k, (a, b, c, d) in FORMATS.items()))
+def graph_formats(spark, sf):
+    return g.union_all([exports.graph_lines(nodes(spark, sf), edges(spark, sf), k).select(F.lit(k).alias("format"), "part", "line") for k in FORMATS])
+
+
 @query("I2_csv_export", GRAPH + " SELECT 0 AS part, 'id,type,name|source,target,type' AS line UNION ALL SELECT 1, id || ',' || type || ',' || name FROM nodes UNION ALL SELECT 2, source || ',' || target || ',' || type FROM edges UNION ALL SELECT 3, ''")
 def csv(spark, sf):
     return exports.graph_lines(nodes(spark, sf), edges(spark, sf), "csv")
@@ -407,7 +423,7 @@ def audit_csv(spark, sf):
     return table(spark, sf, "events").select("event_id", exports.csv_line(F.col("event_id"), F.col("event_type"), F.col("props")).alias("line"))
 
 
-@query("I4_training_jsonl")
+@query("I4_training_jsonl", """SELECT conv_id, '{"messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']}' AS line FROM conversations GROUP BY 1""")
 def training_jsonl(spark, sf):
     return exports.training_lines(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 

@@ -31,6 +31,7 @@ def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
         "graphml": (F.concat(F.lit('<node id="'), _xml(i), F.lit('"><data key="type">'), _xml(y), F.lit("</data></node>")), F.concat(F.lit('<edge source="'), _xml(s), F.lit('" target="'), _xml(t), F.lit('"><data key="type">'), _xml(y), F.lit("</data></edge>")), '<graphml><graph edgedefault="directed">', "</graph></graphml>"),
         "gexf": (F.concat(F.lit('<node id="'), _xml(i), F.lit('" label="'), _xml(F.col("name")), F.lit('"/>')), F.concat(F.lit('<edge source="'), _xml(s), F.lit('" target="'), _xml(t), F.lit('" label="'), _xml(y), F.lit('"/>')), '<gexf version="1.3"><graph defaultedgetype="directed">', "</graph></gexf>"),
         "json": (F.to_json(F.struct("id", "type", "name")), F.to_json(F.struct("source", "target", "type")), '{"format":"graph"}', '{"end":true}'),
+        "cytoscape": (F.to_json(F.struct(F.struct("id", F.col("name").alias("label"), "type").alias("data"))), F.to_json(F.struct(F.struct(F.concat(s, F.lit(">"), t).alias("id"), "source", "target", "type").alias("data"))), '{"elements":[', "]}"),
         "csv": (F.concat_ws(",", i, y, F.col("name")), F.concat_ws(",", s, t, y), "id,type,name|source,target,type", ""),
     }[kind]
     return union_all([

@@ -42,3 +42,35 @@ def sequential_reads(records: DataFrame, key: str, order: str) -> DataFrame:
     numbered = records.select(key, F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY {order})").alias("read_no"), F.lit("00").alias("status"))
     ends = records.groupBy(key).agg((F.count("*") + 1).cast("int").alias("read_no")).withColumn("status", F.lit("10"))
     return numbered.unionByName(ends)
+
+
+def file_program(steps: DataFrame, records: DataFrame) -> DataFrame:
+    """steps(step, file, operation, data) with the status and data of each: 00, 10 at the end of a file, 42 where it is not open.
+
+    ``records(file, record_no, data)`` are what files hold at first. OPEN
+    starts reading anew, OPEN-OUTPUT empties the file, WRITE appends. The steps
+    of one file meet in one task.
+    """
+    import pandas as pd
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        held, at, is_open, out = b.sort_values("record_no")["data"].tolist(), 0, False, []
+        for step, file, operation, data in a.sort_values("step")[["step", "file", "operation", "data"]].itertuples(index=False):
+            status, got = "00", None
+            if operation.startswith("OPEN"):
+                is_open, at = True, 0
+                held = [] if operation == "OPEN-OUTPUT" else held
+            elif not is_open:
+                status = "42"
+            elif operation == "CLOSE":
+                is_open = False
+            elif operation == "WRITE":
+                held = [*held, data]
+            elif at >= len(held):
+                status = "10"
+            else:
+                got, at = held[at], at + 1
+            out.append((step, file, operation, status, got))
+        return pd.DataFrame(out, columns=["step", "file", "operation", "status", "data"])
+
+    return steps.groupBy("file").cogroup(records.groupBy("file")).applyInPandas(run, "step int, file string, operation string, status string, data string")
