@@ -154,6 +154,14 @@ def continuous_drift(spark, sf):
     return q.count_match(*legacy_modern(spark, sf), tolerance=0.01)
 
 
+KEYS = SUMMED.replace(", flag", "") if ", flag" in SUMMED else SUMMED
+
+
+@query("V8_key_checksum_md5", PAIRS + f" SELECT a AS source_value, b AS target_value, a = b AS passed FROM (SELECT {KEYS} AS a FROM legacy) CROSS JOIN (SELECT {KEYS} AS b FROM modern)")
+def key_checksum_md5(spark, sf):
+    return q.checksum_match(*legacy_modern(spark, sf), [F.col("k1"), F.col("k2")])
+
+
 @query("V8_key_checksum")
 def key_checksum(spark, sf):
     return q.checksum_match(*legacy_modern(spark, sf), [F.col("k1"), F.col("k2")], "xxhash64")

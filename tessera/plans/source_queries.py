@@ -496,9 +496,9 @@ def suggestions(spark, sf):
 # --- streams ---
 
 
-@query("O10_stream_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2")
+@query("O10_stream_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_windows(spark, sf):
-    out = streams.run_to_table(spark, streams.window_counts(streams.event_stream(spark, f"{sf}/events.parque[t]"), "1 hour"), "complete")
+    out = streams.run_to_table(spark, streams.window_counts(streams.event_stream(spark, f"{sf}/events.parque[t]"), "1 hour"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "top")
 
 
@@ -522,7 +522,7 @@ def stream_dedup(spark, sf):
 
 
 @query("T7_stream_sessions", """WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark, sf):
-    out = streams.run_to_table(spark, streams.sessions(streams.event_stream(spark, f"{sf}/events.parque[t]"), "user_id", "4 hours"), "complete")
+    out = streams.run_to_table(spark, streams.sessions(streams.event_stream(spark, f"{sf}/events.parque[t]"), "user_id", "4 hours"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

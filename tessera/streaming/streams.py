@@ -15,9 +15,9 @@ from tessera.session import shared_dir
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """A file stream of events with a watermark; the time column becomes a zoned timestamp, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, ts: str = "ts", delay: str = "1 hour", files: int = 1000) -> DataFrame:
+    """A file stream of events with a watermark, at most ``files`` a micro-batch; the time column becomes a zoned timestamp, which watermarks need."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
 def window_counts(stream: DataFrame, width: str, ts: str = "ts", by: tuple[str, ...] = ("event_type",), error: Column | None = None) -> DataFrame:
@@ -49,13 +49,18 @@ def correlated(errors: DataFrame, purchases: DataFrame, within: str, key: str =
     return a.join(b, (F.col("k") == F.col(key)) & (F.col("pts") >= F.col("ets")) & (F.col("pts") <= F.col("ets") + F.expr(f"INTERVAL {within}"))).select(key, "error_id", "purchase_id")
 
 
-def health_states(stream: DataFrame, failures: int = 2, successes: int = 3) -> DataFrame:
+def health_states(stream: DataFrame, failures: int = 2, successes: int = 3, idle: int = 30 * 24 * 3600) -> DataFrame:
     """Hysteresis per user with custom state: streak, last outcome, state.
 
-    Events of one micro-batch are taken in order of time and id.
+    Events of one micro-batch are taken in order of time and id. A user's state
+    is dropped once the watermark is ``idle`` seconds past the last event; the
+    user then starts anew.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         streak, last, current = state.get if state.exists else (0, False, "unknown")
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         states = []
@@ -68,18 +73,21 @@ def health_states(stream: DataFrame, failures: int = 2, successes: int = 3) -> D
                 current = "healthy"
             states.append(current)
         state.update((streak, last, current))
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame({"session_id": rows["user_id"], "event_id": rows["event_id"], "state": states})
 
     return stream.groupBy("user_id").applyInPandasWithState(
-        step, "session_id bigint, event_id bigint, state string", "streak int, last boolean, state string", "append", GroupStateTimeout.NoTimeout
+        step, "session_id bigint, event_id bigint, state string", "streak int, last boolean, state string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain a stream (trigger availableNow) into a Parquet table and read it.
 
-    Append mode uses the exactly-once file sink; complete mode overwrites the
-    table with each micro-batch. Tables and checkpoints live in the shared
+    Append mode uses the exactly-once file sink and gives windows and sessions
+    once the watermark has passed their end; complete mode keeps all and
+    overwrites the table with each micro-batch. Tables and checkpoints live in the shared
     folder that ``spark.checkpoint.dir`` names.
     """
     path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
