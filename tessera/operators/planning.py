@@ -200,3 +200,61 @@ def estimate_costs(projects: DataFrame, phases: Sequence[tuple[str, float]] = ((
     total = 0.3 * F.col("loc") + 0.2 * F.col("rules") + 0.25 * F.col("data") + 0.25 * F.col("integration")
     rows = F.array(*[F.struct(F.lit(name).alias("phase"), (total * share).alias("cost")) for name, share in phases])
     return projects.select("id", F.explode(rows).alias("p")).select("id", "p.phase", "p.cost", (F.col("p.cost") * (1 - low)).alias("low"), (F.col("p.cost") * (1 + high)).alias("high"))
+
+
+# D18. Fixed values of the survey: points of a language, multipliers of a complexity level.
+LANGUAGE_POINTS = {"cobol": 10, "fortran": 8, "vb6": 6, "vba": 5, "java-legacy": 4}
+LEVEL_BOUNDS = ((15, "trivial"), (30, "low"), (50, "medium"), (70, "high"), (85, "very_high"))
+#: Defaults of callers' rates: hours a line, multipliers by level, money an hour.
+HOURS_A_LINE = {"cobol": 0.05, "fortran": 0.04, "vb6": 0.03}
+LEVEL_FACTOR = {"trivial": 0.5, "low": 0.8, "medium": 1.0, "high": 1.5, "very_high": 2.0, "extreme": 3.0}
+
+
+def code_metrics(sources: DataFrame, key: str, text: str, comment: str, procedure: str, data: str, call: str, branch: str, opens: str, closes: str) -> DataFrame:
+    """(key, total_lines, code_lines, comment_lines, blank_lines, procedures, data_structures, external_calls, cyclomatic, nesting) by patterns; at least one procedure."""
+    from tessera.operators.mining import text_metrics
+
+    body = F.coalesce(text, F.lit(""))
+    lines = F.split(body, "\n")
+    counted = lambda p: F.regexp_count(body, F.lit(p)).cast("long")
+    of = sources.select(
+        key, F.size(lines).cast("long").alias("total_lines"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("blank_lines"),
+        F.greatest(F.lit(1), counted(procedure)).alias("procedures"), counted(data).alias("data_structures"), counted(call).alias("external_calls"), text,
+    )
+    metrics = text_metrics(of.withColumn("_rest", F.struct("total_lines", "blank_lines", "procedures", "data_structures", "external_calls")).withColumn("_key", F.struct(key, "_rest")), "_key", text, branch, opens, closes, comment)
+    return metrics.select(f"_key.{key}", "_key._rest.total_lines", F.col("loc").alias("code_lines"), F.col("comments").alias("comment_lines"), "_key._rest.blank_lines", "_key._rest.procedures", "_key._rest.data_structures", "_key._rest.external_calls", "cyclomatic", "nesting")
+
+
+def code_complexity(metrics: DataFrame, language: Column) -> DataFrame:
+    """Metrics with ``overall`` (0 to 100: lines on a logarithmic scale, branches, data, calls and the language) and its ``level``."""
+    volume = F.least(F.lit(25.0), F.log10(F.col("code_lines") + 1) * 8)
+    logic, data, calls = F.least(F.lit(30.0), F.col("cyclomatic") * 0.5), F.least(F.lit(20.0), F.col("data_structures") * 2.0), F.least(F.lit(15.0), F.col("external_calls") * 1.5)
+    overall = F.least(F.lit(100), F.floor(F.round(volume + logic + data + calls + _lookup(language, LANGUAGE_POINTS, 5), 9) + 0.5)).cast("int")
+    level = F.lit("extreme")
+    for bound, name in reversed(LEVEL_BOUNDS):
+        level = F.when(F.col("overall") <= bound, name).otherwise(level)
+    return metrics.withColumn("overall", overall).withColumn("level", level)
+
+
+def quick_estimates(rated: DataFrame, language: Column, rate: float = 87.5, contingency: float = 0.2, hours: dict[str, float] = HOURS_A_LINE, otherwise: float = 0.03) -> DataFrame:
+    """Least and most days and cost of each source of :func:`code_complexity`: 0.8 and 1.5 of the adjusted hours, the most with contingency."""
+    adjusted = F.col("code_lines") * _lookup(language, hours, otherwise) * _lookup(F.col("level"), LEVEL_FACTOR, 1)
+    whole = lambda c: F.ceil(F.round(c, 9))
+    return rated.withColumn("hours", adjusted).select(
+        *[c for c in rated.columns], "hours", whole(F.col("hours") / 8 * 0.8).alias("least_days"), whole(F.col("hours") / 8 * 1.5).alias("most_days"),
+        F.floor(F.col("hours") * rate * 0.8 + 0.5).alias("least_cost"), F.floor(F.col("hours") * rate * 1.5 * (1 + contingency) + 0.5).alias("most_cost"),
+    )
+
+
+def batch_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of many sources: sums, but the deepest nesting."""
+    summed = ("total_lines", "code_lines", "comment_lines", "blank_lines", "procedures", "data_structures", "external_calls", "cyclomatic")
+    return metrics.groupBy(*by).agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in summed], F.max("nesting").alias("nesting"))
+
+
+def pipeline_order(levels: DataFrame) -> DataFrame:
+    """Levels of :func:`longest_levels`, an error if any node is on or behind a cycle."""
+    stuck = levels.where("level IS NULL").orderBy("id").limit(3).collect()
+    if stuck:
+        raise ValueError("a cycle holds up " + ", ".join(r["id"] for r in stuck))
+    return levels

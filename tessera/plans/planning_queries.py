@@ -116,3 +116,38 @@ def phase_costs(spark, sf):
     out = p.estimate_costs(projects)
     return out.select("id", "phase", *[F.round(c, 6).alias(c) for c in ("cost", "low", "high")])
 
+
+
+CODE = {"comment": "^#", "procedure": "[.]", "data": "the", "call": "des", "branch": "and|und", "opens": r"\(", "closes": r"\)"}
+METRICS = """cm AS (SELECT doc_id, lang, len(p)::BIGINT AS total_lines, len(list_filter(p, lambda l: trim(l) <> '' AND NOT starts_with(l, '#')))::BIGINT AS code_lines, len(list_filter(p, lambda l: starts_with(l, '#')))::BIGINT AS comment_lines, len(list_filter(p, lambda l: trim(l) = ''))::BIGINT AS blank_lines,
+greatest(1, len(regexp_extract_all(t, '[.]')))::BIGINT AS procedures, len(regexp_extract_all(t, 'the'))::BIGINT AS data_structures, len(regexp_extract_all(t, 'des'))::BIGINT AS external_calls, len(regexp_extract_all(t, 'and|und'))::BIGINT + 1 AS cyclomatic FROM (SELECT doc_id, lang, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+cx AS (SELECT *, least(100, floor(round(least(25.0::DOUBLE, log10(code_lines + 1) * 8) + least(30.0::DOUBLE, cyclomatic * 0.5::DOUBLE) + least(20.0::DOUBLE, data_structures * 2.0::DOUBLE) + least(15.0::DOUBLE, external_calls * 1.5::DOUBLE) + CASE lang WHEN 'de' THEN 10 WHEN 'fr' THEN 6 ELSE 5 END, 9) + 0.5))::INT AS overall FROM cm),
+cl AS (SELECT *, CASE WHEN overall <= 15 THEN 'trivial' WHEN overall <= 30 THEN 'low' WHEN overall <= 50 THEN 'medium' WHEN overall <= 70 THEN 'high' WHEN overall <= 85 THEN 'very_high' ELSE 'extreme' END AS level FROM cx)"""
+
+
+def measured(spark, sf):
+    """Documents as sources; languages stand for languages."""
+    docs = table(spark, sf, "documents")
+    return p.code_metrics(docs, "doc_id", "text", **CODE).join(docs.select("doc_id", F.when(F.col("lang") == "de", "cobol").when(F.col("lang") == "fr", "vb6").otherwise("other").alias("language")), "doc_id")
+
+
+@query("D18_code_complexity", f"WITH {METRICS} SELECT doc_id, total_lines, code_lines, comment_lines, blank_lines, procedures, data_structures, external_calls, cyclomatic, overall, level FROM cl")
+def code_complexity(spark, sf):
+    return p.code_complexity(measured(spark, sf), F.col("language")).drop("language", "nesting")
+
+
+@query("D18_quick_estimates", f"""WITH {METRICS}, h AS (SELECT doc_id, code_lines * CASE lang WHEN 'de' THEN 0.05::DOUBLE ELSE 0.03::DOUBLE END * CASE level WHEN 'trivial' THEN 0.5::DOUBLE WHEN 'low' THEN 0.8::DOUBLE WHEN 'medium' THEN 1 WHEN 'high' THEN 1.5::DOUBLE WHEN 'very_high' THEN 2 ELSE 3 END AS h FROM cl)
+SELECT doc_id, ceil(round(h / 8 * 0.8::DOUBLE, 9))::BIGINT AS least_days, ceil(round(h / 8 * 1.5::DOUBLE, 9))::BIGINT AS most_days, floor(h * 87.5::DOUBLE * 0.8::DOUBLE + 0.5)::BIGINT AS least_cost, floor(h * 87.5::DOUBLE * 1.5::DOUBLE * 1.2::DOUBLE + 0.5)::BIGINT AS most_cost FROM h""")
+def quick_estimates(spark, sf):
+    rated = p.code_complexity(measured(spark, sf), F.col("language"))
+    return p.quick_estimates(rated, F.col("language")).select("doc_id", "least_days", "most_days", "least_cost", "most_cost")
+
+
+@query("D18_batch_metrics", f"WITH {METRICS} SELECT CASE lang WHEN 'de' THEN 'cobol' WHEN 'fr' THEN 'vb6' ELSE 'other' END AS language, count(*) AS files, " + ", ".join(f"sum({x})::BIGINT AS {x}" for x in ("total_lines", "code_lines", "comment_lines", "blank_lines", "procedures", "data_structures", "external_calls", "cyclomatic")) + " FROM cm GROUP BY 1")
+def batch_metrics(spark, sf):
+    return p.batch_metrics(measured(spark, sf), ["language"]).drop("nesting")
+
+
+@query("D20_ordered", MODULES_R + ", lv AS (SELECT id, 0 AS level FROM nodes UNION SELECT e.source, lv.level + 1 FROM lv JOIN edges e ON e.target = lv.id WHERE lv.level < 10) SELECT id, max(level)::BIGINT AS level FROM lv GROUP BY 1")
+def ordered(spark, sf):
+    return p.pipeline_order(g.longest_levels(edges(spark, sf), nodes(spark, sf)))

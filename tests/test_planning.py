@@ -152,3 +152,10 @@ def test_running_sums_by_bucket(spark):
 
     plain, cut = (telemetry.cumulative(df, ["g"], ["k"], "v", b).select("g", "k", "total").collect() for b in (None, F.floor(F.col("k") / 9)))
     assert sorted(map(tuple, plain)) == sorted(map(tuple, cut))
+
+
+def test_a_cycle_is_no_order(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="a, b"):
+        planning.pipeline_order(graph.longest_levels(edges_of(spark, [("a", "b"), ("b", "a"), ("c", "d")]), nodes_of(spark, "abcd")))
