@@ -425,3 +425,14 @@ def hunk_matches(hunks: DataFrame, ranges: DataFrame, terms: DataFrame | None =
         near = near.unionByName(shared.select("hunk", "rule", F.least(F.lit(0.8), 0.3 + 0.15 * F.col("n")).alias("score"), F.lit("keywords").alias("reason")))
     best = near.groupBy("hunk", "rule").agg(F.max(F.struct("score", "reason")).alias("b"))
     return best.select("hunk", "rule", "b.score", "b.reason")
+
+
+def review_metrics(reviews: DataFrame, approved: Column, rejected: Column, hours: Column) -> DataFrame:
+    """One row (total, approved, rejected, approval_rate, mean_hours)."""
+    yes, no = F.count_if(approved), F.count_if(rejected)
+    return reviews.agg(F.count("*").alias("total"), yes.alias("approved"), no.alias("rejected"), F.coalesce(F.try_divide(yes, F.count("*")), F.lit(0.0)).alias("approval_rate"), F.avg(hours).alias("mean_hours"))
+
+
+def session_decisions(messages: DataFrame, by: str, kinds: dict[str, Column], order: str) -> DataFrame:
+    """Counts of each kind of message and the last place of every session."""
+    return messages.groupBy(by).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()], F.max(order).alias("last_turn"))

@@ -254,3 +254,33 @@ def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, dir
     columns = [*by, "a", "b", "score"]
     kept = scores.where(F.col("score") > least).select(*columns)
     return kept.groupBy(*by).applyInPandas(match, kept.schema).withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
+
+
+def trace_statistics(events: DataFrame, place: Sequence[str], taken: str) -> DataFrame:
+    """Branch coverage in percent (100 without branches) and the number of places."""
+    from tessera.operators.traces import branch_coverage
+
+    return branch_coverage(events, place, taken)[0].select("coverage", "locations")
+
+
+def aligned(legacy: DataFrame, modern: DataFrame, by: Sequence[str], order: Sequence[str], value: str, tolerance: float = 0.001) -> DataFrame:
+    """One row (positions, unmatched, different): events of each group by place, values within a tolerance."""
+    number = lambda df, name: df.select(*by, F.col(value).alias(name), F.lit(True).alias(f"in_{name}"), F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {', '.join(order)})").alias("_p"))
+    both = number(legacy, "a").join(number(modern, "b"), [*by, "_p"], "full_outer")
+    return both.agg(F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("unmatched"), F.count_if(F.abs(F.col("a") - F.col("b")) > tolerance).alias("different"), F.count("*").alias("positions"))
+
+
+def shadow_statistics(results: DataFrame, delta: Column, tolerance: float) -> DataFrame:
+    """Number of results, equivalent ones and the mean difference."""
+    return results.agg(F.count("*").alias("n"), F.count_if(delta <= tolerance).alias("equivalent"), F.avg(delta).alias("mean_delta"))
+
+
+def expired(results: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
+    """Results older than the retention, for deletion; the others stay."""
+    return results.where(F.col(ts) < as_of - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def match_rates(joined: DataFrame, keys: Sequence[str], fields: dict[str, Column], least: float = 1.0) -> DataFrame:
+    """(keys, match_rate) of replays whose share of matching fields is under ``least``; a null comparison is no match."""
+    hits = [F.coalesce(c, F.lit(False)).cast("int") for c in fields.values()]
+    return joined.select(*keys, (sum(hits[1:], hits[0]) / len(hits)).alias("match_rate")).where(F.col("match_rate") < least)

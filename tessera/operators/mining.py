@@ -269,3 +269,14 @@ def compile_condition(rule: dict) -> Column:
     if "not" in rule:
         return ~compile_condition(rule["not"])
     return CONDITIONS[rule["operator"]](F.col(rule["field"]), rule.get("value"))
+
+
+def rule_domains(rules: DataFrame, name: str) -> DataFrame:
+    """Rules by the first word of their name, in lower case."""
+    return rules.groupBy(F.lower(F.split(name, " ")[0]).alias("domain")).agg(F.count("*").alias("n"))
+
+
+def lineage(flows: DataFrame, sources: DataFrame, targets: DataFrame, source_key: str, target_key: str, source: str, target: str) -> DataFrame:
+    """(source, target, flows): how often each named source flows into each named target; ends without a name are left out."""
+    named = flows.join(sources.select(source_key, F.col(source).alias("source")), source_key).join(targets.select(target_key, F.col(target).alias("target")), target_key)
+    return named.groupBy("source", "target").agg(F.count("*").alias("flows"))

@@ -237,6 +237,17 @@ def suite_coverage(changes: DataFrame, rules: DataFrame) -> DataFrame:
     return known.join(rules.agg(F.count_distinct("rule").alias("_all"))).select("suite", "covered", (F.col("covered") * 100 / F.col("_all")).alias("percent"))
 
 
+def model_quality(df: DataFrame, invariants: dict[str, Column | str]) -> DataFrame:
+    """The mean rate at which invariants hold."""
+    rates = [F.avg(F.coalesce(_column(c), F.lit(False)).cast("int")) for c in invariants.values()]
+    return df.agg((sum(rates[1:], rates[0]) / len(rates)).alias("quality"))
+
+
+def failure_groups(failures: DataFrame, by: Sequence[str], least: int = 2, limit: int = 10) -> DataFrame:
+    """(grp, n) of the most frequent groups of failures, ``least`` or more."""
+    return failures.groupBy(F.concat_ws(":", *by).alias("grp")).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "grp").limit(limit)
+
+
 def golden_dataset(cases: DataFrame, inputs: Sequence[str], priority: str, key: str) -> DataFrame:
     """One case for each distinct input, that of the highest priority."""
     hashed = cases.withColumn("input_hash", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in inputs]).cast("binary")))

@@ -71,6 +71,7 @@ def bucket_counts(points: DataFrame, by: Sequence[str], value: str, bounds: Sequ
 
 def normal_path(url: Column) -> Column:
     """UUIDs and numbers of a path become ``:id``."""
+    # Fixed value.
     uuid = "/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
     return F.regexp_replace(F.regexp_replace(url, uuid, "/:id"), "/[0-9]+", "/:id")
 
@@ -248,3 +249,21 @@ def retry_delay(attempt: Column, initial: float, factor: float, most: float) ->
 def retryable(message: Column, patterns: Sequence[str] = ()) -> Column:
     """whether an error's message matches any pattern, in any case; without patterns all errors are."""
     return message.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(True)
+
+
+def merged_series(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Points of both, each under its series ``name:subsystem``."""
+    return existing.unionByName(new).withColumn("series", F.concat_ws(":", "name", "subsystem"))
+
+
+def promotion(checks: DataFrame, by: Sequence[str], criteria: Sequence[Column], critical: Column) -> DataFrame:
+    """Promote where every criterion (an aggregate) holds, roll back on any critical check."""
+    every = F.lit(True)
+    for c in criteria:
+        every = every & c
+    return checks.groupBy(*by).agg(every.alias("promote"), F.bool_or(critical).alias("rollback"))
+
+
+def dashboard(rows: DataFrame, ts: str, measures: dict[str, Column], period: str = "month") -> DataFrame:
+    """Measures by period."""
+    return rows.groupBy(F.date_trunc(period, ts).alias("period")).agg(*[c.alias(k) for k, c in measures.items()])

@@ -290,7 +290,7 @@ def review_metrics(spark, sf):
     joined = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     hours = (F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 3600
     yes, no = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
-    return joined.agg(F.count("*").alias("total"), F.count_if(yes).alias("approved"), F.count_if(no).alias("rejected"), F.round(F.count_if(yes) / F.count("*"), 8).alias("approval_rate"), F.round(F.avg(hours), 6).alias("mean_hours"))
+    return c.review_metrics(joined, yes, no, hours).withColumn("approval_rate", F.round("approval_rate", 8)).withColumn("mean_hours", F.round("mean_hours", 6))
 
 
 @query("C3_knowledge_search", RULES + " SELECT doc_id, round(confidence / (1 + n_chars / 1000.0), 6)::DOUBLE AS score FROM rules WHERE contains(lower(text), 'tion') AND contains(lower(text), 'des') ORDER BY score DESC, doc_id LIMIT 20")
@@ -319,7 +319,7 @@ def type_detection(spark, sf):
 @query("C6_decision_stats", "SELECT conv_id, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def decisions(spark, sf):
     role = F.col("role")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(role == "user").alias("asked"), F.count_if(role == "assistant").alias("answered"), F.max("turn").alias("last_turn"))
+    return c.session_decisions(table(spark, sf, "conversations"), "conv_id", {"asked": role == "user", "answered": role == "assistant"}, "turn")
 
 
 @query("C7_progress", f"WITH x AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, (epoch(TIMESTAMP '{AS_OF}') - epoch(min(o_orderdate) FILTER (o_orderstatus = 'F'))) / 86400.0::DOUBLE AS days FROM orders) SELECT total, done, round(100.0 * done / total, 6)::DOUBLE AS percent, round(done / days, 6) AS per_day, round((total - done) / (done / days), 6) AS days_left FROM x")

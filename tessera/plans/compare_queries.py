@@ -144,8 +144,8 @@ def memory(spark, sf):
 
 @query("X9_branch_coverage", "WITH b AS (SELECT event_type, count(DISTINCT value > 50) AS sides FROM events GROUP BY 1) SELECT round(100.0 * sum(sides) / (2 * count(*)), 6)::DOUBLE AS coverage, count(*) AS locations FROM b")
 def branch_coverage(spark, sf):
-    sides = table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct(F.col("value") > 50).alias("sides"))
-    return sides.agg(F.round(F.coalesce(F.try_divide(F.sum("sides") * 100.0, F.count("*") * 2), F.lit(100.0)), 6).alias("coverage"), F.count("*").alias("locations"))
+    found = x.trace_statistics(table(spark, sf, "events").withColumn("side", F.col("value") > 50), ["event_type"], "side")
+    return found.withColumn("coverage", F.round("coverage", 6))
 
 
 SUMMARY = DIFFS + ", c AS (SELECT j.k1, j.k2, count(d.field) FILTER (d.severity = 'critical') AS crit FROM j LEFT JOIN diffs d ON j.k1 = d.k1 AND j.k2 = d.k2 GROUP BY 1, 2), s AS (SELECT count(*) AS total, count(*) FILTER (crit = 0) AS passed, count(*) FILTER (crit > 0) AS critical FROM c)"
@@ -238,10 +238,7 @@ def last_divergent(spark, sf):
 @query("X15_positional_alignment", PAIRS + """, a AS (SELECT k1, price, row_number() OVER (PARTITION BY k1 ORDER BY k2, price) AS p FROM legacy), b AS (SELECT k1, price, row_number() OVER (PARTITION BY k1 ORDER BY k2, price) AS p FROM modern)
 SELECT count(*) FILTER (a.k1 IS NULL OR b.k1 IS NULL) AS unmatched, count(*) FILTER (abs(a.price - b.price) > 0.001) AS different, count(*) AS positions FROM a FULL JOIN b ON a.k1 = b.k1 AND a.p = b.p""")
 def positional(spark, sf):
-    number = lambda df, c: df.select("k1", F.col("price").alias(c), F.expr("row_number() OVER (PARTITION BY k1 ORDER BY k2, price)").alias("p"))
-    a, b = legacy_modern(spark, sf)
-    both = number(a, "a").join(number(b, "b"), ["k1", "p"], "full_outer")
-    return both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"), F.count_if(F.abs(F.col("a") - F.col("b")) > 0.001).alias("different"), F.count("*").alias("positions"))
+    return x.aligned(*legacy_modern(spark, sf), ["k1"], ["k2", "price"], "price")
 
 
 @query("X16_shadow_compare", INNER + " SELECT k1, count(*) FILTER (abs(ap - bp) > 0.01) + count(*) FILTER (aq IS DISTINCT FROM bq) + count(*) FILTER (lower(trim(af)) <> lower(trim(bf))) AS differences FROM i GROUP BY k1 HAVING differences > 0")
@@ -258,8 +255,7 @@ def ignored_leaves(spark, sf):
 
 @query("X17_shadow_statistics", INNER + " SELECT count(*) AS n, count(*) FILTER (abs(ap - bp) <= 0.01) AS equivalent, round(avg(abs(ap - bp)), 6) AS mean_delta FROM i")
 def shadow_statistics(spark, sf):
-    delta = F.abs(F.col("ap") - F.col("bp"))
-    return joined(spark, sf).agg(F.count("*").alias("n"), F.count_if(delta <= 0.01).alias("equivalent"), F.round(F.avg(delta), 6).alias("mean_delta"))
+    return x.shadow_statistics(joined(spark, sf), F.abs(F.col("ap") - F.col("bp")), 0.01).withColumn("mean_delta", F.round("mean_delta", 6))
 
 
 @query("X18_replay_filter", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error') AND event_type NOT IN ('error') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1")
@@ -270,9 +266,8 @@ def replay_filter(spark, sf):
 
 @query("X19_replay_compare", INNER + " SELECT k1, k2, round(((ap = bp)::INT + (aq IS NOT DISTINCT FROM bq)::INT + (af = bf)::INT) / 3.0, 6)::DOUBLE AS match_rate FROM i WHERE NOT (ap = bp AND aq IS NOT DISTINCT FROM bq AND af = bf)")
 def replay_compare(spark, sf):
-    same = [F.col("ap") == F.col("bp"), F.col("aq").eqNullSafe(F.col("bq")), F.col("af") == F.col("bf")]
-    rate = (same[0].cast("int") + same[1].cast("int") + same[2].cast("int")) / 3
-    return joined(spark, sf).where(~(same[0] & same[1] & same[2])).select("k1", "k2", F.round(rate, 6).alias("match_rate"))
+    same = {"price": F.col("ap") == F.col("bp"), "quantity": F.col("aq").eqNullSafe(F.col("bq")), "flag": F.col("af") == F.col("bf")}
+    return x.match_rates(joined(spark, sf), ["k1", "k2"], same).withColumn("match_rate", F.round("match_rate", 6))
 
 
 @query("X20_replay_summary", DIFFS + ", r AS (SELECT field, k1 * 10 + k2 AS id, row_number() OVER (PARTITION BY field ORDER BY k1 * 10 + k2) AS k FROM diffs) SELECT field, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (k <= 3) AS examples FROM r GROUP BY field ORDER BY n DESC, field LIMIT 5")

@@ -82,9 +82,7 @@ def edge_cases(spark, sf):
 
 @query("M10_model_quality", RUNS + " SELECT round((avg((abs(net - price * (1 - discount)) < 1e-6)::INT) + avg((net <= price)::INT) + avg((tax >= 0)::INT)) / 3, 8) AS quality FROM runs")
 def quality(spark, sf):
-    hold = lambda c: F.avg(c.cast("int"))
-    total = hold(F.abs(F.col("net") - F.col("price") * (1 - F.col("discount"))) < 1e-6) + hold(F.col("net") <= F.col("price")) + hold(F.col("tax") >= 0)
-    return runs(spark, sf).agg(F.round(total / 3, 8).alias("quality"))
+    return rounded(m.model_quality(runs(spark, sf), {"net": "abs(net - price * (1 - discount)) < 1e-6", "at most": "net <= price", "tax": "tax >= 0"}), 8, "quality")
 
 
 @query("M11_predict", RUNS + ", a AS (SELECT flag, avg(net) AS mean FROM runs GROUP BY 1) SELECT r.flag, round(avg(abs(coalesce(r.price * (1 - r.discount), a.mean) - r.net)), 6) AS error FROM runs r JOIN a ON r.flag = a.flag GROUP BY r.flag")
@@ -127,7 +125,7 @@ def validation_run(spark, sf):
 
 @query("M14_failure_groups", RUNS + " SELECT flag || ':' || status AS grp, count(*) AS n FROM runs WHERE discount > 0.05 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, grp LIMIT 10")
 def failure_groups(spark, sf):
-    return runs(spark, sf).where("discount > 0.05").groupBy(F.concat_ws(":", "flag", "status").alias("grp")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "grp").limit(10)
+    return m.failure_groups(runs(spark, sf).where("discount > 0.05"), ["flag", "status"])
 
 
 @query("M15_drift", RUNS + ", a AS (SELECT * FROM runs WHERE ts < TIMESTAMP '1998-01-01'), b AS (SELECT * FROM runs WHERE ts >= TIMESTAMP '1998-01-01'), d AS (" + " UNION ALL ".join(
@@ -301,8 +299,9 @@ def records_to_metrics(spark, sf):
 
 @query("O6_metric_merge", "SELECT event_type || ':' || (user_id % 3) AS series, count(*) AS points, min(event_id) AS first_event FROM events GROUP BY 1")
 def metric_merge(spark, sf):
-    series = F.concat_ws(":", "event_type", (F.col("user_id") % 3).cast("string"))
-    return table(spark, sf, "events").groupBy(series.alias("series")).agg(F.count("*").alias("points"), F.min("event_id").alias("first_event"))
+    points = table(spark, sf, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 3).cast("string").alias("subsystem"), "event_id")
+    half = F.col("event_id") % 2 == 0
+    return o.merged_series(points.where(half), points.where(~half)).groupBy("series").agg(F.count("*").alias("points"), F.min("event_id").alias("first_event"))
 
 
 @query("O7_counter_export", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
@@ -382,7 +381,7 @@ def violations(spark, sf):
 @query("O18_promotion", "SELECT user_id, bool_and(value < 400) AND avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) < 0.25 AS promote, bool_or(value > 300) AS rollback FROM events GROUP BY 1")
 def promotion(spark, sf):
     rate = F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
-    return table(spark, sf, "events").groupBy("user_id").agg((F.bool_and(F.col("value") < 400) & (rate < 0.25)).alias("promote"), F.bool_or(F.col("value") > 300).alias("rollback"))
+    return o.promotion(table(spark, sf, "events"), ["user_id"], [F.bool_and(F.col("value") < 400), rate < 0.25], F.col("value") > 300)
 
 
 JAVA = "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296))"
@@ -458,4 +457,5 @@ def contribution(spark, sf):
 
 @query("O25_dashboard", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS orders, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
 def dashboard(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+    out = o.dashboard(table(spark, sf, "orders"), "o_orderdate", {"orders": F.count("*"), "value": F.round(F.sum("o_totalprice"), 2)})
+    return out.select(F.col("period").cast("timestamp_ntz").alias("month"), "orders", "value")

@@ -314,7 +314,7 @@ def readiness(spark, sf):
 
 @query("P11_rule_domains", "SELECT lower(split_part(p_name, ' ', 1)) AS domain, count(*) AS n FROM part GROUP BY 1")
 def rule_domains(spark, sf):
-    return table(spark, sf, "part").groupBy(F.lower(F.split("p_name", " ")[0]).alias("domain")).agg(F.count("*").alias("n"))
+    return mining.rule_domains(table(spark, sf, "part"), "p_name")
 
 
 LANGUAGES = [("de", "\\bund\\b|\\bder\\b", 5), ("en", "\\bthe\\b|\\band\\b", 5), ("es", "\\blos\\b|\\bque\\b", 4), ("fr", "\\bles\\b|\\bdes\\b", 4)]
@@ -338,8 +338,8 @@ def document_aggregates(spark, sf):
 
 @query("P15_lineage", "SELECT s_name AS source, p_type AS target, count(*) AS flows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def lineage(spark, sf):
-    joined = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("s_name").alias("source"), F.col("p_type").alias("target")).agg(F.count("*").alias("flows"))
+    flows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
+    return mining.lineage(flows, table(spark, sf, "supplier"), table(spark, sf, "part"), "s_suppkey", "p_partkey", "s_name", "p_type")
 
 
 @query("P16_overall_risk", "WITH m AS (SELECT p_brand, avg(p_size) / 5 AS s FROM part GROUP BY 1) SELECT round(0.6 * avg(s) + 0.4 * max(s), 6) AS risk, CASE WHEN 0.6 * avg(s) + 0.4 * max(s) >= 7 THEN 'critical' WHEN 0.6 * avg(s) + 0.4 * max(s) >= 5 THEN 'high' WHEN 0.6 * avg(s) + 0.4 * max(s) >= 3 THEN 'medium' ELSE 'low' END AS level FROM m")
