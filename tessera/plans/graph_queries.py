@@ -335,6 +335,12 @@ def cycle_advice(spark, sf):
     return g.recommendations(nodes(spark, sf).limit(0), degrees(spark, sf).limit(0), g.simple_cycles(transitions(spark, sf))).select("advice", "severity", "n")
 
 
+@query("D2_reachable_estimates", TREE_R + ", w AS (SELECT source AS id, target AS dep FROM edges UNION SELECT w.id, e.target FROM w JOIN edges e ON e.source = w.dep) SELECT n.id, count(w.dep) AS reachable FROM nodes n LEFT JOIN w ON w.id = n.id GROUP BY n.id")
+def reachable_estimates(spark, sf):
+    # Few needs each, so the sketches are exact here.
+    return g.reachable_estimates(tree_edges(spark, sf), nodes(spark, sf))
+
+
 @query("D3_cycle_lengths", CYCLES + " SELECT len(path) AS length, count(*) AS n FROM c GROUP BY 1")
 def cycle_lengths(spark, sf):
     return g.simple_cycles(transitions(spark, sf)).groupBy(F.size("path").cast("long").alias("length")).agg(F.count("*").alias("n"))
