@@ -169,9 +169,13 @@ def detect_language(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
 
 def op8_language_id(spark, sf_dir):
-    """Predictions for all documents; learnt from those outside the held-out third."""
+    """Predictions for all documents; learnt from those outside the held-out third.
+
+    Rows of null id are never learnt from and count as held out. Repeated rows
+    get equal predictions; an empty table gives an empty result.
+    """
     small_batches(spark)
     docs = documents(spark, sf_dir)
     model = fit_languages(docs.where(id_remainder("doc_id", 3) != 1))
     out = detect_language(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")
