@@ -10,7 +10,7 @@ from tessera.llm.common import WORD, documents, materialize, small_batches
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
-from tessera.llm.quality import fit_quality, labelled, score_documents, with_statistics
+from tessera.llm.quality import fit_quality, labelled_documents, score_documents
 
 #: Documents scored below this are rejected.
 LEAST_QUALITY = 0.3
@@ -20,8 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep documents that the classifier, learnt from ``labels``, scores 0.3 or more."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = materialize(with_statistics(docs), "statistics")
-    model = fit_quality(labelled(stats, labels))
+    model = fit_quality(labelled_documents(docs, labels))
     return score_documents(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
 
 
@@ -32,24 +31,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate component.
+    """Keep one document of each near-duplicate component, that of the smallest id.
 
     Rows that share an id are decided each by its own text; equal rows are one.
-    Documents emptied by the stage before have no shingles and stay. Rows of
-    null id are never chosen for a component: they stay, but for exact copies
-    of the text of another row.
+    Rows of null id come after all others: one stays only where its component
+    has no row with an id. Documents without words (emptied by the stage
+    before) link with nothing and stay; those of null id each for itself.
     """
     keyed = docs.withColumn("near_row", F.xxhash64("doc_id", "text"))
-    known, nameless = F.col("doc_id").isNotNull(), F.col("doc_id").isNull()
-    blank = F.col("text").isNull() | ~F.col("text").rlike(WORD)
-    sets = jaccard_components(keyed, id_col="near_row").select("near_row", F.col("component_id").alias("near_set")).distinct()
-    first = keyed.where(known).select("near_row", "doc_id").distinct().join(sets, "near_row").groupBy("near_set").agg(F.min(F.struct("doc_id", "near_row")).alias("near_first"))
-    held = keyed.where(known).select(F.xxhash64("text").alias("near_text")).distinct()
-    others = keyed.where(nameless & ~blank).select("near_row", F.xxhash64("text").alias("near_text")).distinct().join(held, "near_text", "left_anti")
-    keep = first.select("near_first.near_row").union(others.select("near_row")).distinct()
+    nameless = F.col("doc_id").isNull() & (F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    named = keyed.where(~nameless)
+    sets = jaccard_components(named, id_col="near_row").select("near_row", F.col("component_id").alias("near_set")).distinct()
+    ids = named.select("near_row", "doc_id").distinct()
+    keep = ids.join(sets, "near_row").groupBy("near_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "near_row")).alias("near_first")).select("near_first.near_row")
+    kept = named.join(keep, "near_row", "left_semi")
     place = F.expr("row_number() OVER (PARTITION BY near_row ORDER BY near_row)")
-    kept = keyed.join(keep, "near_row", "left_semi").withColumn("near_place", place).where("near_place = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(nameless & blank).select(*docs.columns))
+    once = kept.withColumn("near_place", place).where("near_place = 1")
+    return once.select(*docs.columns).unionByName(docs.where(nameless).select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,14 +195,29 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.join(train, "doc_id").select("stats", "label")
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_rows: int = 200_000, seed: int = 5) -> DataFrame:
+    """:func:`labelled` for a frame of whole documents: statistics of about ``sample_rows`` labelled ids alone.
+
+    The ids are drawn before any text is read, by a seeded hash, and broadcast;
+    no text is shuffled. Labels that repeat with the same value count once.
+    """
+    train = labels.where((id_remainder("doc_id", 5) != 0) & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).distinct()
+    train = materialize(train, "labels")
+    total = train.count()
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    train = F.broadcast(train.where(draw < min(1.0, sample_rows / max(total, 1))))  # about sample_rows rows
+    chosen = docs.join(train.select("doc_id").distinct(), "doc_id", "left_semi")
+    return with_statistics(chosen, text_col=text_col).join(train, "doc_id").select("stats", "label")
+
+
 def op5_quality_classifier(spark, sf_dir):
     """Scores of all documents; labels of the held-out fifth are not learnt from.
 
     Null and empty texts are scored by their (zero) sizes. Rows of null id are
-    scored and never learnt from; equal texts get equal scores.
+    scored, never learnt from, and count as held out; equal texts get equal scores.
     """
     small_batches(spark)
     stats = materialize(with_statistics(documents(spark, sf_dir)), "statistics")
     model = fit_quality(labelled(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score_statistics(stats, model)
-    return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -28,7 +28,7 @@ def test_stage(spark, k):
     if k == 1:
         assert len(rows) == len(ROWS)
     if k == 2:
-        assert sorted(i for i in ids if i is not None) == [1, 3, 4, 6, 7] and ids.count(None) == 1
+        assert sorted(i for i in ids if i is not None) == [1, 3, 4, 6, 7] and ids.count(None) == 0  # the row of null id is a near copy of document 1
     if k == 3:
         words = lambda xs: sum(len((t or "").split()) for t in xs)
         assert max(ids.count(i) for i in {1, 2, 6}) <= 4 and ids.count(6) <= 2 and ids.count(2) == 2
