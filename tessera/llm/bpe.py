@@ -42,7 +42,7 @@ class WordBpe:
     equal one-at-a-time merging for any vocabulary.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 300_000, cache_bytes: int = 64 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -73,7 +73,7 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split.replace("\\s", _SPACE)).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.cache_words, self.cache = cache_words, {}
+        self.cache_words, self.cache_bytes, self.cache, self.held = cache_words, cache_bytes, {}, 0
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def normalize(self, text: str) -> str:
@@ -153,10 +153,10 @@ class WordBpe:
         """Ids of all texts, flat, and the offsets of each text's ids.
 
         Pieces already met by this worker are looked up; the look-up is emptied
-        at ``cache_words`` pieces.
+        at ``cache_words`` pieces or ``cache_bytes`` (at most four a character).
         """
-        if len(self.cache) > self.cache_words:
-            self.cache, self.flat, self.starts, self.sizes = {}, self.flat[:0], self.starts[:0], self.sizes[:0]
+        if len(self.cache) > self.cache_words or self.held > self.cache_bytes:
+            self.held, self.cache, self.flat, self.starts, self.sizes = 0, {}, self.flat[:0], self.starts[:0], self.sizes[:0]
         if not self.cache:
             for token, k in self.special.items():
                 self.cache[f" {token}"] = len(self.cache)  # no piece begins with a space
@@ -173,6 +173,7 @@ class WordBpe:
             counts.append(len(found))
             for w in set(found).difference(cache):
                 cache[w] = len(cache)
+                self.held += 4 * len(w)
                 new.append(w)
             places.append(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)))
         if new:

@@ -70,3 +70,19 @@ def test_query_over_documents(spark, theirs):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_lookup_is_bounded_in_bytes():
+    """Long pieces without white space empty the look-up by their bytes; ids stay those of the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import WordBpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = WordBpe(path, cache_bytes=100_000), Tokenizer.from_file(path)
+    texts = [f"{'abcd' * 4000}{k} short words é{k} here" for k in range(12)] + ["short words here", ""]
+    for text in texts:
+        ids, offsets = own.encode_batch([text, text])
+        assert ids[: offsets[1]].tolist() == ids[offsets[1] :].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.held <= 100_000 + 4 * len(text)
