@@ -68,27 +68,28 @@ def remove_written() -> None:
             return
 
 
-#: A key with this share of all rows is hot; so many keys at most can be.
+#: So many of the heaviest keys may be cut into pieces, each of such a part of all rows.
 HOT = 2000
 
 
-def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, spread: str, stats=None) -> DataFrame:
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, spread: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``keys``, a written table with one row for each ``on``, whatever share of ``rows`` one key has.
 
-    ``weight`` says how many rows a key has. Keys of a 2000th of all weight or
-    more are 2000 at most, so these are broadcast: their rows are dealt by
-    ``spread`` into pieces of about that size, and each piece meets its own
-    copy of the key. ``stats`` are the sum and the largest of the weights, if
-    known. ``weight`` is dropped.
+    ``weight`` says how many rows a key has. The 2000 heaviest keys are
+    broadcast: their rows are dealt by ``spread`` into pieces of a 2000th of
+    all rows, and each piece meets its own copy of the key. Lighter keys are
+    one piece. ``total`` is the sum of the weights, if known. ``weight`` is
+    dropped.
     """
-    total, most = stats or keys.agg(F.sum(weight), F.max(weight)).first()
-    if total is None or total < HOT or most * HOT < total:
+    if total is None:
+        total = keys.agg(F.sum(weight)).first()[0]
+    if not total:
         return rows.join(keys.drop(weight), on)
     pieces = F.ceil(F.col(weight) * HOT / total).cast("int")
-    hot = keys.where(F.col(weight) * HOT >= total).select(*on, pieces.alias("_pieces"))
+    heavy = keys.orderBy(F.desc(weight)).limit(HOT).select(*on, pieces.alias("_pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_pieces")), F.lit(0)).cast("int")
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_piece", piece).drop("_pieces")
-    copied = keys.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(weight)
+    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_piece", piece).drop("_pieces")
+    copied = keys.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(weight)
     return dealt.join(copied, [*on, "_piece"]).drop("_piece")
 
 

@@ -21,7 +21,7 @@ SKETCH, PIECES = 1 << 22, 64
 #: Bits of a signature.
 BITS = 1024
 #: Rows of a tile.
-TILE = 256
+TILE = 512
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -343,7 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that sizes and signatures allow, in built-in functions."""
+    """Those of ``pairs(a, b)`` that sizes and signatures allow."""
     a = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
@@ -435,11 +435,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shares = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
         mixed = shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1")
         mixed = materialize(mixed.select("key", "m", "major", F.col("m").alias("weight")), "mixed-keys")
-        stats = mixed.agg(F.sum("m"), F.max("m")).first()
-        largest = stats[1]
+        total, largest = mixed.agg(F.sum("m"), F.max("m")).first()
         if largest is None:
             break
-        rows = join_by_key(labelled, mixed, ["key"], "weight", "sid", stats).join(sets.select("sid", "sig"), "sid")
+        rows = join_by_key(labelled, mixed, ["key"], "weight", "sid", total).join(sets.select("sid", "sig"), "sid")
         pairs = materialize(_tile_pairs(rows, percent, nearest=k < rounds, some_long=largest > TILE), "pairs")
         # Components only grow, so a row without an allowed partner now has none later.
         runs = runs.join(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid", "left_semi")
