@@ -140,7 +140,7 @@ def reach(steps: DataFrame, start: DataFrame, depth: int | None = None, cut=chec
     one join a round; nodes already seen are left out. Without ``depth`` it
     runs until the frontier is empty, with the lineage cut each round.
     """
-    steps = steps.select("source", "target").distinct()
+    steps = cut(steps.select("source", "target").distinct())
     seen = frontier = start.select("origin", "id", F.lit(0).cast("long").alias("distance")).distinct()
     k = 0
     while depth is None or k < depth:
