@@ -1,8 +1,8 @@
-"""The ten queries of the training-data operators and their oracle SQL."""
+"""The queries of the training-data operators and their oracle SQL."""
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, jaccard, langid, line_dedup, media, mixing, pii, quality, warc
+from tessera.llm import ann, bpe, filter_audit, jaccard, langid, line_dedup, media, mixing, pii, quality, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,8 +17,9 @@ QUERIES = {
         langid.op8_language_id,
         jaccard.op9_ngram_jaccard,
         warc.op10_warc_bundles,
+        filter_audit.op11_filter_audit,
     )
 }
 
 #: Operators 1 and 3 to 8 are tested against brute force, round trips or held-out accuracy instead.
-ORACLES = {"op2_line_dedup": line_dedup.SQL, "op9_ngram_jaccard": jaccard.SQL, "op10_warc_bundles": warc.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op9_ngram_jaccard": jaccard.SQL, "op10_warc_bundles": warc.SQL, "op11_filter_audit": filter_audit.SQL}
