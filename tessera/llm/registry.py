@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, filter_audit, jaccard, langid, line_dedup, media, mixing, pii, quality, warc
+from tessera.llm import ann, bpe, filter_audit, jaccard, langid, line_dedup, media, mixing, pii, quality, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         jaccard.op9_ngram_jaccard,
         warc.op10_warc_bundles,
         filter_audit.op11_filter_audit,
+        url_filter.op12_url_filters,
     )
 }
 
