@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +101,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Like :func:`small_batches`, for jobs that run inside; the session then has its own settings again."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z alone. Texts of single bytes take the fast built-in."""
     plain = F.length(column) == F.octet_length(column)

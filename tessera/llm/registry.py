@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, filter_audit, jaccard, langid, line_dedup, media, mixing, pii, quality, url_filter, warc
+from tessera.llm import ann, bpe, conversation_repair, filter_audit, jaccard, langid, line_dedup, media, mixing, pii, quality, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         warc.op10_warc_bundles,
         filter_audit.op11_filter_audit,
         url_filter.op12_url_filters,
+        conversation_repair.op13_conversation_repair,
     )
 }
 
