@@ -94,14 +94,15 @@ def fit_index(sample: np.ndarray, rows: int, k: int = 5, target: float = 0.97, s
     return index
 
 
-def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, radius: np.ndarray, epsilon: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
+def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, radius: np.ndarray, epsilon: float = 2.1, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row of ``x``) that may be among the query's k nearest, ties and near ties included.
 
     ``radius`` is the squared distance of the k-th row that the query knows. A
     query without one measures all rows in full. For others rows are measured
     block by block; after d of D dimensions a row is abandoned when its partial
     distance, scaled by D / d, exceeds the radius by more than the error that a
-    random rotation allows, (1 + epsilon / sqrt(d)) squared.
+    random rotation allows, (1 + epsilon / sqrt(d)) squared. ``work`` takes the
+    numbers of components measured.
     """
     n, dims = x.shape
     blocks = [(s, min(s + BLOCK, dims)) for s in range(0, dims, BLOCK)]
@@ -124,7 +125,11 @@ def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, radius: np.ndarray, epsi
             bound = radius[at]
             rows, columns = np.nonzero(dense * (dims / e) <= (bound * (1 + epsilon / e**0.5) ** 2 if e < dims else bound)[:, None] + SLACK * dims / e)
             partial = dense[rows, columns]
-            for s, end in blocks[1:]:
+            for s, end in [(0, e), *blocks[1:]]:
+                if work is not None:
+                    work.append((end - s) * (dense.size if not s else len(rows)))
+                if not s:
+                    continue
                 partial = partial + ((part[rows, s:end] - x[columns, s:end]) ** 2).sum(axis=1)
                 allowed = bound[rows] * (1 + epsilon / end**0.5) ** 2 if end < dims else bound[rows]
                 keep = partial * (dims / end) <= allowed + SLACK * dims / end
@@ -146,7 +151,7 @@ def _matrix(parts, kind) -> np.ndarray:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, target: float = 0.97, least: int = 2048, sample_rows: int = 32_768, seed: int = 3
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, target: float = 0.97, least: int = 64, near_lists: float = 2.0, sample_rows: int = 32_768, seed: int = 3
 ) -> DataFrame:
     """Each query's k nearest other rows by cosine: query_id, rank, vec_id, score.
 
@@ -156,10 +161,11 @@ def nearest_neighbours(
     so copies cost nothing. A length's index is fitted on about ``sample_rows``
     entries, and so is the number of lists to probe: as many as hold ``target``
     of the sample's own nearest neighbours (lists of vectors without clusters
-    must mostly be probed, clustered ones hardly). Lengths of fewer than
-    ``2 * least`` entries are one list. A query first scans its nearest lists, up to
-    ``least`` entries, in full; the distance of its k-th entry there is the
-    radius for the adaptive scan of the others. Lists are scanned in pieces of
+    must mostly be probed, clustered ones hardly). Lengths of fewer than ``least``
+    entries are one list, scanned in full. A query first scans its nearest
+    lists in full, until they hold as many entries as ``near_lists`` lists do on
+    average; the distance of its k-th entry there is the radius for the
+    adaptive scan of the others. Lists are scanned in pieces of
     about 4096 entries and 4096 queries; nothing larger meets in one task. All
     rows that a scan does not abandon are ranked by exact cosines of the
     original vectors, ties by smaller id.
@@ -167,8 +173,9 @@ def nearest_neighbours(
     Null ids and vectors that are null, empty, zero, incomplete or not finite
     take no part. Repeated rows count once; rows that share an id with other
     vectors are candidates of their own, but never for a query of that id, and
-    each asks for itself. Other columns are left out. The lengths of ``2 * least`` entries or more
-    come to the driver with their indexes.
+    each asks for itself. Ids are whole numbers; others become null. Other
+    columns are left out. The lengths of ``least`` entries or more come to the
+    driver with their indexes.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -177,7 +184,7 @@ def nearest_neighbours(
     key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(seed), "v").alias("k2")]
     first = rows.distinct().select(*key, "vec_id", "d", "v").withColumn("place", F.expr("row_number() OVER (PARTITION BY k1, k2 ORDER BY vec_id)")).where(F.col("place") <= k + 1)
     entries = materialize(first.groupBy("k1", "k2").agg(F.first("d").alias("d"), F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    counts = {r["d"]: r["n"] for r in entries.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * least).collect()}
+    counts = {r["d"]: r["n"] for r in entries.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "k1"), F.lit(1 << 30)) / float(1 << 30)
     indexes = {}
     for d, n in sorted(counts.items()):
@@ -207,6 +214,7 @@ def nearest_neighbours(
     sizes = {d: np.zeros(len(i.centroids), np.int64) for d, i in indexes.items()}
     for row in placed.where(F.col("d").isin(list(counts))).groupBy("d", "list").count().collect():  # 1024 at most for each index
         sizes[row["d"]][row["list"]] = row["count"]
+    enough = {d: max(k + 1, near_lists * n.sum() / len(n)) for d, n in sizes.items()}
 
     # An id with several vectors asks under its own name, so that its scans can leave its entries out.
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", *key).distinct()
@@ -224,9 +232,9 @@ def nearest_neighbours(
                 else:
                     order = index.nearest(_matrix(some.column("r").to_pylist(), np.float32), len(index.centroids))
                     before = np.cumsum(sizes[d][order], axis=1) - sizes[d][order]
-                    use = (np.arange(order.shape[1])[None, :] < index.wanted) | (before < least)
+                    use = (np.arange(order.shape[1])[None, :] < index.wanted) | (before < enough[d])
                     row, at = np.nonzero(use & (sizes[d][order] > 0))
-                    list_, near = order[row, at].astype(np.int32), before[row, at] < least
+                    list_, near = order[row, at].astype(np.int32), before[row, at] < enough[d]
                 chosen = some.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(list_), pa.array(near)], names=[*chosen.schema.names, "list", "near"])
 
