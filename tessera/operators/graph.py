@@ -8,6 +8,7 @@ a node that a shorter way reaches. Top lists end their order with the id.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +193,11 @@ def path_nodes(paths: DataFrame) -> DataFrame:
 
 
 def simple_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """Simple cycles up to a length, each once, turned so that its least node comes first."""
+    """Simple cycles of up to ``longest`` nodes, each once, turned so that its least node comes first.
+
+    Longer ones are not listed, as their number may be exponential; whether a
+    node is on a cycle of any length is said by ``condensation.strong_components``.
+    """
     steps = edges.where("source <> target").select("source", "target").distinct()
     # Only paths whose start is their least node are extended: every cycle is found once.
     paths = steps.where("target > source").select(F.array("source", "target").alias("path"), F.col("source").alias("start"), F.col("target").alias("at"))
@@ -409,10 +414,10 @@ def critical_nodes(scores: DataFrame, degree: DataFrame, limit: int = 10) -> Dat
 
 
 def transitive_dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """How many other nodes reach each node."""
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    got = reach(back, nodes.select(F.col("id").alias("origin"), "id")).where("origin <> id").groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("dependents"))
-    return nodes.select("id").join(got, "id", "left").select("id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+    """Exactly how many other nodes reach each node, cycles or not."""
+    from tessera.operators.condensation import reach_counts, reversed_edges
+
+    return reach_counts(reversed_edges(edges), nodes).withColumnRenamed("reachable", "dependents")
 
 
 def reachable_estimates(edges: DataFrame, nodes: DataFrame, precision: int = 12, cut=checkpointed) -> DataFrame:
@@ -478,7 +483,8 @@ DEPENDS = ("calls", "uses", "depends-on", "reads", "imports")
 def coupling(edges: DataFrame, nodes: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
     """Afferent and efferent neighbours, instability, number of cycles, and score (at most 10).
 
-    ``cycles(path)`` are those of :func:`simple_cycles`; each counts for all its nodes.
+    ``cycles`` are those of :func:`simple_cycles` or the rows of strong
+    components (see :func:`cycle_members`); each counts for all its nodes.
     """
     pairs = filter_edges(edges, DEPENDS).select("source", "target").distinct()
     ca = pairs.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("ca"))
@@ -487,7 +493,7 @@ def coupling(edges: DataFrame, nodes: DataFrame, cycles: DataFrame | None = None
     if cycles is None:
         both = both.withColumn("cycles", F.lit(0).cast("long"))
     else:
-        on = cycles.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("cycles"))
+        on = cycle_members(cycles).groupBy("id").agg(F.count("*").alias("cycles"))
         both = both.join(on, "id", "left").fillna(0, ["cycles"])
     instability = F.coalesce(F.try_divide("ce", F.col("ca") + F.col("ce")), F.lit(0.0))
     both = both.withColumn("instability", instability)
@@ -495,6 +501,13 @@ def coupling(edges: DataFrame, nodes: DataFrame, cycles: DataFrame | None = None
     return both.withColumn("score", F.least(F.lit(10.0), ((F.col("ca") + F.col("ce")) / 2 + 2 * F.col("cycles")) * F.when(extreme, 1.5).otherwise(1.0)))
 
 
+def cycle_members(cycles: DataFrame) -> DataFrame:
+    """(cycle, id) of cycles that are paths, or of the cyclic ones among strong components, which are cycles of any length."""
+    if "path" in cycles.columns:
+        return cycles.select(F.array_join("path", ">").alias("cycle"), F.explode("path").alias("id"))
+    return cycles.where("cyclic").select(F.col("component").alias("cycle"), "id")
+
+
 def risk_level(score: Column) -> Column:
     """Critical from 7, high from 5, medium from 3."""
     return F.when(score >= 7, "critical").when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")
@@ -558,7 +571,10 @@ def layout(nodes: DataFrame, kind: str, step: float = 100.0, columns: int = 10,
 
 
 def recommendations(nodes: DataFrame, degree: DataFrame, cycles: DataFrame, rule_type: str = "business-rule") -> DataFrame:
-    """(advice, severity, n, first_nodes) of each rule that holds; ``first_nodes`` are up to five affected ids."""
+    """(advice, severity, n, first_nodes) of each rule that holds; ``first_nodes`` are up to five affected ids.
+
+    ``cycles`` as :func:`cycle_members` takes them.
+    """
     d = nodes.select("id", "type", "confidence").join(degree, "id")
     rule = F.col("type") == rule_type
     rows = (
@@ -570,33 +586,45 @@ def recommendations(nodes: DataFrame, degree: DataFrame, cycles: DataFrame, rule
         first = found.orderBy("id").limit(5).select("id")
         one = found.agg(F.count("*").alias("n")).join(first.agg(F.array_sort(F.collect_list("id")).alias("first_nodes"))).where(F.col("n") > least)
         out.append(one.select(F.lit(advice).alias("advice"), F.lit(severity).alias("severity"), "n", "first_nodes"))
-    on = cycles.select(F.explode("path").alias("id")).distinct().orderBy("id").limit(5).agg(F.array_sort(F.collect_list("id")).alias("first_nodes"))
-    out.append(cycles.agg(F.count("*").alias("n")).join(on).where("n > 0").select(F.lit("circular-dependencies").alias("advice"), F.lit("high").alias("severity"), "n", "first_nodes"))
+    members = cycle_members(cycles)
+    on = members.select("id").distinct().orderBy("id").limit(5).agg(F.array_sort(F.collect_list("id")).alias("first_nodes"))
+    out.append(members.agg(F.count_distinct("cycle").alias("n")).join(on).where("n > 0").select(F.lit("circular-dependencies").alias("advice"), F.lit("high").alias("severity"), "n", "first_nodes"))
     return union_all(out)
 
 
 def analysis(edges: DataFrame, nodes: DataFrame, rule_type: str = "business-rule") -> dict[str, Callable[[], DataFrame]]:
-    """The measures of A2 to A20 by name; a measure is computed when it is called."""
+    """The measures of A2 to A20 by name; a measure is computed when it is called, and those that others need once."""
+    from tessera.operators.condensation import strong_components
+
+    communities = cache(lambda: checkpointed(label_propagation(edges, nodes)))
+    strong = cache(lambda: checkpointed(strong_components(edges, nodes)))
+    dependents = cache(lambda: checkpointed(transitive_dependents(edges, nodes)))
+    scores = cache(lambda: checkpointed(betweenness(edges, nodes)))
     return {
         "density": lambda: density(edges, nodes),
         "degrees": lambda: degrees(edges, nodes),
         "components": lambda: components(edges, nodes),
         "path_lengths": lambda: path_lengths(edges, nodes),
         "clustering": lambda: clustering(edges),
-        "communities": lambda: label_propagation(edges, nodes),
-        "betweenness": lambda: betweenness(edges, nodes),
-        "dependents": lambda: transitive_dependents(edges, nodes),
+        "communities": communities,
+        "modularity": lambda: edge_modularity(edges, communities()),
+        "cohesion": lambda: cluster_measures(edges, communities()),
+        "betweenness": scores,
+        "critical_nodes": lambda: critical_nodes(scores(), degrees(edges, nodes)),
+        "dependents": dependents,
         "bottlenecks": lambda: bottlenecks(edges, nodes),
         "high_risk": lambda: high_risk(degrees(edges, nodes), nodes, rule_type),
+        "single_points": lambda: single_points(dependents(), degrees(edges, nodes)),
         "orphans": lambda: orphans(edges, nodes),
-        "cycles": lambda: simple_cycles(edges),
-        "recommendations": lambda: recommendations(nodes, degrees(edges, nodes), simple_cycles(edges), rule_type),
+        "cycles": strong,
+        "recommendations": lambda: recommendations(nodes, degrees(edges, nodes), strong(), rule_type),
     }
 
 
 def structure(edges: DataFrame, nodes: DataFrame, rule_type: str = "business-rule") -> DataFrame:
-    """The structural measures as rows (measure, value)."""
+    """The structural measures as rows (measure, value). ``cycles`` are cyclic components."""
     long = lambda df, **names: df.select(F.explode(F.create_map(*[x for n, c in names.items() for x in (F.lit(n), F.col(c).cast("double"))])).alias("measure", "value"))
+    counted = lambda name: long(found[name]().agg(F.count("*").alias("a")), **{name: "a"})
     found = analysis(edges, nodes, rule_type)
     return union_all([
         long(found["density"](), nodes="n", edges="m", density="density"),
@@ -604,10 +632,10 @@ def structure(edges: DataFrame, nodes: DataFrame, rule_type: str = "business-rul
         long(found["components"]().agg(F.count_distinct("component").alias("a")), components="a"),
         long(found["path_lengths"](), diameter="diameter", mean_length="mean_length"),
         long(found["clustering"](), clustering="clustering"),
-        long(found["high_risk"]().agg(F.count("*").alias("a")), high_risk="a"),
-        long(found["bottlenecks"]().agg(F.count("*").alias("a")), bottlenecks="a"),
-        long(found["orphans"]().agg(F.count("*").alias("a")), orphans="a"),
-        long(found["cycles"]().agg(F.count("*").alias("a")), cycles="a"),
+        long(found["modularity"](), modularity="modularity"),
+        long(found["cohesion"]().agg(F.count("*").alias("a"), F.avg("cohesion").alias("b"), F.avg("coupling").alias("c")), communities="a", mean_cohesion="b", mean_coupling="c"),
+        *map(counted, ("high_risk", "bottlenecks", "orphans", "critical_nodes", "single_points")),
+        long(found["cycles"]().agg(F.count_distinct(F.when(F.col("cyclic"), F.col("component"))).alias("a")), cycles="a"),
     ])
 
 

@@ -12,7 +12,7 @@ from tessera.operators import telemetry as o
 from tessera.operators import traces as t
 from tessera.plans.model_queries import UNIT
 from tessera.plans.registry import query
-from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, UNDIRECTED, at, levels
+from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, LPA, MEASURES, UNDIRECTED, at, levels
 from tessera.plans.roles import edges, nodes, runs, tree_edges, with_roles
 from tessera.plans.source_queries import LEVELS_SQL, STEPS, catalog, sizes
 from tessera.session import table
@@ -52,7 +52,10 @@ def radial(spark, sf):
     return g.layout(nodes(spark, sf), "radial", levels=rings).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
-@query("A21_full_analysis", GRAPH_R + FAR + DEGREES + """, lab AS (SELECT id, id AS label FROM nodes UNION SELECT u.target, lab.label FROM lab JOIN u ON u.source = lab.id WHERE lab.label < u.target), comp AS (SELECT id, min(label) AS c FROM lab GROUP BY id),
+@query("A21_full_analysis", GRAPH_R + FAR + DEGREES + LPA.removeprefix(UNDIRECTED) + MEASURES + """, ek AS (SELECT id, count(*) AS k FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), m2 AS (SELECT count(*) * 2.0::DOUBLE AS m2 FROM edges),
+cs AS (SELECT label, count(*) AS size FROM l10 GROUP BY 1), cx AS (SELECT la AS label, (la = lb)::INT AS inner_ FROM e2 UNION ALL SELECT lb, 0 FROM e2 WHERE la <> lb), cc AS (SELECT label, sum(inner_) AS internal, sum(1 - inner_) AS external FROM cx GROUP BY 1),
+co AS (SELECT CASE WHEN size > 1 THEN coalesce(internal, 0) * 2.0::DOUBLE / (size * (size - 1)) ELSE 0 END AS cohesion, coalesce(external / (internal + external)::DOUBLE, 0) AS coupling FROM cs LEFT JOIN cc USING (label)),
+cw AS (SELECT target AS id, source AS dep FROM edges UNION SELECT cw.id, e.source FROM cw JOIN edges e ON e.target = cw.dep), dep AS (SELECT n.id, count(cw.dep) AS dependents FROM nodes n LEFT JOIN cw ON cw.id = n.id GROUP BY n.id), lab AS (SELECT id, id AS label FROM nodes UNION SELECT u.target, lab.label FROM lab JOIN u ON u.source = lab.id WHERE lab.label < u.target), comp AS (SELECT id, min(label) AS c FROM lab GROUP BY id),
 k AS (SELECT source, count(*) AS k FROM u GROUP BY 1 HAVING count(*) >= 2), t AS (SELECT a.source, count(*) AS t FROM u a JOIN u b ON a.source = b.source AND a.target < b.target JOIN u c ON c.source = a.target AND c.target = b.target GROUP BY 1),
 risk AS (SELECT id FROM nodes JOIN deg USING (id) WHERE (degree > 10)::INT * 3 + (confidence < 0.5)::INT * 3 + (type = 'supplier' AND in_degree > 5)::INT * 2 + (out_degree = 0 AND in_degree > 3)::INT * 2 > 3 LIMIT 20),
 b AS (SELECT * FROM deg WHERE in_degree > 3 AND in_degree > 1.5 * out_degree), p AS (SELECT DISTINCT source, target FROM edges), alt AS (SELECT a.source AS id, count(DISTINCT c.source) AS n FROM p a JOIN p c ON a.target = c.target AND a.source <> c.source WHERE a.source IN (SELECT id FROM b) GROUP BY 1),
@@ -60,7 +63,10 @@ neck AS (SELECT id FROM b LEFT JOIN alt USING (id) WHERE 1.0 / (coalesce(n, 0) +
 SELECT 'nodes' AS measure, (SELECT count(*) FROM nodes)::DOUBLE AS value UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'density', (SELECT count(*) FROM edges) / (SELECT count(*) * (count(*) - 1) FROM nodes)::DOUBLE
 UNION ALL SELECT 'mean_degree', avg(degree) FROM deg UNION ALL SELECT 'max_degree', max(degree) FROM deg UNION ALL SELECT 'components', count(DISTINCT c) FROM comp UNION ALL SELECT 'diameter', max(d) FROM m WHERE d > 0 UNION ALL SELECT 'mean_length', avg(d) FROM m WHERE d > 0
 UNION ALL SELECT 'clustering', avg(coalesce(t.t, 0) * 2.0::DOUBLE / (k.k * (k.k - 1))) FROM k LEFT JOIN t USING (source) UNION ALL SELECT 'high_risk', count(*) FROM risk UNION ALL SELECT 'bottlenecks', count(*) FROM neck
-UNION ALL SELECT 'orphans', count(*) FROM deg WHERE degree = 0 UNION ALL SELECT 'cycles', 0) SELECT measure, round(value, 8) AS value FROM v""")
+UNION ALL SELECT 'orphans', count(*) FROM deg WHERE degree = 0 UNION ALL SELECT 'cycles', 0
+UNION ALL SELECT 'modularity', (sum(CASE WHEN la = lb THEN 1.0::DOUBLE ELSE 0 END) - sum((a.k * b.k)::DOUBLE) / max(m2)) / max(m2) FROM e2 JOIN ek a ON e2.source = a.id JOIN ek b ON e2.target = b.id CROSS JOIN m2
+UNION ALL SELECT 'communities', count(*) FROM co UNION ALL SELECT 'mean_cohesion', avg(cohesion) FROM co UNION ALL SELECT 'mean_coupling', avg(coupling) FROM co UNION ALL SELECT 'critical_nodes', least(10, count(*)) FROM nodes
+UNION ALL SELECT 'single_points', least(10, count(*)) FROM dep JOIN deg USING (id) WHERE dependents > 0.1 * (SELECT count(*) FROM nodes) AND out_degree <= 2) SELECT measure, round(value, 8) AS value FROM v""")
 def bundle(spark, sf):
     return g.structure(edges(spark, sf), nodes(spark, sf), "supplier").withColumn("value", F.round("value", 8))
 

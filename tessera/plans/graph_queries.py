@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as g
+from tessera.operators.condensation import reach_counts, strong_components
 from tessera.plans.registry import query
 from tessera.plans.roles import edges, ident, nodes, trace, tree_edges, with_roles
 from tessera.session import table
@@ -255,12 +256,18 @@ def cohesion(spark, sf):
     return out.withColumn("cohesion", F.round("cohesion", 8)).withColumn("coupling", F.round("coupling", 8))
 
 
-@query("A12_betweenness")
+# The graph is a forest, so each pair of nodes has one way between them.
+BETWEEN = UNDIRECTED + """, f AS (SELECT id FROM nodes ORDER BY id LIMIT 50), w AS (SELECT id AS origin, id, [id] AS path FROM f UNION ALL SELECT origin, u.target, list_append(path, u.target) FROM w JOIN u ON u.source = w.id WHERE NOT list_contains(path, u.target)),
+inner_ AS (SELECT unnest(path[2:-2]) AS id FROM w), n AS (SELECT id, count(*) AS n FROM inner_ GROUP BY 1), bt AS (SELECT id, coalesce(n / (SELECT max(n) FROM n)::DOUBLE, 0) AS betweenness FROM nodes LEFT JOIN n USING (id))"""
+
+
+@query("A12_betweenness", TREE_R + BETWEEN + " SELECT * FROM bt")
 def betweenness(spark, sf):
     return g.betweenness(tree_edges(spark, sf), nodes(spark, sf))
 
 
-@query("A13_critical_nodes")
+@query("A13_critical_nodes", TREE_R + BETWEEN + DEGREES + """ SELECT id, betweenness, CASE WHEN out_degree > 2 * in_degree THEN 'high-fan-out' WHEN in_degree > 2 * out_degree THEN 'high-fan-in' WHEN in_degree > 5 AND out_degree > 5 THEN 'hub' ELSE 'bridge' END AS reason
+FROM bt JOIN deg USING (id) ORDER BY betweenness DESC, id LIMIT 10""")
 def critical(spark, sf):
     return g.critical_nodes(betweenness(spark, sf), g.degrees(tree_edges(spark, sf), nodes(spark, sf)))
 
@@ -268,9 +275,9 @@ def critical(spark, sf):
 CLOSURE = ", w AS (SELECT target AS id, source AS dep FROM edges UNION SELECT w.id, e.source FROM w JOIN edges e ON e.target = w.dep), dep AS (SELECT n.id, count(w.dep) AS dependents FROM nodes n LEFT JOIN w ON w.id = n.id GROUP BY n.id)"
 
 
-@query("A14_transitive_dependents", TREE_R + CLOSURE + " SELECT * FROM dep")
+@query("A14_transitive_dependents", GRAPH_R + CLOSURE + " SELECT * FROM dep")
 def dependents(spark, sf):
-    return g.transitive_dependents(tree_edges(spark, sf), nodes(spark, sf))
+    return g.transitive_dependents(edges(spark, sf), nodes(spark, sf))
 
 
 @query("A15_bottlenecks", GRAPH + DEGREES + """, b AS (SELECT * FROM deg WHERE in_degree > 3 AND in_degree > 1.5 * out_degree), p AS (SELECT DISTINCT source, target FROM edges),
@@ -286,9 +293,9 @@ def high_risk(spark, sf):
     return g.high_risk(degrees(spark, sf), nodes(spark, sf))
 
 
-@query("A17_single_points", TREE_R + CLOSURE + DEGREES + " SELECT id, dependents FROM dep JOIN deg USING (id) WHERE dependents > 0.1 * (SELECT count(*) FROM nodes) AND out_degree <= 2 ORDER BY dependents DESC, id LIMIT 10")
+@query("A17_single_points", GRAPH_R + CLOSURE + DEGREES + " SELECT id, dependents FROM dep JOIN deg USING (id) WHERE dependents > 0.1 * (SELECT count(*) FROM nodes) AND out_degree <= 2 ORDER BY dependents DESC, id LIMIT 10")
 def single_points(spark, sf):
-    return g.single_points(dependents(spark, sf), g.degrees(tree_edges(spark, sf), nodes(spark, sf)))
+    return g.single_points(dependents(spark, sf), degrees(spark, sf))
 
 
 @query("A18_orphans", GRAPH + " SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE type = 'calls' UNION SELECT target FROM edges WHERE type = 'calls')")
@@ -315,7 +322,7 @@ def first_ids(test):
         ("high-coupling", "high", "degree > 15", 0), ("orphans", "medium", "degree = 0", 0), ("low-confidence-rules", "high", "type = 'supplier' AND confidence < 0.5", 0), ("test-coverage", "medium", "type = 'supplier'", 10))
 ) + ") SELECT advice, severity, n, array_to_string(f, ' ') AS first_nodes FROM r WHERE n > least")
 def recommendations(spark, sf):
-    found = g.recommendations(nodes(spark, sf), degrees(spark, sf), g.simple_cycles(tree_edges(spark, sf)), "supplier")
+    found = g.recommendations(nodes(spark, sf), degrees(spark, sf), strong_components(edges(spark, sf), nodes(spark, sf)), "supplier")
     return found.withColumn("first_nodes", F.array_join("first_nodes", " "))
 
 
@@ -324,10 +331,9 @@ def direct(spark, sf):
     return g.filter_edges(edges(spark, sf), g.DEPENDS).groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("dependencies"))
 
 
-@query("D2_transitive_dependencies", TREE_R + ", w AS (SELECT source AS id, target AS dep FROM edges UNION SELECT w.id, e.target FROM w JOIN edges e ON e.source = w.dep) SELECT id, count(*) AS dependencies FROM w WHERE id <> dep GROUP BY id")
+@query("D2_transitive_dependencies", GRAPH_R + ", w AS (SELECT source AS id, target AS dep FROM edges UNION SELECT w.id, e.target FROM w JOIN edges e ON e.source = w.dep) SELECT id, count(*) AS dependencies FROM w WHERE id <> dep GROUP BY id")
 def transitive(spark, sf):
-    start = nodes(spark, sf).select(F.col("id").alias("origin"), "id")
-    return g.reach(tree_edges(spark, sf), start).where("origin <> id").groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("dependencies"))
+    return reach_counts(edges(spark, sf), nodes(spark, sf)).where("reachable > 0").select("id", F.col("reachable").alias("dependencies"))
 
 
 @query("A20_cycle_advice", CYCLES + " SELECT 'circular-dependencies' AS advice, 'high' AS severity, count(*) AS n FROM c HAVING count(*) > 0")
@@ -341,6 +347,44 @@ def reachable_estimates(spark, sf):
     return g.reachable_estimates(tree_edges(spark, sf), nodes(spark, sf))
 
 
+# Urgent orders lead from customers to suppliers, returns of much lead back: a graph with cycles of many lengths.
+TRADE = with_roles("nodes", recursive=True) + """, trade AS (SELECT DISTINCT 'c:' || o_custkey AS source, 's:' || l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'
+UNION SELECT DISTINCT 's:' || l_suppkey, 'c:' || o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 40)"""
+STRONG = """, w AS (SELECT source AS id, target AS dep FROM trade UNION SELECT w.id, e.target FROM w JOIN trade e ON e.source = w.dep), both_ AS (SELECT a.id, a.dep FROM w a JOIN w b ON a.id = b.dep AND a.dep = b.id),
+strong AS (SELECT n.id, least(n.id, coalesce(min(dep), n.id)) AS component, count(dep) > 0 AS cyclic FROM nodes n LEFT JOIN both_ USING (id) GROUP BY n.id)"""
+
+
+def trade(spark, sf):
+    """Who orders urgently from whom, and who takes back much from whom."""
+    sold = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    customer, supplier = ident("c", "o_custkey"), ident("s", "l_suppkey")
+    orders = sold.where("o_orderpriority = '1-URGENT'").select(customer.alias("source"), supplier.alias("target"))
+    return orders.union(sold.where("l_returnflag = 'R' AND l_quantity >= 40").select(supplier, customer)).distinct()
+
+
+@query("A19_strong_components", TRADE + STRONG + " SELECT id, component, count(*) OVER (PARTITION BY component) AS size, cyclic FROM strong")
+def strong(spark, sf):
+    return strong_components(trade(spark, sf), nodes(spark, sf))
+
+
+@query("D3_cyclic_groups", TRADE + STRONG + " SELECT component, count(*) AS modules, max(id) AS last_id FROM strong WHERE cyclic GROUP BY 1")
+def cyclic_groups(spark, sf):
+    return strong(spark, sf).where("cyclic").groupBy("component").agg(F.count("*").alias("modules"), F.max("id").alias("last_id"))
+
+
+@query("D4_coupling_any_cycle", TRADE + STRONG + """, a AS (SELECT n.id, (SELECT count(*) FROM trade WHERE target = n.id) AS ca, (SELECT count(*) FROM trade WHERE source = n.id) AS ce, cyclic::BIGINT AS cycles FROM nodes n JOIN strong USING (id)),
+b AS (SELECT *, coalesce(ce / nullif(ca + ce, 0)::DOUBLE, 0) AS instability FROM a)
+SELECT id, ca, ce, cycles, round(instability, 8) AS instability, least(10.0, ((ca + ce) / 2.0 + 2 * cycles) * CASE WHEN instability > 0.7 OR instability < 0.3 THEN 1.5 ELSE 1 END)::DOUBLE AS score FROM b""")
+def coupling_any_cycle(spark, sf):
+    links, ids = trade(spark, sf).withColumn("type", F.lit("calls")), nodes(spark, sf)
+    return g.coupling(links, ids, strong_components(links, ids)).withColumn("instability", F.round("instability", 8))
+
+
+@query("A14_dependents_with_cycles", TRADE + ", w AS (SELECT target AS id, source AS dep FROM trade UNION SELECT w.id, e.source FROM w JOIN trade e ON e.target = w.dep) SELECT n.id, count(w.dep) AS dependents FROM nodes n LEFT JOIN w ON w.id = n.id AND w.dep <> n.id GROUP BY n.id")
+def dependents_with_cycles(spark, sf):
+    return g.transitive_dependents(trade(spark, sf), nodes(spark, sf))
+
+
 @query("D3_cycle_lengths", CYCLES + " SELECT len(path) AS length, count(*) AS n FROM c GROUP BY 1")
 def cycle_lengths(spark, sf):
     return g.simple_cycles(transitions(spark, sf)).groupBy(F.size("path").cast("long").alias("length")).agg(F.count("*").alias("n"))
