@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, join_by_key, materialize, ship, small_batches
+from tessera.llm.common import bounded_batches, documents, join_by_key, materialize, ship, small_batches
 from tessera.llm.shingles import overlap_needed, prefix_length, shingle_sets
 from tessera.operators.components import connected_components
 
@@ -392,12 +392,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null or empty texts have empty sets and link with nothing: each is its own
     component. Repeated rows are copies. Rows of null id link like others; no
     component is named by them unless all its ids are null, and then its name
-    is null. Other columns are left out. Sets and shingles are told apart by
-    64-bit hashes.
+    is null. Ids are whole numbers; others become null. Other columns are left
+    out. Sets and shingles are told apart by 64-bit hashes. The session keeps
+    its own batch sizes.
     """
+    ship(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, width, percent, rounds)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rounds: int) -> DataFrame:
+    """The work of :func:`jaccard_components`; all its Python runs while this is called."""
     spark = docs.sparkSession
-    ship(spark)
-    small_batches(spark)
     text = F.col(f"`{text_col}`").alias("text")
     doc = F.col(f"`{id_col}`").cast("long")
     docs = docs.select(doc.alias("doc_id"), text, F.coalesce(doc, F.xxhash64(F.col(f"`{text_col}`"))).alias("row"))

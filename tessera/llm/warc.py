@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, ship, small_batches
+from tessera.llm.common import join_by_key, materialize, ship, small_batches
 
 # Fixed values of the seekable format: a skippable frame at the end of the file
 # holds an entry for each frame, the number of frames, a descriptor and a magic number.
@@ -142,20 +142,22 @@ def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     response and the rest revisit it; smaller ones are all responses. Rows that
     share the smallest page_id are all responses, as are rows of null page_id.
     ``repeated``: other rows have this page_id, too; ``exact``: one row alone has
-    the page_id referred to. Null html is an empty payload, null url an empty one. Payloads are grouped by page and
-    digest, never by digest alone, so a payload that many pages share stays in
-    many tasks.
+    the page_id referred to. Null html is an empty payload, null url an empty one; page ids are whole
+    numbers. Payloads are joined by page and digest; the pages of a payload that
+    very many share meet its first page in pieces.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     digest = F.sha2(html.cast("binary"), 256).alias("digest")
     page = F.col("page_id").cast("long").alias("page_id")
     rows = pages.select(page, F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(html, "UTF-8").alias("payload"), digest)
     keys = pages.select(page, digest, (F.octet_length(html) >= min_bytes).alias("large")).where("page_id IS NOT NULL").groupBy("page_id", "digest", "large").agg(F.count("*").alias("n"))
+    keys = materialize(keys, "page-keys")
     twice = keys.groupBy("page_id").agg(F.sum("n").alias("rows")).where("rows > 1").select("page_id", F.lit(True).alias("repeated"))
     firsts = keys.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1")
-    firsts = firsts.join(twice.withColumnRenamed("page_id", "first"), "first", "left").select("digest", "first", F.coalesce(~F.col("repeated"), F.lit(True)).alias("exact"))
-    refers = F.when(F.col("large") & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
-    marks = keys.join(firsts, "digest", "left").join(twice, "page_id", "left").select("page_id", "digest", refers, "repeated", "exact").where("refers_to IS NOT NULL OR repeated")
+    firsts = firsts.join(twice.withColumnRenamed("page_id", "first"), "first", "left").select("digest", "first", F.coalesce(~F.col("repeated"), F.lit(True)).alias("exact"), "pages")
+    met = join_by_key(keys.where("large"), materialize(firsts, "first-pages"), ["digest"], "pages", "page_id")
+    revisits = met.where(F.col("first") < F.col("page_id")).select("page_id", "digest", F.col("first").alias("refers_to"), "exact")
+    marks = keys.join(revisits, ["page_id", "digest"], "left").join(twice, "page_id", "left").select("page_id", "digest", "refers_to", "repeated", "exact").where("refers_to IS NOT NULL OR repeated")
     repeated = F.coalesce("repeated", F.col("page_id").isNull())
     return rows.join(marks, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to", repeated.alias("repeated"), F.coalesce("exact", F.lit(True)).alias("exact"))
 
