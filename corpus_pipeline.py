@@ -45,7 +45,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = named.select("near_row", "doc_id").distinct()
     keep = ids.join(sets, "near_row").groupBy("near_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "near_row")).alias("near_first")).select("near_first.near_row")
     kept = named.join(keep, "near_row", "left_semi")
-    place = F.expr("row_number() OVER (PARTITION BY near_row ORDER BY near_row)")
+    # Rows are equal if id and text are, whatever their hashes.
+    place = F.expr("row_number() OVER (PARTITION BY near_row, doc_id, text ORDER BY near_row)")
     once = kept.withColumn("near_place", place).where("near_place = 1")
     return once.select(*docs.columns).unionByName(docs.where(nameless).select(*docs.columns))
 
@@ -55,8 +56,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows of equal id, source and text share the copies that the mix gives them.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "text")]
-    keyed = docs.withColumn("mix_key", F.md5(F.concat_ws("\x01", *parts).cast("binary")))
+    # Lengths before the values and a mark for nulls: no two rows of different values read alike.
+    values = [F.col(c).cast("string") for c in ("doc_id", "source", "text")]
+    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    keyed = docs.withColumn("mix_key", F.md5(F.concat(*parts).cast("binary")))
     chosen = mix(keyed, id_col="mix_key").groupBy("mix_key").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
     placed = keyed.join(chosen, "mix_key").withColumn("mix_place", F.expr("row_number() OVER (PARTITION BY mix_key ORDER BY mix_key)"))
     own = F.expr("mix_copies DIV mix_rows + CASE WHEN mix_place <= mix_copies % mix_rows THEN 1 ELSE 0 END")
