@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import checkpointed
 from tessera.operators.quality import union_all
 
 # Texts that count as null.
@@ -192,25 +193,49 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
-def leaves(df: DataFrame, key: str, json: str, depth: int = 3) -> DataFrame:
-    """(key, path, value) of every leaf of a JSON object; nesting down to ``depth``."""
-    level = df.select(key, F.lit("$").alias("path"), F.col(json).alias("value"))
-    out = []
-    for _ in range(depth):
-        nested = level.where(F.coalesce(F.col("value").startswith("{"), F.lit(False)))
-        out.append(level.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False))))
-        level = nested.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("_leaf", "value")).select(key, F.concat_ws(".", "path", "_leaf").alias("path"), "value")
-    out.append(level)
-    return union_all(out)
+def _document(json: str) -> Column:
+    """A JSON text as VARIANT; what is no JSON is a string."""
+    return F.coalesce(F.try_parse_json(json), F.col(json).cast("variant"))
+
+
+def _children(df: DataFrame, value: str, outer: bool = False) -> DataFrame:
+    """``df`` with ``_pos``, ``_name`` and ``_child``: a row for each member or element of the VARIANT ``value``; with ``outer`` one of nulls where there is none."""
+    tvf = df.sparkSession.tvf
+    return df.lateralJoin((tvf.variant_explode_outer if outer else tvf.variant_explode)(F.col(value).outer()).toDF("_pos", "_name", "_child"))
+
+
+def _step(path: Column) -> Column:
+    """The path of a child: members by name, in brackets and quotes unless they are plain, elements by place."""
+    plain = F.concat(F.when(path != "", F.concat(path, F.lit("."))).otherwise(path), F.col("_name"))
+    quoted = F.concat(path, F.lit("['"), F.replace("_name", F.lit("'"), F.lit("\\'")), F.lit("']"))
+    return F.when(F.col("_name").isNull(), F.concat(path, F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(F.col("_name").rlike("^[A-Za-z0-9_]+$"), plain).otherwise(quoted)
 
 
-def deep_compare(legacy: DataFrame, modern: DataFrame, key: str, json: str, tolerance: float = 0.001, ignore: Sequence[str] = (), fold: bool = True, depth: int = 3) -> DataFrame:
+def leaves(df: DataFrame, key: str, json: str, cut=checkpointed) -> DataFrame:
+    """(key, path, value) of every leaf of a JSON document, to any depth and into arrays.
+
+    Documents are parsed once to VARIANT and exploded a level a round until
+    nothing nested is left. Empty objects and arrays are leaves; JSON nulls have
+    null values; a text that is no JSON is a leaf of its own.
+    """
+    level, out = df.select(key, F.lit("$").alias("path"), _document(json).alias("v")), []
+    while True:
+        # Rows without children are leaves.
+        rows = cut(_children(level, "v", outer=True))
+        value = F.when(F.is_variant_null("v"), None).otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
+        out.append(rows.where("_pos IS NULL").select(key, "path", F.when(F.col("v").isNotNull(), value).alias("value")))
+        level = rows.where("_pos IS NOT NULL").select(key, _step(F.col("path")).alias("path"), F.col("_child").alias("v"))
+        if level.isEmpty():
+            return union_all(out)
+
+
+def deep_compare(legacy: DataFrame, modern: DataFrame, key: str, json: str, tolerance: float = 0.001, ignore: Sequence[str] = (), fold: bool = True) -> DataFrame:
     """(key, path, status) of every leaf of either side: equal, different, missing or added.
 
     Numbers are equal within ``tolerance``, texts after trimming and, with
     ``fold``, in any case. Paths in ``ignore`` are left out.
     """
-    both = [leaves(df, key, json, depth).where(~F.col("path").isin(*ignore)).withColumnRenamed("value", name).withColumn(f"in_{name}", F.lit(True)) for df, name in ((legacy, "a"), (modern, "b"))]
+    both = [leaves(df, key, json).where(~F.col("path").isin(*ignore)).withColumnRenamed("value", name).withColumn(f"in_{name}", F.lit(True)) for df, name in ((legacy, "a"), (modern, "b"))]
     a, b = F.col("a"), F.col("b")
     x, y = a.try_cast("double"), b.try_cast("double")
     text = (lambda c: F.lower(F.trim(c))) if fold else F.trim
@@ -219,6 +244,61 @@ def deep_compare(legacy: DataFrame, modern: DataFrame, key: str, json: str, tole
     return both[0].join(both[1], [key, "path"], "full_outer").select(key, "path", status.alias("status"))
 
 
+def variant_kind(v: Column) -> Column:
+    """null, object, array, number, string or boolean of a VARIANT."""
+    said = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | F.is_variant_null(v), "null").when(said.startswith("OBJECT"), "object").when(said.startswith("ARRAY"), "array")
+        .when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").otherwise("number")
+    )
+
+
+def differences(legacy: DataFrame, modern: DataFrame, key: str, json: str, tolerance: float = 0.001, strings: str = "exact", arrays: str = "ordered", ignore: Sequence[str] = (), cut=checkpointed) -> DataFrame:
+    """(key, path, type, severity) of what differs between two documents of a key, from the top down.
+
+    Types are ``value-mismatch``, ``type-mismatch`` (kinds differ), ``missing``
+    and ``extra`` (null or absent on one side). A difference is said once,
+    where it begins: nothing below a missing member is listed. All are critical
+    but members that only the modern side has, which are warnings. Numbers may
+    differ by ``tolerance``; ``strings`` are compared exact, after ``trim`` or
+    with ``fold`` in any case; ``arrays`` by place (``ordered``) or as multisets
+    (``unordered``, one difference for the whole array). The top is ``root``;
+    paths in ``ignore`` are left out with all below.
+
+    Both sides walk down together, a level a round, to any depth. Parts that
+    are equal as a whole are left behind at once, so the work follows what
+    differs.
+    """
+    sides = [df.select(key, _document(json).alias(name)) for df, name in ((legacy, "a"), (modern, "b"))]
+    level = sides[0].join(sides[1], key, "full_outer").select(key, F.lit("").alias("path"), "a", "b", F.lit(True).alias("in_a"), F.lit(True).alias("in_b"))
+    text = {"exact": lambda c: c, "trim": F.trim, "fold": F.lower}[strings]
+    a, b, ka, kb = F.col("a"), F.col("b"), F.col("ka"), F.col("kb")
+    get = lambda v, kind: F.try_variant_get(v, "$", kind)
+    members = lambda v: F.array_sort(F.transform(get(v, "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null"))))
+    out = []
+    while True:
+        rows = level.where(~F.coalesce(F.to_json("a") == F.to_json("b"), F.lit(False)) & ~F.col("path").isin(*ignore))
+        rows = cut(rows.withColumns({"ka": variant_kind(a), "kb": variant_kind(b)}))
+        value = (
+            F.when(ka == "number", F.abs(get(a, "double") - get(b, "double")) > tolerance).when(ka == "string", text(get(a, "string")) != text(get(b, "string")))
+            .when(ka == "boolean", F.lit(True)).when(ka == "array", (members(a) != members(b)) if arrays == "unordered" else F.lit(False)).otherwise(F.lit(False))
+        )
+        kind = (
+            F.when(~F.col("in_a"), "extra").when(~F.col("in_b"), "missing").when((ka == "null") & (kb == "null"), None).when(ka == "null", "extra").when(kb == "null", "missing")
+            .when(ka != kb, "type-mismatch").when(value, "value-mismatch")
+        )
+        path = F.when(F.col("path") == "", "root").otherwise(F.col("path"))
+        out.append(rows.select(key, path.alias("path"), kind.alias("type"), F.when(~F.col("in_a"), "warning").otherwise("critical").alias("severity")).where("type IS NOT NULL"))
+        nested = rows.where((ka == kb) & ka.isin("object", *(["array"] if arrays == "ordered" else []))).where("in_a AND in_b")
+        if nested.isEmpty():
+            return union_all(out)
+        left = _children(nested.select(key, "path", "a", "ka"), "a").select(key, _step(F.col("path")).alias("path"), F.col("_child").alias("a"), F.col("ka").alias("kind_a"))
+        right = _children(nested.select(key, "path", "b", "kb"), "b").select(key, _step(F.col("path")).alias("path"), F.col("_child").alias("b"), F.col("kb").alias("kind_b"))
+        # An absent member of an object is missing; an absent element of an array counts as null.
+        here = lambda own, other: F.col(f"kind_{own}").isNotNull() | (F.col(f"kind_{other}") == "array")
+        level = left.join(right, [key, "path"], "full_outer").select(key, "path", "a", "b", here("a", "b").alias("in_a"), here("b", "a").alias("in_b"))
+
+
 def last_divergent(results: DataFrame, order: str, count: int = 10) -> DataFrame:
     """The newest results that are not equivalent."""
     return results.where("NOT equivalent").orderBy(F.desc(order)).limit(count)

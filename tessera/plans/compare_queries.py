@@ -218,6 +218,45 @@ def deep_compare(spark, sf):
     return x.deep_compare(*versions(spark, sf), "event_id", "doc").groupBy("path", "status").agg(F.count("*").alias("n"))
 
 
+def nested_documents(spark, sf):
+    """Events as documents of five levels with arrays, and a version with changes at every level."""
+    k, text = F.col("event_id"), lambda c: c.cast("string")
+    hour, minute = F.hour("ts"), F.minute("ts")
+
+    def doc(user, day, hour, last, tags):
+        parts = ['{"user":', user, ',"trace":{"at":{"day":', day, ',"clock":{"hour":', hour, ',"parts":[', minute, ",", last, ']}}},"tags":["', F.col("event_type"), '"', tags, "]}"]
+        return F.concat(*[F.lit(p) if isinstance(p, str) else text(p) for p in parts])
+
+    day = F.dayofmonth("ts")
+    old = doc(F.col("user_id"), day, hour, F.concat(F.lit('{"ms":'), text(k), F.lit("}")), F.lit(",1"))
+    new = doc(
+        F.when(k % 7 == 0, F.lit("null")).otherwise(text(F.col("user_id"))), F.when(k % 6 == 0, F.concat(F.lit('"'), text(day), F.lit('"'))).otherwise(text(day)), F.when(k % 3 == 0, hour + 1).otherwise(hour),
+        F.concat(F.when(k % 4 == 0, F.lit('{"us":')).otherwise(F.lit('{"ms":')), text(k), F.lit("}")), F.when(k % 5 == 0, F.lit(',1,{"x":[]}')).otherwise(F.lit(",1")),
+    )
+    return tuple(table(spark, sf, "events").select("event_id", d.alias("doc")) for d in (old, new))
+
+
+DIFFERENCES = "WITH d AS (" + " UNION ALL ".join(f"SELECT event_id, '{path}' AS path, '{kind}' AS type, '{severity}' AS severity FROM events WHERE event_id % {m} = 0" for path, kind, severity, m in (
+    ("user", "missing", "critical", 7), ("trace.at.day", "type-mismatch", "critical", 6), ("trace.at.clock.hour", "value-mismatch", "critical", 3), ("trace.at.clock.parts[1].ms", "missing", "critical", 4),
+    ("trace.at.clock.parts[1].us", "extra", "warning", 4), ("tags[2]", "extra", "critical", 5))) + ")"
+
+
+@query("X12_differences", DIFFERENCES + " SELECT * FROM d")
+def differences(spark, sf):
+    return x.differences(*nested_documents(spark, sf), "event_id", "doc")
+
+
+@query("X16_unordered_differences", DIFFERENCES + " SELECT path, type, severity, count(*) AS n FROM (SELECT * FROM d WHERE path NOT LIKE 'tags%' AND path NOT LIKE '%parts%' AND path <> 'user' UNION ALL SELECT event_id, 'tags', 'value-mismatch', 'critical' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'trace.at.clock.parts', 'value-mismatch', 'critical' FROM events WHERE event_id % 4 = 0) GROUP BY ALL")
+def unordered_differences(spark, sf):
+    found = x.differences(*nested_documents(spark, sf), "event_id", "doc", arrays="unordered", ignore=("user",))
+    return found.groupBy("path", "type", "severity").agg(F.count("*").alias("n"))
+
+
+@query("X25_nested_leaves", "SELECT event_id, unnest([event_id::VARCHAR, event_type, '1']) AS value, unnest(['$.trace.at.clock.parts[1].ms', '$.tags[0]', '$.tags[1]']) AS path FROM events")
+def nested_leaves(spark, sf):
+    return x.leaves(nested_documents(spark, sf)[0], "event_id", "doc").where("path LIKE '%ms' OR path LIKE '%tags%'")
+
+
 @query("X13_equivalence_report", SUMMARY + f", t AS (SELECT *, {REPORT} FROM s) SELECT round(r, 8) AS rate, CASE WHEN r >= 0.99 THEN 'equivalent' WHEN r >= 0.95 THEN 'mostly-equivalent' ELSE 'different' END AS status FROM t")
 def equivalence(spark, sf):
     out = summary(spark, sf).select(*x.report(F.col("total"), F.col("passed"), F.col("critical")))
