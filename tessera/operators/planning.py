@@ -191,15 +191,78 @@ def effort(modules: DataFrame, per_line: float = 0.5) -> DataFrame:
     return modules.join(days, "id").select("id", F.ceil(total).alias("person_days"), F.ceil(total / 5).alias("person_weeks"), F.greatest(F.lit(0.3), F.least(F.lit(0.95), sure)).alias("confidence"))
 
 
-def estimate_costs(projects: DataFrame, phases: Sequence[tuple[str, float]] = (("analysis", 0.15), ("design", 0.15), ("build", 0.4), ("test", 0.2), ("deploy", 0.1)), low: float = 0.2, high: float = 0.3) -> DataFrame:
-    """``projects(id, loc, rules, data, integration)`` by weighted complexity, split into phases with a range.
+# D19. Fixed values of the survey: person-days for 1000 lines by language pair, multipliers of the team, steps of complexity and integrations, shares of phases.
+PAIR_DAYS = {
+    "cobol-java": 15, "cobol-python": 12, "cobol-typescript": 14, "fortran-python": 10, "fortran-java": 12,
+    "vb6-typescript": 8, "vb6-csharp": 6, "java-legacy-java": 5, "java-legacy-typescript": 8,
+}
+OTHER_PAIR_DAYS = 12
+TEAM_FACTOR = {"senior": 0.8, "mid": 1.0, "junior": 1.3, "mixed": 1.1}
+COMPLEXITY_STEPS, MOST_COMPLEX = ((30, 1.0), (50, 1.2), (70, 1.5)), 1.8
+INTEGRATION_STEPS, MOST_INTEGRATED = ((5, 1.0), (10, 1.2), (20, 1.4)), 1.6
+PHASE_SHARES = {"analysis": 0.15, "design": 0.15, "development": 0.40, "testing": 0.20, "deployment": 0.10}
+
+
+def half_up(value: Column) -> Column:
+    """Rounded to whole numbers, halves upward."""
+    return F.floor(value + 0.5)
+
+
+def _stepped(value: Column, steps: Sequence[tuple[float, float]], otherwise: float) -> Column:
+    out = F.lit(otherwise)
+    for bound, factor in reversed(steps):
+        out = F.when(value < bound, factor).otherwise(out)
+    return out
+
 
-    Weights of lines, rules, data and integrations are 0.3, 0.2, 0.25 and 0.25.
+def project_complexity(projects: DataFrame) -> DataFrame:
+    """``projects`` with four complexities, each at most 100, and ``overall``, their weighted mean.
+
+    Reads ``procedure_complexity`` (mean, null without procedures),
+    ``structures``, ``nested_structures``, ``tables``, ``dependencies``,
+    ``files``, ``apis``, ``rules`` and ``unsure_rules`` (confidence under 0.7).
     """
-    # Fixed values of the survey.
-    total = 0.3 * F.col("loc") + 0.2 * F.col("rules") + 0.25 * F.col("data") + 0.25 * F.col("integration")
-    rows = F.array(*[F.struct(F.lit(name).alias("phase"), (total * share).alias("cost")) for name, share in phases])
-    return projects.select("id", F.explode(rows).alias("p")).select("id", "p.phase", "p.cost", (F.col("p.cost") * (1 - low)).alias("low"), (F.col("p.cost") * (1 + high)).alias("high"))
+    parts = {
+        "code_complexity": F.coalesce(F.col("procedure_complexity"), F.lit(0.0)) * 2,
+        "data_complexity": F.col("structures") * 2 + F.col("tables") * 5 + F.col("nested_structures") * 3,
+        "integration_complexity": F.col("dependencies") * 3 + F.col("files") * 2 + F.col("apis") * 5,
+        "rule_complexity": F.col("rules") * 2 + F.col("unsure_rules") * 5,
+    }
+    rated = projects.withColumns({name: F.least(F.lit(100), half_up(value)).cast("long") for name, value in parts.items()})
+    weights = (0.3, 0.2, 0.25, 0.25)
+    total = F.lit(0.0)
+    for name, weight in zip(parts, weights, strict=True):
+        total = total + F.col(name) * weight
+    return rated.withColumn("overall", half_up(total))
+
+
+def project_effort(rated: DataFrame) -> DataFrame:
+    """``rated`` projects with whole days by phase, their total and its range: a fifth either way, three tenths from a complexity of 50 on.
+
+    Reads ``lines``, ``pair`` (source and target language) and ``team`` too.
+    """
+    links = F.col("dependencies") + F.col("apis") + F.col("files")
+    days = F.col("lines") / 1000 * _lookup(F.col("pair"), PAIR_DAYS, OTHER_PAIR_DAYS)
+    days = days * _stepped(F.col("overall"), COMPLEXITY_STEPS, MOST_COMPLEX) * _stepped(links, INTEGRATION_STEPS, MOST_INTEGRATED) * _lookup(F.col("team"), TEAM_FACTOR, 1.0)
+    phased = rated.withColumns({f"{name}_days": half_up(days * share) for name, share in PHASE_SHARES.items()})
+    total = phased.withColumn("total_days", sum([F.col(f"{name}_days") for name in PHASE_SHARES], F.lit(0)))
+    spread = F.when(F.col("overall") < 50, 0.2).otherwise(0.3)
+    return total.withColumns({"least_days": half_up(F.col("total_days") * (1 - spread)), "most_days": half_up(F.col("total_days") * (1 + spread))})
+
+
+def project_costs(planned: DataFrame, rate: float = 800.0, contingency: float = 20.0, infrastructure: bool = True, licensing: bool = True) -> DataFrame:
+    """``planned`` projects with the cost of labour, a tenth for infrastructure, a twentieth for licences, a percentage on top, and the weeks of a team.
+
+    ``team_size`` people share the work with diminishing returns; null means three.
+    """
+    labor = F.col("total_days") * rate
+    infra, licences = labor * (0.1 if infrastructure else 0.0), labor * (0.05 if licensing else 0.0)
+    subtotal = labor + infra + licences
+    extra = subtotal * (contingency / 100)
+    people = F.coalesce(F.col("team_size"), F.lit(3))
+    costs = {"labor": labor, "infrastructure": infra, "licensing": licences, "contingency": extra, "total_cost": subtotal + extra}
+    weeks = F.ceil(F.col("total_days") / (people * F.least(F.lit(1.0), 0.6 + people * 0.1)) / 5)
+    return planned.withColumns({name: half_up(value) for name, value in costs.items()} | {"weeks": weeks})
 
 
 # D18. Fixed values of the survey: points of a language, multipliers of a complexity level.

@@ -108,14 +108,47 @@ def effort(spark, sf):
     return p.effort(modules(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("D19_phase_costs", """WITH t AS (SELECT p_partkey AS id, 0.3::DOUBLE * p_size + 0.2::DOUBLE * length(p_name) + 0.25::DOUBLE * (p_partkey % 10) + 0.25::DOUBLE * (p_partkey % 7) AS x FROM part)
-SELECT id, phase, round(x * share, 6) AS cost, round(x * share * 0.8::DOUBLE, 6) AS low, round(x * share * 1.3::DOUBLE, 6) AS high FROM t, (VALUES ('analysis', 0.15::DOUBLE), ('design', 0.15), ('build', 0.4), ('test', 0.2), ('deploy', 0.1)) s(phase, share)""")
+# What a supplier delivered stands for a project: items for lines, parts for structures, orders for procedures, discounts for rules.
+PROJECTS = """pj AS (SELECT l_suppkey AS id, sum(l_quantity)::DOUBLE AS lines, avg(l_linenumber * 12)::DOUBLE AS procedure_complexity, count(DISTINCT l_partkey) % 31 AS structures, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') % 7 AS nested_structures,
+  count(DISTINCT l_tax) % 5 AS tables, count(*) % 11 AS dependencies, count(*) FILTER (l_returnflag = 'R') % 6 AS files, count(*) FILTER (l_linestatus = 'F') % 5 AS apis, count(*) FILTER (l_discount > 0.04) % 23 AS rules, count(*) FILTER (l_discount > 0.08) % 9 AS unsure_rules,
+  ['cobol-java', 'vb6-csharp', 'fortran-python', 'rpg-java'][l_suppkey % 4 + 1] AS pair, ['senior', 'mid', 'junior', 'mixed', 'other'][l_suppkey % 5 + 1] AS team, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 9 + 1 END AS team_size FROM lineitem GROUP BY l_suppkey),
+c4 AS (SELECT *, least(100, floor(procedure_complexity * 2 + 0.5))::BIGINT AS code_complexity, least(100, structures * 2 + tables * 5 + nested_structures * 3)::BIGINT AS data_complexity, least(100, dependencies * 3 + files * 2 + apis * 5)::BIGINT AS integration_complexity,
+  least(100, rules * 2 + unsure_rules * 5)::BIGINT AS rule_complexity FROM pj),
+ov AS (SELECT *, floor(0.3::DOUBLE * code_complexity + 0.2::DOUBLE * data_complexity + 0.25::DOUBLE * integration_complexity + 0.25::DOUBLE * rule_complexity + 0.5::DOUBLE)::BIGINT AS overall FROM c4),
+dy AS (SELECT *, lines / 1000 * CASE pair WHEN 'cobol-java' THEN 15 WHEN 'vb6-csharp' THEN 6 WHEN 'fortran-python' THEN 10 ELSE 12 END::DOUBLE * CASE WHEN overall < 30 THEN 1.0::DOUBLE WHEN overall < 50 THEN 1.2::DOUBLE WHEN overall < 70 THEN 1.5::DOUBLE ELSE 1.8::DOUBLE END
+  * CASE WHEN dependencies + apis + files < 5 THEN 1.0::DOUBLE WHEN dependencies + apis + files < 10 THEN 1.2::DOUBLE WHEN dependencies + apis + files < 20 THEN 1.4::DOUBLE ELSE 1.6::DOUBLE END * CASE team WHEN 'senior' THEN 0.8::DOUBLE WHEN 'junior' THEN 1.3::DOUBLE WHEN 'mixed' THEN 1.1::DOUBLE ELSE 1 END AS days FROM ov),
+ef AS (SELECT *, floor(days * 0.15::DOUBLE + 0.5)::BIGINT AS analysis_days, floor(days * 0.15::DOUBLE + 0.5)::BIGINT AS design_days, floor(days * 0.4::DOUBLE + 0.5)::BIGINT AS development_days, floor(days * 0.2::DOUBLE + 0.5)::BIGINT AS testing_days, floor(days * 0.1::DOUBLE + 0.5)::BIGINT AS deployment_days FROM dy),
+et AS (SELECT *, analysis_days + design_days + development_days + testing_days + deployment_days AS total_days FROM ef)"""
+
+
+def projects(spark, sf):
+    if_ = lambda c: F.count_if(F.expr(c))
+    k = F.col("l_suppkey")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    grouped = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
+        F.sum("l_quantity").alias("lines"), F.avg(F.col("l_linenumber") * 12).alias("procedure_complexity"), (F.count_distinct("l_partkey") % 31).alias("structures"),
+        (F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))) % 7).alias("nested_structures"), (F.count_distinct("l_tax") % 5).alias("tables"), (F.count("*") % 11).alias("dependencies"),
+        (if_("l_returnflag = 'R'") % 6).alias("files"), (if_("l_linestatus = 'F'") % 5).alias("apis"), (if_("l_discount > 0.04") % 23).alias("rules"), (if_("l_discount > 0.08") % 9).alias("unsure_rules"),
+    )
+    return grouped.withColumns({"pair": pick(("cobol-java", "vb6-csharp", "fortran-python", "rpg-java")), "team": pick(("senior", "mid", "junior", "mixed", "other")), "team_size": F.when(k % 3 > 0, k % 9 + 1)}).withColumnRenamed("l_suppkey", "id")
+
+
+COMPLEXITIES = ("overall", "code_complexity", "data_complexity", "integration_complexity", "rule_complexity")
+
+
+@query("D19_complexity", f"WITH {PROJECTS} SELECT id, {', '.join(COMPLEXITIES)} FROM ov")
+def project_complexity(spark, sf):
+    return p.project_complexity(projects(spark, sf)).select("id", *COMPLEXITIES)
+
+
+@query("D19_phase_costs", f"""WITH {PROJECTS} SELECT id, analysis_days, design_days, development_days, testing_days, deployment_days, total_days,
+floor(total_days * CASE WHEN overall < 50 THEN 1 - 0.2::DOUBLE ELSE 1 - 0.3::DOUBLE END + 0.5)::BIGINT AS least_days, floor(total_days * CASE WHEN overall < 50 THEN 1 + 0.2::DOUBLE ELSE 1 + 0.3::DOUBLE END + 0.5)::BIGINT AS most_days,
+total_days * 800 AS labor, floor(total_days * 800 * 0.1::DOUBLE + 0.5)::BIGINT AS infrastructure, floor(total_days * 800 * 0.05::DOUBLE + 0.5)::BIGINT AS licensing, floor(total_days * 800 * 1.15::DOUBLE * 0.2::DOUBLE + 0.5)::BIGINT AS contingency, floor(total_days * 800 * 1.15::DOUBLE * 1.2::DOUBLE + 0.5)::BIGINT AS total_cost,
+ceil(total_days / (coalesce(team_size, 3) * least(1.0::DOUBLE, 0.6::DOUBLE + coalesce(team_size, 3) * 0.1::DOUBLE)) / 5)::BIGINT AS weeks FROM et""")
 def phase_costs(spark, sf):
-    key = F.col("p_partkey")
-    projects = table(spark, sf, "part").select(key.alias("id"), F.col("p_size").alias("loc"), F.length("p_name").alias("rules"), (key % 10).alias("data"), (key % 7).alias("integration"))
-    out = p.estimate_costs(projects)
-    return out.select("id", "phase", *[F.round(c, 6).alias(c) for c in ("cost", "low", "high")])
-
+    out = p.project_costs(p.project_effort(p.project_complexity(projects(spark, sf))))
+    phases = [f"{name}_days" for name in p.PHASE_SHARES]
+    return out.select("id", *phases, "total_days", "least_days", "most_days", "labor", "infrastructure", "licensing", "contingency", "total_cost", "weeks")
 
 
 CODE = {"comment": "^#", "procedure": "[.]", "data": "the", "call": "des", "branch": "and|und", "opens": r"\(", "closes": r"\)"}

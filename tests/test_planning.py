@@ -159,3 +159,22 @@ def test_a_cycle_is_no_order(spark):
 
     with pytest.raises(ValueError, match="a, b"):
         planning.pipeline_order(graph.longest_levels(edges_of(spark, [("a", "b"), ("b", "a"), ("c", "d")]), nodes_of(spark, "abcd")))
+
+
+def test_project_costs(spark):
+    """A small and a large project by hand."""
+    rows = [
+        # overall: code 40 (12), data 10*2+2*5+1*3=33 (6.6), integration 2*3+1*2+0=8 (2), rules 4*2+1*5=13 (3.25) -> 23.85 -> 24
+        (1, 10_000.0, 20.0, 10, 1, 2, 2, 1, 0, 4, 1, "cobol-java", "senior", 2),
+        # code 100 (30), data 100 (20), integration 100 (25), rules 100 (25) -> 100
+        (2, 2_000.0, 75.0, 60, 5, 9, 20, 10, 8, 80, 10, "rpg-java", None, None),
+        (3, 0.0, None, 0, 0, 0, 0, 0, 0, 0, 0, None, "junior", 1),
+    ]
+    names = "id int, lines double, procedure_complexity double, structures int, nested_structures int, tables int, dependencies int, files int, apis int, rules int, unsure_rules int, pair string, team string, team_size int"
+    got = {r["id"]: r for r in planning.project_costs(planning.project_effort(planning.project_complexity(spark.createDataFrame(rows, names)))).collect()}
+    # 10 * 15 * 1.0 * 1.0 * 0.8 = 120 days: 18, 18, 48, 24, 12
+    assert [got[1][c] for c in ("overall", "analysis_days", "design_days", "development_days", "testing_days", "deployment_days", "total_days", "least_days", "most_days")] == [24, 18, 18, 48, 24, 12, 120, 96, 144]
+    assert [got[1][c] for c in ("labor", "infrastructure", "licensing", "contingency", "total_cost", "weeks")] == [96_000, 9_600, 4_800, 22_080, 132_480, 15]
+    # 2 * 12 * 1.8 * 1.6 = 69.12 days: 10, 10, 28, 14, 7 = 69, seven tenths 48.3, 1.3 times 89.7
+    assert [got[2][c] for c in ("overall", "total_days", "least_days", "most_days", "weeks")] == [100, 69, 48, 90, 6]
+    assert [got[3][c] for c in ("overall", "total_days", "total_cost", "weeks")] == [0, 0, 0, 0]
