@@ -95,13 +95,13 @@ def etl_run(spark, sf):
 @query("E17_plan", LEVELS_SQL + """, n AS (SELECT count(*) AS columns, count(DISTINCT table_name) AS tables FROM cat), r AS (SELECT count(*) AS n FROM rel)
 SELECT 'relations' AS part, n AS rows FROM r UNION ALL SELECT 'tables', tables FROM n UNION ALL SELECT 'estimate', 1 UNION ALL SELECT 'target', columns + 1 FROM n UNION ALL SELECT 'statements', tables + 2 * r.n FROM n, r UNION ALL SELECT 'phases', tables FROM n UNION ALL SELECT 'checks', tables + tables - 1 + r.n FROM n, r""")
 def plan(spark, sf):
-    parts = schema.migration_plan(catalog(spark), sizes(spark, sf), "postgresql")
+    parts = schema.migration_plan(catalog(spark, sf), sizes(spark, sf), "postgresql")
     return q.union_all([df.agg(F.count("*").alias("rows")).select(F.lit(k).alias("part"), "rows") for k, df in parts.items()])
 
 
 @query("E17_phases", LEVELS_SQL + " SELECT id AS table_name, level + 1 AS phase FROM lev")
 def phases(spark, sf):
-    return schema.migration_plan(catalog(spark), sizes(spark, sf), "postgresql")["phases"]
+    return schema.migration_plan(catalog(spark, sf), sizes(spark, sf), "postgresql")["phases"]
 
 
 @query("M24_jcl_steps", "SELECT o_custkey AS file, o_orderkey * 2 + 1 AS line_no, 'J' || o_orderkey AS job, 'STEP1' AS step, 'PGM' || o_orderstatus AS program FROM orders")

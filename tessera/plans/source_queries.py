@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
@@ -25,33 +27,41 @@ def numbered(spark, sf):
 
 # --- schemas (E) ---
 
-CATALOG = [(t, c, k, i) for t, cols in {
-    "customer": ["cust_id:bigint", "c_name:string", "nation_id:int", "c_acctbal:double"], "nation": ["nation_id:int", "n_name:string", "region_id:int"], "region": ["region_id:int", "r_name:string"],
-    "supplier": ["supp_id:bigint", "s_name:string", "nation_id:int", "photo:blob"], "orders": ["order_id:bigint", "cust_id:bigint", "emp_id:bigint", "o_totalprice:decimal(12,2)", "o_orderdate:timestamp"], "part": ["part_code:string", "p_name:varchar(55)"],
-    "history": ["order_code:string", "part_code:string", "fk_region:int", "note:clob"], "employee": ["id:int", "Full Name:char(30)"],
+#: Tables whose own Parquet schemas are the catalogue, and how their types are called in it.
+GIVEN = ("customer", "nation", "region", "supplier", "orders", "part", "lineitem")
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
+# Definitions of tables that were never loaded: keys of other kinds, large objects, sized types, no key.
+ARCHIVED = [(t, c, k, i) for t, cols in {
+    "history": ["order_code:string", "part_code:bigint", "fk_region:int", "note:clob"], "employee": ["id:int", "Full Name:char(30)"],
+    "archive": ["archive_id:bigint", "emp_id:bigint", "photo:blob", "amount:decimal(12,2)", "label:varchar(55)"],
 }.items() for i, (c, k) in enumerate(x.split(":") for x in cols)]
-CATALOG_SQL = "cat(table_name, column_name, data_type, ordinal) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in CATALOG) + ")"
-# What the rules of names find: nation and region by plural, cust and emp by abbreviation, fk_region as it is; part_code names parts, and order_code no table with that column.
+CATALOG_SQL = (
+    "cat(table_name, column_name, data_type, ordinal) AS (SELECT table_name, regexp_replace(regexp_replace(column_name, '^[a-z]+_', ''), 'key$', '_id'), CASE data_type "
+    + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in KINDS.items()) + " END, ordinal_position - 1 FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in GIVEN)
+    + ") UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in ARCHIVED) + ") v)"
+)
+# What the rules of names find: nation, region and part by plural, cust and emp by abbreviation, fk_region as it is; part_code names parts, and order_code is no number.
 RELATIONS = [("customer", "nation_id", "nation", "nation_id", 0.7), ("nation", "region_id", "region", "region_id", 0.7), ("supplier", "nation_id", "nation", "nation_id", 0.7), ("orders", "cust_id", "customer", "cust_id", 0.5),
-             ("orders", "emp_id", "employee", "id", 0.5), ("history", "part_code", "part", "part_code", 0.6), ("history", "fk_region", "region", "region_id", 0.8)]
+             ("lineitem", "part_id", "part", "part_id", 0.7), ("archive", "emp_id", "employee", "id", 0.5), ("history", "part_code", "part", "part_id", 0.6), ("history", "fk_region", "region", "region_id", 0.8)]
 RELATIONS_SQL = "rel(table_name, column_name, target, target_column, confidence) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e}::DOUBLE)" for a, b, c, d, e in RELATIONS) + ")"
 
 
-def catalog(spark):
-    df = spark.createDataFrame(CATALOG, "table_name string, column_name string, data_type string, ordinal int")
+def catalog(spark, sf):
+    """The given tables' own columns, with the prefix of their table left out and keys named as ids, and the archived definitions."""
+    rows = list(ARCHIVED)
+    for name in GIVEN:
+        for place, field in enumerate(table(spark, sf, name).schema):
+            rows.append((name, re.sub("key$", "_id", re.sub("^[a-z]+_", "", field.name)), field.dataType.simpleString().replace("timestamp_ntz", "timestamp"), place))
+    df = spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal int")
     return df.withColumn("is_pk", (F.col("ordinal") == 0) & (F.col("table_name") != "history"))
 
 
 def sizes(spark, sf):
     """Rows of the driver's tables that the catalogue names."""
-    out = None
-    for name in ("customer", "nation", "region", "supplier", "orders", "part"):
-        one = table(spark, sf, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return g.union_all([table(spark, sf, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name in GIVEN])
 
 
-SIZES_SQL = "sz AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("customer", "nation", "region", "supplier", "orders", "part")) + ")"
+SIZES_SQL = "sz AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in GIVEN) + ")"
 
 
 COPYBOOK = """000100 01 CUSTOMER-RECORD.
@@ -73,22 +83,30 @@ def copybook_records(spark, sf):
     return decoded.select("cust_id", "cust_name", F.col("cust_balance").cast("double").alias("cust_balance"), F.array_join("cust_flags", "").alias("flags"))
 
 
-PICS = ["S9(7)V99", "X(30)", "9(5)", "99V9(3)", "XX9(2)", "A(4)"]
+PICTURES = """pics AS (SELECT p_partkey, unnest([{'pic': 'X(' || length(p_name) || ')', 'digits': 0, 'characters': length(p_name), 'decimals': 0, 'kind': 'string'}, {'pic': 'S9(' || p_size || ')V99', 'digits': p_size + 2, 'characters': 0, 'decimals': 2, 'kind': 'decimal'},
+{'pic': '9(' || p_size || ')', 'digits': p_size, 'characters': 0, 'decimals': 0, 'kind': 'integer'}, {'pic': 'XX9(' || p_size || ')', 'digits': p_size, 'characters': 2, 'decimals': 0, 'kind': 'string'}, {'pic': '99V9(' || p_size || ')', 'digits': p_size + 2, 'characters': 0, 'decimals': p_size, 'kind': 'decimal'}]) AS x FROM part)"""
+
 
+def pictures(spark, sf):
+    """PIC clauses that would hold what each part has: its name, its size with and without decimals."""
+    size, name = F.col("p_size").cast("string"), F.length("p_name").cast("string")
+    pics = F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, n, b in (("X(", name, ")"), ("S9(", size, ")V99"), ("9(", size, ")"), ("XX9(", size, ")"), ("99V9(", size, ")"))])
+    return table(spark, sf, "part").select("p_partkey", F.explode(pics).alias("pic"))
 
-@query("E2_picture", "SELECT * FROM (VALUES ('S9(7)V99', 9, 0, 2, 'decimal'), ('X(30)', 0, 30, 0, 'string'), ('9(5)', 5, 0, 0, 'integer'), ('99V9(3)', 5, 0, 3, 'decimal'), ('XX9(2)', 2, 2, 0, 'string'), ('A(4)', 0, 4, 0, 'string')) t(pic, digits, characters, decimals, kind)")
+
+@query("E2_picture", f"WITH {PICTURES} SELECT p_partkey, x.pic AS pic, x.digits AS digits, x.characters AS characters, x.decimals AS decimals, x.kind AS kind FROM pics")
 def picture(spark, sf):
     parts = scalar.picture(F.col("pic"))
-    return spark.createDataFrame([(p,) for p in PICS], "pic string").select("pic", *[parts[k].alias(k) for k in ("digits", "characters", "decimals", "kind")])
+    return pictures(spark, sf).select("p_partkey", "pic", *[parts[k].alias(k) for k in ("digits", "characters", "decimals", "kind")])
 
 
-def catalog_frames(spark):
+def catalog_frames(spark, sf):
     """The catalogue as a database keeps it."""
-    cat = catalog(spark).withColumn("schema", F.when(F.col("table_name") == "employee", "HR").otherwise("SALES"))
+    cat = catalog(spark, sf).withColumn("schema", F.when(F.col("table_name") == "employee", "HR").otherwise("SALES"))
     rel = spark.createDataFrame(RELATIONS, "table_name string, column_name string, target string, target_column string, confidence double")
     keys = cat.where("is_pk").select("schema", F.concat(F.lit("PK_"), "table_name").alias("constraint_name"), "table_name", "column_name", F.lit(1).alias("seq"))
     links = rel.select(F.lit("SALES").alias("schema"), F.concat(F.lit("FK_"), "table_name", F.lit("_"), "column_name").alias("constraint_name"), "table_name", "column_name", F.lit(1).alias("seq"))
-    tables = cat.select("schema", F.col("table_name").alias("name"), F.when(F.col("table_name") == "history", "V").otherwise("T").alias("kind")).distinct().withColumn("rows", F.length("name"))
+    tables = cat.select("schema", F.col("table_name").alias("name"), F.when(F.col("table_name") == "history", "V").otherwise("T").alias("kind")).distinct().join(sizes(spark, sf).withColumnRenamed("table_name", "name"), "name", "left")
     return {
         "tables": tables, "columns": cat.drop("is_pk"), "constraints": keys.select("schema", F.col("constraint_name").alias("name"), "table_name", F.lit("P").alias("kind")).unionByName(links.select("schema", F.col("constraint_name").alias("name"), "table_name", F.lit("F").alias("kind"))),
         "key_columns": keys.unionByName(links), "indexes": links.select("schema", F.concat(F.lit("IX_"), "constraint_name").alias("name"), "table_name", F.lit(False).alias("is_unique")), "index_columns": links.select("schema", F.concat(F.lit("IX_"), "constraint_name").alias("name"), "column_name", "seq"),
@@ -96,23 +114,23 @@ def catalog_frames(spark):
     }
 
 
-@query("E3_catalog_reads", f"""WITH {CATALOG_SQL}, {RELATIONS_SQL}, c AS (SELECT * FROM cat WHERE table_name <> 'employee')
+@query("E3_catalog_reads", f"""WITH {CATALOG_SQL}, {RELATIONS_SQL}, {SIZES_SQL}, c AS (SELECT * FROM cat WHERE table_name <> 'employee')
 SELECT 'tables' AS read, table_name AS subject FROM c GROUP BY table_name UNION ALL SELECT 'columns', table_name || '.' || column_name FROM c UNION ALL SELECT 'primary_keys', table_name || '.' || column_name FROM c WHERE ordinal = 0 AND table_name <> 'history'
-UNION ALL SELECT 'foreign_keys', table_name || '.' || column_name || '>' || target || '.' || target_column FROM rel UNION ALL SELECT 'indexes', table_name || '.' || column_name FROM rel UNION ALL SELECT 'sizes', table_name FROM c WHERE table_name <> 'history' GROUP BY table_name""")
+UNION ALL SELECT 'foreign_keys', table_name || '.' || column_name || '>' || target || '.' || target_column FROM rel UNION ALL SELECT 'indexes', table_name || '.' || column_name FROM rel UNION ALL SELECT 'sizes', concat_ws(':', table_name, any_value(rows)::VARCHAR) FROM c LEFT JOIN sz USING (table_name) WHERE table_name <> 'history' GROUP BY table_name""")
 def catalog_reads(spark, sf):
-    reads, of = schema.catalog_reads(catalog_frames(spark), ["SALES"]), F.concat("table_name", F.lit("."), "column_name")
-    subjects = {"tables": F.col("name"), "columns": of, "primary_keys": of, "foreign_keys": F.concat(of, F.lit(">"), "ref_table", F.lit("."), "ref_column"), "indexes": of, "sizes": F.col("name")}
+    reads, of = schema.catalog_reads(catalog_frames(spark, sf), ["SALES"]), F.concat("table_name", F.lit("."), "column_name")
+    subjects = {"tables": F.col("name"), "columns": of, "primary_keys": of, "foreign_keys": F.concat(of, F.lit(">"), "ref_table", F.lit("."), "ref_column"), "indexes": of, "sizes": F.concat_ws(":", "name", F.col("rows").cast("string"))}
     return g.union_all([reads[k].select(F.lit(k).alias("read"), v.alias("subject")) for k, v in subjects.items()])
 
 
 @query("E4_key_assembly", f"WITH {CATALOG_SQL} SELECT table_name, 'all' AS key_name, string_agg(column_name, ',' ORDER BY ordinal) AS columns FROM cat GROUP BY 1")
 def key_assembly(spark, sf):
-    return schema.assemble_keys(catalog(spark).select("table_name", F.lit("all").alias("key_name"), "column_name", F.col("ordinal").alias("seq")))
+    return schema.assemble_keys(catalog(spark, sf).select("table_name", F.lit("all").alias("key_name"), "column_name", F.col("ordinal").alias("seq")))
 
 
 @query("E7_inferred_relations", f"WITH {RELATIONS_SQL} SELECT * FROM rel")
 def relations(spark, sf):
-    return schema.inferred_relations(catalog(spark))
+    return schema.inferred_relations(catalog(spark, sf))
 
 
 @query("E8_evidence_merge", """WITH r AS (SELECT o_custkey, o_totalprice / 600000 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS k FROM orders) SELECT o_custkey, round(least(1.0, sum(c / k) / sum(1.0::DOUBLE / k)), 6)::DOUBLE AS confidence, count(*) AS evidence FROM r GROUP BY 1""")
@@ -132,14 +150,14 @@ te AS (SELECT table_name, coalesce(rows, 0) AS rows, points, CASE WHEN points >=
 
 @query("E10_table_estimates", ESTIMATES + " SELECT * FROM te")
 def table_estimates(spark, sf):
-    cat = catalog(spark)
+    cat = catalog(spark, sf)
     return schema.table_estimates(cat, schema.inferred_relations(cat), sizes(spark, sf)).drop("has_key")
 
 
 @query("E10_migration_estimate", ESTIMATES + """ SELECT sum(rows)::BIGINT AS rows, ceil(30 + sum(rows) / 10000.0::DOUBLE * (1 + (count(*) FILTER (complexity = 'high') * 0.3 + count(*) FILTER (complexity = 'medium') * 0.1) / count(*)))::BIGINT AS minutes,
-round(sum(CASE complexity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / (count(*) * 3.0) * 10)::BIGINT AS complexity_score, least(10, round(least(3, 7 * 0.2) + least(2, 3 * 0.3) + least(3, count(*) FILTER (complexity = 'high') * 0.5) + CASE WHEN sum(rows) > 10000000 THEN 1 ELSE 0 END + 0.5))::INT AS risk_score FROM te""")
+round(sum(CASE complexity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / (count(*) * 3.0) * 10)::BIGINT AS complexity_score, least(10, round(least(3, 8 * 0.2) + least(2, 3 * 0.3) + least(3, count(*) FILTER (complexity = 'high') * 0.5) + CASE WHEN sum(rows) > 10000000 THEN 1 ELSE 0 END + 0.5))::INT AS risk_score FROM te""")
 def migration_estimate(spark, sf):
-    cat = catalog(spark)
+    cat = catalog(spark, sf)
     relations_ = schema.inferred_relations(cat)
     return schema.migration_estimate(schema.table_estimates(cat, relations_, sizes(spark, sf)), relations_)
 
@@ -159,30 +177,32 @@ CLEAN = "regexp_replace(lower(column_name), '[^a-z0-9]', '_', 'g')"
     f"{' UNION ALL' if k else ''} SELECT '{d}' AS dialect, table_name, {CLEAN} AS target_name, {mapped(d)} AS target_type, true AS nullable FROM cat UNION ALL SELECT '{d}', table_name, a, '{schema.TYPES[d]['timestamp']}', false FROM (SELECT DISTINCT table_name FROM cat), (VALUES ('created_at'), ('updated_at')) x(a) UNION ALL SELECT '{d}', 'history', 'id', '{schema.TYPES[d]['bigint']}', false"
     for k, d in enumerate(schema.TYPES)))
 def target_schema(spark, sf):
-    return g.union_all([schema.target_columns(catalog(spark), d, audit=True).select(F.lit(d).alias("dialect"), "table_name", "target_name", "target_type", "nullable") for d in schema.TYPES])
+    return g.union_all([schema.target_columns(catalog(spark, sf), d, audit=True).select(F.lit(d).alias("dialect"), "table_name", "target_name", "target_type", "nullable") for d in schema.TYPES])
 
 
-@query("E11_naming", "SELECT * FROM (VALUES ('Cust Id', 'cust_id', 'custId', 'CustId'), ('ORDER-TOTAL-2', 'order_total_2', 'orderTotal_2', 'OrderTotal_2'), ('x', 'x', 'x', 'X')) t(name, snake, camel, pascal)")
+@query("E11_naming", """WITH w AS (SELECT DISTINCT p_name || '-' || p_type AS name, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part)
+SELECT name, array_to_string(w, '_') AS snake, w[1] || array_to_string(list_transform(w[2:], lambda x: upper(x[1]) || x[2:]), '') AS camel, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM w""")
 def naming(spark, sf):
     c = F.col("name")
-    return spark.createDataFrame([("Cust Id",), ("ORDER-TOTAL-2",), ("x",)], "name string").select("name", schema.target_name(c).alias("snake"), schema.target_name(c, "camelCase").alias("camel"), schema.target_name(c, "PascalCase").alias("pascal"))
+    names = table(spark, sf, "part").select(F.concat_ws("-", "p_name", "p_type").alias("name")).distinct()
+    return names.select("name", schema.target_name(c).alias("snake"), schema.target_name(c, "camelCase").alias("camel"), schema.target_name(c, "PascalCase").alias("pascal"))
 
 
 LEVELS_SQL = "WITH RECURSIVE " + f"{CATALOG_SQL}, {RELATIONS_SQL}, lv AS (SELECT DISTINCT table_name AS id, 0 AS level FROM cat UNION SELECT rel.table_name, level + 1 FROM lv JOIN rel ON rel.target = lv.id WHERE level < 20), lev AS (SELECT id, max(level)::BIGINT AS level FROM lv GROUP BY 1)"
 
 
-def needs(spark):
-    return schema.inferred_relations(catalog(spark)).select(F.col("table_name").alias("source"), "target")
+def needs(spark, sf):
+    return schema.inferred_relations(catalog(spark, sf)).select(F.col("table_name").alias("source"), "target")
 
 
 @query("E12_load_order", LEVELS_SQL + " SELECT * FROM lev")
 def load_order(spark, sf):
-    return g.longest_levels(needs(spark), catalog(spark).select(F.col("table_name").alias("id")).distinct())
+    return g.longest_levels(needs(spark, sf), catalog(spark, sf).select(F.col("table_name").alias("id")).distinct())
 
 
 @query("E13_cycle_test", LEVELS_SQL + " SELECT 'catalog' AS subject, max(level) >= 20 AS cyclic FROM lev UNION ALL SELECT 'with region needing customer', true")
 def cycle_test(spark, sf):
-    names, links = catalog(spark).select(F.col("table_name").alias("id")).distinct(), needs(spark)
+    names, links = catalog(spark, sf).select(F.col("table_name").alias("id")).distinct(), needs(spark, sf)
     back = spark.createDataFrame([("region", "customer")], "source string, target string")
     cyclic = lambda df, subject: g.longest_levels(df, names).agg((F.count_if(F.col("level").isNull()) > 0).alias("cyclic")).select(F.lit(subject).alias("subject"), "cyclic")
     return cyclic(links, "catalog").unionByName(cyclic(links.unionByName(back), "with region needing customer"))
@@ -194,7 +214,7 @@ UNION ALL SELECT 'history', -1, 'id BIGINT NOT NULL GENERATED ALWAYS AS IDENTITY
 
 @query("E14_ddl", f"WITH {CATALOG_SQL}, {RELATIONS_SQL}, {DEFS} SELECT table_name, 'table' AS part, 'CREATE TABLE ' || table_name || ' (' || string_agg(d, ', ' ORDER BY p) || ')' AS statement FROM defs GROUP BY 1 UNION ALL SELECT table_name, 'foreign_key', 'ALTER TABLE ' || table_name || ' ADD CONSTRAINT fk_' || table_name || '_' || column_name || ' FOREIGN KEY (' || column_name || ') REFERENCES ' || target || ' (' || target_column || ')' FROM rel UNION ALL SELECT table_name, 'index', 'CREATE INDEX idx_' || table_name || '_' || column_name || ' ON ' || table_name || ' (' || column_name || ')' FROM rel")
 def ddl(spark, sf):
-    cat = catalog(spark)
+    cat = catalog(spark, sf)
     return schema.ddl(cat, "postgresql", schema.inferred_relations(cat), audit=True)
 
 
@@ -430,20 +450,38 @@ def training_jsonl(spark, sf):
 
 # --- questions (N) ---
 
-QUESTIONS = [(1, "Where is the interest calculation?"), (2, "What uses the customer file and reads data flow?"), (3, "Show me the dependencies of LOANPROC"), (4, "hello"), (6, "What breaks if I change the record layout?"), (7, "Compare OLD with NEW"), (8, "Give me a summary of the system"), (5, "How is premium calculated by the business rule?")]
+def quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Users' turns are questions; their number asks for more, so that every intent occurs.
+ASKED = ("Where is the code for ", "What uses the file and the data flow of ", "Show me the dependencies of ", "Hello, ", "What breaks if I change ", "Compare OLD with ", "Give me a summary of ", "How is premium calculated by the business rule? ")
+ASKED_SQL = "asked AS (SELECT conv_id, turn, [" + ", ".join(map(quoted, ASKED)) + "][conv_id % 8 + 1] || text AS text FROM conversations WHERE role = 'user')"
+INTENT_SQL = "scored AS (SELECT conv_id, turn, text, [" + ", ".join(
+    f"{{'s': {' + '.join([f'10 * regexp_matches(lower(text), {quoted(x)})::INT' for x in patterns] + [f'5 * contains(lower(text), {quoted(w)})::INT' for w in words])}, 'k': {-k}, 'intent': '{intent}'}}" for k, (intent, (patterns, words)) in enumerate(mining.INTENTS.items())
+) + "] AS r FROM asked), best AS (SELECT conv_id, turn, text, list_max(r) AS b, list_sum(list_transform(r, lambda x: x.s)) AS total FROM scored)"
+
+
+def asked(spark, sf):
+    """Users' turns as questions."""
+    start = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("conv_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(start, "text").alias("text")).withColumn("question", F.struct("conv_id", "turn"))
 
 
-@query("N1_intents", "SELECT * FROM (VALUES (1, 'code-location'), (2, 'data-flow'), (3, 'dependency'), (4, 'unknown'), (5, 'business-rule'), (6, 'impact'), (7, 'comparison'), (8, 'summary')) t(id, intent)")
+@query("N1_intents", f"WITH {ASKED_SQL}, {INTENT_SQL} SELECT conv_id, turn, CASE WHEN b.s > 0 THEN b.intent ELSE 'unknown' END AS intent, CASE WHEN b.s > 0 THEN round(least(0.95::DOUBLE, b.s / total::DOUBLE + CASE WHEN b.s > 15 THEN 0.2::DOUBLE ELSE 0 END), 6) ELSE 0 END AS confidence FROM best")
 def intents(spark, sf):
-    return mining.classify(spark.createDataFrame(QUESTIONS, "id int, text string"), "id", "text").select("id", "intent")
+    return mining.classify(asked(spark, sf), "question", "text").select("question.*", "intent", "confidence")
 
 
-ASKED = ["What does procedure PAY-CALC do in file ledger.cbl?", "Which rule checks the Balance field of customer Smith?", "How does the billing system use database DB2X and api v2?", "hello", "Explain validation V17 and Rule V17"]
+NAMED = ("What does procedure PAY-CALC do in file ledger.cbl? ", "Which rule checks the Balance field of customer Smith? ", "How does the billing system use database DB2X and api v2? ", "", "Explain validation V17 and Rule V17. ")
+ENTITY_SQL = ", ".join(f"{{'place': {k}, 'type': '{kind}', 'entity': regexp_extract(text, {quoted(x)}, 1)}}" for k, (kind, x) in enumerate((kind, x) for kind, some in mining.ENTITIES.items() for x in some))
 
 
-@query("N2_entities", """SELECT * FROM (VALUES (0, 'procedure', 'PAY'), (0, 'procedure', 'does'), (0, 'file', 'ledger.cbl'), (1, 'data', 'of'), (1, 'data', 'Balance'), (1, 'data', 'Smith'), (1, 'rule', 'checks'), (1, 'rule', 'Which'), (1, 'concept', 'customer'), (2, 'data', 'use'), (2, 'system', 'DB2X'), (2, 'system', 'v2'), (4, 'rule', 'V17'), (4, 'rule', 'Explain')) t(id, type, entity)""")
+@query("N2_entities", "WITH q AS (SELECT conv_id, turn, [" + ", ".join(map(quoted, NAMED)) + f"][conv_id % 5 + 1] || text AS text FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, turn, unnest([{ENTITY_SQL}]) AS x FROM q) SELECT conv_id, turn, arg_min(x.type, x.place) AS type, arg_min(x.entity, x.place) AS entity FROM f WHERE x.entity <> '' GROUP BY conv_id, turn, lower(x.entity)")
 def question_entities(spark, sf):
-    return mining.entities(spark.createDataFrame(list(enumerate(ASKED)), "id int, text string"), "id", "text")
+    start = F.element_at(F.array(*map(F.lit, NAMED)), (F.col("conv_id") % 5 + 1).cast("int"))
+    questions = table(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("question"), F.concat(start, "text").alias("text"))
+    return mining.entities(questions, "question", "text").select("question.*", "type", "entity")
 
 
 @query("N3_keywords", "SELECT conv_id, turn, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\-_.,;:!?()\\[\\]{}''\"]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was'))))::BIGINT AS n FROM conversations")
