@@ -120,10 +120,10 @@ def learned_validations(observations: DataFrame, condition: str, holds: str, lea
     return observations.groupBy(condition).agg(F.count("*").alias("n"), F.avg(F.col(holds).cast("double")).alias("frequency")).where(F.col("n") >= least)
 
 
-def learned_decisions(events: DataFrame, outcome: str = "type", path_types: Sequence[str] = (), least: int = 5, longest: int = 8) -> DataFrame:
-    """(path, outcome, n): the first ``longest`` branches of each session, in order, with the session's last event."""
-    branches = events.where(F.col("type").isin(*path_types)).withColumn("_k", F.expr(f"row_number() OVER ({BY_SEQ})")).where(F.col("_k") <= longest)
-    paths = branches.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "type"))), lambda x: x["type"]), ">").alias("path"))
+def learned_decisions(events: DataFrame, outcome: str = "type", path_types: Sequence[str] = (), least: int = 5) -> DataFrame:
+    """(path, outcome, n): all branches of each session, in order, with the session's last event."""
+    branches = events.where(F.col("type").isin(*path_types))
+    paths = branches.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "type"))), lambda x: x["type"]), ">").alias("path"))
     last = events.groupBy("session_id").agg(F.max_by(outcome, "seq").alias("outcome"))
     return paths.join(last, "session_id").groupBy("path", "outcome").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

@@ -14,7 +14,7 @@ from tessera.plans.model_queries import UNIT
 from tessera.plans.registry import query
 from tessera.plans.graph_queries import DEGREES, FAR, LEVELS, LPA, MEASURES, UNDIRECTED, at, levels
 from tessera.plans.roles import edges, nodes, runs, tree_edges, with_roles
-from tessera.plans.source_queries import LEVELS_SQL, STEPS, catalog, sizes
+from tessera.plans.source_queries import GIVEN, LEVELS_SQL, PICTURES, STEPS, catalog, pictures, sizes
 from tessera.session import table
 from tessera.sources import parsers, schema
 
@@ -71,19 +71,44 @@ def bundle(spark, sf):
     return g.structure(edges(spark, sf), nodes(spark, sf), "supplier").withColumn("value", F.round("value", 8))
 
 
-DBD = "DBD NAME=BANK\n SEGM NAME=CUSTOMER,PARENT=0,BYTES=100\n FIELD NAME=(CUSTNO,SEQ,U),BYTES=8,START=1,TYPE=C\n SEGM NAME=ACCOUNT,PARENT=CUSTOMER,BYTES=60\n FIELD NAME=BALANCE,BYTES=5,START=9,TYPE=P"
+#: Bytes that a column of a kind takes.
+WIDTHS = {"bigint": 8, "int": 4, "double": 8, "timestamp": 8, "string": 30}
+WIDTH_SQL = "CASE data_type WHEN 'BIGINT' THEN 8 WHEN 'INTEGER' THEN 4 WHEN 'DOUBLE' THEN 8 WHEN 'TIMESTAMP' THEN 8 ELSE 30 END"
+HIERARCHY = (("region", "0"), ("nation", "REGION"), ("customer", "NATION"), ("orders", "CUSTOMER"))
 
 
-@query("E5_segments", "SELECT * FROM (VALUES ('CUSTOMER', NULL, 100, 'CUSTNO', NULL), ('ACCOUNT', 'CUSTOMER', 60, '', 'customer_id')) t(name, parent, bytes, primary_key, foreign_key)")
+def widths(spark, sf, name):
+    """(column, bytes) of a given table's schema."""
+    return [(f.name.upper(), WIDTHS[f.dataType.simpleString().replace("_ntz", "")]) for f in table(spark, sf, name).schema]
+
+
+@query("E5_segments", "WITH h(t, parent) AS (VALUES " + ", ".join(f"('{t}', {'NULL' if parent == '0' else repr(parent)})" for t, parent in HIERARCHY) + f"""), c AS (SELECT table_name AS t, sum({WIDTH_SQL})::INT AS bytes, upper(min_by(column_name, ordinal_position)) AS first FROM information_schema.columns GROUP BY 1)
+SELECT upper(t) AS name, parent, bytes, CASE WHEN parent IS NULL THEN first ELSE '' END AS primary_key, lower(parent) || '_id' AS foreign_key FROM h JOIN c USING (t)""")
 def segments(spark, sf):
-    rows = [(s["name"], s["parent"], s["bytes"], ",".join(s["primary_key"]), s["foreign_key"]) for s in schema.parse_dbd(DBD)]
+    """A hierarchical definition of the given tables, from their schemas."""
+    text = "DBD NAME=TRADE\n"
+    for name, parent in HIERARCHY:
+        columns, start = widths(spark, sf, name), 1
+        text += f" SEGM NAME={name.upper()},PARENT={parent},BYTES={sum(w for _, w in columns)}\n"
+        for k, (column, width) in enumerate(columns):
+            text += f" FIELD NAME={f'({column},SEQ,U)' if k == 0 else column},BYTES={width},START={start},TYPE=C\n"
+            start += width
+    rows = [(s["name"], s["parent"], s["bytes"], ",".join(s["primary_key"]), s["foreign_key"]) for s in schema.parse_dbd(text)]
     return spark.createDataFrame(rows, "name string, parent string, bytes int, primary_key string, foreign_key string")
 
 
-@query("E6_cluster_tables", "SELECT * FROM (VALUES ('A.KSDS', 'KSDS', 'record_key', 'char(8)'), ('A.KSDS', 'KSDS', 'record', 'varchar(120)'), ('A.RRDS', 'RRDS', 'rrn', 'bigint'), ('A.RRDS', 'RRDS', 'record', 'varchar(10)')) t(name, kind, column_name, column_type)")
+@query("E6_cluster_tables", "WITH c AS (SELECT table_name AS t, sum(" + WIDTH_SQL + ") AS bytes, min_by(" + WIDTH_SQL + ", ordinal_position) AS key FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in GIVEN) + """) GROUP BY 1)
+SELECT 'T.' || upper(t) AS name, CASE t WHEN 'lineitem' THEN 'RRDS' ELSE 'KSDS' END AS kind, unnest([CASE t WHEN 'lineitem' THEN 'rrn' ELSE 'record_key' END, 'record']) AS column_name, unnest([CASE t WHEN 'lineitem' THEN 'bigint' ELSE 'char(' || key || ')' END, 'varchar(' || bytes || ')']) AS column_type FROM c""")
 def clusters(spark, sf):
-    found = [schema.parse_cluster(x) for x in ("DEFINE CLUSTER (NAME(A.KSDS) INDEXED KEYS(8 0) RECORDSIZE(80 120))", "DEFINE CLUSTER (NAME(A.RRDS) NUMBERED RECORDSIZE(10 10))")]
-    return spark.createDataFrame([(c["name"], c["kind"], *col) for c in found for col in c["columns"]], "name string, kind string, column_name string, column_type string")
+    """Cluster definitions of the given tables, from their schemas; items are numbered records."""
+    rows = []
+    for name in GIVEN:
+        columns = widths(spark, sf, name)
+        size = sum(w for _, w in columns)
+        keys = "NUMBERED" if name == "lineitem" else f"INDEXED KEYS({columns[0][1]} 0)"
+        c = schema.parse_cluster(f"DEFINE CLUSTER (NAME(T.{name.upper()}) {keys} RECORDSIZE({size} {size}))")
+        rows += [(c["name"], c["kind"], *column) for column in c["columns"]]
+    return spark.createDataFrame(rows, "name string, kind string, column_name string, column_type string")
 
 
 @query("E16_etl_run", "SELECT c_mktsegment AS segment, count(*) AS n, sum(trunc(c_acctbal)::BIGINT)::BIGINT AS balance FROM customer WHERE trunc(c_acctbal)::INT > 0 GROUP BY 1")
@@ -129,13 +154,22 @@ def sequential(spark, sf):
     return parsers.sequential_reads(table(spark, sf, "orders"), "o_custkey", "o_orderkey")
 
 
-FILE = [("IN", "OPEN", None), ("IN", "READ", None), ("IN", "READ", None), ("IN", "CLOSE", None), ("IN", "READ", None), ("OUT", "WRITE", "a"), ("OUT", "OPEN-OUTPUT", None), ("OUT", "WRITE", "b"), ("OUT", "WRITE", "c"), ("OUT", "CLOSE", None), ("OUT", "WRITE", "d"), ("OUT", "OPEN", None), ("OUT", "READ", None), ("OUT", "READ", None), ("OUT", "READ", None), ("NONE", "OPEN", None)]
+# Events as a program over files: a user's file is opened, read, written and closed by what they do; it holds what they ordered.
+FILE_PROGRAM = """st AS (SELECT event_id AS step, user_id AS file, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN CASE WHEN value > 40 THEN 'OPEN-OUTPUT' ELSE 'OPEN' END WHEN 'error' THEN 'CLOSE' WHEN 'purchase' THEN 'WRITE' ELSE 'READ-NEXT' END AS operation, event_id::VARCHAR AS data FROM events),
+rc AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS record_no, o_orderstatus AS data FROM orders),
+nx AS (SELECT file, list({'step': step, 'op': operation, 'd': data} ORDER BY step) AS ops FROM st GROUP BY 1), hd AS (SELECT file, list(data ORDER BY record_no) AS held FROM rc GROUP BY 1),
+sim AS (SELECT file, ops, 0 AS k, coalesce(held, []) AS held, 0 AS pos, false AS is_open, NULL::VARCHAR AS status, NULL::VARCHAR AS data, NULL::VARCHAR AS operation, NULL::BIGINT AS step FROM nx LEFT JOIN hd USING (file)
+UNION ALL SELECT file, ops, k + 1, CASE WHEN ops[k + 1].op = 'OPEN-OUTPUT' THEN [] WHEN is_open AND ops[k + 1].op = 'WRITE' THEN list_append(held, ops[k + 1].d) ELSE held END,
+ CASE WHEN ops[k + 1].op LIKE 'OPEN%' THEN 0 WHEN is_open AND ops[k + 1].op LIKE 'READ%' AND pos < len(held) THEN pos + 1 ELSE pos END, CASE WHEN ops[k + 1].op LIKE 'OPEN%' THEN true WHEN ops[k + 1].op = 'CLOSE' THEN false ELSE is_open END,
+ CASE WHEN ops[k + 1].op LIKE 'OPEN%' THEN '00' WHEN NOT is_open THEN '42' WHEN ops[k + 1].op LIKE 'READ%' AND pos >= len(held) THEN '10' ELSE '00' END, CASE WHEN is_open AND ops[k + 1].op LIKE 'READ%' AND pos < len(held) THEN held[pos + 1] END, ops[k + 1].op, ops[k + 1].step FROM sim WHERE k < len(ops))"""
 
 
-@query("P18_file_program", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{f}', '{o}', {s}, {v})" for k, ((f, o, _), s, v) in enumerate(zip(FILE, ("'00'", "'00'", "'10'", "'00'", "'42'", "'42'", "'00'", "'00'", "'00'", "'00'", "'42'", "'00'", "'00'", "'00'", "'10'", "'00'"), ("NULL", "'x'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'b'", "'c'", "NULL", "NULL"), strict=True))) + ") t(step, file, operation, status, data)")
+@query("P18_file_program", f"WITH RECURSIVE {FILE_PROGRAM} SELECT step, file, operation, status, data FROM sim WHERE k > 0")
 def file_program(spark, sf):
-    steps = spark.createDataFrame([(k, *row) for k, row in enumerate(FILE)], "step int, file string, operation string, data string")
-    held = spark.createDataFrame([("IN", 1, "x")], "file string, record_no int, data string")
+    kind = F.col("event_type")
+    operation = F.when(kind == "view", "READ").when(kind == "click", F.when(F.col("value") > 40, "OPEN-OUTPUT").otherwise("OPEN")).when(kind == "error", "CLOSE").when(kind == "purchase", "WRITE").otherwise("READ-NEXT")
+    steps = table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("user_id").alias("file"), operation.alias("operation"), F.col("event_id").cast("string").alias("data"))
+    held = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("record_no"), F.col("o_orderstatus").alias("data"))
     return parsers.file_program(steps, held)
 
 
@@ -233,11 +267,11 @@ def custom(spark, sf):
     return pairs.mapInPandas(compare, "near boolean").agg(F.count("*").alias("n"), F.count_if("near").alias("near"))
 
 
-@query("P12_picture_explained", "SELECT * FROM (VALUES ('S9(5)V99', 7, 'decimal'), ('X(12)', 12, 'string')) t(pic, length, kind)")
+@query("P12_picture_explained", f"WITH {PICTURES} SELECT x.pic AS pic, any_value(x.digits + x.characters) AS length, any_value(x.kind) AS kind, count(*) AS n FROM pics GROUP BY 1")
 def picture_explained(spark, sf):
     from tessera.functions.scalar import picture
 
     parts = picture(F.col("pic"))
-    return spark.createDataFrame([("S9(5)V99",), ("X(12)",)], "pic string").select("pic", parts["length"].alias("length"), parts["kind"].alias("kind"))
+    return pictures(spark, sf).groupBy("pic", parts["length"].alias("length"), parts["kind"].alias("kind")).agg(F.count("*").alias("n"))
 
 

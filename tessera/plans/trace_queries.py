@@ -112,10 +112,10 @@ def calculations(spark, sf):
     return t.learned_calculations(seen, "place", "p_type", 2)
 
 
-@query("T16_decisions", TRACE + """, b AS (SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM trace WHERE type IN ('signup', 'purchase')), p AS (SELECT session_id, string_agg(type, '>' ORDER BY k) AS path FROM b WHERE k <= 3 GROUP BY 1), l AS (SELECT session_id, arg_max(type, seq) AS outcome FROM trace GROUP BY 1)
-SELECT path, outcome, count(*) AS n FROM p JOIN l USING (session_id) GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("T16_decisions", TRACE + """, b AS (SELECT session_id, type, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM trace WHERE type IN ('signup', 'purchase')), p AS (SELECT session_id, string_agg(type, '>' ORDER BY k) AS path FROM b GROUP BY 1), l AS (SELECT session_id, arg_max(type, seq) AS outcome FROM trace GROUP BY 1)
+SELECT path, outcome, count(*) AS n FROM p JOIN l USING (session_id) GROUP BY 1, 2 HAVING count(*) >= 1""")
 def decisions(spark, sf):
-    return t.learned_decisions(trace(spark, sf), path_types=("signup", "purchase"), longest=3)
+    return t.learned_decisions(trace(spark, sf), path_types=("signup", "purchase"), least=1)
 
 
 @query("T16_transforms", """WITH o AS (SELECT p_type AS place, p_name AS a, CASE p_type WHEN 'ECONOMY' THEN upper(p_name) WHEN 'PROMO' THEN trim(p_name) WHEN 'SMALL' THEN p_name || '!' ELSE lower(p_name) END AS b FROM part)

@@ -48,29 +48,31 @@ def file_program(steps: DataFrame, records: DataFrame) -> DataFrame:
     """steps(step, file, operation, data) with the status and data of each: 00, 10 at the end of a file, 42 where it is not open.
 
     ``records(file, record_no, data)`` are what files hold at first. OPEN
-    starts reading anew, OPEN-OUTPUT empties the file, WRITE appends. The steps
-    of one file meet in one task.
-    """
-    import pandas as pd
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        held, at, is_open, out = b.sort_values("record_no")["data"].tolist(), 0, False, []
-        for step, file, operation, data in a.sort_values("step")[["step", "file", "operation", "data"]].itertuples(index=False):
-            status, got = "00", None
-            if operation.startswith("OPEN"):
-                is_open, at = True, 0
-                held = [] if operation == "OPEN-OUTPUT" else held
-            elif not is_open:
-                status = "42"
-            elif operation == "CLOSE":
-                is_open = False
-            elif operation == "WRITE":
-                held = [*held, data]
-            elif at >= len(held):
-                status = "10"
-            else:
-                got, at = held[at], at + 1
-            out.append((step, file, operation, status, got))
-        return pd.DataFrame(out, columns=["step", "file", "operation", "status", "data"])
+    starts reading anew, OPEN-OUTPUT empties the file, WRITE appends, CLOSE
+    closes; any other operation reads.
 
-    return steps.groupBy("file").cogroup(records.groupBy("file")).applyInPandas(run, "step int, file string, operation string, status string, data string")
+    Running windows over a file's steps say whether it is open, which content
+    it has (emptying begins a new one), how long that is and how far reading
+    has come: of the reads since the last OPEN, the j-th has reached the least
+    of j and, for each read i up to it, the length then plus j - i. What a read
+    gets is a join by content and place, so no task holds a file.
+    """
+    w, before = "PARTITION BY file ORDER BY step", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    opens = F.col("operation").startswith("OPEN")
+    state = steps.withColumn("_opens", opens).withColumns({
+        "_open": F.expr(f"coalesce(last(CASE WHEN operation LIKE 'OPEN%' THEN true WHEN operation = 'CLOSE' THEN false END, true) OVER ({w} {before}), false)"),
+        "_content": F.expr(f"count_if(operation = 'OPEN-OUTPUT') OVER ({w})"),
+        "_session": F.expr(f"count_if(_opens) OVER ({w})"),
+    })
+    active = F.col("_open") & ~F.col("_opens")
+    state = state.withColumns({"_writes": active & (F.col("operation") == "WRITE"), "_reads": active & ~F.col("operation").isin("CLOSE", "WRITE")})
+    held = records.groupBy("file").agg(F.count("*").alias("_held"))
+    state = state.join(held, "file", "left").withColumn("_first", F.when(F.col("_content") == 0, F.coalesce("_held", F.lit(0))).otherwise(0))
+    of = "PARTITION BY file, _session ORDER BY step"
+    state = state.withColumn("_length", F.col("_first") + F.expr("count_if(_writes) OVER (PARTITION BY file, _content ORDER BY step)")).withColumn("_j", F.expr(f"count_if(_reads) OVER ({of})"))
+    state = state.withColumn("_at", F.least("_j", F.col("_j") + F.expr(f"min(CASE WHEN _reads THEN _length - _j END) OVER ({of})")))
+    state = state.withColumn("_got", F.col("_reads") & (F.col("_at") > F.expr(f"coalesce(max(CASE WHEN _reads THEN _at END) OVER ({of} {before}), 0)")))
+    first = records.select("file", F.lit(0).cast("long").alias("_content"), F.expr("row_number() OVER (PARTITION BY file ORDER BY record_no)").cast("long").alias("_at"), F.col("data").alias("_read"))
+    content = first.unionByName(state.where("_writes").select("file", "_content", F.col("_length").alias("_at"), F.col("data").alias("_read")))
+    status = F.when(~F.col("_open") & ~F.col("_opens"), "42").when(F.col("_reads") & ~F.col("_got"), "10").otherwise("00")
+    return state.join(content, ["file", "_content", "_at"], "left").select("step", "file", "operation", status.alias("status"), F.when(F.col("_got"), F.col("_read")).alias("data"))
