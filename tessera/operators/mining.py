@@ -217,28 +217,100 @@ def by_keywords(rows: DataFrame, columns: Sequence[str], keywords: Sequence[str]
     return (rows.where(F.col("type").isin(*types)) if types else rows).where(any_)
 
 
-# Follow-up questions by intent; {} is the first source's name.
-FOLLOW_UPS = {
-    "code-location": ("What does {} do?", "What depends on {}?", "Show the rules in {}"), "data-flow": ("What modifies {}?", "What is the impact of changing {}?"), "business-rule": ("Which programs implement {}?", "What data does {} use?"),
-    "dependency": ("What would break if {} changed?", "Show the data flow of {}"), "impact": ("Which tests cover {}?", "What are the dependencies of {}?"), "search": ("Explain {}", "What depends on {}?"),
-}
-
-
-def answers(found: DataFrame, key: str = "question_id", most: int = 5) -> DataFrame:
-    """``found(question_id, intent, id, name, score)`` to (question_id, answer, sources, follow_ups).
-
-    The answer counts what was found and names the ``most`` best, which are the
-    sources; up to four follow-up questions ask on about the first.
+# Fixed values of the survey: what answers say.
+NOTHING = "I couldn't find specific information matching your question. Try rephrasing or being more specific about what you're looking for."
+NO_LOCATION, NO_FLOW, NO_RULE, NO_DEPENDENCY = "No matching code locations found.", "No data flows found for the specified data.", "No matching business rules found.", "No dependencies found."
+NO_IMPACT, NO_EXPLANATION, NO_RESULT, NO_INFORMATION = "No downstream impact detected.", "No information found to explain.", "No results found.", "No relevant information found."
+
+
+def _first(rows: DataFrame | None, questions: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], most: int, name: str) -> DataFrame:
+    """(key, name, n_name) of every question: its first ``most`` rows in order, and how many it has; fields that rows lack are null."""
+    if rows is None:
+        fields_ = ", ".join(f"{f}: string" for f in fields)
+        return questions.select(key, F.array().cast(f"array<struct<{fields_}>>").alias(name), F.lit(0).cast("long").alias(f"n_{name}"))
+    from pyspark.sql import Window
+
+    own = rows.select(key, *[F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields], F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_k"))
+    top = own.where(F.col("_k") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", F.struct(*fields).alias("x")))).alias("_r"))
+    counts = rows.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+    return counts.join(top, key).select(key, F.transform("_r", lambda r: r["x"]).alias(name), f"n_{name}")
+
+
+def answers(questions: DataFrame, nodes: DataFrame, rules: DataFrame | None = None, flows: DataFrame | None = None, paths: DataFrame | None = None, key: str = "question_id", level: str = "normal", most: int = 20) -> DataFrame:
+    """(key, answer, sources, follow_ups) of ``questions(key, intent)`` from what was found.
+
+    ``nodes(key, id, name, type, score)`` may have ``description`` and
+    ``location``; ``rules(key, name, category, description, confidence)`` may
+    have ``formula``; ``flows(key, item, producers, consumers)`` names them in
+    one text each; ``paths(key, steps)`` too, in arrows. Rows are told best
+    first: nodes by score and id, others by name. The answer's form follows the
+    intent, its length ``level`` (brief, normal or detailed); the follow-ups
+    ask on about the first node and rule found, not again by the same intent.
+    Each question keeps ``most`` nodes at most, picked before they are shuffled
+    together.
     """
-    ranked = found.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY score DESC, id)"))
-    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct("_k", "id", "name")))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
-    of = ranked.groupBy(key, "intent").agg(F.count("id").alias("n"), top.alias("top"))
-    names, first = F.array_join(F.transform("top", lambda x: x["name"]), ", "), F.col("top")[0]["name"]
-    asks = F.array().cast("array<string>")
-    for intent, templates in FOLLOW_UPS.items():
-        asks = F.when(F.col("intent") == intent, F.array(*[F.concat(F.lit(t.split("{}")[0]), first, F.lit(t.split("{}")[1])) if "{}" in t else F.lit(t) for t in templates[:4]])).otherwise(asks)
-    text = F.when(F.col("n") == 0, "Nothing was found.").otherwise(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(": "), names, F.when(F.col("n") > most, ", ...").otherwise(""), F.lit(".")))
-    return of.select(key, text.alias("answer"), F.transform("top", lambda x: x["id"]).alias("sources"), F.when(F.col("n") > 0, asks).otherwise(F.array().cast("array<string>")).alias("follow_ups"))
+    if level not in ("brief", "normal", "detailed"):
+        raise ValueError(f"no level {level}")
+    found = questions.select(key, "intent")
+    by_name = lambda c: [F.col(c)]
+    for rows, order, fields, name in (
+        (nodes, [F.desc("score"), F.col("id")], ("id", "name", "type", "description", "location"), "nodes"), (nodes.where("type = 'business-rule'"), [F.desc("score"), F.col("id")], ("name", "description"), "rule_nodes"),
+        (rules, by_name("name"), ("name", "category", "description", "formula", "confidence"), "rules"), (flows, by_name("item"), ("item", "producers", "consumers"), "flows"), (paths, by_name("steps"), ("steps",), "paths"),
+    ):
+        found = found.join(_first(rows, questions, key, order, fields, most, name), key, "left").fillna(0, [f"n_{name}"])
+    kinds = nodes.groupBy(key, "type").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("score"), "id")).alias("_first"))
+    kinds = kinds.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "type", "n"))), lambda x: F.concat(F.lit("\u2022 "), x["n"].cast("string"), F.lit(" "), x["type"], F.lit("(s)"))).alias("kinds"))
+    found = found.join(kinds, key, "left")
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    nodes_, rules_, flows_ = F.col("nodes"), F.col("rules"), F.col("flows")
+    listed = lambda rows, count, line: F.array_join(F.transform(F.slice(rows, 1, count), line), "\n")
+    described = lambda n, other: F.coalesce(F.nullif(n["description"], F.lit("")), F.lit(other))
+    bullet = lambda n: text("\u2022 **", n["name"], "** (", n["type"], ")")
+    n_nodes = F.col("n_nodes").cast("string")
+    nothing = lambda n, message, answer: F.when(F.col(n) == 0, message).otherwise(answer)
+
+    where = F.array_join(F.transform(nodes_, lambda n: n["name"]), ", ")
+    location = text("Found in: ", where) if level == "brief" else text("I found ", n_nodes, " relevant location(s):\n\n", listed(nodes_, 5, lambda n: text(bullet(n), F.coalesce(text(" (", n["location"], ")"), F.lit("")), ": ", described(n, "No description"))))
+    side = lambda label, names: F.when(F.coalesce(names, F.lit("")) != "", text("\n  \u2022 ", label, " by: ", names)).otherwise("")
+    flow = text("Data flow analysis:\n\n", listed(flows_, 3, lambda f: text("**", f["item"], "**:", side("Produced", f["producers"]), side("Consumed", f["consumers"]))))
+    formula = lambda r: F.when((F.coalesce(r["formula"], F.lit("")) != "") & F.lit(level != "brief"), text("\n  Formula: `", r["formula"], "`")).otherwise("")
+    percent = lambda r: F.floor(r["confidence"].cast("double") * 100 + 0.5).cast("string")
+    rule_lines = F.transform(F.slice(rules_, 1, 5), lambda r: text("**", r["name"], "** (", r["category"], "):\n  ", r["description"], formula(r), "\n  Confidence: ", percent(r), "%"))
+    rest = F.slice(F.transform("rule_nodes", lambda n: text("**", n["name"], "**: ", described(n, "Business rule"))), F.lit(1), F.greatest(F.lit(0), 5 - F.coalesce(F.col("n_rules"), F.lit(0))).cast("int"))
+    n_rules = F.col("n_rules") + F.col("n_rule_nodes")
+    empty = F.array().cast("array<string>")
+    rule = text("Found ", n_rules.cast("string"), " business rule(s):\n\n", F.array_join(F.concat(F.coalesce(rule_lines, empty), F.coalesce(rest, empty)), "\n"))
+    ways = text("\n\n**Impact paths:**\n", listed(F.col("paths"), 3, lambda p: text("  ", p["steps"])))
+    impact = text("**", F.least(F.lit(10), F.col("n_nodes")).cast("string"), " components would be affected:**\n\n", listed(nodes_, 10, lambda n: text("\u2022 ", n["name"], " (", n["type"], ")")), F.when((F.col("n_paths") > 0) & F.lit(level == "detailed"), ways).otherwise(""))
+    first = nodes_[0]
+    on = F.regexp_extract(F.col("paths")[0]["steps"], "(?s)^.*? \u2192 (.*)$", 1)
+    leads = F.when((F.col("n_paths") > 0) & (on != "") & F.lit(level != "brief"), text("\n\nIt connects to: ", F.replace(on, F.lit(" \u2192 "), F.lit(", ")))).otherwise("")
+    explanation = text("**", first["name"], "** is a ", first["type"], ".", F.when(F.coalesce(first["description"], F.lit("")) != "", text("\n", first["description"])).otherwise(""), leads)
+    cut = lambda c, n: F.substring(c, 1, n)
+    results = text("Found ", n_nodes, " result(s):\n\n", listed(nodes_, 15, lambda n: text(bullet(n), F.when(F.coalesce(n["description"], F.lit("")) != "", text(": ", cut(n["description"], 60))).otherwise(""))))
+    key_rules = text("\n\n**Key Business Rules:**\n", listed(rules_, 3, lambda r: text("\u2022 ", r["name"], ": ", cut(r["description"], 80))))
+    summary = text("**System Overview:**\n", F.when(F.col("n_nodes") > 0, text("\n", F.array_join("kinds", "\n"))).otherwise(""), F.when(F.col("n_rules") > 0, key_rules).otherwise(""))
+    generic = text("Here's what I found:\n\n", listed(nodes_, 10, lambda n: text(bullet(n), ": ", described(n, "No description"))))
+    forms = {
+        "code-location": nothing("n_nodes", NO_LOCATION, location), "data-flow": nothing("n_flows", NO_FLOW, flow), "business-rule": F.when(n_rules == 0, NO_RULE).otherwise(rule),
+        "dependency": nothing("n_nodes", NO_DEPENDENCY, text("Found ", n_nodes, " dependencies:\n\n", listed(nodes_, 10, bullet))), "impact": nothing("n_nodes", NO_IMPACT, impact),
+        "explanation": nothing("n_nodes", NO_EXPLANATION, explanation), "search": nothing("n_nodes", NO_RESULT, results), "summary": summary,
+    }
+    answer = nothing("n_nodes", NO_INFORMATION, generic)
+    for intent, form in forms.items():
+        answer = F.when(F.col("intent") == intent, form).otherwise(answer)
+    answer = F.when((F.col("n_nodes") == 0) & (F.col("n_rules") == 0), NOTHING).otherwise(answer)
+
+    asks, name, rule_name = F.col("intent"), first["name"], rules_[0]["name"]
+    some, rule_found = F.col("n_nodes") > 0, F.col("n_rules") > 0
+    follow = F.array(
+        F.when(some & (asks != "impact"), text("What would be affected if ", name, " changes?")), F.when(some & (asks != "dependency"), text("What does ", name, " depend on?")),
+        F.when(some & (asks != "data-flow") & (first["type"] == "data-structure"), text("Show me the data flow for ", name)), F.when(some & (asks != "explanation"), text("Explain how ", name, " works")),
+        F.when(rule_found, text("What data does ", rule_name, " use?")), F.when(rule_found, text("Where is ", rule_name, " implemented?")),
+    )
+    sources = F.coalesce(F.slice(F.transform("nodes", lambda n: n["id"]), 1, 10), empty)
+    return found.select(key, answer.alias("answer"), sources.alias("sources"), F.slice(F.array_compact(follow), 1, 4).alias("follow_ups"))
 
 
 def answer_confidence(base: Column, found: Column) -> Column:

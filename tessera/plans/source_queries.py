@@ -507,11 +507,50 @@ def rule_match(spark, sf):
     return mining.by_keywords(rules(spark, sf), ["text", "category"], ["license", "keit"]).select("doc_id").orderBy("doc_id").limit(10)
 
 
-@query("N12_answers", GRAPH + """, f AS (SELECT 1 AS q, 'dependency' AS intent, n.id, n.name, e.type FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 's:1'), k AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM f), a AS (SELECT count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (k <= 5) AS names, string_agg(id, ' ' ORDER BY k) FILTER (k <= 5) AS sources, max(name) FILTER (k = 1) AS f FROM k)
-SELECT 1 AS question_id, 'Found ' || n || ': ' || names || CASE WHEN n > 5 THEN ', ...' ELSE '' END || '.' AS answer, sources, 'What would break if ' || f || ' changed?|Show the data flow of ' || f AS follow_ups FROM a WHERE n > 0""")
+# Every customer is a question; whom they bought from is what was found, what was written under their number the rules.
+EVIDENCE = GRAPH + """, q AS (SELECT c_custkey AS question_id, ['dependency', 'impact', 'search', 'code-location', 'explanation', 'summary', 'business-rule', 'unknown'][c_custkey % 8 + 1] AS intent FROM customer),
+f AS (SELECT q.question_id, q.intent, n.id, n.name, CASE WHEN n.confidence < 0.5 THEN 'business-rule' WHEN ends_with(n.id, '1') THEN 'data-structure' ELSE n.type END AS type, CASE WHEN n.id LIKE '%2' THEN NULL ELSE 'Supplies ' || e.type END AS description, CASE WHEN n.id LIKE '%3' THEN n.id || '.cbl:1' END AS location,
+  row_number() OVER (PARTITION BY q.question_id ORDER BY n.confidence DESC, n.id) AS k FROM q JOIN edges e ON e.source = 'c:' || q.question_id JOIN nodes n ON n.id = e.target WHERE e.type = 'calls'),
+fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY k) AS rk FROM f WHERE type = 'business-rule'),
+r AS (SELECT doc_id AS question_id, source AS name, coalesce(lang, 'none') AS category, left(text, 100) AS description, CASE doc_id % 2 WHEN 0 THEN 'a + b' END AS formula, 0.875::DOUBLE AS confidence FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+fa AS (SELECT question_id, count(*) AS n, list('• **' || name || '** (' || type || ')' ORDER BY k) AS bullets, list(name ORDER BY k) AS names, list(id ORDER BY k) AS ids, list(type ORDER BY k) AS types, list(coalesce(description, '') ORDER BY k) AS ds, list(coalesce(' (' || location || ')', '') ORDER BY k) AS locs FROM f GROUP BY 1),
+fk AS (SELECT question_id, list('• ' || n || ' ' || type || '(s)' ORDER BY k) AS kinds FROM (SELECT question_id, type, count(*) AS n, min(k) AS k FROM f GROUP BY 1, 2) GROUP BY 1),
+fb AS (SELECT question_id, count(*) AS m, list('**' || name || '**: ' || coalesce(description, 'Business rule') ORDER BY rk) AS rl FROM fr GROUP BY 1),
+a AS (SELECT q.question_id, q.intent, coalesce(fa.n, 0) AS n, coalesce(m, 0) AS m, bullets, names, ids, types, ds, locs, kinds, rl, r.name AS rn, r.category, r.description AS rd, r.formula, (r.name IS NOT NULL)::INT AS nr FROM q LEFT JOIN fa USING (question_id) LEFT JOIN fk USING (question_id) LEFT JOIN fb USING (question_id) LEFT JOIN r USING (question_id)),
+ans AS (SELECT *, CASE WHEN n = 0 AND nr = 0 THEN 'I couldn''t find specific information matching your question. Try rephrasing or being more specific about what you''re looking for.'
+ WHEN intent = 'business-rule' THEN CASE WHEN nr + m = 0 THEN 'No matching business rules found.' ELSE 'Found ' || (nr + m) || ' business rule(s):' || chr(10) || chr(10) || array_to_string(list_concat(CASE WHEN nr = 1 THEN ['**' || rn || '** (' || category || '):' || chr(10) || '  ' || rd || CASE WHEN formula IS NOT NULL THEN chr(10) || '  Formula: `' || formula || '`' ELSE '' END || chr(10) || '  Confidence: 88%'] ELSE [] END, coalesce(rl[1:5 - nr], [])), chr(10)) END
+ WHEN intent = 'summary' THEN '**System Overview:**' || chr(10) || CASE WHEN n > 0 THEN chr(10) || array_to_string(kinds, chr(10)) ELSE '' END || CASE WHEN nr = 1 THEN chr(10) || chr(10) || '**Key Business Rules:**' || chr(10) || '• ' || rn || ': ' || left(rd, 80) ELSE '' END
+ WHEN n = 0 THEN CASE intent WHEN 'dependency' THEN 'No dependencies found.' WHEN 'impact' THEN 'No downstream impact detected.' WHEN 'search' THEN 'No results found.' WHEN 'code-location' THEN 'No matching code locations found.' WHEN 'explanation' THEN 'No information found to explain.' ELSE 'No relevant information found.' END
+ WHEN intent = 'dependency' THEN 'Found ' || n || ' dependencies:' || chr(10) || chr(10) || array_to_string(bullets[1:10], chr(10))
+ WHEN intent = 'impact' THEN '**' || least(10, n) || ' components would be affected:**' || chr(10) || chr(10) || array_to_string([replace(b, '**', '') for b in bullets[1:10]], chr(10))
+ WHEN intent = 'search' THEN 'Found ' || n || ' result(s):' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(15, n) + 1), lambda i: bullets[i] || CASE WHEN ds[i] <> '' THEN ': ' || left(ds[i], 60) ELSE '' END), chr(10))
+ WHEN intent = 'code-location' THEN 'I found ' || n || ' relevant location(s):' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(5, n) + 1), lambda i: bullets[i] || locs[i] || ': ' || coalesce(nullif(ds[i], ''), 'No description')), chr(10))
+ WHEN intent = 'explanation' THEN '**' || names[1] || '** is a ' || types[1] || '.' || CASE WHEN ds[1] <> '' THEN chr(10) || ds[1] ELSE '' END
+ ELSE 'Here''s what I found:' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(10, n) + 1), lambda i: bullets[i] || ': ' || coalesce(nullif(ds[i], ''), 'No description')), chr(10)) END AS answer,
+ list_filter([CASE WHEN n > 0 AND intent <> 'impact' THEN 'What would be affected if ' || names[1] || ' changes?' END, CASE WHEN n > 0 AND intent <> 'dependency' THEN 'What does ' || names[1] || ' depend on?' END, CASE WHEN n > 0 AND types[1] = 'data-structure' THEN 'Show me the data flow for ' || names[1] END,
+  CASE WHEN n > 0 AND intent <> 'explanation' THEN 'Explain how ' || names[1] || ' works' END, CASE WHEN nr = 1 THEN 'What data does ' || rn || ' use?' END, CASE WHEN nr = 1 THEN 'Where is ' || rn || ' implemented?' END], lambda x: x IS NOT NULL)[1:4] AS fu FROM a)"""
+
+
+def evidence_of_customers(spark, sf):
+    """Questions, nodes and rules."""
+    intents_ = ("dependency", "impact", "search", "code-location", "explanation", "summary", "business-rule", "unknown")
+    k = F.col("c_custkey")
+    questions = table(spark, sf, "customer").select(k.alias("question_id"), F.element_at(F.array(*map(F.lit, intents_)), (k % 8 + 1).cast("int")).alias("intent"))
+    bought = edges(spark, sf).where("type = 'calls'").select(F.substring_index("source", ":", -1).cast("long").alias("question_id"), F.col("target").alias("id"), F.col("type").alias("kind"))
+    kind = F.when(F.col("confidence") < 0.5, "business-rule").when(F.col("id").endswith("1"), "data-structure").otherwise(F.col("type"))
+    found = bought.join(nodes(spark, sf), "id").select(
+        "question_id", "id", "name", kind.alias("type"), F.col("confidence").alias("score"), F.when(~F.col("id").endswith("2"), F.concat(F.lit("Supplies "), "kind")).alias("description"), F.when(F.col("id").endswith("3"), F.concat("id", F.lit(".cbl:1"))).alias("location"),
+    )
+    written = table(spark, sf, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(
+        F.col("doc_id").alias("question_id"), F.col("source").alias("name"), F.coalesce("lang", F.lit("none")).alias("category"), F.substring("text", 1, 100).alias("description"), F.when(F.col("doc_id") % 2 == 0, "a + b").alias("formula"), F.lit(0.875).alias("confidence"),
+    )
+    return questions, found, written
+
+
+@query("N12_answers", EVIDENCE + " SELECT question_id, answer, array_to_string(coalesce(ids[1:10], []), ' ') AS sources, array_to_string(fu, '|') AS follow_ups FROM ans")
 def answers(spark, sf):
-    found = edges(spark, sf).where("target = 's:1'").select(F.col("source").alias("id")).join(nodes(spark, sf), "id").select(F.lit(1).alias("question_id"), F.lit("dependency").alias("intent"), "id", "name", F.lit(1).alias("score"))
-    return mining.answers(found).select("question_id", "answer", F.array_join("sources", " ").alias("sources"), F.array_join("follow_ups", "|").alias("follow_ups"))
+    questions, found, written = evidence_of_customers(spark, sf)
+    return mining.answers(questions, found, written).select("question_id", "answer", F.array_join("sources", " ").alias("sources"), F.array_join("follow_ups", "|").alias("follow_ups"))
 
 
 @query("N13_confidence", "SELECT user_id, round(greatest(0.1, least(0.95, 0.8 * CASE WHEN count(*) FILTER (value > 100) = 0 THEN 0.3 WHEN count(*) FILTER (value > 100) > 5 THEN 1.1 ELSE 1.0 END)), 6)::DOUBLE AS confidence FROM events GROUP BY 1")
