@@ -314,26 +314,109 @@ def replay_rates(results: DataFrame) -> DataFrame:
     )
 
 
-def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, direct: float = 0.7) -> DataFrame:
+def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, direct: float = 0.7, cut=checkpointed) -> DataFrame:
     """``scores(by, a, b, score)``: in order of ``a`` each takes its best ``b`` over ``least`` not yet taken, of equal ones the first.
 
     Returns by, a, b, score and kind: direct over ``direct``, else refactored.
-    The scored pairs of one ``by`` (a file) meet in one task.
+    All ``a`` choose at once: a round gives each ``b`` to the first ``a`` that
+    has it as its best and takes it from all later ones, which can never get it.
+    When nothing is taken any more, every ``a`` has what it would have in turn.
     """
-    import pandas as pd
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, some in group.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=True):
-            free = some[~some["b"].isin(used)]
-            if len(free):
-                used.add(free["b"].iloc[0])
-                rows.append(free.iloc[:1])
-        return pd.concat(rows) if rows else group[:0]
-
-    columns = [*by, "a", "b", "score"]
-    kept = scores.where(F.col("score") > least).select(*columns)
-    return kept.groupBy(*by).applyInPandas(match, kept.schema).withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
+    by = list(by)
+    pairs = cut(scores.where(F.col("score") > least).select(*by, "a", "b", "score"))
+    count = pairs.count()
+    while True:
+        best = pairs.groupBy(*by, "a").agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("x")).select(*by, "a", "x.*")
+        holders = best.groupBy(*by, "b").agg(F.min("a").alias("_holder"))
+        left = cut(pairs.join(holders, [*by, "b"], "left").where(F.col("_holder").isNull() | (F.col("a") <= F.col("_holder"))).select(*by, "a", "b", "score"))
+        now = left.count()
+        if now == count:
+            return best.withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
+        pairs, count = left, now
+
+
+def code_fragments(lines: DataFrame, key: str, starts: str, ends: str) -> DataFrame:
+    """(key, start_line, end_line, content) of ``lines(key, line_no, line)`` cut where a line opens a block and after one that closes it.
+
+    A line that begins a fragment never closes it, so within a run of closing
+    lines every other one begins anew. Two running windows say so: each line
+    looks back to the last one whose part is certain.
+    """
+    text = F.trim("line")
+    before = f"PARTITION BY {key} ORDER BY line_no"
+    marked = lines.select(key, "line_no", "line", text.rlike(starts).alias("_opens"), text.rlike(ends).alias("_closes"))
+    marked = marked.withColumn("_open_end", F.expr(f"lag(_closes) OVER ({before})"))
+    sure = F.col("_open_end").isNull() | F.col("_opens") | ~F.col("_open_end")
+    first = F.col("_opens") | F.col("_open_end").isNull()
+    marked = marked.withColumn("_sure", F.when(sure, F.struct("line_no", first.alias("first")))).withColumn("_last", F.expr(f"last(_sure, true) OVER ({before})"))
+    begins = F.col("_last.first") == ((F.col("line_no") - F.col("_last.line_no")) % 2 == 0)
+    numbered = marked.withColumn("_begins", begins.cast("int")).withColumn("_fragment", F.expr(f"sum(_begins) OVER ({before})"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy(key, "_fragment").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), content.alias("content")).drop("_fragment")
+
+
+def fragment_scores(legacy: DataFrame, modern: DataFrame, key: str) -> DataFrame:
+    """(key, a, b, score) of fragments of a key that share a word of three letters or more: shared words over those of the longer.
+
+    ``a`` and ``b`` are their first lines. Fragments meet over their words.
+    """
+    def words(df: DataFrame, name: str) -> DataFrame:
+        plain = F.regexp_replace(F.lower("content"), "[^a-z0-9]", " ")
+        found = F.array_distinct(F.filter(F.split(plain, " +"), lambda w: F.length(w) > 2))
+        return df.select(key, F.col("start_line").alias(name), F.size(found).alias(f"n{name}"), F.explode(found).alias("_word"))
+
+    met = words(legacy, "a").join(words(modern, "b"), [key, "_word"]).groupBy(key, "a", "b", "na", "nb").agg(F.count("*").alias("_n"))
+    return met.select(key, "a", "b", (F.col("_n") / F.greatest("na", "nb")).alias("score"))
+
+
+def rule_mappings(legacy: DataFrame, modern: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, rule, a, b, kind) by ``rules(key, rule, name, first_line, last_line)``: legacy fragments of its lines with modern ones that hold its name.
+
+    Fragments are paired in order, the shorter side's first standing in for what it lacks. One with one is
+    direct, one with several split, several with one merged, else refactored.
+    """
+    name = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    old = legacy.join(rules, key).where((F.col("start_line") <= F.col("last_line")) & (F.col("end_line") >= F.col("first_line"))).select(key, "rule", F.col("start_line").alias("a"))
+    new = modern.join(rules, key).where(F.contains(F.lower("content"), name)).select(key, "rule", F.col("start_line").alias("b"))
+    place = lambda df, c: df.withColumn("_i", F.expr(f"row_number() OVER (PARTITION BY {key}, rule ORDER BY {c})"))
+    count = lambda df, n: df.groupBy(key, "rule").agg(F.count("*").alias(n), F.min("a" if n == "_na" else "b").alias(f"{n}_first"))
+    both = place(old, "a").join(place(new, "b"), [key, "rule", "_i"], "full_outer").join(count(old, "_na"), [key, "rule"]).join(count(new, "_nb"), [key, "rule"])
+    one, other = F.col("_na") == 1, F.col("_nb") == 1
+    kind = F.when(one & other, "direct").when(one, "split").when(other, "merged").otherwise("refactored")
+    return both.select(key, "rule", F.coalesce("a", "_na_first").alias("a"), F.coalesce("b", "_nb_first").alias("b"), kind.alias("kind"))
+
+
+def code_mappings(legacy: DataFrame, modern: DataFrame, key: str, rules: DataFrame | None = None, cut=checkpointed) -> DataFrame:
+    """(key, rule, a, b, kind, confidence): fragments paired by rules, then those left over by likeness."""
+    scores = cut(fragment_scores(legacy, modern, key))
+    named = rule_mappings(legacy, modern, rules, key) if rules is not None else None
+    free = scores
+    if named is not None:
+        named = cut(named.join(scores, [key, "a", "b"], "left").select(key, "rule", "a", "b", "kind", F.coalesce("score", F.lit(0.0)).alias("confidence")))
+        free = free.join(named.select(key, "a").distinct(), [key, "a"], "left_anti").join(named.select(key, "b").distinct(), [key, "b"], "left_anti")
+    rule_type = rules.schema["rule"].dataType if rules is not None else "string"
+    alike = greedy_matches(free.select(key, "a", "b", "score"), [key], cut=cut).select(key, F.lit(None).cast(rule_type).alias("rule"), "a", "b", "kind", F.col("score").alias("confidence"))
+    return alike if named is None else named.unionByName(alike)
+
+
+def risk_areas(mappings: DataFrame, legacy: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """(key, start_line, level, reason): mappings of a confidence under 0.5 (high under 0.3), and legacy fragments without mapping that hold rules (critical)."""
+    weak = mappings.where("confidence < 0.5").select(
+        key, F.col("a").alias("start_line"), F.when(F.col("confidence") < 0.3, "high").otherwise("medium").alias("level"), F.concat(F.lit("Low confidence mapping ("), F.floor(F.col("confidence") * 100 + 0.5).cast("string"), F.lit("%)")).alias("reason"),
+    )
+    unmapped = legacy.join(mappings.select(key, F.col("a").alias("start_line")).distinct(), [key, "start_line"], "left_anti")
+    held = unmapped.join(rules, key).where((F.col("start_line") <= F.col("last_line")) & (F.col("end_line") >= F.col("first_line"))).groupBy(key, "start_line").agg(F.count("*").alias("_n"))
+    lost = held.select(key, "start_line", F.lit("critical").alias("level"), F.concat(F.lit("Unmapped legacy code contains "), F.col("_n").cast("string"), F.lit(" business rule(s)")).alias("reason"))
+    return weak.unionByName(lost)
+
+
+def mapping_summary(mappings: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
+    """A row for each key of ``legacy``: mappings by kind, mean confidence, and the percentage of legacy lines mapped (a fragment counts in each of its mappings)."""
+    size = legacy.select(key, F.col("start_line").alias("a"), (F.col("end_line") - F.col("start_line") + 1).alias("_lines"))
+    kinds = ("direct", "refactored", "split", "merged")
+    of = mappings.join(size, [key, "a"]).groupBy(key).agg(F.count("*").alias("mappings"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.avg("confidence").alias("mean_confidence"), F.sum("_lines").alias("_mapped"))
+    all_ = size.groupBy(key).agg(F.sum("_lines").alias("_all")).join(of, key, "left").fillna(0, ["mappings", *kinds, "mean_confidence", "_mapped"])
+    return all_.select(key, "mappings", *kinds, "mean_confidence", F.floor(F.col("_mapped") / F.col("_all") * 100 + 0.5).alias("coverage"))
 
 
 def trace_statistics(events: DataFrame, place: Sequence[str], taken: str) -> DataFrame:

@@ -390,7 +390,12 @@ def fragments(spark, sf):
     return scored.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 
-@query("X27_greedy_matches")
+@query("X27_greedy_matches", """WITH RECURSIVE w AS (SELECT p_brand, p_partkey, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS t, string_split(p_name || ' ' || p_type, ' ') AS o FROM part),
+sc AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) / greatest(len(a.o), len(b.o), 1)::DOUBLE AS s FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
+cd AS (SELECT p_brand, a, row_number() OVER (PARTITION BY p_brand ORDER BY a) AS k, list({'b': b, 's': s} ORDER BY s DESC, b) AS c FROM sc WHERE s > 0.3 GROUP BY 1, 2),
+gr AS (SELECT p_brand, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::STRUCT(b BIGINT, s DOUBLE) AS x FROM (SELECT DISTINCT p_brand FROM cd)
+UNION ALL SELECT p_brand, k, CASE WHEN x IS NULL THEN used ELSE list_append(used, x.b) END, a, x FROM (SELECT gr.p_brand, cd.k, gr.used, cd.a, list_filter(cd.c, lambda y: NOT list_contains(gr.used, y.b))[1] AS x FROM gr JOIN cd ON cd.p_brand = gr.p_brand AND cd.k = gr.k + 1))
+SELECT p_brand, a, x.b AS b, x.s AS score, CASE WHEN x.s > 0.7 THEN 'direct' ELSE 'refactored' END AS kind FROM gr WHERE x IS NOT NULL""")
 def greedy(spark, sf):
     words = table(spark, sf, "part").select("p_brand", "p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("t"))
     # The two halves of a brand's parts stand for the fragments of a file and of its successor.
@@ -398,3 +403,45 @@ def greedy(spark, sf):
     b = words.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("b"), F.col("t").alias("tb"), F.explode("t").alias("w"))
     pairs = a.join(b, ["p_brand", "w"]).select("p_brand", "a", "ta", "b", "tb").distinct()
     return x.greedy_matches(pairs.select("p_brand", "a", "b", x.token_overlap(F.col("ta"), F.col("tb")).alias("score")), ["p_brand"])
+
+
+OPENS, CLOSES = "^[A-F]", "s[.]$"
+
+
+def versions_of_code(spark, sf):
+    """Fragments of every text, of a later version of it, and rules that lie in its third to sixth line."""
+    from tessera.operators.mining import lines
+
+    docs = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    later = docs.withColumn("text", F.regexp_replace("text", "(?<![a-z])(the|of|de|der|la) ", "changed "))
+    old, new = (x.code_fragments(lines(df, "doc_id", "text"), "doc_id", OPENS, CLOSES) for df in (docs, later))
+    ruled = docs.select("doc_id", F.col("source").alias("rule"), F.lit("changed").alias("name"), F.lit(3).alias("first_line"), F.lit(6).alias("last_line"))
+    return old, new, ruled
+
+
+# A line that begins a fragment never closes it, so closings are followed one line after another.
+FRAGMENTS = """ln AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL),
+st AS (SELECT doc_id, l, [regexp_matches(trim(x), '^[A-F]') for x in l] AS o, [regexp_matches(trim(x), 's[.]$') for x in l] AS c FROM ln),
+fl AS (SELECT doc_id, l, list_reduce(list_prepend([true], list_transform(range(2, len(l) + 1), lambda i: [o[i], c[i - 1]])), lambda acc, n: list_append(acc, n[1] OR (n[2] AND NOT acc[-1]))) AS first FROM st),
+fr AS (SELECT doc_id, i AS start_line, coalesce(list_filter(range(i + 1, len(l) + 1), lambda j: first[j])[1], len(l) + 1) - 1 AS end_line, l FROM (SELECT doc_id, l, first, unnest(list_filter(range(1, len(l) + 1), lambda i: first[i])) AS i FROM fl))"""
+
+
+@query("X27_fragments", f"WITH {FRAGMENTS} SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line, md5(array_to_string(l[start_line:end_line], chr(10))) AS content FROM fr")
+def code_fragments(spark, sf):
+    return versions_of_code(spark, sf)[0].withColumn("content", F.md5(F.col("content").cast("binary")))
+
+
+@query("X27_code_mappings")
+def code_mappings(spark, sf):
+    """Mappings of every text's fragments to those of its later version, by rule and by likeness."""
+    old, new, ruled = versions_of_code(spark, sf)
+    return x.code_mappings(old, new, "doc_id", ruled)
+
+
+@query("X27_risks_and_coverage")
+def risks_and_coverage(spark, sf):
+    """Coverage of every text by its mappings, with its risk areas by level."""
+    old, new, ruled = versions_of_code(spark, sf)
+    mapped = x.checkpointed(x.code_mappings(old, new, "doc_id", ruled))
+    risks = x.risk_areas(mapped, old, "doc_id", ruled).groupBy("doc_id").agg(*[F.count_if(F.col("level") == k).alias(k) for k in ("critical", "high", "medium")])
+    return x.mapping_summary(mapped, old, "doc_id").join(risks, "doc_id", "left").fillna(0, ["critical", "high", "medium"])
