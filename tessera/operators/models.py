@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import checkpointed
 from tessera.operators.quality import hash_unit, union_all
 from tessera.operators.traces import guarded_corr
 
@@ -281,6 +284,172 @@ def stratified(cases: DataFrame, by: Sequence[str], key: str, each: int, seed: i
     return drawn.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY _u, {key})")).where(F.col("_r") <= each).drop("_r", "_u")
 
 
+# Fixed values of the survey: ranks of priorities.
+PRIORITY_RANKS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+
+
+def diverse_selection(cases: DataFrame, key: str, fields: Sequence[str], priority: str, count: int, bias: float = 0.5, pulled: int = 1000, cut=checkpointed) -> DataFrame:
+    """``count`` of ``cases``: the first by priority, then one by one the case that differs most from those selected.
+
+    A share of 1 - ``bias`` is taken by priority (critical to low, then by
+    ``key``); of the others, those whose fields all equal a selected case's are
+    left out. Two cases differ in the fields with different values (nulls are a
+    value); of equally different ones the first by priority is taken.
+
+    What a case differs by follows from how many of the selected have each of
+    its values, so no cases meet in pairs. Such counts only grow: a round
+    ranks all cases by them once and brings the ``pulled`` best; as long as the
+    best of these, with counts kept up, is no worse than the last of them was,
+    no other case can be better. The driver holds ``pulled`` cases and the
+    counts of the selected ones; ``count`` is a size that the caller asks for.
+    """
+    rank = F.lit(0)
+    for name, value in PRIORITY_RANKS.items():
+        rank = F.when(F.col(priority) == name, value).otherwise(rank)
+    values = [F.coalesce(F.col(f).cast("string"), F.lit("\x00")).alias(f"_v{k}") for k, f in enumerate(fields)]
+    names = [f"_v{k}" for k in range(len(fields))]
+    ranked = cut(cases.select(F.col(key).alias("_key"), (-rank).alias("_rank"), *values))
+    order = ["_rank", "_key"]
+    first = ranked.orderBy(*order).limit(count + 1).collect()
+    if len(first) <= count:
+        return cases
+    chosen = first[: math.floor(count * (1 - bias))]
+    spark = cases.sparkSession
+    rest = ranked
+    if chosen:
+        rest = cut(ranked.join(F.broadcast(spark.createDataFrame(chosen, ranked.schema).select(*names).distinct()), names, "left_anti"))  # count rows at most
+    seen = [Counter(r[v] for r in chosen) for v in names]
+    cost = lambda r: sum(c[r[v]] for c, v in zip(seen, names, strict=True))
+    while len(chosen) < count:
+        asked = rest
+        for k, v in enumerate(names):  # as many rows as cases are selected, at most
+            counts = spark.createDataFrame(list(seen[k].items()) or [("", 0)], f"{v} string, _c{k} long")
+            asked = asked.join(F.broadcast(counts), v, "left")
+        total = sum([F.coalesce(F.col(f"_c{k}"), F.lit(0)) for k in range(len(names))], F.lit(0))
+        taken = spark.createDataFrame([(r["_key"],) for r in chosen], ranked.select("_key").schema)
+        asked = asked.join(F.broadcast(taken), "_key", "left_anti").withColumn("_cost", total)
+        best = asked.orderBy("_cost", *order).limit(pulled).collect()
+        if not best:
+            break
+        last = best[-1]
+        bound = (last["_cost"], last["_rank"], last["_key"])
+        while best and len(chosen) < count:
+            pick = min(best, key=lambda r: (cost(r), r["_rank"], r["_key"]))
+            if (cost(pick), pick["_rank"], pick["_key"]) > bound:
+                break
+            chosen.append(pick)
+            best.remove(pick)
+            for c, v in zip(seen, names, strict=True):
+                c[pick[v]] += 1
+    picked = spark.createDataFrame([(r["_key"],) for r in chosen], ranked.select("_key").schema).withColumnRenamed("_key", key)
+    return cases.join(F.broadcast(picked), key, "left_semi")
+
+
+# Fixed values of the survey: categories of symbolic inputs and properties of property-based ones, by bounds that may be missing.
+SYMBOLIC = ("low", "high", "zero", "middle", "outside")
+PROPERTIES = ("positive", "negative", "zero", "large", "small")
+
+
+def symbolic_cases(signature: DataFrame) -> DataFrame:
+    """(name, case, value) for (name, low, high): a bound each, zero, the middle, and a value outside."""
+    low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1000.0))
+    outside = F.when(F.coalesce(F.col("low"), F.lit(0.0)) != 0, F.when(F.col("low") > 0, -1.0).otherwise(F.coalesce("high", F.lit(0.0)) + 1)).otherwise(F.coalesce("high", F.lit(0.0)) + 1)
+    values = (low, high, F.lit(0.0), low + (high - low) / 2, outside)
+    return signature.select("name", F.explode(F.array(*[F.struct(F.lit(c).alias("case"), v.alias("value")) for c, v in zip(SYMBOLIC, values, strict=True)])).alias("x")).select("name", "x.*")
+
+
+def property_cases(signature: DataFrame) -> DataFrame:
+    """(name, property, value) for (name, low, high): the largest magnitude above and below zero, zero, and the bounds."""
+    large = float((1 << 53) - 1) / 2
+    values = (F.abs(F.coalesce("high", F.lit(100.0))), -F.abs(F.coalesce("low", F.lit(100.0))), F.lit(0.0), F.coalesce("high", F.lit(large)), F.coalesce("low", F.lit(-large)))
+    return signature.select("name", F.explode(F.array(*[F.struct(F.lit(c).alias("property"), v.alias("value")) for c, v in zip(PROPERTIES, values, strict=True)])).alias("x")).select("name", "x.*")
+
+
+#: Which side of its value a comparison holds on: below, above, and whether on the value itself.
+SIDES = {"greater_than": (False, False, True), "greater_or_equal": (False, True, True), "less_than": (True, False, False), "less_or_equal": (True, True, False), "equals": (False, True, False), "not_equals": (True, False, True)}
+
+
+def _settings(rule: dict, wanted: bool, step: float) -> list[dict[str, tuple[float, float]]]:
+    """Boxes (field to interval) on which the whole of ``rule`` is ``wanted``; alternatives are boxes of their own."""
+    if "not" in rule:
+        return _settings(rule["not"], not wanted, step)
+    if "all" in rule or "any" in rule:
+        parts = rule.get("all", rule.get("any"))
+        if ("all" in rule) != wanted:  # one part decides
+            return [box for p in parts for box in _settings(p, wanted, step)]
+        boxes: list[dict] = [{}]
+        for p in parts:
+            boxes = [m for a in boxes for b in _settings(p, wanted, step) if (m := _both(a, b)) is not None]
+        return boxes
+    below, on, above = SIDES[rule["operator"]]
+    v, f, inf = float(rule["value"]), rule["field"], math.inf
+    sides = [(below, (-inf, v - step)), (on, (v, v)), (above, (v + step, inf))]
+    return [{f: interval} for holds, interval in sides if holds == wanted]
+
+
+def _both(a: dict, b: dict) -> dict | None:
+    """Where both boxes hold, if anywhere."""
+    out = dict(a)
+    for f, (low, high) in b.items():
+        was = out.get(f, (-math.inf, math.inf))
+        out[f] = (max(was[0], low), min(was[1], high))
+        if out[f][0] > out[f][1]:
+            return None
+    return out
+
+
+def branch_boxes(rule: dict, step: float = 1.0) -> list[tuple[int, str, dict]]:
+    """(leaf, side, box): for each comparison of a condition tree, below, on and above its value, the intervals of other fields where it alone decides.
+
+    Intervals are propagated down the tree: where a comparison stands in an
+    ``all``, its siblings must hold, in an ``any`` they must not. Sides that
+    cannot be reached so are left out.
+    """
+    out, count = [], 0
+
+    def visit(node: dict, boxes: list[dict]) -> None:
+        nonlocal count
+        if "not" in node:
+            visit(node["not"], boxes)
+        elif "all" in node or "any" in node:
+            parts = node.get("all", node.get("any"))
+            for i, part in enumerate(parts):
+                here = boxes
+                for j, other in enumerate(parts):
+                    if j != i:
+                        here = [m for a in here for b in _settings(other, "all" in node, step) if (m := _both(a, b)) is not None]
+                visit(part, here)
+        else:
+            v, leaf = float(node["value"]), count
+            count += 1
+            for side, interval in (("below", (v - step, v - step)), ("on", (v, v)), ("above", (v + step, v + step))):
+                box = next((m for a in boxes if (m := _both(a, {node["field"]: interval})) is not None), None)
+                if box is not None:
+                    out.append((leaf, side, box))
+
+    visit(rule, [{}])
+    return out
+
+
+def branch_cases(rule: dict, signature: DataFrame, fields: Sequence[str], step: float = 1.0) -> DataFrame:
+    """(leaf, side, each field, outcome): inputs on either side of each branch of ``rule``, with what it says of them.
+
+    Other fields take the value of their interval next to the middle of what
+    ``signature(name, low, high)`` has seen, so inputs are as usual as the
+    branch allows. The tree is configuration; the bounds are counted by Spark.
+    """
+    from tessera.operators.mining import compile_condition
+
+    spark = signature.sparkSession
+    rows = [(leaf, side, f, box.get(f, (None, None))[0], box.get(f, (None, None))[1]) for leaf, side, box in branch_boxes(rule, step) for f in fields]
+    rows = [(a, b, f, None if low in (None, -math.inf) else low, None if high in (None, math.inf) else high) for a, b, f, low, high in rows]
+    asked = spark.createDataFrame(rows, "leaf int, side string, name string, _low double, _high double")
+    usual = (F.col("low") + F.col("high")) / 2
+    value = F.least(F.greatest(usual, F.coalesce("_low", usual)), F.coalesce("_high", F.greatest(usual, F.coalesce("_low", usual))))
+    filled = F.broadcast(asked).join(signature, "name").groupBy("leaf", "side").pivot("name", list(fields)).agg(F.first(value))
+    return filled.withColumn("outcome", compile_condition(rule))
+
+
 def shrunk(value, fails, rounds: int = 1000):
     """A smaller failing input than ``value``, by halving: numbers towards 0, texts and lists to a half, dicts field by field.
 

@@ -218,6 +218,51 @@ def selection(spark, sf):
     return m.stratified(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey", 20).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+# The first twenty by priority; then one by one the order that shares least with those selected.
+DIVERSE = """WITH RECURSIVE c AS (SELECT o_orderkey AS id, o_orderstatus AS f1, o_orderpriority AS f2, strftime(o_orderdate, '%Y-%m') AS f3, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 4 ELSE 5 END, o_orderkey) AS r FROM orders),
+b AS (SELECT * FROM c WHERE r <= 20), rest AS (SELECT * FROM c WHERE (f1, f2, f3) NOT IN (SELECT (f1, f2, f3) FROM b)),
+g AS (SELECT 20::BIGINT AS k, (SELECT list(id) FROM b) AS ids, (SELECT list(f1) FROM b) AS s1, (SELECT list(f2) FROM b) AS s2, (SELECT list(f3) FROM b) AS s3
+UNION ALL SELECT k + 1, list_append(ids, p.id), list_append(s1, p.f1), list_append(s2, p.f2), list_append(s3, p.f3) FROM (SELECT g.k, any_value(ids) AS ids, any_value(s1) AS s1, any_value(s2) AS s2, any_value(s3) AS s3,
+ arg_min({'id': id, 'f1': f1, 'f2': f2, 'f3': f3}, (len(list_filter(s1, lambda x: x = f1)) + len(list_filter(s2, lambda x: x = f2)) + len(list_filter(s3, lambda x: x = f3))) * 1000000000 + r) AS p FROM g, rest WHERE NOT list_contains(ids, id) GROUP BY g.k) WHERE k < 40)"""
+
+
+@query("M20_diverse_selection", DIVERSE + " SELECT unnest(ids) AS o_orderkey FROM g WHERE k = 40")
+def diverse(spark, sf):
+    kind = F.col("o_orderpriority")
+    rank = F.when(kind == "1-URGENT", "critical").when(kind == "2-HIGH", "high").when(kind == "3-MEDIUM", "medium").when(kind == "5-LOW", "low").otherwise("none")
+    cases = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", kind, F.date_format("o_orderdate", "yyyy-MM").alias("month"), rank.alias("priority"))
+    return m.diverse_selection(cases, "o_orderkey", ["o_orderstatus", "o_orderpriority", "month"], "priority", 40).select("o_orderkey")
+
+
+def bounds_of_runs(spark, sf):
+    of = runs(spark, sf).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("quantity", "price", "discount") for f in (F.min, F.max)])
+    return of.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"min_{c}").alias("low"), F.col(f"max_{c}").alias("high")) for c in ("quantity", "price", "discount")])).alias("x")).select("x.*")
+
+
+BOUNDS = RUNS + ", b AS (SELECT unnest(['quantity', 'price', 'discount']) AS name, unnest([min(quantity), min(price), min(discount)]) AS low, unnest([max(quantity), max(price), max(discount)]) AS high FROM runs)"
+
+
+@query("M26_symbolic_cases", BOUNDS + " SELECT name, unnest(['low', 'high', 'zero', 'middle', 'outside']) AS \"case\", unnest([low, high, 0, low + (high - low) / 2, CASE WHEN low > 0 THEN -1 ELSE high + 1 END]) AS value FROM b")
+def symbolic(spark, sf):
+    return m.symbolic_cases(bounds_of_runs(spark, sf))
+
+
+@query("M26_property_cases", BOUNDS + " SELECT name, unnest(['positive', 'negative', 'zero', 'large', 'small']) AS property, unnest([abs(high), -abs(low), 0, high, low]) AS value FROM b")
+def properties(spark, sf):
+    return m.property_cases(bounds_of_runs(spark, sf))
+
+
+RULE = {"any": [{"all": [{"field": "quantity", "operator": "greater_than", "value": 10}, {"field": "discount", "operator": "less_or_equal", "value": 3}]}, {"not": {"field": "price", "operator": "less_than", "value": 900}}]}
+
+
+# Each comparison decides alone: the other of its pair holds, and the other way to the whole does not.
+@query("M26_branch_cases", BOUNDS + """, u AS (SELECT max((low + high) / 2) FILTER (name = 'quantity') AS q, max((low + high) / 2) FILTER (name = 'discount') AS d, max((low + high) / 2) FILTER (name = 'price') AS p FROM b),
+c AS (SELECT 0 AS leaf, s.side, s.v AS quantity, least(d, 2) AS discount, least(p, 899) AS price FROM u, (VALUES ('below', 9::DOUBLE), ('on', 10), ('above', 11)) s(side, v) UNION ALL SELECT 1, s.side, greatest(q, 11), s.v, least(p, 899) FROM u, (VALUES ('below', 2::DOUBLE), ('on', 3), ('above', 4)) s(side, v)
+UNION ALL SELECT 2, s.side, least(q, 9), d, s.v FROM u, (VALUES ('below', 899::DOUBLE), ('on', 900), ('above', 901)) s(side, v)) SELECT *, (quantity > 10 AND discount <= 3) OR NOT price < 900 AS outcome FROM c""")
+def branch_cases(spark, sf):
+    return m.branch_cases(RULE, bounds_of_runs(spark, sf), ["quantity", "price", "discount"])
+
+
 @query("M21_anonymize", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS hashed, regexp_replace(regexp_replace(c_name, '[0-9]', '9', 'g'), '[A-Za-z]', 'X', 'g') AS masked, CAST(floor(c_acctbal / 100) * 100 AS BIGINT) AS general, 'tok_' || substr(md5(c_mktsegment), 1, 12) AS token FROM customer")
 def anonymize(spark, sf):
     name = F.col("c_name")
