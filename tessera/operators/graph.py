@@ -553,7 +553,7 @@ def layout(nodes: DataFrame, kind: str, step: float = 100.0, columns: int = 10,
 
     ``levels(id, level)`` come from :func:`longest_levels` or, for a radial
     layout, from the distances of :func:`reach`; nodes without one are left
-    out. A ring's radius grows with its level. The force layout is left out.
+    out. A ring's radius grows with its level. For forces see :func:`force_layout`.
     """
     if kind in ("grid", "circular"):
         rows, by = nodes.select("id", "type"), ["type"]
@@ -570,6 +570,54 @@ def layout(nodes: DataFrame, kind: str, step: float = 100.0, columns: int = 10,
     return rows.select("id", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
 
 
+def force_layout(nodes: DataFrame, edges: DataFrame, iterations: int | None = None, repulsion: float = 100.0, edge_length: float = 150.0, gravity: float = 0.1, grid: int = 16, cut=checkpointed) -> DataFrame:
+    """(id, x, y) after so many rounds of forces (300 or twice the nodes, if fewer): nodes repel, edges attract, gravity pulls to the middle; all cool down.
+
+    Nodes start on a circle in order of their ids. Each repels as a member of
+    its cell of a ``grid`` by ``grid`` raster over all nodes: a node feels every
+    other cell at its centroid with its number of nodes, and its own cell
+    without itself. Where each node is alone in its cell that is every pair. A
+    round brings one row of at most ``grid`` squared cells to every task and
+    joins the edges with both their ends; no two nodes meet otherwise. Loops
+    and repeated edges pull as often as they stand; edges to other nodes don't.
+    """
+    ids = placed(nodes.select("id").distinct(), [], ["id"], cut)
+    n = ids.count()
+    rounds = min(300, 2 * n) if iterations is None else iterations
+    angle, radius = F.lit(6.283185307179586) * F.col("place") / max(n, 1), n**0.5 * 50
+    at = cut(ids.select("id", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))
+    links = cut(edges.select("source", "target"))
+    for k in range(rounds):
+        alpha = 1 - k / rounds
+        box = at.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        cell = lambda c: F.least(F.lit(grid - 1), F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(f"{c}0")) * grid, F.col(f"{c}1") - F.col(f"{c}0")), F.lit(0.0)))).cast("int")
+        here = at.crossJoin(F.broadcast(box)).select("id", "x", "y", "vx", "vy", (cell("x") * grid + cell("y")).alias("cell"))  # one row
+        cells = here.groupBy("cell").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+        cells = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "sx", "sy"))).alias("cells"))  # grid * grid at most
+        own = lambda z: (z["cell"] == F.col("cell")).cast("int")
+
+        def push(z, axis):
+            count = z["n"] - own(z)
+            dx, dy = (z["sx"] - own(z) * F.col("x")) / count - F.col("x"), (z["sy"] - own(z) * F.col("y")) / count - F.col("y")
+            distance = F.sqrt(dx * dx + dy * dy)
+            distance = F.when(distance == 0, 1.0).otherwise(distance)
+            return F.when(count > 0, -(dx if axis == "x" else dy) / distance * repulsion * alpha / (distance * distance) * count).otherwise(0.0)  # noqa: B023
+
+        total = lambda axis: F.aggregate("cells", F.lit(0.0), lambda a, z: a + push(z, axis))  # noqa: B023, E731
+        pushed = here.crossJoin(F.broadcast(cells)).select("id", "x", "y", (F.col("vx") + total("x")).alias("vx"), (F.col("vy") + total("y")).alias("vy"))  # one row
+        ends = links.join(at.select(F.col("id").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay")), "source").join(at.select(F.col("id").alias("target"), F.col("x").alias("bx"), F.col("y").alias("by")), "target")
+        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+        distance = F.sqrt(dx * dx + dy * dy)
+        distance = F.when(distance == 0, 1.0).otherwise(distance)
+        force = (distance - edge_length) / distance * alpha * 0.5
+        drawn = ends.select("source", "target", (dx * force).alias("fx"), (dy * force).alias("fy"))
+        both = drawn.select(F.col("source").alias("id"), "fx", "fy").unionAll(drawn.select("target", -F.col("fx"), -F.col("fy"))).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+        speed = lambda c: F.col(f"v{c}") + F.coalesce(f"f{c}", F.lit(0.0)) - F.col(c) * gravity * alpha  # noqa: B023, E731
+        moved = pushed.join(both, "id", "left").select("id", "x", "y", speed("x").alias("vx"), speed("y").alias("vy"))
+        at = cut(moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), (F.col("vx") * 0.6).alias("vx"), (F.col("vy") * 0.6).alias("vy")))
+    return at.select("id", "x", "y")
+
+
 def recommendations(nodes: DataFrame, degree: DataFrame, cycles: DataFrame, rule_type: str = "business-rule") -> DataFrame:
     """(advice, severity, n, first_nodes) of each rule that holds; ``first_nodes`` are up to five affected ids.
 

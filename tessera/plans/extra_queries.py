@@ -52,6 +52,28 @@ def radial(spark, sf):
     return g.layout(nodes(spark, sf), "radial", levels=rings).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
+def force_round(k, rounds, grid=8):
+    """One round of forces as SQL, from p{k} to p{k+1}."""
+    a, top = f"{1 - k / rounds!r}::DOUBLE", grid - 1
+    place = lambda c: f"least({top}, floor(coalesce(({c} - {c}0) * {grid} / nullif({c}1 - {c}0, 0), 0)))::INT"
+    return f"""bx{k} AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p{k}), h{k} AS MATERIALIZED (SELECT id, x, y, vx, vy, {place('x')} * {grid} + {place('y')} AS cell FROM p{k}, bx{k}),
+c{k} AS MATERIALIZED (SELECT cell, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM h{k} GROUP BY 1), q{k} AS (SELECT h.id, h.x, h.y, h.vx, h.vy, c.n - (c.cell = h.cell)::INT AS n, (c.sx - CASE WHEN c.cell = h.cell THEN h.x ELSE 0 END) AS sx, (c.sy - CASE WHEN c.cell = h.cell THEN h.y ELSE 0 END) AS sy FROM h{k} h, c{k} c),
+d{k} AS (SELECT *, sx / n - x AS dx, sy / n - y AS dy FROM q{k} WHERE n > 0), r{k} AS MATERIALIZED (SELECT id, sum(-dx / l * 100 * {a} / (l * l) * n) AS fx, sum(-dy / l * 100 * {a} / (l * l) * n) AS fy FROM (SELECT *, coalesce(nullif(sqrt(dx * dx + dy * dy), 0), 1) AS l FROM d{k}) GROUP BY 1),
+e{k} AS (SELECT source, target, b.x - a.x AS dx, b.y - a.y AS dy, coalesce(nullif(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 0), 1) AS l FROM edges JOIN p{k} a ON a.id = source JOIN p{k} b ON b.id = target),
+g{k} AS MATERIALIZED (SELECT id, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT source AS id, dx * (l - 150) / l * {a} * 0.5 AS fx, dy * (l - 150) / l * {a} * 0.5 AS fy FROM e{k} UNION ALL SELECT target, -dx * (l - 150) / l * {a} * 0.5, -dy * (l - 150) / l * {a} * 0.5 FROM e{k}) GROUP BY 1),
+s{k} AS (SELECT p.id, p.x, p.y, p.vx + coalesce(r.fx, 0) + coalesce(g.fx, 0) - p.x * 0.1 * {a} AS vx, p.vy + coalesce(r.fy, 0) + coalesce(g.fy, 0) - p.y * 0.1 * {a} AS vy FROM p{k} p LEFT JOIN r{k} r USING (id) LEFT JOIN g{k} g USING (id)),
+p{k + 1} AS MATERIALIZED (SELECT id, x + vx AS x, y + vy AS y, vx * 0.6::DOUBLE AS vx, vy * 0.6::DOUBLE AS vy FROM s{k})"""
+
+
+FORCE = TREE + ", p0 AS (SELECT id, cos(2 * pi() * k / n) * sqrt(n) * 50 AS x, sin(2 * pi() * k / n) * sqrt(n) * 50 AS y, 0::DOUBLE AS vx, 0::DOUBLE AS vy FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM nodes)), " + ", ".join(force_round(k, 3) for k in range(3))
+
+
+@query("G22_force_layout", FORCE + " SELECT id, round(x, 2) + 0.0 AS x, round(y, 2) + 0.0 AS y FROM p3")
+def force(spark, sf):
+    found = g.force_layout(nodes(spark, sf), tree_edges(spark, sf), iterations=3, grid=8)
+    return found.select("id", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"))
+
+
 @query("A21_full_analysis", GRAPH_R + FAR + DEGREES + LPA.removeprefix(UNDIRECTED) + MEASURES + """, ek AS (SELECT id, count(*) AS k FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), m2 AS (SELECT count(*) * 2.0::DOUBLE AS m2 FROM edges),
 cs AS (SELECT label, count(*) AS size FROM l10 GROUP BY 1), cx AS (SELECT la AS label, (la = lb)::INT AS inner_ FROM e2 UNION ALL SELECT lb, 0 FROM e2 WHERE la <> lb), cc AS (SELECT label, sum(inner_) AS internal, sum(1 - inner_) AS external FROM cx GROUP BY 1),
 co AS (SELECT CASE WHEN size > 1 THEN coalesce(internal, 0) * 2.0::DOUBLE / (size * (size - 1)) ELSE 0 END AS cohesion, coalesce(external / (internal + external)::DOUBLE, 0) AS coupling FROM cs LEFT JOIN cc USING (label)),
