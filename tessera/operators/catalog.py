@@ -109,23 +109,23 @@ def _touches(term: str):
 def keyword_search(rules: DataFrame, question: str, text: str, key: str, least: float = 0.3, limit: int = 10) -> DataFrame:
     """Share of the question's words that contain, or are contained in, some word of the text.
 
-    Words are not cut out of the texts: a word that contains the term is found
-    by the term itself, and one that it contains by a pattern of the term's own
-    parts between separators. Only terms that are part of a stop word need
-    whole words.
+    A word that contains the term is found by the term itself; for words that
+    it contains each text is cut at its separators once, and its words are held
+    against the term's own parts as a set. Only terms that are part of a stop
+    word need words one by one.
     """
     asked = [w for w in dict.fromkeys(question.lower().split()) if len(w) > 2 and w not in STOP_WORDS]
-    low, hits = F.lower(text), []
+    cut = rules.select(key, F.col(text).alias("_text"), F.lower(text).alias("_low")).withColumn("_words", F.split("_low", SEPARATORS))
+    hits = []
     for a in asked:
         parts = sorted({a[i:j] for i in range(len(a)) for j in range(i + 3, len(a) + 1)} - set(STOP_WORDS))
-        edge = SEPARATORS[:-1]
         if re.search(SEPARATORS, a) or any(a in stop for stop in STOP_WORDS):
-            hits.append(F.exists(tokens(F.col(text)), _touches(a)))
+            hits.append(F.exists(tokens(F.col("_text")), _touches(a)))
         else:
-            hits.append(low.contains(a) | low.rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, parts))})(?:{edge}|$)"))
+            hits.append(F.col("_low").contains(a) | F.arrays_overlap("_words", F.array(*map(F.lit, parts))))
     hits = [F.coalesce(h, F.lit(False)).cast("int") for h in hits]
     score = sum(hits[1:], hits[0]) / F.lit(len(asked))
-    return rules.select(key, score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
+    return cut.select(key, score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
 
 
 def related_rules(rules: DataFrame, one: DataFrame, key: str, limit: int = 10) -> DataFrame:

@@ -171,14 +171,14 @@ def random_cases(signature: DataFrame, count: int, seed: int) -> DataFrame:
     return draws.select("name", "k", (F.col("low") + unit * (F.col("high") - F.col("low"))).alias("value"))
 
 
-def partition_cases(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
-    """(case, value): the middles of the four quarters of a column, and its mean."""
+def partition_cases(df: DataFrame, column: str, accuracy: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, case, value): the middles of the four quarters of a column, and its mean, in each group."""
     cuts = F.expr(f"array(min({column}), percentile_disc(0.25) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.5) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.75) WITHIN GROUP (ORDER BY {column}), max({column}))")
     if accuracy is not None:
         cuts = F.concat(F.array(F.min(column)), F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy), F.array(F.max(column)))
-    one = df.agg(cuts.alias("q"), F.avg(column).alias("mean"))
+    one = df.groupBy(*by).agg(cuts.alias("q"), F.avg(column).alias("mean"))
     rows = [F.struct(F.lit(f"quarter-{k + 1}").alias("case"), ((F.col("q")[k] + F.col("q")[k + 1]) / 2).cast("double").alias("value")) for k in range(4)]
-    return one.select(F.explode(F.array(*rows, F.struct(F.lit("mean").alias("case"), F.col("mean").cast("double").alias("value")))).alias("x")).select("x.*")
+    return one.select(*by, F.explode(F.array(*rows, F.struct(F.lit("mean").alias("case"), F.col("mean").cast("double").alias("value")))).alias("x")).select(*by, "x.*")
 
 
 def text_cases(longest: int = 1000) -> list[tuple[str, str]]:

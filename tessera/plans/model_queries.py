@@ -12,6 +12,7 @@ from tessera.plans.roles import legacy_modern, runs, trace, with_roles
 from tessera.session import table
 
 RUNS, TRACE = with_roles("runs"), with_roles("trace")
+UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 COLUMNS = ("quantity", "price", "discount", "tax", "net")
 
 
@@ -180,7 +181,6 @@ def boundary(spark, sf):
     return rounded(m.boundary_cases(signature(spark, sf)), 3, "value")
 
 
-UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
 @query("M17_random_cases", RUNS + ", s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM runs" for c in ("quantity", "price")) + "), d AS (SELECT *, unnest(range(1, 101)) AS k FROM s) SELECT name, k::INT AS k, round(low + " + UNIT.format("'7:' || name || ':' || k") + " * (high - low), 6) AS value FROM d")
@@ -263,6 +263,20 @@ def branch_cases(spark, sf):
     return m.branch_cases(RULE, bounds_of_runs(spark, sf), ["quantity", "price", "discount"])
 
 
+@query("M25_partition_cases", RUNS + """, q AS (SELECT flag, [min(quantity), quantile_disc(quantity, 0.25), quantile_disc(quantity, 0.5), quantile_disc(quantity, 0.75), max(quantity)] AS c, avg(quantity) AS mean FROM runs GROUP BY 1)
+SELECT flag, unnest(['quarter-1', 'quarter-2', 'quarter-3', 'quarter-4', 'mean']) AS \"case\", round(unnest([(c[1] + c[2]) / 2, (c[2] + c[3]) / 2, (c[3] + c[4]) / 2, (c[4] + c[5]) / 2, mean]), 6)::DOUBLE AS value FROM q""")
+def partition_cases_of_rules(spark, sf):
+    """Rules are what a return flag says of quantities."""
+    cases = m.partition_cases(runs(spark, sf), "quantity", by=["flag"])
+    return cases.select("flag", "case", F.round("value", 6).alias("value"))
+
+
+@query("M25_random_cases", RUNS + ", s AS (SELECT flag AS name, min(quantity)::DOUBLE AS low, max(quantity)::DOUBLE AS high FROM runs GROUP BY 1), d AS (SELECT name, low, high, unnest(range(1, 101))::INT AS k FROM s) SELECT name, k, round(low + " + UNIT.format("'5:' || name || ':' || k") + " * (high - low), 6)::DOUBLE AS value FROM d")
+def random_cases_of_rules(spark, sf):
+    signature = runs(spark, sf).groupBy(F.col("flag").alias("name")).agg(F.min("quantity").cast("double").alias("low"), F.max("quantity").cast("double").alias("high"))
+    return m.random_cases(signature, 100, 5).select("name", "k", F.round("value", 6).alias("value"))
+
+
 @query("M21_anonymize", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS hashed, regexp_replace(regexp_replace(c_name, '[0-9]', '9', 'g'), '[A-Za-z]', 'X', 'g') AS masked, CAST(floor(c_acctbal / 100) * 100 AS BIGINT) AS general, 'tok_' || substr(md5(c_mktsegment), 1, 12) AS token FROM customer")
 def anonymize(spark, sf):
     name = F.col("c_name")
@@ -416,6 +430,19 @@ def window_health(spark, sf):
     return rounded(out, 6, "error_rate", "availability").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# Hourly sketches merged by event type: exact counts and extremes, percentiles whose true rank is as near as stated (a margin for small groups).
+@query("O16_merged_percentiles", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, true AS p50_near, true AS p99_near FROM events WHERE value IS NOT NULL GROUP BY 1")
+def merged_percentiles(spark, sf):
+    points = table(spark, sf, "events")
+    stored = o.percentile_sketches(points, ["event_type"], "ts", "value", "1 hour")
+    merged = o.merged_percentiles(stored, ["event_type"])
+    ranks = points.join(F.broadcast(merged), "event_type").groupBy("event_type", "n", "low", "high").agg(*[
+        F.struct((F.avg((F.col("value") < F.col(p)).cast("double"))).alias("under"), F.avg((F.col("value") <= F.col(p)).cast("double")).alias("upto")).alias(p) for p in ("p50", "p99")
+    ])
+    near = lambda p, q: ((F.col(f"{p}.under") <= q + 2 * o.KLL_ERROR) & (F.col(f"{p}.upto") >= q - 2 * o.KLL_ERROR)).alias(f"{p}_near")
+    return ranks.select("event_type", "n", "low", "high", near("p50", 0.5), near("p99", 0.99))
+
+
 @query("O17_violations", HYSTERESIS + ", t AS (SELECT session_id, seq, state, lag(state) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM h) SELECT CASE WHEN state = 'unhealthy' THEN 'alert' ELSE 'recovered' END AS event, count(*) AS n FROM t WHERE state <> before AND (state = 'unhealthy' OR before = 'unhealthy') GROUP BY 1")
 def violations(spark, sf):
     changes = hysteresis(spark, sf).withColumn("before", F.expr("lag(state) OVER (PARTITION BY session_id ORDER BY seq)"))
