@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessera.plans import catalog_queries, compare_queries, extra_queries, graph_queries, model_queries, planning_queries, quality_queries, source_queries, trace_queries  # noqa: F401
+    from tessera.plans import catalog_queries, compare_queries, extra_queries, graph_queries, model_queries, planning_queries, quality_queries, source_queries, stored_queries, trace_queries  # noqa: F401
 
 
 _load()

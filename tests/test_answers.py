@@ -34,3 +34,19 @@ def test_levels(found):
     assert "Formula" not in brief[7]["answer"] and normal[7]["sources"] == [f"n{k}" for k in range(10)] and len(normal[7]["follow_ups"]) == 4
     with pytest.raises(ValueError):
         mining.answers(*found, level="long")
+
+
+def test_merged_percentiles(spark):
+    """Sketches of many windows, merged: counts and extremes exact, ranks within the stated error."""
+    import random
+
+    from tessera.operators import telemetry
+
+    rng = random.Random(3)
+    rows = [(g, f"2024-01-01 {k % 24:02}:{k % 60:02}:00", rng.gauss(0, 1) ** 3) for g in "ab" for k in range(5000)] + [("a", "2024-01-01 00:00:00", None), ("a", "2024-01-01 00:00:00", float("nan"))]
+    points = spark.createDataFrame(rows, "g string, ts string, v double").selectExpr("g", "cast(ts AS timestamp) AS ts", "v")
+    for r in telemetry.merged_percentiles(telemetry.percentile_sketches(points, ["g"], "ts", "v", "10 minutes"), ["g"]).collect():
+        values = sorted(v for g, _, v in rows if g == r["g"] and v == v and v is not None)
+        assert (r["n"], r["low"], r["high"]) == (5000, values[0], values[-1])
+        for q, p in ((0.5, r["p50"]), (0.95, r["p95"]), (0.99, r["p99"])):
+            assert abs(sum(v <= p for v in values) / len(values) - q) <= 2 * telemetry.KLL_ERROR
