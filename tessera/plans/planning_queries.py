@@ -54,7 +54,15 @@ def longest(spark, sf):
     return p.longest_paths(edges(spark, sf), modules(spark, sf).withColumn("effort", F.col("loc") / 200))
 
 
-@query("D12_parallel_branches")
+# In order of id, one seed after another.
+BRANCHES = with_roles("nodes", "edges", recursive=True) + """, w AS (SELECT source AS id, target AS o FROM edges UNION SELECT w.id, e.target FROM w JOIN edges e ON e.source = w.o), tied AS (SELECT id, list(DISTINCT o) AS t FROM (SELECT id, o FROM w UNION ALL SELECT o, id FROM w) GROUP BY 1),
+st AS (SELECT (SELECT list(id ORDER BY id) FROM nodes) AS rest, []::VARCHAR[] AS skipped, 0 AS branch, []::VARCHAR[] AS found, -1 AS number
+UNION ALL SELECT CASE WHEN len(g) = 0 THEN rest[2:] ELSE list_filter(rest[2:], lambda x: NOT list_contains(g, x)) END, CASE WHEN len(g) = 0 THEN list_append(skipped, rest[1]) ELSE list_filter(skipped, lambda x: NOT list_contains(g, x)) END,
+ branch + (len(g) > 0)::INT, CASE WHEN len(g) = 0 THEN [] ELSE list_append(g, rest[1]) END, branch
+ FROM (SELECT st.*, list_filter(list_concat(rest[2:], skipped), lambda x: NOT list_contains(coalesce(t, []), x)) AS g FROM st LEFT JOIN tied ON tied.id = rest[1] WHERE len(rest) > 0))"""
+
+
+@query("D12_parallel_branches", BRANCHES + " SELECT number AS branch, unnest(found) AS id FROM st")
 def branches(spark, sf):
     return p.parallel_branches(edges(spark, sf), nodes(spark, sf))
 
