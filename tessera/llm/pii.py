@@ -349,7 +349,10 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     the years 0001 to 9999 move within their span of years (``_SPANS``: 1904 to
     2099 is one); between slashes the month comes first unless the first number
     is over 12, and such day-first dates are permuted in day, month and year
-    among themselves. Of e-mail addresses the local part is permuted among strings of its pattern.
+    among themselves, so a day over 12 written first and the same day written
+    in another layout get different pseudonyms. Of e-mail addresses the local
+    part is permuted among strings of its pattern; addresses link only where
+    they are written in the same case.
 
     Cards and IBANs are looked for in runs of groups of digits and capitals, at
     every group, so neighbours (a date of expiry, a currency) do not hide them.
