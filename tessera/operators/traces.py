@@ -155,21 +155,42 @@ def rule_hits(events: DataFrame, ranges: DataFrame, width: int = 64) -> DataFram
     return e.join(r, (F.col("e.file") == F.col("r.file")) & (F.col("e.bin") == F.col("r.bin")) & F.col("e.line").between(F.col("r.first"), F.col("r.last")))
 
 
+def range_counts(events: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Those of ``ranges`` that hold an event, with their number of events as ``hits``.
+
+    Events are counted by line and equal ranges meet them once, so the join grows with
+    the lines that different ranges span, not with events times rules.
+    """
+    keys = ["file", "first", "last"]
+    found = rule_hits(events.groupBy("file", "line").agg(F.count("*").alias("n")), ranges.select(*keys).distinct())
+    return ranges.join(found.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.sum("e.n").alias("hits")), keys)
+
+
 def validated_rules(events: DataFrame, rules: DataFrame, share: float = 0.3, accepted: float = 0.7, examples: int = 5) -> DataFrame:
     """(rule, events, matched, match_rate, valid, first_words) of rules(file, first, last, rule, terms) on events(file, line, text).
 
     An event in a rule's lines matches if it has ``share`` of the rule's terms
     or more; the rule is valid from a rate of ``accepted``. ``first_words`` are
-    the most frequent first words of its events.
+    the most frequent first words of its events. Of an event's words those count
+    that some rule of its file names: events of one line that agree in them and in
+    the first word meet equal ranges once, with their number.
     """
-    words = F.array_distinct(F.split(F.lower("e.text"), "[^a-z0-9]+"))
-    overlap = F.size(F.array_intersect("r.terms", words)) >= share * F.size("r.terms")
-    hits = rule_hits(events, rules).select(F.col("r.rule").alias("rule"), overlap.alias("ok"), F.split(F.lower(F.trim("e.text")), r"\s+")[0].alias("word"))
-    rates = hits.groupBy("rule").agg(F.count("*").alias("events"), F.count_if("ok").alias("matched"))
-    counts = hits.groupBy("rule", "word").agg(F.count("*").alias("n")).withColumn("_k", F.expr("row_number() OVER (PARTITION BY rule ORDER BY n DESC, word)")).where(F.col("_k") <= examples)
-    first = counts.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "word"))), lambda x: x["word"]), " ").alias("first_words"))
+    kinds = rules.select("file", "first", "last", "terms").distinct()
+    named = kinds.select("file", F.explode("terms").alias("term")).distinct().withColumn("named", F.col("term"))
+    texts = events.groupBy("file", "line", "text").agg(F.count("*").alias("n"))
+    worded = texts.withColumn("term", F.explode_outer(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")))).join(named, ["file", "term"], "left")
+    told = worded.groupBy("file", "line", "text", "n").agg(F.array_sort(F.collect_set("named")).alias("words"))
+    words = F.when(F.col("text").isNotNull(), F.col("words"))
+    alike = told.groupBy("file", "line", words.alias("words"), F.split(F.lower(F.trim("text")), r"\s+")[0].alias("word")).agg(F.sum("n").alias("n"))
+    overlap = F.size(F.array_intersect("r.terms", "e.words")) >= share * F.size("r.terms")
+    met = rule_hits(alike, kinds).groupBy("r.file", "r.first", "r.last", "r.terms", "e.word").agg(F.sum("e.n").alias("n"), F.sum(F.when(overlap, F.col("e.n")).otherwise(0)).alias("ok")).alias("m")
+    same = (F.col("u.file") == F.col("m.file")) & (F.col("u.first") == F.col("m.first")) & (F.col("u.last") == F.col("m.last")) & F.col("u.terms").eqNullSafe(F.col("m.terms"))
+    hits = rules.alias("u").join(met, same).groupBy("u.rule", "m.word").agg(F.sum("m.n").alias("n"), F.sum("m.ok").alias("ok"))
+    ranked = hits.withColumn("_k", F.expr("row_number() OVER (PARTITION BY rule ORDER BY n DESC, word)"))
+    first = F.array_sort(F.collect_list(F.when(F.col("_k") <= examples, F.struct("_k", "word"))))
+    rates = ranked.groupBy("rule").agg(F.sum("n").alias("events"), F.sum("ok").alias("matched"), F.array_join(F.transform(first, lambda x: x["word"]), " ").alias("first_words"))
     rate = F.col("matched") / F.col("events")
-    return rates.join(first, "rule").select("rule", "events", "matched", rate.alias("match_rate"), (rate >= accepted).alias("valid"), "first_words")
+    return rates.select("rule", "events", "matched", rate.alias("match_rate"), (rate >= accepted).alias("valid"), "first_words")
 
 
 def branch_coverage(events: DataFrame, place: Sequence[str], taken: str) -> tuple[DataFrame, DataFrame]:

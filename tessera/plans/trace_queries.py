@@ -142,7 +142,7 @@ def lines(spark, sf):
 
 @query("T18_rule_validation", f"WITH {RANGES}, {LINES} SELECT r.rule, count(*) AS hits FROM lines e JOIN ranges r ON e.file = r.file AND e.line BETWEEN r.first AND r.last GROUP BY r.rule")
 def rule_validation(spark, sf):
-    return t.rule_hits(lines(spark, sf), ranges(spark, sf)).groupBy("r.rule").agg(F.count("*").alias("hits"))
+    return t.range_counts(lines(spark, sf), ranges(spark, sf)).groupBy("rule").agg(F.sum("hits").alias("hits"))
 
 
 TEXTS = LINES.replace("SELECT event_id,", "SELECT event_id, event_type || ' of user ' || user_id || ' worth ' || (event_id % 9) AS text,")
@@ -161,7 +161,7 @@ def validated_rules(spark, sf):
 @query("T19_rule_coverage", f"WITH {RANGES}, {LINES} SELECT count(*) AS rules, count(*) FILTER (EXISTS (SELECT 1 FROM lines e WHERE e.file = r.file AND e.line BETWEEN r.first AND r.last)) AS covered FROM ranges r")
 def rule_coverage(spark, sf):
     all_ = ranges(spark, sf)
-    seen = t.rule_hits(lines(spark, sf), all_).select("r.rule").distinct().withColumn("hit", F.lit(1))
+    seen = t.range_counts(lines(spark, sf), all_).select("rule").distinct().withColumn("hit", F.lit(1))
     return all_.join(seen, "rule", "left").agg(F.count("*").alias("rules"), F.count("hit").alias("covered"))
 
 
@@ -189,7 +189,7 @@ def edge_cases(spark, sf):
 @query("T22_coverage_summary", f"WITH {RANGES}, {LINES}, c AS (SELECT r.file, avg((EXISTS (SELECT 1 FROM lines e WHERE e.file = r.file AND e.line BETWEEN r.first AND r.last))::INT) AS s FROM ranges r GROUP BY 1) SELECT file, round(s, 8) AS coverage, CASE WHEN s >= 0.8 THEN 'good' WHEN s >= 0.7 THEN 'fair' WHEN s >= 0.5 THEN 'poor' ELSE 'bad' END AS level FROM c")
 def coverage_summary(spark, sf):
     all_ = ranges(spark, sf)
-    seen = t.rule_hits(lines(spark, sf), all_).select("r.rule").distinct().withColumn("hit", F.lit(1))
+    seen = t.range_counts(lines(spark, sf), all_).select("rule").distinct().withColumn("hit", F.lit(1))
     share = all_.join(seen, "rule", "left").groupBy("file").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("s"))
     level = F.when(F.col("s") >= 0.8, "good").when(F.col("s") >= 0.7, "fair").when(F.col("s") >= 0.5, "poor").otherwise("bad")
     return share.select("file", F.round("s", 8).alias("coverage"), level.alias("level"))
