@@ -156,8 +156,12 @@ def risk_factors(modules: DataFrame, team: int | None = None, days: float | None
 
 
 def module_risk(modules: DataFrame, factors: DataFrame) -> DataFrame:
-    """Mean score of each module's factors (0 without) and its level."""
-    mean = factors.groupBy("id").agg(F.avg("score").alias("score"))
+    """Mean score of each module's factors (0 without) and its level.
+
+    Scores are summed as decimals of nine places, so a mean that lies on a level's bound is
+    that bound in whatever order the rows come.
+    """
+    mean = factors.groupBy("id").agg(F.avg(F.col("score").cast("decimal(20,9)")).cast("double").alias("score"))
     score = F.coalesce("score", F.lit(0.0))
     return modules.select("id").join(mean, "id", "left").select("id", score.alias("score"), risk_level(score).alias("level"))
 

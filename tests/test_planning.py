@@ -1,5 +1,7 @@
 """Graph planning, matching and small helpers against plain computations."""
 
+import functools
+import operator
 import random
 
 from tessera.operators import catalog, compare, components, graph, models, planning, telemetry
@@ -178,3 +180,10 @@ def test_project_costs(spark):
     # 2 * 12 * 1.8 * 1.6 = 69.12 days: 10, 10, 28, 14, 7 = 69, seven tenths 48.3, 1.3 times 89.7
     assert [got[2][c] for c in ("overall", "total_days", "least_days", "most_days", "weeks")] == [100, 69, 48, 90, 6]
     assert [got[3][c] for c in ("overall", "total_days", "total_cost", "weeks")] == [0, 0, 0, 0]
+
+
+def test_module_risk_on_the_bound_of_a_level(spark):
+    scores = (4.199999999999999, 3.5999999999999996, 4.0, 1.7999999999999998, 1.25, 3.15)  # their mean is 3, but not that of their sum as doubles in this order
+    factors = spark.createDataFrame([(1, x) for x in scores], "id int, score double").coalesce(1)
+    got = planning.module_risk(spark.createDataFrame([(1,), (2,)], "id int"), factors).collect()
+    assert functools.reduce(operator.add, scores) / 6 < 3 and {tuple(r) for r in got} == {(1, 3.0, "medium"), (2, 0.0, "low")}
