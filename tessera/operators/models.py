@@ -172,11 +172,23 @@ def random_cases(signature: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def partition_cases(df: DataFrame, column: str, accuracy: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by, case, value): the middles of the four quarters of a column, and its mean, in each group."""
-    cuts = F.expr(f"array(min({column}), percentile_disc(0.25) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.5) WITHIN GROUP (ORDER BY {column}), percentile_disc(0.75) WITHIN GROUP (ORDER BY {column}), max({column}))")
+    """(by, case, value): the middles of the four quarters of a column, and its mean, in each group.
+
+    Exact quarters come from running sums over counted values, which stay spread.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    one = df.groupBy(group.alias("_g")).agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.avg(column).alias("mean"), F.count(column).alias("_all"))
     if accuracy is not None:
-        cuts = F.concat(F.array(F.min(column)), F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy), F.array(F.max(column)))
-    one = df.groupBy(*by).agg(cuts.alias("q"), F.avg(column).alias("mean"))
+        middle = df.groupBy(group.alias("_g")).agg(F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy).alias("_m"))
+    else:
+        from tessera.operators.condensation import running_sums
+
+        counts = df.where(F.col(column).isNotNull()).groupBy(group.alias("_g"), F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+        ranked = running_sums(counts, "_g", "_v", "_n").join(one.select("_g", "_all"), "_g")
+        at = lambda share: F.min(F.when(F.col("before") + F.col("_n") >= F.ceil(F.col("_all") * share), F.col("_v")))
+        middle = ranked.groupBy("_g").agg(F.array(at(0.25), at(0.5), at(0.75)).alias("_m"))
+    cuts = F.concat(F.array("_low"), F.coalesce("_m", F.array(F.lit(None), F.lit(None), F.lit(None))), F.array("_high"))
+    one = one.join(middle, "_g", "left").select(*[F.col(f"_g.{c}").alias(c) for c in by], cuts.alias("q"), "mean")
     rows = [F.struct(F.lit(f"quarter-{k + 1}").alias("case"), ((F.col("q")[k] + F.col("q")[k + 1]) / 2).cast("double").alias("value")) for k in range(4)]
     return one.select(*by, F.explode(F.array(*rows, F.struct(F.lit("mean").alias("case"), F.col("mean").cast("double").alias("value")))).alias("x")).select(*by, "x.*")
 
