@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import checkpointed
-from tessera.operators.graph import factor_score, reach, risk_level
+from tessera.operators.graph import factor_score, reach_along, risk_level
 
 # Fixed values of the survey: weights of a module's score, its criticality as a number, multipliers and phases of effort.
 SCORE_WEIGHTS = {"complexity": 0.3, "criticality": 0.25, "dependencies": 0.25, "risk": 0.2}
@@ -87,7 +87,8 @@ def parallel_branches(edges: DataFrame, nodes: DataFrame, cut=checkpointed) -> D
     Nodes that find no partner are in no branch. A round costs two searches
     from one node, so this is for plans of moderate size.
     """
-    steps = edges.select("source", "target").distinct()
+    steps = cut(edges.select("source", "target").distinct())
+    back = steps.select(F.col("target").alias("source"), F.col("source").alias("target"))
     rest, found, branch = cut(nodes.select("id")), None, 0
     skipped = None
     while True:
@@ -95,7 +96,7 @@ def parallel_branches(edges: DataFrame, nodes: DataFrame, cut=checkpointed) -> D
         if seed is None:
             break
         start = rest.sparkSession.createDataFrame([("", seed["id"])], "origin string, id string")
-        tied = reach(steps, start).select("id").union(reach(steps.select(F.col("target").alias("source"), F.col("source").alias("target")), start).select("id")).distinct()
+        tied = reach_along(steps, start, cut=cut).select("id").union(reach_along(back, start, cut=cut).select("id")).distinct()
         free = rest if skipped is None else rest.unionByName(skipped)
         group = cut(free.join(tied, "id", "left_anti").select(F.lit(branch).alias("branch"), "id"))
         own = rest.where(F.col("id") == seed["id"]).select("id")
