@@ -314,25 +314,76 @@ def replay_rates(results: DataFrame) -> DataFrame:
     )
 
 
+#: Choices of one group that are made at a time, and candidates of them.
+TURNS, CANDIDATES = 20_000, 2_000_000
+
+
+def _in_turn():
+    """(a, b, score) of lists: in order of ``a`` each takes the least free ``b`` of the best classes of its own class's candidates. Made here, it is sent to the tasks as it is."""
+    def choose(a, ka, b, kb, sa, sb, score):
+        free, tiers, out = {}, {}, []
+        for y, k in sorted(zip(b, kb), reverse=True):
+            free.setdefault(k, []).append(y)
+        for x, k, of in sorted(zip(score, sa, sb)):
+            tier = tiers.setdefault(k, [])
+            if not tier or tier[-1][0] != x:
+                tier.append((x, []))
+            tier[-1][1].append(of)
+        for x, k in sorted(zip(a, ka)):
+            tier = tiers[k]
+            while tier:
+                best, classes = tier[-1]
+                classes[:] = [c for c in classes if free.get(c)]
+                if classes:
+                    out.append((x, free[min(classes, key=lambda c: free[c][-1])].pop(), best))
+                    break
+                tier.pop()
+        return out
+
+    return choose
+
+
+def class_matches(legacy: DataFrame, modern: DataFrame, scores: DataFrame, by: Sequence[str], least: float = 0.3, direct: float = 0.7, cut=checkpointed) -> DataFrame:
+    """:func:`greedy_matches` of ``legacy(by, a, ka)`` with ``modern(by, b, kb)`` in classes of equal fragments: ``scores(by, ka, kb, score)`` has a row for two classes.
+
+    A choice depends on all before it, so those of a group are made one after
+    another, but ``TURNS`` of them with ``CANDIDATES`` rows of scores at most at
+    a time: every round takes the next part of all groups at once, with what
+    the parts before have left.
+    """
+    by = list(by)
+    scores = cut(scores.where(F.col("score") > least).select(*by, "ka", "kb", "score"))
+    keys = ", ".join(f"`{c}`" for c in by)
+    counted = legacy.where("a IS NOT NULL").join(scores.groupBy(*by, "ka").agg(F.count("*").alias("_n")), [*by, "ka"])
+    turn, before = F.expr(f"row_number() OVER (PARTITION BY {keys} ORDER BY a) - 1"), F.expr(f"sum(_n) OVER (PARTITION BY {keys} ORDER BY a ROWS UNBOUNDED PRECEDING) - _n")
+    turns = cut(counted.select(*by, "a", "ka", F.greatest(F.floor(turn / TURNS), F.floor(before / CANDIDATES)).alias("_part")))
+    modern = cut(modern.where("b IS NOT NULL").select(*by, "b", "kb"))
+    schema = f"array<struct<a: {turns.schema['a'].dataType.simpleString()}, b: {modern.schema['b'].dataType.simpleString()}, score: double>>"
+    last, found = turns.agg(F.max("_part")).first()[0], None
+    for part in range((-1 if last is None else last) + 1):
+        here = turns.where(F.col("_part") == part)
+        of = scores.join(here.select(*by, "ka").distinct(), [*by, "ka"], "left_semi") if last else scores
+        free = modern if found is None else modern.join(found.select(*by, "b"), [*by, "b"], "left_anti")
+        # No class gives more of its fragments than there are turns.
+        free = free.join(of.select(*by, "kb").distinct(), [*by, "kb"], "left_semi").withColumn("_place", F.expr(f"row_number() OVER (PARTITION BY {keys}, kb ORDER BY b)")).where(F.col("_place") <= TURNS)
+        lists = lambda df, *columns: df.groupBy(*by).agg(*[F.collect_list(c).alias(f"_{name}") for name, c in columns])
+        rows = lists(here, ("a", "a"), ("ka", "ka")).join(lists(free, ("b", "b"), ("kb", "kb")), by).join(lists(of, ("sa", "ka"), ("sb", "kb"), ("score", "score")), by)
+        made = rows.select(*by, F.explode(F.udf(_in_turn(), schema)(*[f"_{c}" for c in ("a", "ka", "b", "kb", "sa", "sb", "score")])).alias("x")).select(*by, "x.*")
+        found = cut(made if found is None else found.unionByName(made))
+    if found is None:
+        found = legacy.join(modern, by).limit(0).select(*by, "a", "b", F.lit(0.0).alias("score"))
+    return found.withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
+
+
 def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, direct: float = 0.7, cut=checkpointed) -> DataFrame:
     """``scores(by, a, b, score)``: in order of ``a`` each takes its best ``b`` over ``least`` not yet taken, of equal ones the first.
 
     Returns by, a, b, score and kind: direct over ``direct``, else refactored.
-    All ``a`` choose at once: a round gives each ``b`` to the first ``a`` that
-    has it as its best and takes it from all later ones, which can never get it.
-    When nothing is taken any more, every ``a`` has what it would have in turn.
+    Where many fragments are equal, :func:`class_matches` needs no row for each pair of them.
     """
-    by = list(by)
-    pairs = cut(scores.where(F.col("score") > least).select(*by, "a", "b", "score"))
-    count = pairs.count()
-    while True:
-        best = pairs.groupBy(*by, "a").agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("x")).select(*by, "a", "x.*")
-        holders = best.groupBy(*by, "b").agg(F.min("a").alias("_holder"))
-        left = cut(pairs.join(holders, [*by, "b"], "left").where(F.col("_holder").isNull() | (F.col("a") <= F.col("_holder"))).select(*by, "a", "b", "score"))
-        now = left.count()
-        if now == count:
-            return best.withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
-        pairs, count = left, now
+    pairs = cut(scores.where(F.col("score") > least).select(*by, "a", "b", F.col("score").cast("double").alias("score")))
+    a, b = (pairs.select(*by, c, F.col(c).alias(f"k{c}")).distinct() for c in ("a", "b"))
+    return class_matches(a, b, pairs.withColumnsRenamed({"a": "ka", "b": "kb"}), by, least, direct, cut)
 
 
 def code_fragments(lines: DataFrame, key: str, starts: str, ends: str) -> DataFrame:

@@ -100,3 +100,30 @@ def test_matches_by_rounds_are_those_in_turn(spark):
                 used.add(free[0][1])
                 want[g, a] = (free[0][1], "direct" if -free[0][0] > 0.7 else "refactored")
     assert got == want
+
+
+def test_classes_meet_as_their_members_do_a_part_at_a_time(spark, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(compare, "TURNS", 7)
+    monkeypatch.setattr(compare, "CANDIDATES", 30)
+    score = {(g, i, j): rng.choice([0.2, 0.4, 0.4, 0.8, 0.8]) for g in range(3) for i in range(4) for j in range(5) if rng.random() < 0.8}
+    old = [(g, a, rng.randrange(4)) for g in range(3) for a in range(40 * g)]
+    new = [(g, b, rng.randrange(5)) for g in range(3) for b in range(35)]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((old, "g int, a int, ka int"), (new, "g int, b int, kb int"), ([(*k, s) for k, s in score.items()], "g int, ka int, kb int, score double"))]
+    cuts = []
+    got = {(r["g"], r["a"]): r["b"] for r in compare.class_matches(*frames, ["g"], cut=lambda df: cuts.append(df) or compare.checkpointed(df)).collect()}
+    want, used = {}, set()
+    for g, a, k in sorted(old):
+        free = sorted((-score[g, k, j], b) for h, b, j in new if h == g and score.get((g, k, j), 0) > 0.3 and (g, b) not in used)
+        if free:
+            want[g, a] = free[0][1]
+            used.add((g, free[0][1]))
+    assert got == want and len(want) > 40
+    assert len(cuts) > 3 + 80 // 7
+
+
+def test_a_row_of_scores_stands_for_two_classes(spark):
+    old, new = (spark.range(400).selectExpr("1 AS g", f"id AS {c}", f"0L AS k{c}") for c in "ab")
+    scores = spark.createDataFrame([(1, 0, 0, 0.9)], "g int, ka long, kb long, score double")
+    rows = compare.class_matches(old, new, scores, ["g"]).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == [(k, k) for k in range(400)]
