@@ -414,7 +414,9 @@ def fragment_scores(legacy: DataFrame, modern: DataFrame, key: str) -> DataFrame
     def words(df: DataFrame, name: str) -> DataFrame:
         plain = F.regexp_replace(F.lower("content"), "[^a-z0-9]", " ")
         found = F.array_distinct(F.filter(F.split(plain, " +"), lambda w: F.length(w) > 2))
-        return df.select(key, F.col("start_line").alias(name), F.size(found).alias(f"n{name}"), F.explode(found).alias("_word"))
+        # Beside the explode, the size would be taken from the text again for every word.
+        once = df.select(key, F.col("start_line").alias(name), found.alias("_words")).select(key, name, F.size("_words").alias(f"n{name}"), "_words")
+        return once.select(key, name, f"n{name}", F.explode("_words").alias("_word"))
 
     met = words(legacy, "a").join(words(modern, "b"), [key, "_word"]).groupBy(key, "a", "b", "na", "nb").agg(F.count("*").alias("_n"))
     return met.select(key, "a", "b", (F.col("_n") / F.greatest("na", "nb")).alias("score"))

@@ -127,3 +127,10 @@ def test_a_row_of_scores_stands_for_two_classes(spark):
     scores = spark.createDataFrame([(1, 0, 0, 0.9)], "g int, ka long, kb long, score double")
     rows = compare.class_matches(old, new, scores, ["g"]).collect()
     assert sorted((r["a"], r["b"]) for r in rows) == [(k, k) for k in range(400)]
+
+
+def test_words_are_taken_from_a_fragment_once(spark):
+    df = spark.createDataFrame([(1, 1, "alpha beta")], "k int, start_line int, content string")
+    plan = compare.fragment_scores(df, df, "k")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # Nothing above the explode reads the text.
+    assert not [line for line in plan if "Project" in line and "regexp_replace" in line and "_word#" in line]
