@@ -37,7 +37,7 @@ def impact(spark, sf):
 
 @query("G23_stored_neighbourhood", ORACLES["G23_api_impact"])
 def neighbourhood(spark, sf):
-    both = once(spark, sf, "undirected", lambda: stored.store_adjacency(g.undirected(edges(spark, sf))))
+    both = once(spark, sf, "undirected", lambda: stored.store_adjacency(g.both_ways(edges(spark, sf))))
     return stored.stored_reach(spark, both, ["n:3"], 3).groupBy("distance").agg(F.count("*").alias("n"))
 
 

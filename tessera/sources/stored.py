@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import SEPARATORS, STOP_WORDS, tokens
+from tessera.operators.components import checkpointed
 from tessera.session import shared_dir
 
 #: So many keys are looked up by their values; more are joined.
 LOOK_UPS = 5000
 GRAM = 3
+#: Steps that a task tells apart and sorts into its bucket.
+STEPS_OF_BUCKET = 500_000
 
 
 def store(df: DataFrame, by: str, buckets: int = 16, name: str | None = None) -> str:
@@ -47,9 +50,12 @@ def look_up(spark: SparkSession, name: str, by: str, keys: DataFrame | Iterable)
     return rows.where(F.col(by).isin(keys)) if keys else rows.limit(0)
 
 
-def store_adjacency(steps: DataFrame, buckets: int = 16) -> str:
-    """Steps (source, target) by source."""
-    return store(steps.select("source", "target").distinct(), "source", buckets)
+def store_adjacency(steps: DataFrame, buckets: int | None = None) -> str:
+    """Steps (source, target) by source, each once; unless ``buckets`` says otherwise, one holds ``STEPS_OF_BUCKET`` of them on average, repeated ones too, and there are at least 16."""
+    steps = checkpointed(steps.select("source", "target"))
+    buckets = buckets or max(16, -(-steps.count() // STEPS_OF_BUCKET))
+    # A bucket's steps meet in one task and are told apart there.
+    return store(steps.repartition(buckets, "source").distinct(), "source", buckets)
 
 
 def stored_reach(spark: SparkSession, adjacency: str, start: Sequence, depth: int) -> DataFrame:

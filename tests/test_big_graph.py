@@ -58,3 +58,26 @@ def test_branches_store_the_edges_once(spark):
 
     got = {tuple(r) for r in planning.parallel_branches(edges, nodes, cut).collect()}
     assert got == {(0, x) for x in "acdef"} and columns.count(("source", "target")) == 1
+
+
+def test_searches_hold_a_bounded_part_of_the_steps(spark, monkeypatch):
+    from tessera.sources import stored
+
+    edges = spark.range(3000).selectExpr("concat('a', id % 300) AS source", "concat('b', id % 7) AS target", "'calls' AS type")
+    monkeypatch.setattr(graph, "STEPS_OF_TASK", 500)
+    steps = graph.by_source(graph.both_ways(edges))
+    assert steps.rdd.getNumPartitions() == 12 and steps.count() == 6000
+    start = spark.createDataFrame([("a1", "a1")], "origin string, id string")
+    found = {r["id"]: r["distance"] for r in graph.reach(graph.both_ways(edges.unionByName(edges)), start).collect()}
+    plain, frontier, near = {"a1": 0}, {"a1"}, {}
+    for r in edges.distinct().collect():
+        near.setdefault(r["source"], set()).add(r["target"])
+        near.setdefault(r["target"], set()).add(r["source"])
+    while frontier:
+        frontier = {y for x in frontier for y in near[x]} - set(plain)
+        plain |= dict.fromkeys(frontier, max(plain.values()) + 1)
+    assert found == plain
+    monkeypatch.setattr(stored, "STEPS_OF_BUCKET", 200)
+    rows = spark.table(stored.store_adjacency(graph.both_ways(edges.unionByName(edges))))
+    assert rows.count() == rows.distinct().count() == sum(map(len, near.values()))
+    assert len({r[0] for r in rows.selectExpr("input_file_name()").collect()}) > 16
