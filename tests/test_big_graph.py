@@ -81,3 +81,56 @@ def test_searches_hold_a_bounded_part_of_the_steps(spark, monkeypatch):
     rows = spark.table(stored.store_adjacency(graph.both_ways(edges.unionByName(edges))))
     assert rows.count() == rows.distinct().count() == sum(map(len, near.values()))
     assert len({r[0] for r in rows.selectExpr("input_file_name()").collect()}) > 16
+
+
+def unbroadcast(spark):
+    """Joins of small test data planned as those of large tables; gives the settings before."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    return before
+
+
+def restore(spark, before):
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_round_does_not_shuffle_the_steps_again(spark, monkeypatch):
+    edges = spark.range(3000).selectExpr("concat('a', id % 300) AS source", "concat('b', id % 7) AS target", "'calls' AS type")
+    monkeypatch.setattr(graph, "STEPS_OF_TASK", 100)
+    adaptive, before = spark.conf.get("spark.sql.adaptive.enabled"), unbroadcast(spark)
+    try:
+        steps = graph.by_source(graph.both_ways(edges))
+        assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+        frontier = spark.range(300).selectExpr("concat('a', id) AS id")
+        met = frontier.join(steps, frontier["id"] == steps["source"])
+        # One task for each of those that the steps are stored in, not for each of the session's.
+        assert met.rdd.getNumPartitions() == steps.rdd.getNumPartitions() == 60
+        assert met.count() == 3000
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source" not in plan
+    finally:
+        restore(spark, before)
+
+
+def test_items_meet_their_orders_in_bounded_tasks(spark, monkeypatch):
+    import re
+
+    from tessera.plans import roles
+
+    sf_dir = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in roles.edges(spark, sf_dir).collect()}
+    monkeypatch.setattr(roles, "ITEMS_OF_TASK", 500)
+    before = unbroadcast(spark)
+    try:
+        found = roles.edges(spark, sf_dir)
+        tasks = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_orderkey", "o_orderkey"):
+            assert {int(n) for n in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan)} == {tasks}
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    finally:
+        restore(spark, before)
