@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import checkpointed
-from tessera.operators.graph import factor_score, reach_along, risk_level
+from tessera.operators.graph import factor_score, reach, reach_along, risk_level
 
 # Fixed values of the survey: weights of a module's score, its criticality as a number, multipliers and phases of effort.
 SCORE_WEIGHTS = {"complexity": 0.3, "criticality": 0.25, "dependencies": 0.25, "risk": 0.2}

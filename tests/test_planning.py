@@ -69,6 +69,12 @@ def test_critical_path(spark):
     assert one["parallelization"] == sum(effort.values()) / max(best.values())
 
 
+def test_critical_path_of_equal_ends(spark):
+    nodes = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 3.0), ("d", 1.0), ("e", 1.0)], "id string, effort double")
+    paths = planning.longest_paths(edges_of(spark, [("c", "a"), ("b", "a"), ("e", "c"), ("d", "c")]), nodes)
+    assert {tuple(r) for r in planning.critical_path(paths).collect()} == {("a", 2.0), ("c", 5.0), ("d", 6.0)}
+
+
 def test_parallel_branches(spark):
     names, pairs = some_dag(5, 9, 8)
     ties = {n: reachable(pairs, n) | reachable([(b, a) for a, b in pairs], n) for n in names}
