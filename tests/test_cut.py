@@ -50,10 +50,10 @@ def test_release(spark):
     assert stored_files(spark) < n and other.count() == 3
 
 
-def test_label_propagation_leaves_no_steps(spark):
+def test_label_propagation_shuffles_its_steps_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STEPS_OF_TASK", 500)
     edges = spark.createDataFrame([(f"a{k}", f"b{k % 50}") for k in range(2000)], "source string, target string")
-    nodes = graph.ends(edges)
-    before = shuffle_files(spark)
-    graph.label_propagation(edges, nodes, rounds=4)
-    # Counts and tests for rows are no cuts; all rounds' shuffles were more than twice as many.
-    assert len({x.split("_")[1] for x in left_of(spark, before)}) <= 10
+    steps = graph.sorted_steps(graph.undirected(graph.numbered(edges)[0]), "target")
+    labels = checkpointed(steps.select(F.col("source").alias("number")).distinct())
+    plan = steps.join(labels.hint("merge"), F.col("target") == F.col("number"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(target" not in plan, plan
