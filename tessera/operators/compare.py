@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.components import checkpointed
+from tessera.operators.components import checkpointed, release
 from tessera.operators.quality import union_all
 
 # Texts that count as null.
@@ -369,9 +369,12 @@ def class_matches(legacy: DataFrame, modern: DataFrame, scores: DataFrame, by: S
         lists = lambda df, *columns: df.groupBy(*by).agg(*[F.collect_list(c).alias(f"_{name}") for name, c in columns])
         rows = lists(here, ("a", "a"), ("ka", "ka")).join(lists(free, ("b", "b"), ("kb", "kb")), by).join(lists(of, ("sa", "ka"), ("sb", "kb"), ("score", "score")), by)
         made = rows.select(*by, F.explode(F.udf(_in_turn(), schema)(*[f"_{c}" for c in ("a", "ka", "b", "kb", "sa", "sb", "score")])).alias("x")).select(*by, "x.*")
-        found = cut(made if found is None else found.unionByName(made))
+        before, found = found, cut(made if found is None else found.unionByName(made))
+        if before is not None:
+            release(before)
     if found is None:
-        found = legacy.join(modern, by).limit(0).select(*by, "a", "b", F.lit(0.0).alias("score"))
+        found = cut(legacy.join(modern, by).limit(0).select(*by, "a", "b", F.lit(0.0).alias("score")))
+    release(scores, turns, modern)
     return found.withColumn("kind", F.when(F.col("score") > direct, "direct").otherwise("refactored"))
 
 
@@ -383,7 +386,9 @@ def greedy_matches(scores: DataFrame, by: Sequence[str], least: float = 0.3, dir
     """
     pairs = cut(scores.where(F.col("score") > least).select(*by, "a", "b", F.col("score").cast("double").alias("score")))
     a, b = (pairs.select(*by, c, F.col(c).alias(f"k{c}")).distinct() for c in ("a", "b"))
-    return class_matches(a, b, pairs.withColumnsRenamed({"a": "ka", "b": "kb"}), by, least, direct, cut)
+    found = class_matches(a, b, pairs.withColumnsRenamed({"a": "ka", "b": "kb"}), by, least, direct, cut)
+    release(pairs)
+    return found
 
 
 def code_fragments(lines: DataFrame, key: str, starts: str, ends: str) -> DataFrame:
@@ -409,17 +414,16 @@ def code_fragments(lines: DataFrame, key: str, starts: str, ends: str) -> DataFr
 def fragment_scores(legacy: DataFrame, modern: DataFrame, key: str) -> DataFrame:
     """(key, a, b, score) of fragments of a key that share a word of three letters or more: shared words over those of the longer.
 
-    ``a`` and ``b`` are their first lines. Fragments meet over their words.
+    ``a`` and ``b`` are their first lines. Fragments of a key meet with all their words, so that no
+    row for a word that two of them share goes through a shuffle.
     """
     def words(df: DataFrame, name: str) -> DataFrame:
         plain = F.regexp_replace(F.lower("content"), "[^a-z0-9]", " ")
         found = F.array_distinct(F.filter(F.split(plain, " +"), lambda w: F.length(w) > 2))
-        # Beside the explode, the size would be taken from the text again for every word.
-        once = df.select(key, F.col("start_line").alias(name), found.alias("_words")).select(key, name, F.size("_words").alias(f"n{name}"), "_words")
-        return once.select(key, name, f"n{name}", F.explode("_words").alias("_word"))
+        return df.select(key, F.col("start_line").alias(name), found.alias(f"w{name}"))
 
-    met = words(legacy, "a").join(words(modern, "b"), [key, "_word"]).groupBy(key, "a", "b", "na", "nb").agg(F.count("*").alias("_n"))
-    return met.select(key, "a", "b", (F.col("_n") / F.greatest("na", "nb")).alias("score"))
+    met = words(legacy, "a").join(words(modern, "b"), key).select(key, "a", "b", F.size(F.array_intersect("wa", "wb")).alias("_n"), F.greatest(F.size("wa"), F.size("wb")).alias("_of"))
+    return met.where("_n > 0").select(key, "a", "b", (F.col("_n") / F.col("_of")).alias("score"))
 
 
 def rule_mappings(legacy: DataFrame, modern: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -449,6 +453,7 @@ def code_mappings(legacy: DataFrame, modern: DataFrame, key: str, rules: DataFra
         free = free.join(named.select(key, "a").distinct(), [key, "a"], "left_anti").join(named.select(key, "b").distinct(), [key, "b"], "left_anti")
     rule_type = rules.schema["rule"].dataType if rules is not None else "string"
     alike = greedy_matches(free.select(key, "a", "b", "score"), [key], cut=cut).select(key, F.lit(None).cast(rule_type).alias("rule"), "a", "b", "kind", F.col("score").alias("confidence"))
+    release(scores)
     return alike if named is None else named.unionByName(alike)
 
 

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import compare, graph
 from tessera.operators.components import checkpointed, release
 
 
@@ -57,3 +57,10 @@ def test_label_propagation_shuffles_its_steps_once(spark, monkeypatch):
     labels = checkpointed(steps.select(F.col("source").alias("number")).distinct())
     plan = steps.join(labels.hint("merge"), F.col("target") == F.col("number"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(target" not in plan, plan
+
+
+def test_fragments_meet_without_a_row_for_each_shared_word(spark):
+    rows = lambda texts: spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "key string, start_line int, content string")
+    met = compare.fragment_scores(rows(["Red fox, red hen", "an ox", None]), rows(["hen fox owl cat", "", "red; RED"]), "key")
+    assert {tuple(r) for r in met.collect()} == {("k", 0, 0, 0.5), ("k", 0, 2, 1 / 3)}
+    assert "Aggregate" not in met._jdf.queryExecution().executedPlan().toString()
